@@ -141,7 +141,7 @@ cand AS (
   FROM (SELECT DISTINCT query_id, qv, field FROM asked) JOIN long USING (field)
   QUALIFY row_number() OVER (PARTITION BY query_id, field ORDER BY cos DESC, doc_id) <= 10),
 fused AS (SELECT query_id, doc_id, sum((1 + cos) / 2) AS score FROM cand JOIN asked USING (query_id, field) GROUP BY ALL)
-SELECT query_id, doc_id, round(score, 6) AS score,
+SELECT query_id, doc_id, round(round(score, 9), 6) AS score,
        row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM fused""",
 )
 def multi_field(spark, sf):
