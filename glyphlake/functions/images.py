@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import struct
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +25,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often lambdas inside look at it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # ---- expressions over ARRAY<ARRAY<number>> grids -------------------------------------------
 
 
@@ -60,21 +66,31 @@ def stretch_pixels(grid: Column | str) -> Column:
 
     Computed in single precision and cut to whole numbers.
     """
-    dark = is_dark_background(grid)
-    upright = F.transform(
-        _col(grid),
-        lambda row: F.transform(row, lambda p: F.when(dark, F.lit(WHITE) - p).otherwise(p).cast("float")),
-    )
-    flat = F.flatten(upright)
-    low, high = F.array_min(flat), F.array_max(flat)
-    return F.transform(
-        upright,
-        lambda row: F.transform(
-            row,
-            lambda p: F.when(high > low, (((p - low) / (high - low)).cast("float") * F.lit(255.0).cast("float")).cast("int"))
-            .otherwise(F.lit(WHITE)),
-        ),
-    )
+    def stretch(upright: Column, span: Column) -> Column:
+        low, width = span["low"], (span["high"] - span["low"]).cast("float")
+        return F.transform(
+            upright,
+            lambda row: F.transform(
+                row,
+                lambda p: F.when(
+                    width > 0, (((p - low) / width).cast("float") * F.lit(255.0).cast("float")).cast("int")
+                ).otherwise(F.lit(WHITE)),
+            ),
+        )
+
+    def spanned(upright: Column) -> Column:
+        flat = F.flatten(upright)
+        return bind(
+            F.struct(F.array_min(flat).alias("low"), F.array_max(flat).alias("high")), lambda span: stretch(upright, span)
+        )
+
+    def turned(dark: Column) -> Column:
+        return F.transform(
+            _col(grid),
+            lambda row: F.transform(row, lambda p: F.when(dark, F.lit(WHITE) - p).otherwise(p).cast("float")),
+        )
+
+    return bind(is_dark_background(grid), lambda dark: bind(turned(dark), spanned))
 
 
 def grid_stats(grid: Column | str) -> list[Column]:
@@ -272,7 +288,10 @@ def image_stats(df: DataFrame, col: str) -> DataFrame:
         counts = []
         for n, data in zip(images["nChannels"], images["data"], strict=True):
             flat = np.frombuffer(data or b"", np.uint8)
-            counts.append(len(np.unique(flat.reshape(-1, int(n)), axis=0)) if len(flat) else 0)
+            if len(flat):
+                # One whole number per pixel sorts far faster than rows of channels.
+                flat = flat.reshape(-1, int(n)).astype(np.uint32) @ (256 ** np.arange(int(n), dtype=np.uint32))
+            counts.append(len(np.unique(flat)))
         return pd.Series(counts)
 
     image = F.col(col)

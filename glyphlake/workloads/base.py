@@ -96,4 +96,4 @@ def sql_cos(a: str, b: str) -> str:
 
 
 SQL_REQUESTS = """ev AS (
-  SELECT user_id AS key, epoch_us(ts) AS at, event_id, event_type FROM events)"""
+  SELECT user_id AS key, epoch_us(ts) AS "at", event_id, event_type FROM events)"""
