@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.operators.joins import lookup_join
+from glyphlake.session import cut_lineage
 
 
 def copy_groups(df: DataFrame, field: str, id_col: str = "doc_id") -> DataFrame:
@@ -25,6 +26,6 @@ def exact_duplicates(df: DataFrame, field: str, id_col: str = "doc_id") -> DataF
 
     Members stay rows: a group may hold a large share of the table.
     """
-    groups = copy_groups(df, field, id_col).where(F.col("copies") > 1)
+    groups = cut_lineage(copy_groups(df, field, id_col).where(F.col("copies") > 1))
     rows = df.select(F.col(id_col).alias("doc_id"), field)
     return lookup_join(rows, groups, field, spread="doc_id").select("group_id", "copies", "doc_id")

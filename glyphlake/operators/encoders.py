@@ -30,7 +30,15 @@ def token_slot(token: str, dims: int) -> tuple[int, int]:
     return int(digest[:8], 16) % dims, 1 - 2 * (int(digest[8], 16) % 2)
 
 
-def hashed_vectors(dims: int) -> Column | Callable[[Column], Column]:
+def _coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Row and token code of every entry of an Arrow list column, and the distinct tokens."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(int)
+    coded = column.flatten().dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(int)
+    return np.repeat(np.arange(len(column)), lengths), code, coded.dictionary.to_pylist()
+
+
+def hashed_vectors(dims: int) -> Callable[[Column | str], Column]:
     """Column function from ARRAY<STRING> tokens to unit ARRAY<FLOAT> vectors, null stays null.
 
     Works on whole Arrow batches: every distinct token of a batch is hashed once. A row whose
@@ -39,13 +47,10 @@ def hashed_vectors(dims: int) -> Column | Callable[[Column], Column]:
 
     @F.arrow_udf("array<float>")
     def encode(column: pa.Array) -> pa.Array:
-        lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(int)
-        coded = column.flatten().dictionary_encode()
-        slots = [token_slot(t, dims) for t in coded.dictionary.to_pylist()]
+        row, code, words = _coded(column)
+        slots = [token_slot(t, dims) for t in words]
         place = np.array([s[0] for s in slots], dtype=int)
         sign = np.array([s[1] for s in slots], dtype=float)
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(int)
-        row = np.repeat(np.arange(len(column)), lengths)
         flat = np.zeros(len(column) * dims)
         if len(code):
             flat = np.bincount(row * dims + place[code], weights=sign[code], minlength=len(column) * dims)
@@ -56,7 +61,25 @@ def hashed_vectors(dims: int) -> Column | Callable[[Column], Column]:
         made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel().astype(np.float32)))
         return pa.compute.if_else(column.is_valid(), made, pa.scalar(None, made.type))
 
-    return encode
+    # Kept from being evaluated a second time for a filter on its result.
+    return encode.asNondeterministic()
+
+
+def token_weights() -> Callable[[Column | str], Column]:
+    """Column function from ARRAY<STRING> tokens to a MAP of ln(1 + occurrences), null if empty."""
+
+    @F.arrow_udf("map<string, double>")
+    def encode(column: pa.Array) -> pa.Array:
+        row, code, words = _coded(column)
+        key, count = np.unique(row * max(1, len(words)) + code, return_counts=True)
+        row, code = np.divmod(key, max(1, len(words)))
+        sizes = np.bincount(row, minlength=len(column))
+        offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+        names = pa.array(words, pa.string()).take(pa.array(code))
+        made = pa.MapArray.from_arrays(offsets, names, pa.array(np.log1p(count.astype(float))))
+        return pa.compute.if_else(pa.array(sizes > 0), made, pa.scalar(None, made.type))
+
+    return encode.asNondeterministic()
 
 
 def embed_text(df: DataFrame, col: str, out: str = "text_embedding", dims: int = TEXT_DIMS) -> DataFrame:
@@ -64,21 +87,15 @@ def embed_text(df: DataFrame, col: str, out: str = "text_embedding", dims: int =
     return df.withColumn(out, hashed_vectors(dims)(tokens(col)))
 
 
-def text_postings(df: DataFrame, col: str, id_col: str = "doc_id") -> DataFrame:
-    """Sparse text vectors as rows ``id, token, weight`` with weight ln(1 + occurrences)."""
-    return (
-        df.select(id_col, F.explode(tokens(col)).alias("token"))
-        .groupBy(id_col, "token")
-        .agg(F.log1p(F.count("*")).alias("weight"))
-    )
+def embed_sparse(df: DataFrame, col: str, out: str = "text_embedding_sparse") -> DataFrame:
+    """Sparse text vectors as a MAP column; a document without tokens gets null."""
+    return df.withColumn(out, token_weights()(tokens(col)))
 
 
-def embed_sparse(df: DataFrame, col: str, out: str = "text_embedding_sparse", id_col: str = "doc_id") -> DataFrame:
-    """Sparse text vectors as a MAP column; a document without tokens gets null."""
-    maps = text_postings(df, col, id_col).groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias(out)
-    )
-    return df.join(maps, id_col, "left")
+def text_postings(df: DataFrame, col: str, id_col: str = "doc_id") -> DataFrame:
+    """Sparse text vectors as rows ``id, token, weight``, made in place without a shuffle."""
+    made = embed_sparse(df.select(id_col, col), col, "__sparse")
+    return made.select(id_col, F.explode("__sparse").alias("token", "weight"))
 
 
 def encode_column(df: DataFrame, col: str, out: str, make_encoder: Callable[[], Encoder]) -> DataFrame:

@@ -56,32 +56,24 @@ def _keep_best(row: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int):
     return row[keep], score[keep], ident[keep]
 
 
-class _Best:
-    """Running top-k of one field over all batches of a task."""
+class BestRows:
+    """Running best k rows per query over all batches of a task."""
 
-    def __init__(self, queries: np.ndarray, groups: np.ndarray | None, k: int):
-        self.queries, self.groups, self.k = queries, groups, k
-        self.floor = np.full(len(queries), -np.inf)
+    def __init__(self, queries: int, k: int):
+        self.queries, self.k = queries, k
+        self.floor = np.full(queries, -np.inf)
         self.row = np.array([], dtype=np.int64)
         self.score = np.array([], dtype=np.float64)
         self.ident: np.ndarray | None = None
 
-    def add(self, vectors: np.ndarray, ident: np.ndarray, groups: np.ndarray | None) -> None:
-        tile = max(1, CELLS_PER_TILE // max(1, len(vectors)))
-        rows, scores, idents = [], [], []
-        for start in range(0, len(self.queries), tile):
-            part = np.round(self.queries[start : start + tile] @ vectors.T, SCORE_DECIMALS)
-            if self.groups is not None:
-                wanted = self.groups[start : start + tile]
-                allowed = pd.isna(wanted)[:, None] | (wanted[:, None] == groups[None, :])
-                part = np.where(allowed, part, -np.inf)
-            floor = self.floor[start : start + tile]
-            if part.shape[1] > self.k:
-                floor = np.maximum(floor, -np.partition(-part, self.k - 1, axis=1)[:, self.k - 1])
-            hit_row, hit_col = np.nonzero((part >= floor[:, None]) & (part > -np.inf))
-            rows.append(hit_row + start)
-            scores.append(part[hit_row, hit_col])
-            idents.append(ident[hit_col])
+    def cut(self, scores: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in a (query, row) block of scores that can still be among the best."""
+        floor = self.floor[start : start + len(scores)]
+        if scores.shape[1] > self.k:
+            floor = np.maximum(floor, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
+        return np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+
+    def offer(self, rows: list[np.ndarray], scores: list[np.ndarray], idents: list[np.ndarray]) -> None:
         old = [] if self.ident is None else [self.ident]
         self.row, self.score, self.ident = _keep_best(
             np.concatenate([self.row, *rows]),
@@ -89,10 +81,35 @@ class _Best:
             np.concatenate([*old, *idents]),
             self.k,
         )
-        count = np.bincount(self.row, minlength=len(self.queries))
+        count = np.bincount(self.row, minlength=self.queries)
         full = np.flatnonzero(count >= self.k)
-        last = np.cumsum(count) - 1
-        self.floor[full] = self.score[last[full]]
+        self.floor[full] = self.score[np.cumsum(count)[full] - 1]
+
+
+class _Field(BestRows):
+    """The best rows of one vector field."""
+
+    def __init__(self, queries: np.ndarray, groups: np.ndarray | None, k: int):
+        super().__init__(len(queries), k)
+        self.matrix, self.groups = queries, groups
+
+    def add(self, vectors: np.ndarray, ident: np.ndarray, groups: np.ndarray | None) -> None:
+        tile = max(1, CELLS_PER_TILE // max(1, len(vectors)))
+        rows, scores, idents = [], [], []
+        for start in range(0, self.queries, tile):
+            part = np.round(self.matrix[start : start + tile] @ vectors.T, SCORE_DECIMALS)
+            if self.groups is not None:
+                part = np.where(same_group(self.groups[start : start + tile], groups), part, -np.inf)
+            hit_row, hit_col = self.cut(part, start)
+            rows.append(hit_row + start)
+            scores.append(part[hit_row, hit_col])
+            idents.append(ident[hit_col])
+        self.offer(rows, scores, idents)
+
+
+def same_group(wanted: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """(query, row) mask of rows a query may see; a query without a group sees all."""
+    return pd.isna(wanted)[:, None] | (wanted[:, None] == groups[None, :])
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -117,7 +134,7 @@ class _QueryBlock:
                 self.parts[name] = (at, matrix[at], None if groups is None else groups[at])
 
     def scan(self, batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-        best = {name: _Best(m, g, k) for name, (_, m, g) in self.parts.items()}
+        best = {name: _Field(m, g, k) for name, (_, m, g) in self.parts.items()}
         for batch in batches:
             table = pa.table(batch) if isinstance(batch, pa.RecordBatch) else batch
             for name, state in best.items():

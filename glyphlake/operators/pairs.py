@@ -115,7 +115,7 @@ def _match_cells(placed: DataFrame, field: str, threshold: float, chunk_rows: in
         F.ceil(F.count_if("home") / chunk_rows).cast("int").alias("home_chunks"),
         F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"),
     )
-    rows = lookup_join(placed, sizes.where("home_chunks > 0"), "cell", spread="group_id")
+    rows = lookup_join(placed, cut_lineage(sizes.where("home_chunks > 0")), "cell", spread="group_id")
     part = F.xxhash64("group_id")
     left = rows.where("home").select(
         "cell", F.pmod(part, "home_chunks").alias("i"),

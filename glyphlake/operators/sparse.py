@@ -1,11 +1,29 @@
-"""Sparse (token weight) search over postings ``doc_id, token, weight``."""
+"""Sparse (token weight) search.
+
+``sparse_page`` answers a bounded query table the way dense search does: the query weights are
+broadcast, a task scores its own documents and hands out only the best rows and a match count per
+query, so a word that half the corpus holds never becomes rows to shuffle. ``sparse_search`` is
+the relational form, an equi-join on tokens, for query tables of any size and for full scores.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphlake.operators.joins import BROADCAST_ROWS, lookup_join
+from glyphlake.operators.knn import CELLS_PER_TILE, SCORE_DECIMALS, BestRows, _ids, same_group
+from glyphlake.operators.ranking import rank_page, total_hits
+from glyphlake.schema import PAGE_SIZE
+from glyphlake.session import cut_lineage
+
+MAX_BROADCAST_QUERIES = 8192
 
 
 def postings(df: DataFrame, sparse_col: str, id_col: str = "doc_id") -> DataFrame:
@@ -16,17 +34,149 @@ def postings(df: DataFrame, sparse_col: str, id_col: str = "doc_id") -> DataFram
 def sparse_search(
     index_postings: DataFrame,
     query_postings: DataFrame,
+    group_col: str | None = None,
     max_query_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``query_id, doc_id, score``: sum of weight products over shared tokens.
 
-    ``query_postings`` is ``query_id, token, weight``. Only documents sharing a token appear. A
-    token held by much of the corpus costs one partial sum per task, not one hot reducer: small
-    query tables are broadcast, large ones repeated over salts that split each token's postings.
+    ``query_postings`` is ``query_id, token, weight``. Only documents sharing a token appear. Small
+    query tables are broadcast, large ones repeated over salts that split each token's postings;
+    either way the sums are combined before the shuffle. ``group_col`` of both sides must agree,
+    null in a query meaning any.
     """
-    asked = query_postings.select("query_id", "token", F.col("weight").alias("query_weight"))
-    return (
-        lookup_join(index_postings, asked, "token", spread="doc_id", max_rows=max_query_rows)
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
+    asked = query_postings.select(
+        "query_id", "token", F.col("weight").alias("query_weight"), *([F.col(group_col).alias("__wanted")] if group_col else [])
+    )
+    pairs = lookup_join(index_postings, asked, "token", spread="doc_id", max_rows=max_query_rows)
+    if group_col:
+        pairs = pairs.where(F.col("__wanted").isNull() | (F.col("__wanted") == F.col(group_col)))
+    score = F.round(F.sum(F.col("weight") * F.col("query_weight")), SCORE_DECIMALS)
+    return pairs.groupBy("query_id", "doc_id").agg(score.alias("score"))
+
+
+class _SparseBlock:
+    """Query weights of a task, laid out per token."""
+
+    def __init__(self, frame: pd.DataFrame, size: int):
+        codes, self.query_id = pd.factorize(frame["query_id"])
+        order = np.argsort(frame["token"].to_numpy().astype(str), kind="stable")
+        names, starts, counts = np.unique(
+            frame["token"].to_numpy().astype(str)[order], return_index=True, return_counts=True
+        )
+        self.place = {name: i for i, name in enumerate(names.tolist())}
+        self.starts, self.counts, self.size = starts, counts, size
+        self.query, self.weight = codes[order], frame["weight"].to_numpy(dtype=np.float64)[order]
+        self.groups = None
+        if "__group" in frame:
+            firsts = frame.groupby(codes)["__group"].first(skipna=False) if len(frame) else frame["__group"]
+            self.groups = firsts.to_numpy(dtype=object)
+
+    def scan(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = len(self.query_id)
+        best, matches = BestRows(queries, self.size), np.zeros(queries, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            ident = _ids(batch.column(0))
+            groups = batch.column(2).to_numpy(zero_copy_only=False).astype(object) if self.groups is not None else None
+            rows, tokens, weights = self._entries(batch.column(1))
+            tile = max(1, CELLS_PER_TILE // max(1, queries))
+            for start in range(0, batch.num_rows, tile):
+                stop = min(start + tile, batch.num_rows)
+                low, high = np.searchsorted(rows, [start, stop])
+                scores, hit = self._scores(rows[low:high] - start, tokens[low:high], weights[low:high], stop - start)
+                if groups is not None:
+                    hit &= same_group(self.groups, groups[start:stop])
+                matches += hit.sum(axis=1)
+                scores = np.where(hit, scores, -np.inf)
+                at_query, at_row = best.cut(scores, 0)
+                best.offer([at_query], [scores[at_query, at_row]], [ident[start:stop][at_row]])
+        some = np.flatnonzero(matches)
+        if len(some):
+            ids = best.ident
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(self.query_id[np.r_[best.row, some]]),
+                    pa.concat_arrays([pa.array(ids), pa.nulls(len(some), pa.array(ids).type)]),
+                    pa.array(np.r_[best.score, np.zeros(len(some))]),
+                    pa.array(np.r_[np.zeros(len(best.row), dtype=np.int64), matches[some]]),
+                ],
+                names=["query_id", "doc_id", "score", "matches"],
+            )
+
+    def _entries(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, token place and weight of the map entries whose token some query holds."""
+        offsets = column.offsets.to_numpy()
+        lengths = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+        coded = column.keys.dictionary_encode()
+        known = np.array([self.place.get(t, -1) for t in coded.dictionary.to_pylist()], dtype=np.int64)
+        rows = np.repeat(np.arange(len(column)), lengths)
+        inside = np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        entry = np.repeat(offsets[:-1] - offsets[0], lengths) + inside
+        places = known[coded.indices.to_numpy(zero_copy_only=False)[entry]] if len(known) else np.array([], np.int64)
+        keep = places >= 0
+        weights = column.items.to_numpy(zero_copy_only=False).astype(np.float64)[entry]
+        return rows[keep], places[keep], weights[keep]
+
+    def _scores(self, rows, tokens, weights, n_rows):
+        """(query, row) sums of products and whether any token was shared."""
+        count = self.counts[tokens]
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        entry = np.repeat(self.starts[tokens], count) + inside
+        cell = self.query[entry] * n_rows + np.repeat(rows, count)
+        shape = (len(self.query_id), n_rows)
+        sums = np.bincount(cell, np.repeat(weights, count) * self.weight[entry], minlength=shape[0] * shape[1])
+        shared = np.bincount(cell, minlength=shape[0] * shape[1]) > 0
+        return np.round(sums, SCORE_DECIMALS).reshape(shape), shared.reshape(shape)
+
+
+def sparse_page(
+    index: DataFrame,
+    query_postings: DataFrame,
+    sparse_col: str,
+    size: int = PAGE_SIZE,
+    group_col: str | None = None,
+    max_query_rows: int = BROADCAST_ROWS,
+    max_queries: int = MAX_BROADCAST_QUERIES,
+) -> DataFrame:
+    """``query_id, doc_id, score, rank, total``: the best ``size`` matches and how many there are.
+
+    ``index`` holds ``doc_id`` and the MAP column. Query tables beyond the bounds take the join.
+    """
+    extra = [group_col] if group_col else []
+    asked = query_postings.select("query_id", "token", "weight", *extra)
+    head = asked.limit(max_query_rows + 1).toPandas()
+    if len(head) > max_query_rows or head["query_id"].nunique() > max_queries:
+        terms = index.select("doc_id", *extra, F.explode(sparse_col).alias("token", "weight"))
+        scored = sparse_search(terms, asked, group_col, max_query_rows)
+        return rank_page(scored, size).join(total_hits(scored), "query_id")
+    if group_col:
+        head = head.rename(columns={group_col: "__group"})
+    rows = index.where(F.col(sparse_col).isNotNull()).select("doc_id", sparse_col, *extra)
+    schema = T.StructType(
+        [
+            T.StructField("query_id", asked.schema["query_id"].dataType),
+            T.StructField("doc_id", rows.schema["doc_id"].dataType),
+            T.StructField("score", T.DoubleType()),
+            T.StructField("matches", T.LongType()),
+        ]
     )
+    block = index.sparkSession.sparkContext.broadcast(_SparseBlock(head, size))
+    # Best rows and counts come from one scan; they are few, so they are kept for both uses.
+    found = cut_lineage(rows.mapInArrow(lambda batches: block.value.scan(batches), schema))
+    totals = found.where(F.col("doc_id").isNull()).groupBy("query_id").agg(F.sum("matches").alias("total"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    top = found.where(F.col("doc_id").isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
+    return top.select("query_id", "doc_id", "score", "rank").join(totals, "query_id")
+
+
+def sparse_scores_of(
+    index: DataFrame, candidates: DataFrame, query_postings: DataFrame, sparse_col: str, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """``query_id, doc_id, score`` of the given (query, document) candidates that share a token."""
+    wanted = candidates.select("query_id", "doc_id")
+    maps = lookup_join(index.select("doc_id", sparse_col), wanted, "doc_id", spread="doc_id", max_rows=max_rows)
+    terms = maps.select("query_id", "doc_id", F.explode(sparse_col).alias("token", "weight"))
+    asked = query_postings.select("query_id", "token", F.col("weight").alias("query_weight"))
+    score = F.round(F.sum(F.col("weight") * F.col("query_weight")), SCORE_DECIMALS)
+    return terms.join(asked, ["query_id", "token"]).groupBy("query_id", "doc_id").agg(score.alias("score"))

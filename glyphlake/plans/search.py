@@ -11,7 +11,7 @@ from glyphlake.operators.encoders import embed_image, embed_svg, embed_text, tex
 from glyphlake.operators.joins import lookup_join
 from glyphlake.operators.knn import check_k, knn, knn_multi_field
 from glyphlake.operators.ranking import format_result, fuse, rank_page, total_hits
-from glyphlake.operators.sparse import sparse_search
+from glyphlake.operators.sparse import sparse_page, sparse_scores_of
 from glyphlake.schema import (
     KNN_K, NUM_CANDIDATES, PAGE_SIZE, SPARSE_FIELD, TEXT_DIMS, TEXT_FIELD, VISUAL_DIMS, VISUAL_FIELDS,
 )
@@ -57,30 +57,32 @@ def choose_branch(kind: Column | str = "type", sparse_size: Column | str = "spar
 
 def hybrid_search(
     index: DataFrame,
-    index_postings: DataFrame,
     queries: DataFrame,
     query_postings: DataFrame,
     field: str = TEXT_FIELD,
+    sparse_field: str = SPARSE_FIELD,
     k: int = KNN_K,
     num_candidates: int = NUM_CANDIDATES,
+    size: int = PAGE_SIZE,
     group_col: str | None = None,
     **limits: int,
 ) -> DataFrame:
-    """Dense top k and every token match, fused by summing: ``query_id, doc_id, score``.
+    """Dense top k and every token match, fused by summing: ``query_id, doc_id, score, rank, total``.
 
-    ``group_col`` is a column of ``index`` and ``queries`` (null in a query: no filter) that both
-    sides respect; ``index_postings`` and ``query_postings`` must carry it too.
+    Only ``size`` token matches per query are carried on. That is exact: a document outside of the
+    dense top k keeps its sparse score, and the documents before it in the sparse order can only
+    gain from a dense part, which is never negative. Dense hits get their own sparse score.
+    ``group_col``, a column of ``index``, ``queries`` and ``query_postings``, is respected by both
+    sides (null in a query: no filter).
     """
-    dense = knn(index, queries, field, k, num_candidates, group_col=group_col, **limits)
-    if group_col is None:
-        return fuse(dense, sparse_search(index_postings, query_postings))
-    asked = query_postings.withColumnRenamed(group_col, "__wanted")
-    terms = asked.select("query_id", "token", "__wanted", F.col("weight").alias("query_weight"))
-    matched = lookup_join(index_postings, terms, "token", spread="doc_id").where(
-        F.col("__wanted").isNull() | (F.col("__wanted") == F.col(group_col))
-    )
-    sparse = matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
-    return fuse(dense, sparse)
+    dense = cut_lineage(knn(index, queries, field, k, num_candidates, group_col=group_col, **limits).drop("rank"))
+    matched = cut_lineage(sparse_page(index, query_postings, sparse_field, size, group_col))
+    of_dense = cut_lineage(sparse_scores_of(index, dense, query_postings, sparse_field))
+    others = matched.select("query_id", "doc_id", "score").join(dense, ["query_id", "doc_id"], "left_anti")
+    ranked = rank_page(fuse(dense, of_dense, others), size)
+    unmatched = dense.join(of_dense, ["query_id", "doc_id"], "left_anti").select("query_id", F.lit(1).alias("total"))
+    totals = matched.select("query_id", "total").distinct().unionByName(unmatched)
+    return ranked.join(totals.groupBy("query_id").agg(F.sum("total").alias("total")), "query_id")
 
 
 def encode_queries(queries: DataFrame, text_dims: int = TEXT_DIMS, visual_dims: int = VISUAL_DIMS) -> DataFrame:
@@ -129,20 +131,12 @@ def search(
         query_sparse = text_postings(text, "query", "query_id")
     sparse = query_sparse.join(text.select("query_id", "icon_type"), "query_id")
     hybrid = hybrid_search(
-        index,
-        index.select("doc_id", "icon_type", F.explode(SPARSE_FIELD).alias("token", "weight")),
-        text,
-        sparse,
-        TEXT_FIELD,
-        k,
-        num_candidates,
-        group_col="icon_type",
-        **limits,
+        index, text, sparse, k=k, num_candidates=num_candidates, size=size, group_col="icon_type", **limits
     )
     visual = asked.where("type IN ('image', 'svg')").withColumn("fields", resolve_fields())
     pictured = knn_multi_field(index, visual, VISUAL_FIELDS, k, query_fields="fields", **limits)
-    scored = hybrid.unionByName(pictured)
-    ranked = cut_lineage(rank_page(scored, size).join(total_hits(scored), "query_id"))
+    pictured = rank_page(pictured, size).join(total_hits(pictured), "query_id")
+    ranked = cut_lineage(hybrid.unionByName(pictured))
     return attach(ranked, index)
 
 

@@ -10,6 +10,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the table has fewer files than there are cores.
+
+    For work that is heavy per row, such as encoding; tables of many files stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_out(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embeddings as an index: doc_id, vector, icon_type."""
     return table(spark, sf_dir, "embeddings").select(
@@ -33,8 +46,7 @@ def text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with dense text vectors."""
     from glyphlake.operators.encoders import embed_text
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return embed_text(docs, "text", "text_embedding").drop("text")
+    return embed_text(documents(spark, sf_dir), "text", "text_embedding").drop("text")
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

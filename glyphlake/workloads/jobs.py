@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from glyphlake.operators.encoders import embed_image, embed_sparse, encode_column, encode_corpus
+from glyphlake.operators.encoders import embed_image, embed_sparse, embed_text, encode_column, encode_corpus
 from glyphlake.functions.images import image_stats, normalize_images
 from glyphlake.plans.indexing import index_release
 from glyphlake.plans.search import search, search_report
 from glyphlake.schema import DOC_SCHEMA, VISUAL_FIELDS
+from glyphlake.session import cut_lineage
 from glyphlake.workloads.base import (
-    SQL_CENTROIDS, SQL_DOC_VECTORS, SQL_QUERY_VECTORS, label_centroids, sql_cos, table, text_index, text_queries,
+    SQL_CENTROIDS, SQL_DOC_VECTORS, SQL_QUERY_VECTORS, documents, label_centroids, spread_out, sql_cos, table, text_queries,
 )
 from glyphlake.workloads.dense import SQL_VISUAL, shown, visual_index
 from glyphlake.workloads.markup import SQL_SVGS, grids, svgs
@@ -17,19 +18,22 @@ from glyphlake.workloads.text import SQL_POSTINGS, query_postings
 
 
 def search_index(spark, sf):
-    """Documents with text vectors; those that also have an embedding carry the visual fields."""
-    docs = embed_sparse(table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
+    """Documents with text vectors; those that also have an embedding carry the visual fields.
+
+    Stored once, as an index is, and then searched.
+    """
+    docs = embed_text(documents(spark, sf), "text", "text_embedding")
     kind = F.when(F.col("lang") == "en", "icon").when(F.col("lang") == "de", "token")
-    named = text_index(spark, sf).select(
+    named = embed_sparse(docs, "text").select(
         "doc_id",
         F.when(F.col("source") != "src1", F.col("source")).alias("icon_name"),
         F.lit("v1.0.0").alias("release_tag"),
         kind.alias("icon_type"),
         F.array("lang", "source").alias("descriptions"),
         "text_embedding",
+        "text_embedding_sparse",
     )
-    visual = visual_index(spark, sf).drop("icon_type", "label")
-    return named.join(docs, "doc_id").join(visual, "doc_id", "left")
+    return cut_lineage(named.join(visual_index(spark, sf).drop("icon_type", "label"), "doc_id", "left"))
 
 
 def search_requests(spark, sf):
@@ -134,7 +138,7 @@ def word_lengths():
   CASE WHEN regexp_matches(text, '[0-9]') THEN 'digits are not encoded' END AS error FROM documents""",
 )
 def encoded_by_user(spark, sf):
-    made = encode_column(table(spark, sf, "documents").select("doc_id", "text"), "text", "v", word_lengths)
+    made = encode_column(documents(spark, sf), "text", "v", word_lengths)
     return made.select(
         "doc_id", F.col("v")[0].cast("double").alias("length"), F.col("v")[1].cast("double").alias("blanks"), F.col("v_error").alias("error")
     )
@@ -150,7 +154,7 @@ def pictures(spark, sf):
         F.when(bad, -1).otherwise(1).alias("nChannels"), F.when(bad, -1).otherwise(0).alias("mode"),
         F.when(bad, F.unhex(F.lit(""))).otherwise(data).alias("data"),
     )
-    return grids(spark, sf).join(labels, "vec_id").select("vec_id", image.alias("image"))
+    return spread_out(grids(spark, sf).join(labels, "vec_id").select("vec_id", image.alias("image")))
 
 
 @register("embed_image")

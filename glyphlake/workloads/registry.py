@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphlake.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
@@ -13,7 +16,12 @@ CHECKS: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(query: Query) -> Query:
-        QUERIES[name] = query
+        @wraps(query)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return query(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             CHECKS[name] = sql
         return query

@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from glyphlake.operators.encoders import embed_sparse, text_postings
+from glyphlake.operators.encoders import embed_sparse, embed_text, text_postings
 from glyphlake.operators.knn import knn
 from glyphlake.operators.ranking import rank_page, total_hits
-from glyphlake.operators.sparse import sparse_search
+from glyphlake.operators.sparse import sparse_page, sparse_search
 from glyphlake.plans.search import choose_branch, hybrid_search
+from glyphlake.session import cut_lineage
 from glyphlake.workloads.base import (
-    SQL_DOC_VECTORS, SQL_QUERY_VECTORS, sql_cos, sql_tokens, table, text_index, text_queries,
+    SQL_DOC_VECTORS, SQL_QUERY_VECTORS, documents, sql_cos, sql_tokens, table, text_index, text_queries,
 )
 from glyphlake.workloads.dense import shown
 from glyphlake.workloads.registry import register
@@ -18,7 +19,7 @@ SQL_POSTINGS = f"""{sql_tokens('documents', 'doc_id', 'dt')},
 dp AS (SELECT id AS doc_id, token, ln(1 + count(*)) AS weight FROM dt GROUP BY ALL),
 qp AS (SELECT id AS query_id, token, ln(1 + count(*)) AS weight FROM qt GROUP BY ALL),
 sparse AS (
-  SELECT query_id, doc_id, sum(dp.weight * qp.weight) AS score FROM dp JOIN qp USING (token) GROUP BY ALL)"""
+  SELECT query_id, doc_id, round(sum(dp.weight * qp.weight), 9) AS score FROM dp JOIN qp USING (token) GROUP BY ALL)"""
 
 
 @register(
@@ -45,7 +46,7 @@ SELECT d.doc_id, count(p.token) AS tokens, round(coalesce(sum(p.weight), 0), 6)
 FROM documents d LEFT JOIN dp p USING (doc_id) GROUP BY d.doc_id""",
 )
 def sparse_maps(spark, sf):
-    made = embed_sparse(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    made = embed_sparse(documents(spark, sf), "text")
     weights = F.map_values("text_embedding_sparse")
     return made.select(
         "doc_id",
@@ -56,11 +57,11 @@ def sparse_maps(spark, sf):
 
 @register("text_postings", f"WITH {SQL_POSTINGS} SELECT doc_id, token, round(weight, 6) AS weight FROM dp")
 def token_weights(spark, sf):
-    return text_postings(table(spark, sf, "documents"), "text").withColumn("weight", F.round("weight", 6))
+    return text_postings(documents(spark, sf), "text").withColumn("weight", F.round("weight", 6))
 
 
 def document_postings(spark, sf):
-    return text_postings(table(spark, sf, "documents"), "text")
+    return text_postings(documents(spark, sf), "text")
 
 
 def query_postings(spark, sf):
@@ -74,9 +75,18 @@ def sql_page(source, size=50):
 WHERE rank <= {size}"""
 
 
-@register("sparse_search", f"WITH {SQL_POSTINGS} {sql_page('sparse')}")
-def sparse_page(spark, sf):
-    return shown(rank_page(sparse_search(document_postings(spark, sf), query_postings(spark, sf))))
+SQL_TOTAL = "JOIN (SELECT query_id, count(*) AS total FROM sparse GROUP BY query_id) USING (query_id)"
+
+
+@register("sparse_search", f"WITH {SQL_POSTINGS} SELECT * FROM ({sql_page('sparse')}) {SQL_TOTAL}")
+def best_matches(spark, sf):
+    index = embed_sparse(documents(spark, sf), "text", "sparse").drop("text")
+    return shown(sparse_page(index, query_postings(spark, sf), "sparse"))
+
+
+@register("sparse_scores", f"WITH {SQL_POSTINGS} SELECT query_id, doc_id, round(score, 6) AS score FROM sparse")
+def all_matches(spark, sf):
+    return shown(sparse_search(document_postings(spark, sf), query_postings(spark, sf)))
 
 
 @register("total_hits", f"WITH {SQL_POSTINGS} SELECT query_id, count(*) AS total FROM sparse GROUP BY query_id")
@@ -101,13 +111,12 @@ def text_knn(spark, sf):
     f"""WITH {SQL_DOC_VECTORS}, {SQL_QUERY_VECTORS}, {SQL_TEXT_KNN}, {SQL_POSTINGS},
 fused AS (SELECT query_id, doc_id, sum(score) AS score
           FROM (SELECT query_id, doc_id, score FROM dense UNION ALL SELECT query_id, doc_id, score FROM sparse) GROUP BY ALL)
-{sql_page('fused')}""",
+SELECT * FROM ({sql_page('fused')}) JOIN (SELECT query_id, count(*) AS total FROM fused GROUP BY query_id) USING (query_id)""",
 )
 def hybrid(spark, sf):
-    found = hybrid_search(
-        text_index(spark, sf), document_postings(spark, sf), text_queries(spark, sf), query_postings(spark, sf)
-    )
-    return shown(rank_page(found))
+    # Encoded and stored once, as an index would be, then searched by both halves.
+    index = cut_lineage(embed_sparse(embed_text(documents(spark, sf), "text"), "text").drop("text"))
+    return shown(hybrid_search(index, text_queries(spark, sf), query_postings(spark, sf)))
 
 
 @register(
