@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql import types as T
 
@@ -18,12 +19,13 @@ class _FixedWindow(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType([T.StructField("count", T.LongType()), T.StructField("reset", T.LongType())])
-        # The state outlives its window by the clean-up period and is then dropped by Spark.
-        self.state = handle.getValueState("window", schema, ttlDurationMs=(self.window_us + EXPIRY_US) // 1000)
+        self.handle = handle
+        self.state = handle.getValueState("window", schema)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self.state.get()
         count, reset = known if known else (0, None)
+        opened = reset
         for batch in rows:
             ordered = batch.sort_values(["at", "event_id"], kind="stable")
             allowed, remaining, resets = [], [], []
@@ -47,18 +49,30 @@ class _FixedWindow(StatefulProcessor):
             )
         if reset is not None:
             self.state.update((int(count), int(reset)))
+        if reset != opened:
+            self.handle.registerTimer((reset + EXPIRY_US) // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = self.state.get()
+        # A timer of an earlier window finds a later one in place and leaves it alone.
+        if known and known[1] // 1000 < expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def rate_limit_stream(events: DataFrame, limit: int, window_us: int) -> DataFrame:
+def rate_limit_stream(events: DataFrame, limit: int, window_us: int, delay: str = "5 minutes") -> DataFrame:
     """Adds ``allowed, remaining, reset`` to a stream of ``key, at, event_id`` rows.
 
     ``at`` is a BIGINT time in microseconds. Rows of a key are judged in (at, event_id) order
     within each Arrow batch of a trigger, so a trigger has to be smaller than
     ``spark.sql.execution.arrow.maxRecordsPerBatch`` per key, or arrive in time order, to equal the
     batch operator. A key is one state, so one key's events are judged one after another.
+
+    The state of a key is dropped once the watermark, ``delay`` behind the newest event, has passed
+    its window by the clean-up period; rows later than the watermark are dropped.
     """
     schema = T.StructType(
         [
@@ -71,12 +85,13 @@ def rate_limit_stream(events: DataFrame, limit: int, window_us: int) -> DataFram
         ]
     )
     return (
-        events.select("key", "at", "event_id")
+        events.select("key", "at", "event_id", F.timestamp_micros("at").alias("__ts"))
+        .withWatermark("__ts", delay)
         .groupBy("key")
         .transformWithStateInPandas(
             statefulProcessor=_FixedWindow(limit, window_us),
             outputStructType=schema,
             outputMode="append",
-            timeMode="processingTime",
+            timeMode="eventTime",
         )
     )

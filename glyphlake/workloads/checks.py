@@ -65,14 +65,14 @@ def nearest(spark, sf):
     return top_similar_pairs(text_index(spark, sf), "text_embedding").withColumn("similarity", F.round("similarity", 6))
 
 
-SQL_SAMPLE = """placed AS (
+SQL_SAMPLE = f"""placed AS (
   SELECT vec_id AS doc_id, embedding, row_number() OVER (ORDER BY md5('0|' || vec_id), vec_id) - 1 AS at FROM embeddings),
 size AS (SELECT least(count(*), 101) AS n FROM embeddings),
 slots AS (
   SELECT p % n AS at_a, (p + p // n + 1) % n AS at_b
   FROM size, unnest(range(least(100, n * (n - 1) // 2))) AS r(p)),
 sampled AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity
+  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, {sql_cos('a.embedding', 'b.embedding')} AS similarity
   FROM slots JOIN placed a ON a.at = at_a JOIN placed b ON b.at = at_b)"""
 
 
@@ -116,8 +116,8 @@ def diagnosis(spark, sf):
 
 @register(
     "compare_pairs",
-    """WITH p AS (SELECT vec_id AS doc_b, min(vec_id) OVER (PARTITION BY label) AS doc_a FROM embeddings)
-SELECT doc_a, doc_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity,
+    f"""WITH p AS (SELECT vec_id AS doc_b, min(vec_id) OVER (PARTITION BY label) AS doc_a FROM embeddings)
+SELECT doc_a, doc_b, round({sql_cos('a.embedding', 'b.embedding')}, 6) AS similarity,
        a.embedding = b.embedding AS identical,
        round(list_max(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda x: abs(x[1] - x[2]))), 6) AS max_abs_diff,
        round(list_avg(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda x: abs(x[1] - x[2]))), 6) AS mean_abs_diff
