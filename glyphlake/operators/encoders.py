@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.functions.images import mean_pool, normalized_gray, pixels_of
+from glyphlake.functions.images import TARGET_SIZE, mean_pool, normalized_gray, pixels_of
 from glyphlake.functions.svg import background_error, extract_layers, prepare_for_raster
 from glyphlake.functions.text import tokens
 from glyphlake.schema import TEXT_DIMS, VISUAL_DIMS, VISUAL_FIELDS
@@ -144,7 +144,9 @@ def model_udf(make_predict_fn: Callable, batch_size: int = 64):
     return predict_batch_udf(make_predict_fn, return_type=ArrayType(FloatType()), batch_size=batch_size)
 
 
-def embed_image(df: DataFrame, col: str, out: str, dims: int = VISUAL_DIMS) -> DataFrame:
+def embed_image(
+    df: DataFrame, col: str, out: str, dims: int = VISUAL_DIMS, size: int = TARGET_SIZE
+) -> DataFrame:
     """Visual vectors of an image-source struct column: normalised, pooled to ``dims``, unit length.
 
     An image that could not be decoded (no pixels) gives null and an error.
@@ -163,7 +165,7 @@ def embed_image(df: DataFrame, col: str, out: str, dims: int = VISUAL_DIMS) -> D
                 vectors.append(None)
                 errors.append("Invalid image file")
             else:
-                pooled = mean_pool(normalized_gray(pixels_of(height, width, channels, data)), dims)
+                pooled = mean_pool(normalized_gray(pixels_of(height, width, channels, data), size), dims)
                 length = np.sqrt((pooled * pooled).sum())
                 vectors.append((pooled / length if length > 0 else pooled).astype(np.float32))
                 errors.append(None)

@@ -12,7 +12,7 @@ from glyphlake.workloads.base import (
     SQL_CENTROIDS, SQL_DOC_VECTORS, SQL_QUERY_VECTORS, documents, label_centroids, spread_out, sql_cos, table, text_queries,
 )
 from glyphlake.workloads.dense import SQL_VISUAL, shown, visual_index
-from glyphlake.workloads.markup import SQL_SVGS, grids, svgs
+from glyphlake.workloads.markup import SQL_GRIDS, SQL_SVGS, grids, svgs
 from glyphlake.workloads.registry import register
 from glyphlake.workloads.text import SQL_POSTINGS, query_postings
 
@@ -157,19 +157,50 @@ def pictures(spark, sf):
     return spread_out(grids(spark, sf).join(labels, "vec_id").select("vec_id", image.alias("image")))
 
 
-@register("embed_image")
+# The pixel grids stretched as in ``stretch_pixels`` and resized to 16 by 16: columns, then rows.
+SQL_SIZE = 16
+SQL_RESIZED = f"""{SQL_GRIDS},
+u AS (SELECT vec_id, list_transform(p, lambda x: (CASE WHEN bright < 128 THEN 255 - x ELSE x END)::FLOAT) AS p FROM e),
+m AS (SELECT vec_id, p, list_min(p) AS lo, list_max(p) AS hi FROM u),
+px AS (
+  SELECT vec_id, (k - 1) // 8 AS y, (k - 1) % 8 AS x, CASE WHEN hi > lo THEN trunc((p[k] - lo) / (hi - lo) * 255::FLOAT)::BIGINT ELSE 255 END AS v
+  FROM m, unnest(range(1, 65)) AS r(k)),
+taps AS (
+  SELECT o, i, i - (o + 0.5::DOUBLE) * 8 / {SQL_SIZE} + 0.5::DOUBLE AS d FROM unnest(range({SQL_SIZE})) AS a(o), unnest(range(8)) AS b(i)
+  WHERE i >= greatest(0, trunc((o + 0.5::DOUBLE) * 8 / {SQL_SIZE} - 2.5)) AND i < least(8, trunc((o + 0.5::DOUBLE) * 8 / {SQL_SIZE} + 3.5))),
+raw AS (
+  SELECT o, i, CASE WHEN d = 0 THEN 1 WHEN abs(d) < 3 THEN sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) ELSE 0 END AS w FROM taps),
+wt AS (SELECT o, i, trunc(w / s * 4194304 + CASE WHEN w < 0 THEN -0.5 ELSE 0.5 END)::BIGINT AS w
+       FROM raw JOIN (SELECT o, sum(w) AS s FROM raw GROUP BY o) USING (o)),
+hz AS (SELECT vec_id, y, o AS x, greatest(0, least(255, (sum(v * w)::BIGINT + 2097152) >> 22)) AS v FROM px JOIN wt ON i = x GROUP BY vec_id, y, o),
+vt AS (SELECT vec_id, o AS y, x, greatest(0, least(255, (sum(v * w)::BIGINT + 2097152) >> 22)) AS v FROM hz JOIN wt ON i = y GROUP BY vec_id, o, x),
+lb AS (SELECT vec_id, label = 3 AS bad FROM embeddings)"""
+
+
+@register(
+    "embed_image",
+    f"""WITH {SQL_RESIZED}, pool AS (SELECT vec_id, avg(v) AS a FROM vt GROUP BY vec_id, y // 2, x // 2),
+n AS (SELECT vec_id, sum(a) / sqrt(sum(a * a)) AS total FROM pool GROUP BY vec_id)
+SELECT vec_id, CASE WHEN NOT bad THEN 64 END AS dims, CASE WHEN NOT bad THEN round(total, 4) END AS total,
+       CASE WHEN bad THEN 'Invalid image file' END AS error FROM lb JOIN n USING (vec_id)""",
+)
 def embedded_images(spark, sf):
-    vector = F.col("v").cast("array<double>")
-    total = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x)
-    return embed_image(pictures(spark, sf), "image", "v").select(
-        "vec_id", F.size("v").alias("dims"), F.round(total, 4).alias("total"), F.col("v_error").alias("error")
-    )
+    total = F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
+    made = embed_image(pictures(spark, sf), "image", "v", dims=64, size=SQL_SIZE)
+    return made.select("vec_id", F.size("v").alias("dims"), F.round(total, 4).alias("total"), F.col("v_error").alias("error"))
 
 
-@register("normalize_images")
+@register(
+    "normalize_images",
+    f"""WITH {SQL_RESIZED}, h AS (SELECT vec_id, string_agg(printf('%02X', v) || printf('%02X', v) || printf('%02X', v), '' ORDER BY y, x) AS data,
+  count(DISTINCT v) AS colours FROM vt GROUP BY vec_id)
+SELECT vec_id, CASE WHEN bad THEN -1 ELSE 16 END AS width, CASE WHEN bad THEN -1 ELSE 16 END AS height, CASE WHEN bad THEN 0 ELSE 768 END AS size_bytes,
+  CASE WHEN bad THEN 0 ELSE colours END AS colours, NOT bad AND colours = 1 AS single_colour, CASE WHEN bad THEN '' ELSE data END AS data
+FROM lb JOIN h USING (vec_id)""",
+)
 def normalized_images(spark, sf):
-    made = image_stats(normalize_images(pictures(spark, sf), "image", "standard"), "standard")
-    return made.select("vec_id", "width", "height", "size_bytes", "colours", "single_colour", F.md5("standard.data").alias("digest"))
+    made = image_stats(normalize_images(pictures(spark, sf), "image", "made", SQL_SIZE), "made")
+    return made.select("vec_id", "width", "height", "size_bytes", "colours", "single_colour", F.hex("made.data").alias("data"))
 
 
 SQL_RUN = f"""{SQL_SVGS}, run AS (

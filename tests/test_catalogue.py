@@ -75,12 +75,17 @@ def test_reconcile(spark):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_broadcast_join(spark, how):
-    left = spark.range(300).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), "id")
+    key = F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id") % 120)
+    left = spark.range(300).select(key.alias("k"), "id")
     right = spark.range(0, 100, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     small = lookup_join(left, right, "k", how, spread="id")
-    large = lookup_join(left, right, "k", how, spread="id", max_rows=3, salts=4)
-    assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, large.collect()), key=str)
-    assert fits(right, 50) and not fits(right, 49)
+    for hot_rows in (1, 50, 1000):
+        large = lookup_join(left, right, "k", how, spread="id", max_rows=3, salts=4, hot_rows=hot_rows)
+        assert large.columns == small.columns
+        assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, large.collect()), key=str)
+    assert fits(right, 50) and not fits(right, 49) and not fits(right, 50, 500)
+    wide = right.select("k", F.array_repeat(F.lit(1.0), 1000).alias("v"), F.create_map("k", "v").alias("m"))
+    assert fits(wide, 50, 450_000 * 2) and not fits(wide, 50, 400_000)
     with pytest.raises(ValueError):
         lookup_join(left, right, "k", "full_outer")
 
