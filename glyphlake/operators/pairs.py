@@ -21,6 +21,7 @@ from glyphlake.schema import SAMPLED_PAIRS, SIMILAR_SHOWN, SIMILAR_THRESHOLD
 from glyphlake.session import cut_lineage
 
 CHUNK_ROWS = 4096
+CELLS_PER_TILE = 1_000_000
 GRID_AXES = 4
 SAMPLE_ROWS = 4096
 # Above this distance a grid cell covers most of the unit sphere and prunes nothing.
@@ -98,19 +99,76 @@ def similar_pairs(
     within reach meet, each cut into blocks of at most ``chunk_rows`` rows, and a block hands out
     nothing but its matches.
     """
+    return _match_cells(_placed(df, field, threshold, id_col, grid_axes), field, threshold, chunk_rows)
+
+
+def _placed(df: DataFrame, field: str, threshold: float, id_col: str, grid_axes: int) -> DataFrame:
+    """Distinct vectors in the cells they take part in."""
     groups = cut_lineage(copy_groups(df, field, id_col))
     radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
     axes = None
     if threshold >= 0 and radius < USEFUL_DISTANCE and grid_axes > 0:
         axes = _axes(groups, field, grid_axes)
     if axes is not None and len(axes):
-        placed = _cells(groups, field, radius, axes)
-    else:
-        placed = groups.withColumn("cell", F.lit(0).cast("bigint")).withColumn("home", F.lit(True))
-    return _match_cells(placed, field, threshold, chunk_rows)
-
-
-def _match_cells(placed: DataFrame, field: str, threshold: float, chunk_rows: int) -> DataFrame:
+        return _cells(groups, field, radius, axes)
+    return groups.withColumn("cell", F.lit(0).cast("bigint")).withColumn("home", F.lit(True))
+
+
+class _Block:
+    """Two chunks of one cell and the pairs between them above the threshold."""
+
+    def __init__(self, ours: pa.Table, theirs: pa.Table, field: str, threshold: float):
+        self.threshold = threshold
+        self.v, self.w = _matrix(ours.column(field)), _matrix(theirs.column(field))
+        self.a, self.b = _ids(ours.column("group_id")), _ids(theirs.column("group_id"))
+        self.ca, self.cb = ours.column("copies").to_numpy(), theirs.column("copies").to_numpy()
+        place = np.unique(np.concatenate([self.a, self.b]), return_inverse=True)[1]
+        self.ra, self.rb = place[: len(self.a)], place[len(self.a) :]
+        self.at_home = theirs.column("home").to_numpy()
+
+    def tiles(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, similarities, mask of matches) over a few of our rows at a time."""
+        step = max(1, CELLS_PER_TILE // len(self.w))
+        for start in range(0, len(self.v), step):
+            cos = np.round(self.v[start : start + step] @ self.w.T, SCORE_DECIMALS)
+            # Two rows at home meet twice, once from either side: the ordered meeting counts.
+            ordered = ~self.at_home[None, :] | (self.ra[start : start + step, None] < self.rb[None, :])
+            yield start, cos, (cos > self.threshold) & ordered
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+        """doc_a, doc_b, copies_a, copies_b with the smaller id first."""
+        swap = self.ra[i] > self.rb[j]
+        a, b, ca, cb = self.a[i], self.b[j], self.ca[i], self.cb[j]
+        return [np.where(swap, b, a), np.where(swap, a, b), np.where(swap, cb, ca), np.where(swap, ca, cb)]
+
+    def all_pairs(self) -> list[np.ndarray]:
+        found = []
+        for start, cos, match in self.tiles():
+            i, j = np.nonzero(match)
+            found.append([*self.pairs(i + start, j), cos[i, j]])
+        return [np.concatenate(column) for column in zip(*found, strict=True)]
+
+    def summary(self, top: int) -> tuple[int, list[np.ndarray]]:
+        """Number of document pairs and the ``top`` most similar pairs of vectors."""
+        count, kept = 0, None
+        for start, cos, match in self.tiles():
+            count += int(self.ca[start : start + len(cos)] @ match @ self.cb)
+            level = cos[match]
+            if len(level) > top:
+                match &= cos >= np.partition(level, len(level) - top)[len(level) - top]
+            i, j = np.nonzero(match)
+            part = [*self.pairs(i + start, j), cos[i, j]]
+            kept = part if kept is None else [np.concatenate(c) for c in zip(kept, part, strict=True)]
+            order = np.lexsort((kept[1], kept[0], -kept[4]))[:top]
+            kept = [c[order] for c in kept]
+        return count, kept
+
+
+def _match_cells(
+    placed: DataFrame, field: str, threshold: float, chunk_rows: int, top: int | None = None
+) -> DataFrame:
+    """All pairs, or with ``top`` only the best pairs of each block and a row without ids that
+    holds the number of its document pairs in ``copies_a``."""
     sizes = placed.groupBy("cell").agg(
         F.ceil(F.count_if("home") / chunk_rows).cast("int").alias("home_chunks"),
         F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"),
@@ -139,44 +197,43 @@ def _match_cells(placed: DataFrame, field: str, threshold: float, chunk_rows: in
             T.StructField("similarity", T.DoubleType()),
         ]
     )
+    names = schema.fieldNames()
 
     def block(ours: pa.Table, theirs: pa.Table) -> pa.Table:
-        empty = ours.column("group_id").type
-        found = {n: [] for n in ("a", "b", "ca", "cb", "s")}
+        ids = ours.column("group_id").type
+        types = [ids, ids, pa.int64(), pa.int64(), pa.float64()]
+        columns, count = [[] for _ in types], 0
         if ours.num_rows and theirs.num_rows:
-            v, w = _matrix(ours.column(field)), _matrix(theirs.column(field))
-            a, b = _ids(ours.column("group_id")), _ids(theirs.column("group_id"))
-            ca, cb = ours.column("copies").to_numpy(), theirs.column("copies").to_numpy()
-            at_home = theirs.column("home").to_numpy()
-            step = max(1, 4_000_000 // len(w))
-            for start in range(0, len(v), step):
-                cos = np.round(v[start : start + step] @ w.T, SCORE_DECIMALS)
-                i, j = np.nonzero(cos > threshold)
-                s, i = cos[i, j], i + start
-                # Two rows at home meet twice, once from either side: keep the ordered meeting.
-                keep = np.where(at_home[j], a[i] < b[j], True)
-                i, j, s = i[keep], j[keep], s[keep]
-                swap = a[i] > b[j]
-                found["a"].append(np.where(swap, b[j], a[i]))
-                found["b"].append(np.where(swap, a[i], b[j]))
-                found["ca"].append(np.where(swap, cb[j], ca[i]))
-                found["cb"].append(np.where(swap, ca[i], cb[j]))
-                found["s"].append(s)
-        joined = {n: np.concatenate(parts) if parts else np.array([]) for n, parts in found.items()}
-        return pa.table(
-            {
-                "doc_a": pa.array(joined["a"].tolist(), empty),
-                "doc_b": pa.array(joined["b"].tolist(), empty),
-                "copies_a": pa.array(joined["ca"], pa.int64()),
-                "copies_b": pa.array(joined["cb"], pa.int64()),
-                "similarity": pa.array(joined["s"], pa.float64()),
-            }
-        )
+            both = _Block(ours, theirs, field, threshold)
+            if top is None:
+                columns = both.all_pairs()
+            else:
+                count, columns = both.summary(top)
+        arrays = [pa.array(np.asarray(c).tolist(), t) for c, t in zip(columns, types, strict=True)]
+        if count:
+            extra = [None, None, count, None, None]
+            arrays = [pa.concat_arrays([x, pa.array([e], t)]) for x, e, t in zip(arrays, extra, types, strict=True)]
+        return pa.table(dict(zip(names, arrays, strict=True)))
 
     keys = ["cell", "i", "j"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, schema)
 
 
+def similar_pairs_summary(
+    df: DataFrame,
+    field: str,
+    threshold: float = SIMILAR_THRESHOLD,
+    top: int = SIMILAR_SHOWN,
+    id_col: str = "doc_id",
+    chunk_rows: int = CHUNK_ROWS,
+    grid_axes: int = GRID_AXES,
+) -> DataFrame:
+    """The same pairs without listing them: per block its best ``top`` and, in rows without ids,
+    the number of document pairs as ``copies_a``. Written once, for it is small and read twice."""
+    placed = _placed(df, field, threshold, id_col, grid_axes)
+    return cut_lineage(_match_cells(placed, field, threshold, chunk_rows, top))
+
+
 def _copies(df: DataFrame, field: str, threshold: float, id_col: str) -> DataFrame:
     """Vectors held by several documents; they are similar to themselves if 1 passes the threshold."""
     groups = copy_groups(df, field, id_col).where(F.col("copies") > 1)
@@ -190,9 +247,8 @@ def similar_pair_counts(
     df: DataFrame, field: str, threshold: float = SIMILAR_THRESHOLD, id_col: str = "doc_id", **options: int
 ) -> DataFrame:
     """One row ``pairs``: document pairs above the threshold, copies counted without listing them."""
-    across = similar_pairs(df, field, threshold, id_col, **options).select(
-        (F.col("copies_a") * F.col("copies_b")).alias("n")
-    )
+    counted = similar_pairs_summary(df, field, threshold, 1, id_col, **options)
+    across = counted.where(F.col("doc_a").isNull()).select(F.col("copies_a").alias("n"))
     within = _copies(df, field, threshold, id_col).select((F.col("copies") * (F.col("copies") - 1) / 2).cast("bigint").alias("n"))
     return across.unionByName(within).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
 
@@ -211,7 +267,8 @@ def top_similar_pairs(
     so no group of copies is ever listed whole.
     """
     order = [F.desc("similarity"), "doc_a", "doc_b"]
-    across = similar_pairs(df, field, threshold, id_col, **options).orderBy(*order).limit(n)
+    best = similar_pairs_summary(df, field, threshold, n, id_col, **options)
+    across = best.where(F.col("doc_a").isNotNull()).orderBy(*order).limit(n)
     within = _copies(df, field, threshold, id_col).orderBy(F.desc("similarity"), "group_id").limit(n)
     chosen = cut_lineage(
         across.select("doc_a", "doc_b", "similarity").unionByName(
