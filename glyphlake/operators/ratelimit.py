@@ -192,26 +192,25 @@ def rate_limit(
     Only the events that pass are ranked (the rank is cut at ``limit`` before the shuffle); all
     later events of a window compare with its last passing one.
     """
+    if limit < 1:
+        raise ValueError("a limit lets at least one event pass")
     named = events.withColumnsRenamed({key: "key", at: "at", tie: "event_id"})
     openings = cut_lineage(window_openings(named, window_us, fold_rows))
     placed = _in_windows(named, openings, window_us)
     order = Window.partitionBy("key", "opened").orderBy("at", "event_id")
-    ranked = cut_lineage(
-        placed.select("key", "opened", "at", "event_id")
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= limit)
-    )
-    last = ranked.where(F.col("rank") == limit).select("key", "opened", F.struct("at", "event_id").alias("__last"))
-    ranks = ranked.select("key", "event_id", "rank")
-    judged = (
-        lookup_join(placed, last, ["key", "opened"], "left", spread="event_id")
-        .withColumn("allowed", F.col("__last").isNull() | (F.struct("at", "event_id") <= F.col("__last")))
+    # Written once: these rows are part of the result and their last ones are the bar for the rest.
+    passed = cut_lineage(placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit))
+    last = passed.where(F.col("rank") == limit).select("key", "opened", F.struct("at", "event_id").alias("__last"))
+    denied = (
+        lookup_join(placed, last, ["key", "opened"], spread="event_id")
+        .where(F.struct("at", "event_id") > F.col("__last"))
         .drop("__last")
+        .withColumn("rank", F.lit(limit))
+        .withColumn("allowed", F.lit(False))
     )
-    passed = judged.where("allowed").join(ranks, ["key", "event_id"])
-    denied = judged.where("NOT allowed").withColumn("rank", F.lit(limit))
     return (
-        passed.unionByName(denied)
+        passed.withColumn("allowed", F.lit(True))
+        .unionByName(denied)
         .withColumn("remaining", F.lit(limit) - F.col("rank"))
         .withColumn("reset", F.col("opened") + window_us)
         .withColumnsRenamed({"key": key, "at": at, "event_id": tie})

@@ -33,8 +33,13 @@ def result(df):
     return {tuple(r) for r in df.select("key", "at", "event_id", "allowed", "remaining", "reset").collect()}
 
 
-@pytest.mark.parametrize("fold_rows", [20_000, 30, 0])
-@pytest.mark.parametrize("seed, n, span, window", [(1, 300, 5_000, 100), (2, 200, 400, 60), (3, 150, 100_000, 300), (4, 60, 50, 1000)])
+@pytest.mark.parametrize(
+    "seed, n, span, window, fold_rows",
+    [
+        (1, 300, 5_000, 100, 20_000), (1, 300, 5_000, 100, 30), (2, 200, 400, 60, 0), (3, 150, 100_000, 300, 20_000),
+        (3, 150, 100_000, 300, 0), (4, 60, 50, 1000, 0),
+    ],
+)
 def test_limiter_equals_plain_loop(spark, seed, n, span, window, fold_rows):
     rows = events(seed, n, span)
     expected, _ = judge(rows, 3, window)
@@ -52,6 +57,8 @@ def test_window_edges(spark, fold_rows):
 
 
 def test_negative_times_and_empty_table(spark):
+    with pytest.raises(ValueError):
+        rate_limit(frame(spark, [("a", 1, 1)]), 0, 10)
     rows = [(k, at - 3000, i) for k, at, i in events(5, 80, 6000)]
     expected, _ = judge(rows, 2, 500)
     assert result(rate_limit(frame(spark, rows), 2, 500, fold_rows=0)) == expected
