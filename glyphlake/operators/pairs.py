@@ -307,7 +307,8 @@ def sample_pairs(ids: DataFrame, n: int = SAMPLED_PAIRS, seed: str = "0", id_col
     """
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
     first = ids.select(F.col(id_col).alias("doc_id"), key.alias("key")).orderBy("key", "doc_id").limit(n + 1)
-    # n + 1 rows at most from here on, n being the caller's sample size.
+    # n + 1 rows at most from here on, n being the caller's sample size; used three times.
+    first = cut_lineage(first)
     placed = first.withColumn("at", F.row_number().over(Window.orderBy("key", "doc_id")) - 1).select("doc_id", "at")
     total = placed.agg(F.count("*").alias("found")).where("found > 1")
     slots = total.select(

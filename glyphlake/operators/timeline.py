@@ -30,8 +30,13 @@ def with_next_time(events: DataFrame, key: str, at: str, slice_us: int, tie: str
     )
 
 
-def debounce(events: DataFrame, key: str, at: str, gap_us: int, tie: str | None = None, slice_us: int | None = None) -> DataFrame:
-    """The last event of each burst: no other event of its key follows within ``gap_us``."""
-    found = with_next_time(events, key, at, slice_us or max(gap_us * 64, 3_600_000_000), tie)
+def debounce(
+    events: DataFrame, key: str, at: str, gap_us: int, tie: str | None = None, slice_us: int | None = None
+) -> DataFrame:
+    """The last event of each burst: no other event of its key follows within ``gap_us``.
+
+    Slices are short, 64 gaps by default, so that a busy key spreads over many tasks.
+    """
+    found = with_next_time(events, key, at, slice_us or gap_us * 64, tie)
     quiet = F.col("next_at").isNull() | (F.col("next_at") - F.col(at) >= gap_us)
     return found.where(quiet).drop("next_at")

@@ -9,6 +9,10 @@ from pyspark.sql import types as T
 from glyphlake.session import cut_lineage
 
 
+# Texts per row of a growing list; one row stays far below the size a task handles at ease.
+INLINE_ROWS = 10_000
+
+
 def given(name: str, kind: T.DataType) -> Column:
     """The value of a field if it was given: an empty vector or map counts as not given."""
     if isinstance(kind, (T.ArrayType, T.MapType)):
@@ -16,12 +20,17 @@ def given(name: str, kind: T.DataType) -> Column:
     return F.col(name)
 
 
-def latest_fields(updates: DataFrame, order_by: str | list[str], id_col: str = "doc_id") -> DataFrame:
+def latest_fields(
+    updates: DataFrame, order_by: str | list[str], id_col: str | list[str] = "doc_id"
+) -> DataFrame:
     """One row per document: for each field the value given last in ``order_by``."""
     keys = [order_by] if isinstance(order_by, str) else order_by
+    ids = [id_col] if isinstance(id_col, str) else id_col
     order = F.struct(*keys)
-    fields = [f for f in updates.schema.fields if f.name not in (id_col, *keys)]
-    return updates.groupBy(id_col).agg(
+    fields = [f for f in updates.schema.fields if f.name not in (*ids, *keys)]
+    if not fields:
+        return updates.select(*ids).distinct()
+    return updates.groupBy(*ids).agg(
         *[
             F.max_by(given(f.name, f.dataType), F.when(given(f.name, f.dataType).isNotNull(), order)).alias(f.name)
             for f in fields
@@ -30,24 +39,28 @@ def latest_fields(updates: DataFrame, order_by: str | list[str], id_col: str = "
 
 
 def upsert(
-    index: DataFrame, updates: DataFrame, order_by: str | list[str] | None = None, id_col: str = "doc_id"
+    index: DataFrame,
+    updates: DataFrame,
+    order_by: str | list[str] | None = None,
+    id_col: str | list[str] = "doc_id",
 ) -> DataFrame:
     """Fields given overwrite, fields absent keep, new ids insert.
 
     ``updates`` holds one row per document, or several with ``order_by`` telling which is last.
     Columns of either side are kept.
     """
-    changes = updates if order_by is None else latest_fields(updates, order_by, id_col)
-    old_names = [c for c in index.columns if c != id_col]
-    new_fields = {f.name: f.dataType for f in changes.schema.fields if f.name != id_col}
-    old = index.select(id_col, *[F.col(c).alias(f"old_{c}") for c in old_names])
-    new = changes.select(id_col, *[given(c, kind).alias(f"new_{c}") for c, kind in new_fields.items()])
+    ids = [id_col] if isinstance(id_col, str) else id_col
+    changes = updates if order_by is None else latest_fields(updates, order_by, ids)
+    old_names = [c for c in index.columns if c not in ids]
+    new_fields = {f.name: f.dataType for f in changes.schema.fields if f.name not in ids}
+    old = index.select(*ids, *[F.col(c).alias(f"old_{c}") for c in old_names])
+    new = changes.select(*ids, *[given(c, kind).alias(f"new_{c}") for c, kind in new_fields.items()])
     merged = []
     for name in [*old_names, *[c for c in new_fields if c not in old_names]]:
         sides = [F.col(f"new_{name}")] if name in new_fields else []
         sides += [F.col(f"old_{name}")] if name in old_names else []
         merged.append(F.coalesce(*sides).alias(name))
-    return old.join(new, id_col, "full_outer").select(id_col, *merged)
+    return old.join(new, ids, "full_outer").select(*ids, *merged)
 
 
 def append_positions(
@@ -90,25 +103,34 @@ def append_positions(
 
 
 def upsert_descriptions(
-    index: DataFrame, updates: DataFrame, order_by: str | list[str], id_col: str = "doc_id"
+    index: DataFrame,
+    updates: DataFrame,
+    order_by: str | list[str],
+    id_col: str = "doc_id",
+    inline_rows: int = INLINE_ROWS,
 ) -> DataFrame:
     """Merge rows ``doc_id, description, <vectors>`` into documents with a descriptions list.
 
     ``descriptions`` becomes the old list and the new texts in arrival order, duplicates kept;
-    all other fields take the last value given. A document is one row, so its list is built in
-    one row as well: for bulk loads where one document takes a large share of the updates keep the
-    descriptions as rows with ``append_positions``.
+    all other fields take the last value given. A list is cut every ``inline_rows`` texts: the
+    document itself is ``part`` 0, and a longer list goes on in rows of its own with parts 1, 2, ...
+    that hold only the id and their piece. So no row and no task ever holds an unbounded list.
     """
     keys = [order_by] if isinstance(order_by, str) else order_by
-    fields = latest_fields(updates.drop("description"), keys, id_col)
-    # The second sort key keeps equal arrival keys in a fixed order.
-    texts = updates.groupBy(id_col).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(*keys, "description"))), lambda row: row["description"]
-        ).alias("__new")
-    )
-    old = index if "descriptions" in index.columns else index.withColumn("descriptions", F.array().cast("array<string>"))
-    merged = upsert(old, fields.join(texts, id_col), id_col=id_col)
     empty = F.array().cast("array<string>")
+    old = index if "descriptions" in index.columns else index.withColumn("descriptions", empty)
+    old = old if "part" in old.columns else old.withColumn("part", F.lit(0).cast("bigint"))
+    counts = old.groupBy(id_col).agg(F.sum(F.coalesce(F.size("descriptions"), F.lit(0))).alias("n"))
+    # The text itself is the last sort key, which fixes the order of equal arrival keys.
+    placed = append_positions(counts, updates.select(id_col, *keys, "description"), [*keys, "description"], id_col)
+    pieces = placed.select(
+        id_col, F.floor(F.col("pos") / inline_rows).alias("part"), F.struct("pos", "description").alias("row")
+    )
+    texts = pieces.groupBy(id_col, "part").agg(
+        F.transform(F.array_sort(F.collect_list("row")), lambda row: row["description"]).alias("__new")
+    )
+    fields = latest_fields(updates.drop("description"), keys, id_col).withColumn("part", F.lit(0).cast("bigint"))
+    changes = texts.join(fields, [id_col, "part"], "full_outer")
+    merged = upsert(old, changes, id_col=[id_col, "part"])
     lists = F.concat(F.coalesce("descriptions", empty), F.coalesce("__new", empty))
     return merged.withColumn("descriptions", lists).drop("__new")

@@ -45,6 +45,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -57,12 +58,14 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the cluster's shared folder.
 
-    The folder named in ``spark.checkpoint.dir`` wins; a temporary one is set only when the
-    session names none, which is the case in single-machine tests.
+    The folder named in ``spark.checkpoint.dir`` wins. Where the session names none, a local
+    session gets a temporary folder and a cluster is asked to name a shared one.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all nodes share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glyphlake-checkpoint-"))
     return df.checkpoint()

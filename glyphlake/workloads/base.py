@@ -11,12 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_out(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the table has fewer files than there are cores.
+    """Rows over all cores when the table is read in fewer tasks than there are cores.
 
-    For work that is heavy per row, such as encoding; tables of many files stay as they are.
+    For work that is heavy per row, such as encoding; a table of many tasks stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

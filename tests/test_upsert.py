@@ -28,6 +28,12 @@ def test_descriptions_grow_in_order(spark):
     assert found["a"] == (["one", "two", "three", "one"], "keep", [3.0])
     assert found["c"] == (["new"], None, [9.0])
     assert found["b"] == ([None], "b", None)
+    cut = upsert_descriptions(index, updates, "seq", inline_rows=2)
+    parts = {(r.doc_id, r.part): (r.descriptions, r.tag) for r in cut.collect()}
+    assert parts == {("a", 0): (["one", "two"], "keep"), ("a", 1): (["three", "one"], None), ("b", 0): ([None], "b"), ("c", 0): (["new"], None)}
+    again = upsert_descriptions(cut, spark.createDataFrame([("a", 1, "five", [5.0])], updates.schema), "seq", inline_rows=2)
+    parts = {(r.doc_id, r.part): (r.descriptions, r.v) for r in again.where("doc_id = 'a'").collect()}
+    assert parts == {("a", 0): (["one", "two"], [5.0]), ("a", 1): (["three", "one"], None), ("a", 2): (["five"], None)}
     fresh = upsert_descriptions(index.drop("descriptions"), updates, "seq")
     assert {r.doc_id: r.descriptions for r in fresh.collect()}["a"] == ["two", "three", "one"]
 
