@@ -24,6 +24,7 @@ from glyphlake.schema import PAGE_SIZE
 from glyphlake.session import cut_lineage
 
 MAX_BROADCAST_QUERIES = 8192
+MEETINGS_AT_ONCE = 8_000_000
 
 
 def postings(df: DataFrame, sparse_col: str, id_col: str = "doc_id") -> DataFrame:
@@ -119,14 +120,24 @@ class _SparseBlock:
         return rows[keep], places[keep], weights[keep]
 
     def _scores(self, rows, tokens, weights, n_rows):
-        """(query, row) sums of products and whether any token was shared."""
-        count = self.counts[tokens]
-        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        entry = np.repeat(self.starts[tokens], count) + inside
-        cell = self.query[entry] * n_rows + np.repeat(rows, count)
+        """(query, row) sums of products and whether any token was shared.
+
+        An entry meets every query that holds its token; so many entries are spread out at a time
+        that their meetings stay within a fixed number.
+        """
         shape = (len(self.query_id), n_rows)
-        sums = np.bincount(cell, np.repeat(weights, count) * self.weight[entry], minlength=shape[0] * shape[1])
-        shared = np.bincount(cell, minlength=shape[0] * shape[1]) > 0
+        sums, shared = np.zeros(shape[0] * shape[1]), np.zeros(shape[0] * shape[1], dtype=bool)
+        meetings = np.cumsum(self.counts[tokens])
+        total = int(meetings[-1]) if len(meetings) else 0
+        cuts = np.searchsorted(meetings, np.arange(MEETINGS_AT_ONCE, total, MEETINGS_AT_ONCE))
+        for low, high in zip(np.r_[0, cuts], np.r_[cuts, len(tokens)], strict=True):
+            count = self.counts[tokens[low:high]]
+            inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            entry = np.repeat(self.starts[tokens[low:high]], count) + inside
+            cell = self.query[entry] * n_rows + np.repeat(rows[low:high], count)
+            products = np.repeat(weights[low:high], count) * self.weight[entry]
+            sums += np.bincount(cell, products, minlength=len(sums))
+            shared[cell] = True
         return np.round(sums, SCORE_DECIMALS).reshape(shape), shared.reshape(shape)
 
 

@@ -86,6 +86,22 @@ def test_sparse_page_equals_brute_force(docs, queries, limits):
     assert {r.query_id for r in found} == {q for q, _ in scores}
 
 
+def test_scores_do_not_depend_on_the_cuts(monkeypatch):
+    import pandas as pd
+
+    from glyphlake.operators import sparse
+
+    rng = np.random.default_rng(2)
+    frame = pd.DataFrame({"query_id": np.repeat(np.arange(6), 4), "token": np.tile(WORDS[:4], 6), "weight": rng.random(24)})
+    block = sparse._SparseBlock(frame, 5)
+    rows, tokens, weights = np.sort(rng.integers(0, 9, 40)), rng.integers(0, 4, 40), rng.random(40)
+    whole = block._scores(rows, tokens, weights, 9)
+    for at_once in (1, 7, 50, 10_000):
+        monkeypatch.setattr(sparse, "MEETINGS_AT_ONCE", at_once)
+        cut = block._scores(rows, tokens, weights, 9)
+        assert np.allclose(whole[0], cut[0], atol=2e-9) and np.array_equal(whole[1], cut[1])
+
+
 @pytest.mark.parametrize("rows", [100_000, 3])
 def test_sparse_join_equals_brute_force(docs, queries, rows):
     terms = docs.select("doc_id", "icon_type", F.explode("text_embedding_sparse").alias("token", "weight"))
