@@ -10,12 +10,12 @@ from glyphlake.session import cut_lineage
 
 
 def copy_groups(df: DataFrame, field: str, id_col: str = "doc_id") -> DataFrame:
-    """Distinct vectors: ``field, group_id`` (the smallest id) and ``copies``.
+    """Distinct vectors: ``field, group_id`` (the smallest id) and ``copies``; absent ones are left out.
 
     Counts and minima are combined before the shuffle, so copies of one vector do not pile up.
     """
     return (
-        df.where(F.col(field).isNotNull())
+        df.where(F.size(field) > 0)
         .groupBy(field)
         .agg(F.min(id_col).alias("group_id"), F.count("*").alias("copies"))
     )

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,9 @@ def check_k(k: int, num_candidates: int) -> None:
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of an Arrow list column without nulls as unit vectors; a zero vector stays zero."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if len(lengths) and (lengths != lengths[0]).any():
+        raise ValueError("vectors of one field differ in length, see quality.check_dims")
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return _unit(values.reshape(len(column), -1))
 
@@ -138,7 +142,8 @@ class _QueryBlock:
         for batch in batches:
             table = pa.table(batch) if isinstance(batch, pa.RecordBatch) else batch
             for name, state in best.items():
-                part = table.filter(table.column(name).is_valid())
+                # An empty vector counts as absent, like a missing one.
+                part = table.filter(pa.compute.greater(pa.compute.list_value_length(table.column(name)), 0))
                 if part.num_rows == 0:
                     continue
                 groups = None
@@ -208,7 +213,7 @@ def field_top_k(
 
 def _blocked(rows, asked, fields, k, schema, max_queries, index_chunk_rows) -> DataFrame:
     """Too many queries to broadcast: bounded (index chunk, query chunk) blocks on the cluster."""
-    per_block = max(1, max_queries // 4)
+    per_block = max(1, max_queries // 2)
     q_chunks = -(-asked.count() // per_block)
     i_chunks = max(1, -(-rows.count() // index_chunk_rows))
     left = rows.withColumn("__i", F.pmod(F.xxhash64("doc_id"), F.lit(i_chunks))).withColumn(

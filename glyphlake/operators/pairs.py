@@ -327,7 +327,7 @@ def similarity_distribution(
     df: DataFrame, field: str, n: int = SAMPLED_PAIRS, seed: str = "0", id_col: str = "doc_id"
 ) -> DataFrame:
     """Minimum, maximum, mean, median, p95 and p99 of the cosine over sampled pairs."""
-    vectors = df.where(F.col(field).isNotNull())
+    vectors = df.where(F.size(field) > 0)
     pairs = sample_pairs(vectors, n, seed, id_col)
     compared = compare_pairs(vectors, pairs, field, id_col)
     p = F.percentile("similarity", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))

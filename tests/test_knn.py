@@ -84,6 +84,15 @@ def test_no_queries_and_no_rows(spark, index, queries):
     assert knn(index.where("false"), queries, "a").collect() == []
 
 
+def test_vector_lengths(spark):
+    query = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vector array<float>")
+    rows = [("a", [1.0, 0.0]), ("empty", []), ("none", None)]
+    assert [r.doc_id for r in knn(spark.createDataFrame(rows, "doc_id string, v array<float>"), query, "v").collect()] == ["a"]
+    odd = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0, 3.0])], "doc_id string, v array<float>").coalesce(1)
+    with pytest.raises(Exception, match="differ in length"):
+        knn(odd, query, "v").collect()
+
+
 def test_candidate_bounds():
     check_k(10, 100)
     for k, n in ((0, 100), (101, 100), (10, 20_000)):
