@@ -75,10 +75,10 @@ def append_positions(
     Numbering is done in two steps so that a document holding much of the batch is not one task:
     the batch is cut into ranges of arrival order, rows are numbered inside (document, range),
     and the counts of the earlier ranges and of the existing list are added. ``pieces`` is the
-    number of ranges, by default four per shuffle partition.
+    number of ranges, by default one per shuffle partition.
     """
     if pieces is None:
-        pieces = 4 * int(updates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pieces = int(updates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [order_by] if isinstance(order_by, str) else order_by
     # The cut points come from sampling, so the cut rows are written before they are read twice.
     cut = cut_lineage(
