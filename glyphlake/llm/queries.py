@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphlake.llm.bpe import Bpe
 from glyphlake.llm.common import bound_arrow, table
 from glyphlake.llm.quality_rules import RULES, STOP_WORDS, quality_rules
+from glyphlake.llm.secrets import BASE, secret_spans
 from glyphlake.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +35,42 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@register()
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
+    import public_tokenizers
+
+    bpe = Bpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = table(spark, sf_dir, "documents").select("doc_id", bpe.encode("text").alias("ids"))
+    decoded = encoded.select("doc_id", "ids", bpe.decode("ids").alias("decoded"))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@register()
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts, and all spans as text."""
+    found = table(spark, sf_dir, "documents").select("doc_id", secret_spans("text").alias("found"))
+    base = [r.kind for r in BASE]
+
+    def told(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, base),
+        F.sha2(told(F.filter("found", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        told(F.col("found")).alias("spans"),
+    )
+
+
 def _rules_sql() -> str:
     """The threshold table as a condition of DuckDB."""
     parts = []
