@@ -12,6 +12,7 @@ from glyphlake.llm.bpe import Bpe
 from glyphlake.llm.common import bound_arrow, table
 from glyphlake.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from glyphlake.llm.secrets import BASE, secret_spans
+from glyphlake.llm.simhash import near_duplicates
 from glyphlake.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +52,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register()
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-copy component of every document."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @register()
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts, and all spans as text."""
