@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glyphlake.llm.bpe import Bpe
 from glyphlake.llm.common import bound_arrow, table
+from glyphlake.llm.mixing import Mix
 from glyphlake.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from glyphlake.llm.secrets import BASE, secret_spans
 from glyphlake.llm.simhash import near_duplicates
@@ -59,6 +60,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@register()
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    return Mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).documents()
+
+
 @register()
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts, and all spans as text."""
