@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding with a segment tree over byte positions.
 
-Each match of the splitting pattern is merged on its own. A leaf of its segment tree stands for the token that starts
-at that byte and holds the rank of the pair it forms with the next token; inner nodes hold the least rank below them,
-the leftmost among equals. A merge takes the root, joins the two tokens and updates at most three leaves, each in
-logarithmic time, so a match of a million bytes costs n log n.
+Each match of the splitting pattern is merged on its own. Every byte position that starts a token has a key: the rank of
+the pair it forms with the next token, then the position. A segment tree over the positions (16 to a leaf) holds the least
+key of every node, so the lowest rank, the leftmost among equals, stands at its root. A merge takes the root, joins the two
+tokens and updates the keys of at most three live neighbours, each in logarithmic time: a match of a million bytes costs
+n log n.
 
 Defined cases: a null text counts as empty and has no ids; null ids decode to nothing; repeated matches are looked up in
 a bounded cache of each Python worker; texts are encoded whole. Rows, other columns and their order stay untouched: both
@@ -13,10 +14,12 @@ operators are column expressions. Special tokens are never formed.
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, SparkSession
@@ -26,6 +29,8 @@ CACHED_MATCHES = 1 << 18
 CACHED_CHARS = 48
 _NONE = 1 << 62
 _POSITION_BITS = 32
+_LEAF_BITS = 4  # a leaf of the tree covers so many byte positions, as a power of two
+_POSITION = (1 << _POSITION_BITS) - 1
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
@@ -39,49 +44,43 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     if whole is not None:
         return (whole,)
     n = len(piece)
-    size = 1 << (n - 1).bit_length()
     end = list(range(1, n + 1))  # where the token starting at i ends, and so where the next one starts
     before = list(range(-1, n))  # where the token before the one starting at i starts
-    tree = [_NONE] * (2 * size)
     find = ranks.get
+    keys = [_NONE] * n
     for i in range(n - 1):
         rank = find(piece[i : i + 2])
         if rank is not None:
-            tree[size + i] = rank << _POSITION_BITS | i
+            keys[i] = rank << _POSITION_BITS | i
+    size = 1 << ((n - 1) >> _LEAF_BITS).bit_length()
+    tree = [_NONE] * size + [min(keys[i << _LEAF_BITS : (i + 1) << _LEAF_BITS], default=_NONE) for i in range(size)]
     for node in range(size - 1, 0, -1):
-        a, b = tree[2 * node], tree[2 * node + 1]
-        tree[node] = a if a < b else b
-
-    def put(i: int, key: int) -> None:
-        node = size + i
-        tree[node] = key
-        node >>= 1
-        while node:
-            a, b = tree[2 * node], tree[2 * node + 1]
-            least = a if a < b else b
-            if tree[node] == least:
-                return
-            tree[node] = least
-            node >>= 1
-
-    while tree[1] != _NONE:
-        i = tree[1] & ((1 << _POSITION_BITS) - 1)
+        tree[node] = min(tree[2 * node], tree[2 * node + 1])
+    while (least := tree[1]) != _NONE:
+        i = least & _POSITION
         gone = end[i]
         stop = end[i] = end[gone]
-        if tree[size + gone] != _NONE:
-            put(gone, _NONE)
+        keys[gone] = keys[i] = _NONE
         if stop < n:
             before[stop] = i
             rank = find(piece[i : end[stop]])
-            put(i, _NONE if rank is None else rank << _POSITION_BITS | i)
-        else:
-            put(i, _NONE)
+            if rank is not None:
+                keys[i] = rank << _POSITION_BITS | i
         j = before[i]
         if j >= 0:
             rank = find(piece[j:stop])
-            key = _NONE if rank is None else rank << _POSITION_BITS | j
-            if tree[size + j] != key:
-                put(j, key)
+            keys[j] = _NONE if rank is None else rank << _POSITION_BITS | j
+        if size == 1:
+            tree[1] = min(keys)
+            continue
+        for leaf in {i >> _LEAF_BITS, gone >> _LEAF_BITS, max(j, 0) >> _LEAF_BITS}:
+            node, key = size + leaf, min(keys[leaf << _LEAF_BITS : (leaf + 1) << _LEAF_BITS])
+            while tree[node] != key:
+                tree[node] = key
+                if node == 1:
+                    break
+                key = min(key, tree[node ^ 1])
+                node >>= 1
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -90,29 +89,41 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class Tokenizer:
-    """Ranks and splitting pattern in a Python worker."""
+    """Ranks and splitting pattern in a Python worker; ids are given as the bytes of 32-bit numbers."""
 
     def __init__(self, content: bytes, pattern: str):
         import regex
 
-        self.ranks = parse_ranks(content)
-        self.tokens: dict[int, bytes] = {rank: token for token, rank in self.ranks.items()}
-        self.split = regex.compile(pattern).findall
-        ranks = self.ranks
+        self.ranks = ranks = parse_ranks(content)
+        self.tokens: dict[int, bytes] = {rank: token for token, rank in ranks.items()}
+        self.split = split = regex.compile(pattern).findall
+        self.parted = regex.compile(r"\s ").search
 
-        @lru_cache(CACHED_MATCHES)
-        def short(piece: str) -> tuple[int, ...]:
-            return merge(piece.encode(), ranks)
+        def ids(piece: str) -> bytes:
+            return array("i", merge(piece.encode(), ranks)).tobytes()
+
+        known = lru_cache(CACHED_MATCHES)(ids)
 
-        self.short = short
+        def encode(text: str) -> bytes:
+            return b"".join([known(p) if len(p) <= CACHED_CHARS else ids(p) for p in split(text)])
 
-    def encode(self, text: str) -> list[int]:
-        pieces = self.split(text)
-        if pieces and max(map(len, pieces)) > CACHED_CHARS:
-            return [
-                i for p in pieces for i in (self.short(p) if len(p) <= CACHED_CHARS else merge(p.encode(), self.ranks))
-            ]
-        return list(chain.from_iterable(map(self.short, pieces)))
+        @lru_cache(CACHED_MATCHES)
+        def spaced(word: str) -> bytes:
+            return encode(" " + word)
+
+        self.whole, self.spaced = encode, spaced
+
+    def encode(self, text: str) -> bytes:
+        """No match goes on from a character to a space after it. So where every space follows such a character, the
+        text falls apart there, and words met before need no splitting."""
+        if self.parted(text):
+            return self.whole(text)
+        first, *words = text.split(" ")
+        if max(map(len, words), default=0) > CACHED_CHARS:
+            rest = [self.spaced(w) if len(w) <= CACHED_CHARS else self.whole(" " + w) for w in words]
+        else:
+            rest = map(self.spaced, words)
+        return self.whole(first) + b"".join(rest)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -144,13 +155,16 @@ class Bpe:
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
             tokenizer = _tokenizer(shared, pattern)
-            kind = pa.list_(pa.int32())
-            return pa.array([tokenizer.encode(t) if t else [] for t in texts.to_pylist()], kind)
+            found = [tokenizer.encode(t) if t else b"" for t in texts.to_pylist()]
+            ends = np.cumsum([0, *map(len, found)]) // 4
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
         @F.arrow_udf("binary")
         def decode(ids: pa.Array) -> pa.Array:
             tokenizer = _tokenizer(shared, pattern)
-            return pa.array([tokenizer.decode(x) if x else b"" for x in ids.to_pylist()], pa.binary())
+            flat, ends = ids.flatten().to_numpy(), np.cumsum([0, *pc.list_value_length(ids).fill_null(0).to_pylist()])
+            parts = (tokenizer.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:]))
+            return pa.array(parts, pa.binary())
 
         self._encode, self._decode = encode, decode
 
