@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from glyphlake.llm.bpe import Bpe
 from glyphlake.llm.common import bound_arrow, stored, table
 from glyphlake.llm.mixing import Mix
-from glyphlake.llm.quality_rules import quality_rules
+from glyphlake.llm.quality_rules import kept_rows
 from glyphlake.llm.secrets import redact
 from glyphlake.llm.simhash import one_of_each_group
 from glyphlake.session import ship_package
@@ -25,7 +25,7 @@ def _prepared(spark: SparkSession) -> None:
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules; all columns as they were."""
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    return kept_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,7 +137,9 @@ class Mix:
         """Taken words: for a row of size above 0 and a draw, ranges ``[low, high)`` of its words."""
         first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
         parts = self.placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-        met = parts.join(_slots(self.sources).select("sid", "block", "draw", "words"), ["sid", "block"])
+        # The slots grow with the words, though their table starts from a few sources: never to be broadcast.
+        slots = _slots(self.sources).select("sid", "block", "draw", "words").hint("merge")
+        met = parts.join(slots, ["sid", "block"])
         low = F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0))
         high = F.least(F.col("block") * BLOCK + F.col("words") - F.col("start"), F.col("size"))
         return met.select(*self.placed.columns, "draw", low.alias("low"), high.alias("high")).where("high > low")

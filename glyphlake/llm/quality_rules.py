@@ -158,3 +158,13 @@ def quality_rules(
         (~base & ~reduce(operator.or_, map(broken, rules))).alias("kept"),
     )
     return judged if keep_columns else judged.drop(*own)
+
+
+def kept_rows(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows that pass, with the columns of ``df``.
+
+    A plain filter would be moved below the projections and repeat their expressions many times over; a column that
+    differs from row to row keeps it above them.
+    """
+    judged = quality_rules(df, text, rules).withColumn("__place", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("__place") >= 0)).select(*(F.col(f"`{c}`") for c in df.columns))
