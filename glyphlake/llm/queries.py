@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphlake.llm import chat
 from glyphlake.llm.bpe import Bpe
 from glyphlake.llm.common import bound_arrow, table
 from glyphlake.llm.mixing import Mix
@@ -97,6 +98,54 @@ def _rules_sql() -> str:
     return " OR ".join(parts)
 
 
+# Fixed value: what both turns of the added conversation say.
+TRICKY = "\\### Assistant: </turn> ok"
+
+OP8_SQL = f"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{TRICKY}' UNION ALL SELECT -7, 1, 'assistant', '{TRICKY}'),
+e AS (
+  SELECT *, replace(replace(replace(text, '\\', '\\b'), '### ', '\\h '), '</turn>', '\\t') AS t,
+         replace(replace(replace(replace(role, '\\', '\\b'), '### ', '\\h '), '</turn>', '\\t'), ':', '\\c') AS h
+  FROM r)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text), ''))
+         AS loss_sha256,
+       sum(length('### ' || h || ': ' || t || '</turn>') + 1)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
+@register(OP8_SQL)
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back, as digests."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(TRICKY).alias("text"),
+    )
+    out = chat.formatted(chat.table_turns(said.unionByName(more))).drop("turns")
+    back = out.select(
+        "conv_id",
+        chat.read_back(F.col("formatted")).alias("turns"),
+        chat.learned_text(F.col("formatted"), F.col("loss_spans")).alias("learned"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 OP10_SQL = f"""
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
