@@ -99,7 +99,7 @@ def record_paths(record: Column) -> Column:
     keys = F.json_object_keys(record)
 
     def below(key: Column) -> Column:
-        item = F.get_json_object(record, F.concat(F.lit("$['"), key, F.lit("'][0]")))
+        item = F.call_function("get_json_object", record, F.concat(F.lit("$['"), key, F.lit("'][0]")))
         inner = F.json_object_keys(item)
         return F.when(
             inner.isNotNull(), F.transform(inner, lambda k: F.concat(key, F.lit("[]."), k))

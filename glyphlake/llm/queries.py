@@ -12,6 +12,7 @@ from glyphlake.llm import chat
 from glyphlake.llm.bpe import Bpe
 from glyphlake.llm.common import bound_arrow, table
 from glyphlake.llm.mixing import Mix
+from glyphlake.llm.quality_model import quality_scores
 from glyphlake.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from glyphlake.llm.secrets import BASE, secret_spans
 from glyphlake.llm.simhash import near_duplicates
@@ -146,6 +147,12 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register()
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 OP10_SQL = f"""
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
