@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.llm import chat
+from glyphlake.llm.ann import build_index, search_index
 from glyphlake.llm.bpe import Bpe
 from glyphlake.llm.common import bound_arrow, table
 from glyphlake.llm.mixing import Mix
@@ -16,6 +17,7 @@ from glyphlake.llm.quality_model import quality_scores
 from glyphlake.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from glyphlake.llm.secrets import BASE, secret_spans
 from glyphlake.llm.simhash import near_duplicates
+from glyphlake.llm.url_filter import Rule, url_verdicts
 from glyphlake.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +64,28 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# The rules of the query.
+URL_RULES = (
+    Rule("block", "net", "/"),
+    Rule("allow", "example.net", "/en/"),
+    Rule("block", "example.com", "/de/"),
+    Rule("allow", "org", "/fr/"),
+)
+
+
+@register()
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+
+
+@register()
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every row whose vec_id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search_index(build_index(vectors, 10), vectors.where("vec_id % 100 = 0"), 10)
+
+
 @register()
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
