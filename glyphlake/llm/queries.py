@@ -15,6 +15,7 @@ from glyphlake.llm.common import bound_arrow, table
 from glyphlake.llm.mixing import Mix
 from glyphlake.llm.quality_model import quality_scores
 from glyphlake.llm.quality_rules import RULES, STOP_WORDS, quality_rules
+from glyphlake.llm.repeats import without_repeats
 from glyphlake.llm.secrets import BASE, secret_spans
 from glyphlake.llm.simhash import near_duplicates
 from glyphlake.llm.url_filter import Rule, url_verdicts
@@ -79,6 +80,20 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
 
 
+@register()
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to strings of 400 bytes that start anywhere else too."""
+    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        gone.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @register()
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest vectors of every row whose vec_id is divisible by 100."""
