@@ -29,7 +29,7 @@ SHARE = 1.5
 CAP = 2.0
 
 BLOCK = 64
-BUCKET = 20_000
+BUCKET = 2_000
 SLOTS_AT_ONCE = 1 << 14
 SHARD_SLOTS = 1 << 14
 SEED = 20
