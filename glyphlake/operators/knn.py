@@ -30,8 +30,8 @@ SCORE_DECIMALS = 9
 
 
 def check_k(k: int, num_candidates: int) -> None:
-    if not 1 <= k <= num_candidates <= 10_000:
-        raise ValueError("need 1 <= k <= num_candidates <= 10000")
+    if not 1 <= k <= num_candidates:
+        raise ValueError("need 1 <= k <= num_candidates")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -180,7 +180,7 @@ def _in_windows(events: DataFrame, openings: DataFrame, window_us: int) -> DataF
 
 def rate_limit(
     events: DataFrame,
-    limit: int,
+    limit: int | str,
     window_us: int,
     key: str = "key",
     at: str = "at",
@@ -189,30 +189,44 @@ def rate_limit(
 ) -> DataFrame:
     """Adds ``allowed, remaining, reset`` to every event of ``key, at, tie``.
 
-    Only the events that pass are ranked (the rank is cut at ``limit`` before the shuffle); all
-    later events of a window compare with its last passing one.
+    ``limit`` is a number or the name of a column that is the same for all events of a key. Events
+    without a key share one; an event without a time belongs to no window and passes. Only the
+    events that pass are ranked (the rank is cut at ``limit`` before the shuffle); all later
+    events of a window compare with its last passing one.
     """
-    if limit < 1:
+    if isinstance(limit, int) and limit < 1:
         raise ValueError("a limit lets at least one event pass")
+    most = F.lit(limit) if isinstance(limit, int) else F.col(limit)
     named = events.withColumnsRenamed({key: "key", at: "at", tie: "event_id"})
-    openings = cut_lineage(window_openings(named, window_us, fold_rows))
-    placed = _in_windows(named, openings, window_us)
+    # In a struct a missing key is a key like any other.
+    timed = named.where(F.col("at").isNotNull()).withColumn("key", F.struct("key"))
+    openings = cut_lineage(window_openings(timed, window_us, fold_rows))
+    placed = _in_windows(timed, openings, window_us)
     order = Window.partitionBy("key", "opened").orderBy("at", "event_id")
+    ranked = placed.withColumn("rank", F.row_number().over(order))
     # Written once: these rows are part of the result and their last ones are the bar for the rest.
-    passed = cut_lineage(placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit))
-    last = passed.where(F.col("rank") == limit).select("key", "opened", F.struct("at", "event_id").alias("__last"))
+    passed = cut_lineage(ranked.where(F.col("rank") <= most))
+    last = passed.where(F.col("rank") == most).select("key", "opened", F.struct("at", "event_id").alias("__last"))
     denied = (
         lookup_join(placed, last, ["key", "opened"], spread="event_id")
         .where(F.struct("at", "event_id") > F.col("__last"))
         .drop("__last")
-        .withColumn("rank", F.lit(limit))
+        .withColumn("rank", most.cast("int"))
         .withColumn("allowed", F.lit(False))
     )
-    return (
+    judged = (
         passed.withColumn("allowed", F.lit(True))
         .unionByName(denied)
-        .withColumn("remaining", F.lit(limit) - F.col("rank"))
+        .withColumn("remaining", (most - F.col("rank")).cast("int"))
         .withColumn("reset", F.col("opened") + window_us)
+        .withColumn("key", F.col("key.key"))
+    )
+    free = named.where(F.col("at").isNull()).withColumns(
+        {"allowed": F.lit(True), "remaining": F.lit(None).cast("int"), "reset": F.lit(None).cast("bigint")}
+    )
+    return (
+        judged.select(*free.columns)
+        .unionByName(free)
         .withColumnsRenamed({"key": key, "at": at, "event_id": tie})
         .select(*events.columns, "allowed", "remaining", "reset")
     )
@@ -239,12 +253,19 @@ def multi_limit(
     tie: str = "event_id",
     fold_rows: int = FOLD_ROWS,
 ) -> DataFrame:
-    """``tie, allowed, limits_hit``: an event passes when every limit of its group allows it."""
-    judged = None
-    for group, limit, window_us in limits:
-        mine = events.where(F.col(group_col) == group)
-        one = rate_limit(mine, limit, window_us, key, at, tie, fold_rows).select(tie, "allowed")
-        judged = one if judged is None else judged.unionByName(one)
+    """``tie, allowed, limits_hit``: an event passes when every limit of its group allows it.
+
+    All limits of one window length are judged in one pass, each event once per limit of its group.
+    Events of a group without limits, or without a group, pass.
+    """
+    judged = events.select(tie, F.lit(True).alias("allowed"))
+    for window_us in sorted({w for _, _, w in limits}):
+        rows = [(g, n) for g, n, w in limits if w == window_us]
+        mine = F.array_compact(F.array(*[F.when(F.col(group_col) == g, F.struct(F.lit(g).alias("g"), F.lit(n).alias("n"))) for g, n in rows]))
+        each = events.select(F.explode(mine).alias("__limit"), F.col(key).alias("__key"), at, tie)
+        each = each.select(F.struct("__limit", "__key").alias("key"), at, tie, F.col("__limit.n").alias("__most"))
+        one = rate_limit(each, "__most", window_us, "key", at, tie, fold_rows)
+        judged = judged.unionByName(one.select(tie, "allowed"))
     return judged.groupBy(tie).agg(
         F.bool_and("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("limits_hit")
     )

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.functions.vectors import present
-from glyphlake.schema import LIST_CAP
 
 # The error texts and token type of an indexing run.
 RENDER_ICON_IMAGE = "Failed to render icon image - renderer service is required"
@@ -95,11 +94,10 @@ def batch_errors(items: DataFrame, by: list[str] | None = None) -> DataFrame:
     return items.where(F.col("error").isNotNull()).select(*(by or []), "icon_name", "error")
 
 
-def list_indexed(index: DataFrame, key: str = "doc_id", cap: int = LIST_CAP) -> DataFrame:
-    """Values of ``key`` with their document counts, most frequent first, at most ``cap``."""
-    return (
-        index.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), key).limit(cap)
-    )
+def list_indexed(index: DataFrame, key: str = "doc_id", cap: int | None = None) -> DataFrame:
+    """Values of ``key`` with their document counts, most frequent first; with ``cap`` only so many."""
+    counts = index.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), key)
+    return counts if cap is None else counts.limit(cap)
 
 
 def span_metrics(

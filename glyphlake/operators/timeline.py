@@ -12,6 +12,7 @@ def with_next_time(events: DataFrame, key: str, at: str, slice_us: int, tie: str
     ``at`` is a BIGINT time in microseconds, ``tie`` orders events of equal time. Time is cut in
     slices; inside a (key, slice) a window finds the next event, and the last event of a slice
     takes the first time of the key's next filled slice from the small table of slice starts.
+    Events without a key share one; an event without a time has no next one.
     """
     cut = events.withColumn("__slice", F.floor(F.col(at) / slice_us))
     order = [at] if tie is None else [at, tie]
@@ -20,13 +21,13 @@ def with_next_time(events: DataFrame, key: str, at: str, slice_us: int, tie: str
     starts = (
         cut.groupBy(key, "__slice")
         .agg(F.min(at).alias("__first"))
-        .select(key, "__slice", F.lead("__first").over(slices).alias("__after"))
+        .select(F.col(key).alias("__key"), F.col("__slice").alias("__at_slice"), F.lead("__first").over(slices).alias("__after"))
     )
     return (
-        cut.withColumn("__inside", F.lead(at).over(inside))
-        .join(starts, [key, "__slice"])
-        .withColumn("next_at", F.coalesce("__inside", "__after"))
-        .drop("__slice", "__inside", "__after")
+        cut.withColumn("__inside", F.when(F.col(at).isNotNull(), F.lead(at).over(inside)))
+        .join(starts, F.col(key).eqNullSafe(F.col("__key")) & F.col("__slice").eqNullSafe(F.col("__at_slice")))
+        .withColumn("next_at", F.when(F.col(at).isNotNull(), F.coalesce("__inside", "__after")))
+        .drop("__slice", "__inside", "__after", "__key", "__at_slice")
     )
 
 

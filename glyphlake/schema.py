@@ -21,7 +21,6 @@ ICON_TYPES = ["icon", "token"]
 KNN_K = 10
 NUM_CANDIDATES = 100
 PAGE_SIZE = 50
-LIST_CAP = 10000
 SIMILAR_THRESHOLD = 0.99
 SIMILAR_SHOWN = 20
 SAMPLED_PAIRS = 100

@@ -90,6 +90,7 @@ def exists(index: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     return asked.join(found, id_col, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def dump(index: DataFrame, n: int = 1000) -> tuple[DataFrame, int]:
-    """Up to ``n`` documents of any kind, and how many there are."""
-    return index.limit(n), index.count()
+def dump(index: DataFrame, n: int | None = None, id_col: str = "doc_id") -> tuple[DataFrame, int]:
+    """The documents in the order of their ids, with ``n`` the first so many, and how many there are in all."""
+    ordered = index.orderBy(id_col)
+    return (ordered if n is None else ordered.limit(n)), index.count()

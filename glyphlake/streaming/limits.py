@@ -1,10 +1,12 @@
-"""Rate limiting as a stream: one small state per key, updated event by event."""
+"""Rate limiting as a stream: per key one window and the events the watermark has not passed."""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,51 +15,69 @@ from pyspark.sql import types as T
 from glyphlake.operators.ratelimit import EXPIRY_US
 
 
+# Stateful workers need not find this module: it travels with the query.
+register_pickle_by_value(sys.modules[__name__])
+
+
 class _FixedWindow(StatefulProcessor):
-    def __init__(self, limit: int, window_us: int):
-        self.limit, self.window_us = limit, window_us
+    """Holds a key's events until the watermark has passed them, then judges them in (at, event_id) order."""
+
+    def __init__(self, limit: int, window_us: int, event: T.StructType, expiry_us: int):
+        self.limit, self.window_us, self.event, self.expiry_us = limit, window_us, event, expiry_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField("count", T.LongType()), T.StructField("reset", T.LongType())])
+        window = T.StructType([T.StructField("count", T.LongType()), T.StructField("reset", T.LongType())])
         self.handle = handle
-        self.state = handle.getValueState("window", schema)
+        self.window = handle.getValueState("window", window)
+        self.waiting = handle.getListState("waiting", self.event)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.state.get()
-        count, reset = known if known else (0, None)
-        opened = reset
         for batch in rows:
-            ordered = batch.sort_values(["at", "event_id"], kind="stable")
-            allowed, remaining, resets = [], [], []
-            for at in ordered["at"]:
-                if reset is None or reset < at:
-                    count, reset = 0, int(at) + self.window_us
-                passes = count < self.limit
-                count += passes
-                allowed.append(passes)
-                remaining.append(self.limit - count if passes else 0)
-                resets.append(reset)
-            yield pd.DataFrame(
-                {
-                    "key": ordered["key"].to_numpy(),
-                    "at": ordered["at"].to_numpy(),
-                    "event_id": ordered["event_id"].to_numpy(),
-                    "allowed": allowed,
-                    "remaining": remaining,
-                    "reset": resets,
-                }
-            )
-        if reset is not None:
-            self.state.update((int(count), int(reset)))
-        if reset != opened:
-            self.handle.registerTimer((reset + EXPIRY_US) // 1000)
+            events = [(int(at), ident.item() if hasattr(ident, "item") else ident) for at, ident in zip(batch["at"], batch["event_id"])]
+            if events:
+                self.waiting.appendList(events)
+                # One timer per millisecond of an event: the watermark passes it when no earlier event can come.
+                for due in {at // 1000 + 1 for at, _ in events}:
+                    self.handle.registerTimer(due)
+        return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        known = self.state.get()
-        # A timer of an earlier window finds a later one in place and leaves it alone.
-        if known and known[1] // 1000 < expiredTimerInfo.getExpiryTimeInMs():
-            self.state.clear()
-        return iter([])
+        passed = expiredTimerInfo.getExpiryTimeInMs()
+        events = sorted(tuple(e) for e in self.waiting.get())
+        due = [e for e in events if e[0] // 1000 < passed]
+        known = self.window.get()
+        if not due:
+            # The clean-up timer of an earlier window finds a later one in place and leaves it alone.
+            if known and not events and (known[1] + self.expiry_us) // 1000 <= passed:
+                self.window.clear()
+            return
+        count, reset = known if known else (0, None)
+        allowed, remaining, resets = [], [], []
+        for at, _ in due:
+            if reset is None or reset < at:
+                count, reset = 0, at + self.window_us
+                self.handle.registerTimer((reset + self.expiry_us) // 1000 + 1)
+            passes = count < self.limit
+            count += passes
+            allowed.append(passes)
+            remaining.append(self.limit - count if passes else 0)
+            resets.append(reset)
+        self.window.update((int(count), int(reset)))
+        rest = events[len(due) :]
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame(
+            {
+                "key": [key[0]] * len(due),
+                "at": [at for at, _ in due],
+                "event_id": [ident for _, ident in due],
+                "allowed": allowed,
+                "remaining": remaining,
+                "reset": resets,
+            }
+        )
 
     def close(self) -> None:
         pass
@@ -66,14 +86,13 @@ class _FixedWindow(StatefulProcessor):
 def rate_limit_stream(events: DataFrame, limit: int, window_us: int, delay: str = "5 minutes") -> DataFrame:
     """Adds ``allowed, remaining, reset`` to a stream of ``key, at, event_id`` rows.
 
-    ``at`` is a BIGINT time in microseconds. Rows of a key are judged in (at, event_id) order
-    within each Arrow batch of a trigger, so a trigger has to be smaller than
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` per key, or arrive in time order, to equal the
-    batch operator. A key is one state, so one key's events are judged one after another.
-
-    The state of a key is dropped once the watermark, ``delay`` behind the newest event, has passed
-    its window by the clean-up period; rows later than the watermark are dropped.
+    ``at`` is a BIGINT time in microseconds. A key's events wait until the watermark, ``delay`` behind
+    the newest event, has passed them and are then judged in (at, event_id) order, whatever order,
+    triggers or batches they came in; rows later than the watermark are dropped. A key is one state,
+    so one key's events are judged one after another. Its state is dropped once the watermark has
+    passed its window by the clean-up period.
     """
+    event = T.StructType([T.StructField("at", T.LongType()), events.schema["event_id"]])
     schema = T.StructType(
         [
             events.schema["key"],
@@ -89,7 +108,7 @@ def rate_limit_stream(events: DataFrame, limit: int, window_us: int, delay: str
         .withWatermark("__ts", delay)
         .groupBy("key")
         .transformWithStateInPandas(
-            statefulProcessor=_FixedWindow(limit, window_us),
+            statefulProcessor=_FixedWindow(limit, window_us, event, EXPIRY_US),
             outputStructType=schema,
             outputMode="append",
             timeMode="eventTime",

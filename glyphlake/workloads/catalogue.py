@@ -214,7 +214,7 @@ def judged_requests(spark, sf):
     return validate_requests(asked).select("conv_id", "turn", "reason")
 
 
-@register("list_indexed", "SELECT source, count(*) AS docs FROM documents GROUP BY source ORDER BY docs DESC, source LIMIT 10000")
+@register("list_indexed", "SELECT source, count(*) AS docs FROM documents GROUP BY source ORDER BY docs DESC, source")
 def listed(spark, sf):
     return list_indexed(table(spark, sf, "documents"), "source")
 

@@ -78,6 +78,17 @@ def test_multi_limit_needs_every_limit(spark):
     assert found == {i: (all(p), p.count(False)) for i, p in passes.items()}
 
 
+def test_no_event_is_lost(spark):
+    rows = [(None, 10, 1), (None, 20, 2), ("a", 10, 3), ("a", None, 4)]
+    found = result(rate_limit(frame(spark, rows), 1, 100))
+    assert found == {(None, 10, 1, True, 0, 110), (None, 20, 2, False, 0, 110), ("a", 10, 3, True, 0, 110), ("a", None, 4, True, None, None)}
+    grouped = frame(spark, rows).withColumn("limit_group", F.when(F.col("event_id") < 3, "listed").when(F.col("event_id") == 3, "other"))
+    judged = {r.event_id: (r.allowed, r.limits_hit) for r in multi_limit(grouped, [("listed", 1, 100)]).collect()}
+    assert judged == {1: (True, 0), 2: (False, 1), 3: (True, 0), 4: (True, 0)}
+    quiet = {r.event_id for r in debounce(frame(spark, rows), "key", "at", 50, "event_id").collect()}
+    assert quiet == {2, 3, 4}
+
+
 def test_state_and_expiry(spark):
     rows = events(7, 200, 5000)
     _, state = judge(rows, 3, 400)

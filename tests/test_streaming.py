@@ -27,8 +27,37 @@ def event_files(spark, sf, path):
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path), rows
 
 
-def test_limiter_stream_equals_batch(spark, sf, tmp_path):
-    stream, _ = event_files(spark, sf, str(tmp_path / "events"))
+def far_event(rows, path):
+    """A last far event moves the watermark past everything else."""
+    late = rows.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(1_900_000_000))).withColumn("event_id", F.lit(-1).cast("bigint"))
+    late.withColumn("user_id", F.lit(-1).cast("bigint")).withColumn("event_type", F.lit("end")).coalesce(1).write.mode("append").parquet(path)
+
+
+@pytest.fixture
+def tiny_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 2)
+    yield
+    spark.conf.set(name, before)
+
+
+def test_limiter_stream_orders_events_of_a_trigger(spark, tmp_path, tiny_batches):
+    path = str(tmp_path / "in")
+    rows = [("a", at, n) for n, at in enumerate((50, 40, 30, 20, 10))] + [(None, 15, 9), (None, 5, 8)]
+    frame = spark.createDataFrame([(k, at * 1_000_000, n) for k, at, n in rows], "key string, at long, event_id long")
+    frame.coalesce(1).write.parquet(path)
+    time.sleep(1)
+    spark.createDataFrame([("end", 10**12, -1)], frame.schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    found = drain(spark, rate_limit_stream(stream, 1, 100_000_000), "ordered")
+    batch = rate_limit(frame, 1, 100_000_000)
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in batch.select(*found.columns).collect()}
+
+
+def test_limiter_stream_equals_batch(spark, sf, tmp_path, tiny_batches):
+    stream, rows = event_files(spark, sf, str(tmp_path / "events"))
+    far_event(rows, str(tmp_path / "events"))
     named = stream.select(F.col("user_id").alias("key"), F.unix_micros("ts").alias("at"), "event_id")
     day = 86_400_000_000
     found = drain(spark, rate_limit_stream(named, 2, day), "limited")
@@ -41,10 +70,7 @@ def test_limiter_stream_equals_batch(spark, sf, tmp_path):
 
 def test_window_streams_equal_batch(spark, sf, tmp_path):
     stream, rows = event_files(spark, sf, str(tmp_path / "events"))
-    # A last far event moves the watermark past everything else.
-    path = str(tmp_path / "events")
-    late = rows.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(1_900_000_000))).withColumn("event_id", F.lit(-1).cast("bigint"))
-    late.withColumn("user_id", F.lit(-1).cast("bigint")).withColumn("event_type", F.lit("end")).coalesce(1).write.mode("append").parquet(path)
+    far_event(rows, str(tmp_path / "events"))
     bursts = drain(spark, debounce_stream(stream.select("user_id", "ts", "event_id", "value"), "user_id", gap="1 hour"), "bursts")
     from glyphlake.operators.timeline import debounce
 
