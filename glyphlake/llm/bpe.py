@@ -25,7 +25,8 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-CACHED_MATCHES = 1 << 18
+CACHED_WORDS = 1 << 19
+CACHED_MATCHES = 1 << 17
 CACHED_CHARS = 48
 _NONE = 1 << 62
 _POSITION_BITS = 32
@@ -107,8 +108,10 @@ class Tokenizer:
         def encode(text: str) -> bytes:
             return b"".join([known(p) if len(p) <= CACHED_CHARS else ids(p) for p in split(text)])
 
-        @lru_cache(CACHED_MATCHES)
+        @lru_cache(CACHED_WORDS)
         def spaced(word: str) -> bytes:
+            if word.isalpha() and word.isascii():  # one match, as letters follow the space
+                return ids(" " + word)
             return encode(" " + word)
 
         self.whole, self.spaced = encode, spaced
@@ -166,7 +169,8 @@ class Bpe:
             parts = (tokenizer.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:]))
             return pa.array(parts, pa.binary())
 
-        self._encode, self._decode = encode, decode
+        # So that Spark never runs an encoding twice because its ids are used twice.
+        self._encode, self._decode = encode.asNondeterministic(), decode.asNondeterministic()
 
     def encode(self, text: Column | str) -> Column:
         """Ids of a text as ``array<int>``."""
