@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,17 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all nodes share; local sessions may do without the setting."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all nodes share")
+        folder = tempfile.mkdtemp(prefix="glyphlake-tables-")
+    return f"{folder.rstrip('/')}/glyphlake-tables/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the cluster's shared folder.
 

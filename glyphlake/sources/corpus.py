@@ -20,15 +20,15 @@ def outside_skipped_dirs(path: Column | str) -> Column:
     return ~column.rlike(f"/({names})/")
 
 
-def scan_svg_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """``path, modificationTime, length, content, filename`` of every ``*.svg`` below ``root``.
+def scan_svg_corpus(spark: SparkSession, root: str, glob: str = "*.svg") -> DataFrame:
+    """``path, modificationTime, length, content, filename`` of every file of that name below ``root``.
 
     Spark itself also leaves out directories starting with ``.`` or ``_``.
     """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.svg")
+        .option("pathGlobFilter", glob)
         .load(root)
     )
     base = root.rstrip("/")

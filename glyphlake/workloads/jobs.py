@@ -7,7 +7,7 @@ from glyphlake.functions.images import image_stats, normalize_images
 from glyphlake.plans.indexing import index_release
 from glyphlake.plans.search import search, search_report
 from glyphlake.schema import DOC_SCHEMA, VISUAL_FIELDS
-from glyphlake.session import cut_lineage
+from glyphlake.session import cut_lineage, work_folder
 from glyphlake.workloads.base import (
     SQL_CENTROIDS, SQL_DOC_VECTORS, SQL_QUERY_VECTORS, documents, label_centroids, spread_out, sql_cos, table, text_queries,
 )
@@ -222,5 +222,5 @@ def release_run(spark, sf):
         F.col("c_name").alias("icon_name"), F.concat(F.lit("p"), "c_custkey").alias("filename"), F.col("c_custkey").alias("ord")
     )
     empty = spark.createDataFrame([], DOC_SCHEMA)
-    run = index_release(files, names, empty, "v1.0.0")
+    run = index_release(files, names, empty, "v1.0.0", write_to=work_folder(spark))
     return run.results.withColumn("errors", F.array_join("errors", ", "))

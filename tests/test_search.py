@@ -107,7 +107,7 @@ def test_branch(spark):
     assert [r[0] for r in df.select(choose_branch()).collect()] == ["hybrid", "dense", "dense", "visual", "visual"]
 
 
-def test_indexing_run(spark):
+def test_indexing_run(spark, tmp_path):
     files = spark.createDataFrame([("/a/user.svg", "user", SVG_A), ("/a/cut.svg", "cut", " "), ("/a/odd.svg", "odd", SVG_B)], "path string, filename string, svg_content string")
     names = spark.createDataFrame([("user", "user", 0), ("cut", "cut", 1), ("gone", "gone", 2)], "icon_name string, filename string, ord int")
     pixels = bytearray(SQUARE.tobytes())
@@ -116,7 +116,9 @@ def test_indexing_run(spark):
 
     rendered = spark.createDataFrame([("user", picture, picture, f"<span>{SVG_B}</span>")], f"icon_name string, icon_image {IMAGE_STRUCT}, token_image {IMAGE_STRUCT}, token_svg_content string")
     empty = spark.createDataFrame([], DOC_SCHEMA)
-    run = index_release(files, names, empty, "v1.0.0", rendered)
+    dry = index_release(files, names, empty, "v1.0.0", rendered)
+    assert {r.icon_name: r.indexed for r in dry.results.collect()} == {"user": True, "cut": False}
+    run = index_release(files, names, empty, "v1.0.0", rendered, write_to=str(tmp_path))
     results = {r.icon_name: r for r in run.results.collect()}
     assert results["user"].success and results["user"].errors == []
     assert not results["cut"].success and len(results["cut"].errors) == 4
@@ -131,3 +133,7 @@ def test_indexing_run(spark):
     assert not again.up_to_date and {r.icon_name for r in again.results.collect()} == {"cut"}
     first = files.where("filename = 'user'")
     assert index_release(first, names, index, "v1.0.0", rendered, bookmark="v1.0.0").up_to_date
+    # A limit counts the files that need work, not those that are complete.
+    both = files.where("filename <> 'odd'").withColumn("path", F.when(F.col("filename") == "user", "/a/a.svg").otherwise("/a/b.svg"))
+    limited = index_release(both, names, index, "v1.0.0", rendered, bookmark="v1.0.0", limit=1)
+    assert not limited.up_to_date and [r.icon_name for r in limited.results.collect()] == ["cut"]
