@@ -12,8 +12,9 @@ suffix has found its common prefix with all others and leaves; rounds end when t
 up. What is left are repeated intervals: places where a string of the length may repeat.
 
 There an exact check follows: around an anchor, windows of the length form a block. Blocks with the same bytes are settled at
-once, so copies cost one row a block; only blocks that meet different ones are compared window by window, by 128-bit
-hashes. Windows with too few anchors (runs of one byte, say) go to this check directly.
+once, so copies cost one row a block; blocks that meet different ones are compared by groups of windows, and window by window
+only where those groups differ in part; all by 128-bit hashes. Windows with too few anchors (runs of one byte, say) are
+compared singly.
 
 Defined cases: a null text counts as empty; texts shorter than the length keep every byte; a text that occurs twice, or a row
 that is repeated, loses every byte once it has the length; an empty table gives an empty result; texts are taken as bytes,
@@ -36,6 +37,7 @@ from glyphlake.llm.common import stored
 LENGTH = 400
 GRAM = 16
 RADIUS = 32
+GROUP = 16  # windows compared at once before single ones
 PIECE = 1 << 22  # bytes hashed at once
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -173,46 +175,77 @@ def merged_intervals(phrases: DataFrame) -> DataFrame:
     return every
 
 
+def _halves(data: bytes) -> tuple[int, int]:
+    """A 128-bit hash as two signed numbers."""
+    digest = xxhash.xxh128_intdigest(data)
+    return (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)
+
+
+def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of a block in groups of ``GROUP`` by their distance to the anchor, which is the same in equal windows.
+
+    ``core``: the bytes that all windows of such a group share; ``hull``: those that the windows there cover.
+    """
+    names = ["key", "low", "start", "stop", "core_one", "core_two", "hull_one", "hull_two", "copies"]
+    kinds = (pa.binary(), *[pa.int32()] * 3, *[pa.int64()] * 5)
+    for batch in batches:
+        rows = []
+        for key, anchor, low, high, copies, body in zip(
+            *(batch.column(c).to_pylist() for c in ("key", "anchor", "low", "high", "copies", "body"))
+        ):
+            for number in range((anchor - high) // GROUP, (anchor - low) // GROUP + 1):
+                nearest, farthest = anchor - number * GROUP, anchor - number * GROUP - GROUP + 1
+                start, stop = max(farthest, low), min(nearest, high)
+                core = body[nearest - low : farthest - low + LENGTH]
+                hull = body[start - low : stop - low + LENGTH]
+                rows.append((key, low, start, stop, *_halves(core), *_halves(hull), copies))
+        columns = list(zip(*rows)) or [()] * len(names)
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks to check, with their bytes; bare ranges as blocks without a symbol."""
-    names = ["key", "symbol", "low", "high", "one", "two", "body"]
-    kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    names = ["key", "symbol", "anchor", "low", "high", "one", "two", "body"]
+    kinds = (pa.binary(), pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int64(), pa.binary())
     for batch in batches:
         rows = []
         for key, data, places in zip(*(batch.column(c).to_pylist() for c in ("key", "data", "places"))):
             blocks = Blocks(data)
             ranges = []
             for k in np.searchsorted(blocks.anchors, [p for p in places if p >= 0]).tolist():
-                ranges.append((blocks.symbol(k), int(blocks.low[k]), int(blocks.high[k])))
+                ranges.append((blocks.symbol(k), int(blocks.anchors[k]), int(blocks.low[k]), int(blocks.high[k])))
             if -1 in places:
                 for low, high in blocks.bare():
-                    ranges += [(None, x, min(x + 4095, high)) for x in range(low, high + 1, 4096)]
-            for symbol, low, high in ranges:
+                    ranges += [(None, None, x, min(x + 4095, high)) for x in range(low, high + 1, 4096)]
+            for symbol, anchor, low, high in ranges:
                 body = data[low : high + LENGTH]
-                digest = xxhash.xxh128_intdigest(body)
-                rows.append((key, symbol, low, high, (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), body))
+                rows.append((key, symbol, anchor, low, high, *_halves(body), body))
         columns = list(zip(*rows)) or [()] * len(names)
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of a block: its hash, how often it is there, and its start."""
+    """Every window of the asked ranges (start, stop, copies) of a block: its hash, how often it is there, its start."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            keys, lows, copies, bodies = (part.column(c).to_pylist() for c in ("key", "low", "copies", "body"))
-            counts = [len(body) - LENGTH + 1 for body in bodies]
-            digests = (xxhash.xxh128_digest(body[i : i + LENGTH]) for body, n in zip(bodies, counts) for i in range(n))
+            keys, lows, bodies, asked = (part.column(c).to_pylist() for c in ("key", "low", "body", "asked"))
+            ranges = [(i, r["start"], r["stop"], r["copies"]) for i, rs in enumerate(asked) for r in rs]
+            digests = (
+                xxhash.xxh128_digest(bodies[i][x - lows[i] : x - lows[i] + LENGTH]) for i, a, b, _ in ranges for x in range(a, b + 1)
+            )
             pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            block = np.repeat(np.arange(len(bodies)), counts)
-            inside = np.arange(len(block)) - np.repeat(np.cumsum(counts) - counts, counts)
+            counts = [b - a + 1 for _, a, b, _ in ranges]
+            which = np.repeat(np.arange(len(ranges)), counts)
+            inside = np.arange(len(which)) - np.repeat(np.cumsum(counts, dtype=np.int64) - counts, counts)
+            block, first, copies = (np.array([r[k] for r in ranges], np.int64)[which] for k in (0, 1, 3))
             yield pa.record_batch(
                 {
                     "one": np.ascontiguousarray(pairs[:, 0]),
                     "two": np.ascontiguousarray(pairs[:, 1]),
-                    "copies": np.array(copies, np.int64)[block],
+                    "copies": copies,
                     "key": pa.array(keys, pa.binary()).take(pa.array(block)),
-                    "start": (np.array(lows, np.int64)[block] + inside).astype(np.int32),
+                    "start": (first + inside).astype(np.int32),
                 }
             )
 
@@ -236,21 +269,45 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     keyed = texts.withColumn("key", F.unhex(F.md5("data")))
     met = keyed.join(stored(lists), "key").select("key", "data", "places")
     blocks = stored(
-        met.mapInArrow(_block_rows, "key binary, symbol bigint, low int, high int, one bigint, two bigint, body binary")
+        met.mapInArrow(
+            _block_rows, "key binary, symbol bigint, anchor int, low int, high int, one bigint, two bigint, body binary"
+        )
     )
     # Equal blocks settle each other. Of those, one stands for all in the comparison with different blocks.
-    same = stored(blocks.groupBy("symbol", "one", "two").agg(F.count("*").alias("copies"), F.min("key").alias("key"), F.min("low").alias("__low")))
+    same = stored(blocks.groupBy("symbol", "one", "two").agg(F.count("*").alias("copies"), F.min("key").alias("key")))
     settled = same.where("copies > 1").select("one", "two")
-    whole = blocks.select("key", "low", "high", "one", "two").join(settled, ["one", "two"], "left_semi").select("key", "low", "high")
+    whole = blocks.join(settled, ["one", "two"], "left_semi").select("key", "low", "high")
     mixed = same.where("symbol IS NOT NULL").groupBy("symbol").count().where("count > 1").select("symbol")
-    asked = same.where("symbol IS NULL").unionByName(same.where("symbol IS NOT NULL").join(mixed, "symbol", "left_semi"))
-    # One row of each: the least key among equal blocks; equal blocks of one text are told apart by their start.
-    chosen = blocks.join(asked.select("one", "two", "key", "copies"), ["one", "two", "key"])
-    windows = stored(chosen.dropDuplicates(["one", "two"]).select("key", "low", "copies", "body").mapInArrow(
-        _window_rows, "one bigint, two bigint, copies bigint, key binary, start int"))
+    asked = same.where("symbol IS NULL").unionByName(same.join(mixed, "symbol", "left_semi"))
+    # Equal blocks inside one text: any of them will do.
+    chosen = stored(blocks.join(asked.select("one", "two", "key", "copies"), ["one", "two", "key"]).dropDuplicates(["one", "two"]))
+    groups = stored(
+        chosen.where("symbol IS NOT NULL").mapInArrow(
+            _group_rows,
+            "key binary, low int, start int, stop int, core_one bigint, core_two bigint, hull_one bigint, hull_two bigint, copies bigint",
+        )
+    )
+    # The same once more for groups of windows, where blocks differ only in part: groups whose core is nowhere else are out.
+    core, hull = ["core_one", "core_two"], ["hull_one", "hull_two"]
+    alike = stored(
+        groups.groupBy(*core, *hull).agg(F.sum("copies").alias("copies"), F.min(F.struct("key", "low", "start", "stop")).alias("at"))
+    )
+    part = groups.where("copies = 1").join(alike.where("copies > 1").select(*hull).distinct(), hull, "left_semi")
+    differing = alike.groupBy(*core).count().where("count > 1").select(*core)
+    open_groups = alike.join(differing, core, "left_semi").select("at.*", "copies")
+    bare = chosen.where("symbol IS NULL").select("key", "low", F.col("low").alias("start"), F.col("high").alias("stop"), "copies")
+    ranges = open_groups.unionByName(bare).groupBy("key", "low").agg(F.collect_list(F.struct("start", "stop", "copies")).alias("asked"))
+    windows = stored(
+        chosen.select("key", "low", "body")
+        .join(ranges, ["key", "low"])
+        .mapInArrow(_window_rows, "one bigint, two bigint, copies bigint, key binary, start int")
+    )
     twice = windows.groupBy("one", "two").agg(F.sum("copies").alias("n")).where("n > 1").select("one", "two")
     single = windows.where("copies = 1").join(twice, ["one", "two"], "left_semi")
-    return whole.unionByName(single.select("key", F.col("start").alias("low"), F.col("start").alias("high")))
+    return (
+        whole.unionByName(part.select("key", F.col("start").alias("low"), F.col("stop").alias("high")))
+        .unionByName(single.select("key", F.col("start").alias("low"), F.col("start").alias("high")))
+    )
 
 
 def _covered(n: int, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
