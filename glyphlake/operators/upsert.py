@@ -8,9 +8,8 @@ from pyspark.sql import types as T
 
 from glyphlake.session import cut_lineage
 
-
-# Texts per row of a growing list; one row stays far below the size a task handles at ease.
-INLINE_ROWS = 10_000
+# Fixed value: how many of a document's texts are shown with it.
+SHOWN_TEXTS = 3
 
 
 def given(name: str, kind: T.DataType) -> Column:
@@ -92,45 +91,51 @@ def append_positions(
         .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
         .drop("__n")
     )
+    # Old counts meet the few counts of ranges, not the rows: a hot document is split by its ranges.
     start = existing_counts.select(id_col, F.col("n").alias("__old"))
+    counts = counts.join(start, id_col, "left").withColumn("__before", F.col("__before") + F.coalesce("__old", F.lit(0)))
     return (
         cut.withColumn("__at", F.row_number().over(inside) - 1)
-        .join(counts, [id_col, "__range"])
-        .join(start, id_col, "left")
-        .withColumn("pos", F.coalesce("__old", F.lit(0)) + F.col("__before") + F.col("__at"))
-        .drop("__range", "__at", "__before", "__old")
+        .join(counts.drop("__old"), [id_col, "__range"])
+        .withColumn("pos", F.col("__before") + F.col("__at"))
+        .drop("__range", "__at", "__before")
     )
 
 
+def split_descriptions(index: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """An index with lists of descriptions as documents without them and a table ``id, pos, description``."""
+    texts = index.select(id_col, F.posexplode("descriptions").alias("pos", "description"))
+    return index.drop("descriptions"), texts.withColumn("pos", F.col("pos").cast("bigint"))
+
+
 def upsert_descriptions(
-    index: DataFrame,
+    documents: DataFrame,
+    texts: DataFrame,
     updates: DataFrame,
     order_by: str | list[str],
     id_col: str = "doc_id",
-    inline_rows: int = INLINE_ROWS,
-) -> DataFrame:
-    """Merge rows ``doc_id, description, <vectors>`` into documents with a descriptions list.
+) -> tuple[DataFrame, DataFrame]:
+    """Merge rows ``doc_id, description, <fields>``; returns the new documents and the new texts.
 
-    ``descriptions`` becomes the old list and the new texts in arrival order, duplicates kept;
-    all other fields take the last value given. A list is cut every ``inline_rows`` texts: the
-    document itself is ``part`` 0, and a longer list goes on in rows of its own with parts 1, 2, ...
-    that hold only the id and their piece. So no row and no task ever holds an unbounded list.
+    Texts are a table of their own, ``doc_id, pos, description``: one row a text, new ones after the
+    old in arrival order, duplicates kept. A document stays one row with the last value given of
+    every other field, however many texts it has.
     """
     keys = [order_by] if isinstance(order_by, str) else order_by
-    empty = F.array().cast("array<string>")
-    old = index if "descriptions" in index.columns else index.withColumn("descriptions", empty)
-    old = old if "part" in old.columns else old.withColumn("part", F.lit(0).cast("bigint"))
-    counts = old.groupBy(id_col).agg(F.sum(F.coalesce(F.size("descriptions"), F.lit(0))).alias("n"))
+    counts = texts.groupBy(id_col).agg((F.max("pos") + 1).alias("n"))
     # The text itself is the last sort key, which fixes the order of equal arrival keys.
     placed = append_positions(counts, updates.select(id_col, *keys, "description"), [*keys, "description"], id_col)
-    pieces = placed.select(
-        id_col, F.floor(F.col("pos") / inline_rows).alias("part"), F.struct("pos", "description").alias("row")
+    grown = texts.unionByName(placed.select(id_col, "pos", "description"))
+    return upsert(documents, latest_fields(updates.drop("description"), keys, id_col), id_col=id_col), grown
+
+
+def with_descriptions(documents: DataFrame, texts: DataFrame, shown: int = SHOWN_TEXTS, id_col: str = "doc_id") -> DataFrame:
+    """Documents with their first ``shown`` texts and the number of all."""
+    first = F.collect_list(F.when(F.col("pos") < shown, F.struct("pos", "description")))
+    counts = texts.groupBy(id_col).agg(
+        F.count("*").alias("n_descriptions"), F.transform(F.array_sort(first), lambda t: t["description"]).alias("descriptions")
     )
-    texts = pieces.groupBy(id_col, "part").agg(
-        F.transform(F.array_sort(F.collect_list("row")), lambda row: row["description"]).alias("__new")
+    empty = F.array().cast("array<string>")
+    return documents.join(counts, id_col, "left").withColumns(
+        {"n_descriptions": F.coalesce("n_descriptions", F.lit(0)), "descriptions": F.coalesce("descriptions", empty)}
     )
-    fields = latest_fields(updates.drop("description"), keys, id_col).withColumn("part", F.lit(0).cast("bigint"))
-    changes = texts.join(fields, [id_col, "part"], "full_outer")
-    merged = upsert(old, changes, id_col=[id_col, "part"])
-    lists = F.concat(F.coalesce("descriptions", empty), F.coalesce("__new", empty))
-    return merged.withColumn("descriptions", lists).drop("__new")

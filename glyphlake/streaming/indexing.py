@@ -2,7 +2,7 @@
 
 A batch is appended as its own partition of an update log, keyed by the batch number: a batch that
 is replayed after a failure replaces its own rows and nothing else. Readers merge the log over the
-last written index state, and a periodic merge writes that as the next state.
+last written index state; ``compact`` merges what is new into the next version and marks how far it got.
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ from pyspark.sql.utils import AnalysisException
 from glyphlake.operators.runs import batch_status
 from glyphlake.operators.upsert import upsert, upsert_descriptions
 
-# Items per batch and pause between batches, per kind of item.
-BATCH_SIZES = {"text": 10, "svg": 10, "image": 5}
+# Pause between batches, per kind of item.
 PAUSES = {"text": "100 milliseconds", "svg": "100 milliseconds", "image": "200 milliseconds"}
 
 
@@ -69,9 +68,45 @@ def read_status(spark: SparkSession, log_path: str) -> DataFrame:
     )
 
 
-def merged_index(index: DataFrame, updates: DataFrame | None, arrival: str, append: bool = False) -> DataFrame:
-    """The index with the log applied in (batch, arrival) order; with ``append`` descriptions grow."""
-    if updates is None:
-        return index
-    order = ["batch_id", arrival]
-    return upsert_descriptions(index, updates, order) if append else upsert(index, updates, order_by=order)
+def merged_index(index: DataFrame, updates: DataFrame | None, arrival: str) -> DataFrame:
+    """The index with the log applied in (batch, arrival) order."""
+    return index if updates is None else upsert(index, updates, order_by=["batch_id", arrival])
+
+
+def compacted(spark: SparkSession, root: str) -> tuple[int, int]:
+    """The last complete version below ``root`` and the last batch merged into it; (0, -1) before the first."""
+    try:
+        row = spark.read.parquet(f"{root}/marks").agg(F.max(F.struct("version", "batch")).alias("last")).first()["last"]
+    except AnalysisException:
+        return 0, -1
+    return row["version"], row["batch"]
+
+
+def read_compacted(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and texts of the last complete version."""
+    version, _ = compacted(spark, root)
+    return tuple(spark.read.parquet(f"{root}/version={version}/{part}") for part in ("documents", "texts"))
+
+
+def compact(spark: SparkSession, root: str, log_path: str, arrival: str, documents: DataFrame, texts: DataFrame) -> int:
+    """Merge the logged batches that are not merged yet into the next version; returns its number.
+
+    ``documents`` and ``texts`` are the state before the first version. A version counts once its
+    mark is written, after its tables; a run that failed before is repeated over the same batches, and a
+    run without new batches changes nothing. So every update is applied once.
+    """
+    version, batch = compacted(spark, root)
+    updates = read_updates(spark, log_path)
+    fresh = None if updates is None else updates.where(F.col("batch_id") > batch)
+    last = None if fresh is None else fresh.agg(F.max("batch_id")).first()[0]
+    if last is None:
+        return version
+    if version:
+        documents, texts = read_compacted(spark, root)
+    documents, texts = upsert_descriptions(documents, texts, fresh, ["batch_id", arrival])
+    place = f"{root}/version={version + 1}"
+    documents.write.mode("overwrite").parquet(f"{place}/documents")
+    texts.write.mode("overwrite").parquet(f"{place}/texts")
+    mark = spark.range(1).select(F.lit(version + 1).alias("version"), F.lit(int(last)).cast("bigint").alias("batch"))
+    mark.coalesce(1).write.mode("append").parquet(f"{root}/marks")
+    return version + 1

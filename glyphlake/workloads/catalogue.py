@@ -14,7 +14,9 @@ from glyphlake.operators.catalog import (
 from glyphlake.operators.runs import (
     batch_errors, batch_status, failed_icons, list_indexed, process_icons, run_summary,
 )
-from glyphlake.operators.upsert import append_positions, latest_fields, upsert, upsert_descriptions
+from glyphlake.operators.upsert import (
+    append_positions, latest_fields, split_descriptions, upsert, upsert_descriptions, with_descriptions,
+)
 from glyphlake.sources.corpus import outside_skipped_dirs, parse_name_map
 from glyphlake.sources.index_store import exists, get
 from glyphlake.sources.requests import read_items, validate_requests
@@ -261,18 +263,31 @@ def said(spark, sf):
 SQL_LISTS = """n AS (SELECT conv_id, list(text ORDER BY turn, text) AS texts, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id)"""
 
 
+def appended(spark, sf):
+    return upsert_descriptions(*split_descriptions(described(spark, sf)), said(spark, sf), "turn")
+
+
 @register(
     "upsert_descriptions",
     f"""WITH {SQL_LISTS}, m AS (SELECT coalesce(doc_id, conv_id) AS doc_id, coalesce(role, lang) AS lang,
   list_concat(CASE WHEN doc_id IS NULL THEN [] ELSE [source] END, coalesce(texts, [])) AS descriptions
   FROM documents FULL JOIN n ON conv_id = doc_id)
-SELECT doc_id, lang, len(descriptions) AS n, md5(array_to_string(descriptions, '|')) AS digest FROM m""",
+SELECT doc_id, lang, len(descriptions) AS n, md5(array_to_string(descriptions[:3], '|')) AS digest FROM m""",
 )
-def appended(spark, sf):
-    found = upsert_descriptions(described(spark, sf), said(spark, sf), "turn")
-    return found.select(
-        "doc_id", "lang", F.size("descriptions").cast("bigint").alias("n"), F.md5(F.array_join("descriptions", "|")).alias("digest")
-    )
+def appended_documents(spark, sf):
+    """Every document once, with the number of its texts and the first three."""
+    found = with_descriptions(*appended(spark, sf))
+    return found.select("doc_id", "lang", F.col("n_descriptions").alias("n"), F.md5(F.array_join("descriptions", "|")).alias("digest"))
+
+
+@register(
+    "description_texts",
+    """SELECT doc_id, 0::BIGINT AS pos, source AS description FROM documents
+UNION ALL SELECT conv_id, coalesce(d.n, 0) + row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1, text
+FROM conversations c LEFT JOIN (SELECT doc_id, 1 AS n FROM documents) d ON d.doc_id = c.conv_id""",
+)
+def appended_texts(spark, sf):
+    return appended(spark, sf)[1].select("doc_id", "pos", "description")
 
 
 @register(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from glyphlake.operators.upsert import latest_fields
 from glyphlake.session import ROCKSDB, work_folder
-from glyphlake.streaming.indexing import micro_batch_index, read_status, read_updates
+from glyphlake.streaming.indexing import compact, micro_batch_index, read_compacted, read_status, read_updates
 from glyphlake.streaming.limits import rate_limit_stream
 from glyphlake.streaming.windows import debounce_stream, span_metrics_stream
 from glyphlake.workloads.base import SQL_REQUESTS, table
@@ -101,3 +101,23 @@ def indexed_stream(spark, sf):
     status = read_status(spark, f"{place}/log").first()
     rows = latest_fields(read_updates(spark, f"{place}/log"), "batch_id")
     return rows.select("doc_id", "n", F.lit(status["total"]).alias("total"), F.lit(status["success"]).alias("success"))
+
+
+@register(
+    "compact",
+    """WITH t AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS pos, text, role, turn FROM conversations)
+SELECT doc_id, pos, md5(text) AS digest, arg_max(role, turn) OVER (PARTITION BY doc_id) AS last_role, 2 AS version FROM t""",
+)
+def compacted_log(spark, sf):
+    """The turns as a log of two batches, merged after each batch and, without effect, once more."""
+    root, log = work_folder(spark), work_folder(spark)
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("description"), F.col("role"), "turn")
+    none = turns.limit(0)
+    versions = []
+    for batch, part in enumerate((turns.where("turn < 2"), turns.where("turn >= 2"))):
+        part.write.parquet(f"{log}/updates/batch_id={batch}")
+        for _ in range(2):
+            versions.append(compact(spark, root, log, "turn", none.select("doc_id", "role"), none.select("doc_id", F.lit(0).cast("bigint").alias("pos"), "description")))
+    documents, texts = read_compacted(spark, root)
+    rows = texts.join(documents, "doc_id").select("doc_id", "pos", F.md5("description").alias("digest"), F.col("role").alias("last_role"))
+    return rows.withColumn("version", F.lit(versions[-1]))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from glyphlake.operators.ratelimit import rate_limit
 from glyphlake.operators.runs import span_metrics
-from glyphlake.streaming.indexing import merged_index, micro_batch_index, read_status, read_updates
+from glyphlake.streaming.indexing import compact, merged_index, micro_batch_index, read_compacted, read_status, read_updates
 from glyphlake.streaming.limits import rate_limit_stream
 from glyphlake.streaming.windows import debounce_stream, span_metrics_stream
 from glyphlake.workloads.base import requests_by_user, table
@@ -93,8 +93,7 @@ def encode(batch):
     return batch.withColumn("length", F.length("description")).withColumn("error", F.when(F.col("description").isNull(), "no text"))
 
 
-@pytest.mark.parametrize("append", [True, False])
-def test_micro_batches_and_replay(spark, tmp_path, append):
+def test_micro_batches_and_replay(spark, tmp_path):
     source, log, state = (str(tmp_path / n) for n in ("in", "log", "state"))
     assert read_updates(spark, log) is None
     items(spark, source, [("a", 1, "one"), ("b", 2, None)])
@@ -116,11 +115,20 @@ def test_micro_batches_and_replay(spark, tmp_path, append):
     replayed = spark.read.parquet(f"{log}/updates/batch_id=0").collect()
     spark.createDataFrame(replayed, "doc_id string, seq int, description string, length int").write.mode("overwrite").parquet(f"{log}/updates/batch_id=0")
     assert sorted(map(tuple, read_updates(spark, log).collect())) == before
-    index = spark.createDataFrame([("a", ["zero"], "keep")], "doc_id string, descriptions array<string>, tag string")
-    found = {r.doc_id: r for r in merged_index(index, read_updates(spark, log), "seq", append).collect()}
-    assert set(found) == {"a", "c"} and found["a"].tag == "keep" and found["a"].length == 5
-    if append:
-        assert found["a"].descriptions == ["zero", "one", "three"] and found["c"].descriptions == ["four"]
-    else:
-        assert found["a"].description == "three"
+    index = spark.createDataFrame([("a", "keep")], "doc_id string, tag string")
+    found = {r.doc_id: r for r in merged_index(index, read_updates(spark, log), "seq").collect()}
+    assert set(found) == {"a", "c"} and found["a"].tag == "keep" and found["a"].length == 5 and found["a"].description == "three"
     assert merged_index(index, None, "seq") is index
+    # Merging takes each batch once, however often it runs.
+    root = str(tmp_path / "index")
+    texts = spark.createDataFrame([("a", 0, "zero")], "doc_id string, pos bigint, description string")
+    assert compact(spark, root, str(tmp_path / "none"), "seq", index, texts) == 0
+    assert [compact(spark, root, log, "seq", index, texts) for _ in range(2)] == [1, 1]
+    items(spark, source, [("a", 5, "five")])
+    run()
+    assert [compact(spark, root, log, "seq", index, texts) for _ in range(2)] == [2, 2]
+    documents, texts = read_compacted(spark, root)
+    assert sorted(map(tuple, texts.select("doc_id", "pos", "description").collect())) == [
+        ("a", 0, "zero"), ("a", 1, "one"), ("a", 2, "three"), ("a", 3, "five"), ("c", 0, "four")
+    ]
+    assert {r.doc_id: (r.tag, r.length) for r in documents.collect()} == {"a": ("keep", 4), "c": (None, 4)}

@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphlake.operators import runs
-from glyphlake.operators.upsert import append_positions, latest_fields, upsert, upsert_descriptions
+from glyphlake.operators.upsert import (
+    append_positions, latest_fields, split_descriptions, upsert, upsert_descriptions, with_descriptions,
+)
 
 
 def test_partial_merge(spark):
@@ -24,18 +26,23 @@ def test_descriptions_grow_in_order(spark):
     index = spark.createDataFrame([("a", ["one"], "keep"), ("b", None, "b")], "doc_id string, descriptions array<string>, tag string")
     rows = [("a", 2, "three", [3.0]), ("a", 1, "two", [2.0]), ("a", 3, "one", None), ("c", 1, "new", [9.0]), ("b", 1, None, None)]
     updates = spark.createDataFrame(rows, "doc_id string, seq int, description string, v array<float>")
-    found = {r.doc_id: (r.descriptions, r.tag, r.v) for r in upsert_descriptions(index, updates, "seq").collect()}
-    assert found["a"] == (["one", "two", "three", "one"], "keep", [3.0])
-    assert found["c"] == (["new"], None, [9.0])
-    assert found["b"] == ([None], "b", None)
-    cut = upsert_descriptions(index, updates, "seq", inline_rows=2)
-    parts = {(r.doc_id, r.part): (r.descriptions, r.tag) for r in cut.collect()}
-    assert parts == {("a", 0): (["one", "two"], "keep"), ("a", 1): (["three", "one"], None), ("b", 0): ([None], "b"), ("c", 0): (["new"], None)}
-    again = upsert_descriptions(cut, spark.createDataFrame([("a", 1, "five", [5.0])], updates.schema), "seq", inline_rows=2)
-    parts = {(r.doc_id, r.part): (r.descriptions, r.v) for r in again.where("doc_id = 'a'").collect()}
-    assert parts == {("a", 0): (["one", "two"], [5.0]), ("a", 1): (["three", "one"], None), ("a", 2): (["five"], None)}
-    fresh = upsert_descriptions(index.drop("descriptions"), updates, "seq")
-    assert {r.doc_id: r.descriptions for r in fresh.collect()}["a"] == ["two", "three", "one"]
+    documents, texts = upsert_descriptions(*split_descriptions(index), updates, "seq")
+    lists = lambda df: {d: [t for _, t in sorted(x)] for d, x in grouped(df).items()}
+    assert lists(texts) == {"a": ["one", "two", "three", "one"], "b": [None], "c": ["new"]}
+    assert {r.doc_id: (r.tag, r.v) for r in documents.collect()} == {"a": ("keep", [3.0]), "b": ("b", None), "c": (None, [9.0])}
+    more = spark.createDataFrame([("a", n, f"t{n}", [5.0]) for n in range(8)], updates.schema)
+    documents, texts = upsert_descriptions(documents, texts, more, "seq")
+    assert lists(texts)["a"] == ["one", "two", "three", "one", *(f"t{n}" for n in range(8))]
+    assert documents.count() == 3
+    shown = {r.doc_id: (r.n_descriptions, r.descriptions) for r in with_descriptions(documents, texts).collect()}
+    assert shown == {"a": (12, ["one", "two", "three"]), "b": (1, [None]), "c": (1, ["new"])}
+
+
+def grouped(texts):
+    found = {}
+    for r in texts.collect():
+        found.setdefault(r.doc_id, []).append((r.pos, r.description))
+    return found
 
 
 @pytest.mark.parametrize("pieces", [1, 7])
