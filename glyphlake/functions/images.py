@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import base64
-import struct
-import zlib
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -184,61 +182,17 @@ def mean_pool(gray: np.ndarray, dims: int) -> np.ndarray:
     return (sums / np.outer(rows, columns)).ravel()
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """Pixels of an 8-bit, non-interlaced PNG as gray or RGB; alpha is dropped."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
-        raise ValueError("not a PNG image")
-    at, body, palette, header = 8, b"", None, None
-    while at + 8 <= len(data):
-        length, kind = struct.unpack(">I4s", data[at : at + 8])
-        chunk = data[at + 8 : at + 8 + length]
-        at += 12 + length
-        if kind == b"IHDR":
-            header = struct.unpack(">IIBBBBB", chunk)
-        elif kind == b"PLTE":
-            palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
-        elif kind == b"IDAT":
-            body += chunk
-    if header is None or header[2] != 8 or header[6] != 0:
-        raise ValueError("only 8-bit, non-interlaced PNG images are read")
-    width, height, channels = header[0], header[1], {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[header[3]]
-    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * channels)
-    image = np.zeros((height + 1, width + 1, channels), dtype=np.uint8)
-    for y in range(height):
-        _unfilter(image, y + 1, int(lines[y, 0]), lines[y, 1:].reshape(width, channels))
-    pixels = image[1:, 1:]
-    if palette is not None and header[3] == 3:
-        return palette[pixels[..., 0]]
-    return pixels[..., 0] if channels <= 2 else pixels[..., :3]
-
-
-def _unfilter(image: np.ndarray, y: int, kind: int, line: np.ndarray) -> None:
-    """Undo the PNG row filter of one line; ``image`` has a zero row above and column before it."""
-    up = image[y - 1, 1:]
-    if kind == 0:
-        image[y, 1:] = line
-    elif kind == 1:
-        image[y, 1:] = np.cumsum(line, axis=0, dtype=np.uint64).astype(np.uint8)
-    elif kind == 2:
-        image[y, 1:] = line + up
-    else:
-        for x in range(len(line)):
-            left, above = image[y, x].astype(int), up[x].astype(int)
-            corner = image[y - 1, x].astype(int)
-            if kind == 3:
-                guess = (left + above) // 2
-            else:
-                base = left + above - corner
-                d = [np.abs(base - left), np.abs(base - above), np.abs(base - corner)]
-                guess = np.where((d[0] <= d[1]) & (d[0] <= d[2]), left, np.where(d[1] <= d[2], above, corner))
-            image[y, x + 1] = (line[x] + guess) & 255
+IMAGE_STRUCT = "struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
 
 
-IMAGE_STRUCT = "struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
+Decoder = Callable[[bytes], np.ndarray]
 
 
-def decode_base64_images(df: DataFrame, col: str, out: str = "image") -> DataFrame:
-    """Adds the image-source struct of base64 payloads; undecodable ones get height -1, no data."""
+def decode_base64_images(df: DataFrame, col: str, decoder: Decoder, out: str = "image") -> DataFrame:
+    """Adds the image-source struct of base64 payloads; undecodable ones get height -1, no data.
+
+    ``decoder`` turns the bytes of an image file into gray (rows, columns) or RGB (rows, columns, 3) pixels.
+    """
 
     @F.pandas_udf(IMAGE_STRUCT)
     def decode(payloads: pd.Series) -> pd.DataFrame:
@@ -248,7 +202,7 @@ def decode_base64_images(df: DataFrame, col: str, out: str = "image") -> DataFra
                 rows.append((None, None, None, None, None, None))
                 continue
             try:
-                pixels = decode_png(base64.b64decode(payload, validate=False))
+                pixels = decoder(base64.b64decode(payload, validate=False))
                 planes = pixels[..., None] if pixels.ndim == 2 else pixels[..., ::-1]
                 h, w, n = planes.shape
                 rows.append(("", h, w, n, 0 if n == 1 else 16, np.ascontiguousarray(planes).tobytes()))

@@ -17,14 +17,17 @@ HOT_ROWS = 1_000_000
 SALTS = 32
 
 
-def _width(name: str, kind: T.DataType) -> Column:
-    """Approximate bytes of one value."""
-    column = F.col(f"`{name}`")
+def _width(column: Column, kind: T.DataType) -> Column:
+    """Approximate bytes of one value, nested ones included."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
         size = F.octet_length(column)
+    elif isinstance(kind, T.StructType):
+        size = reduce(lambda a, b: a + b, [_width(column[f.name], f.dataType) for f in kind.fields], F.lit(16).cast("bigint"))
     elif isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType)):
         size = F.size(column) * 8
-    elif isinstance(kind, (T.ArrayType, T.MapType)):
+    elif isinstance(kind, T.ArrayType):
+        size = F.aggregate(column, F.lit(0).cast("bigint"), lambda n, x: n + 16 + _width(x, kind.elementType))
+    elif isinstance(kind, T.MapType):
         size = F.octet_length(column.cast("string"))
     else:
         size = F.lit(16)
@@ -33,7 +36,7 @@ def _width(name: str, kind: T.DataType) -> Column:
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """True when ``df`` stays within both bounds; stops reading once the row bound is passed."""
-    width = reduce(lambda a, b: a + b, [_width(f.name, f.dataType) for f in df.schema.fields], F.lit(16).cast("bigint"))
+    width = reduce(lambda a, b: a + b, [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields], F.lit(16).cast("bigint"))
     # The row bound first: only then is a whole width worth adding up.
     found = df.select(width.alias("w")).limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum("w").alias("w")).first()
     return found["n"] <= max_rows and (found["w"] or 0) <= max_bytes

@@ -125,8 +125,12 @@ class _QueryBlock:
     """The query side of a task: per field the unit matrix and where its rows come from."""
 
     def __init__(self, frame: pd.DataFrame, fields: list[str]):
+        # Vectors meet only others of their length: that of most queries. Odd ones, on either side, have no hits.
+        lengths = frame["vector"].map(lambda v: 0 if v is None else len(v))
+        self.dims = int(lengths[lengths > 0].mode().min()) if (lengths > 0).any() else 0
+        frame = frame[(lengths == self.dims) & (lengths > 0)].reset_index(drop=True)
         self.query_id = frame["query_id"].to_numpy()
-        matrix = _unit(np.array(frame["vector"].tolist(), dtype=np.float64))
+        matrix = _unit(np.array(frame["vector"].tolist(), dtype=np.float64).reshape(len(frame), self.dims))
         groups = frame["__group"].to_numpy(dtype=object) if "__group" in frame else None
         wanted = frame["__fields"].tolist() if "__fields" in frame else None
         self.parts = {}
@@ -142,8 +146,7 @@ class _QueryBlock:
         for batch in batches:
             table = pa.table(batch) if isinstance(batch, pa.RecordBatch) else batch
             for name, state in best.items():
-                # An empty vector counts as absent, like a missing one.
-                part = table.filter(pa.compute.greater(pa.compute.list_value_length(table.column(name)), 0))
+                part = table.filter(pa.compute.equal(pa.compute.list_value_length(table.column(name)), self.dims))
                 if part.num_rows == 0:
                     continue
                 groups = None

@@ -94,12 +94,18 @@ def similar_pairs(
     """All pairs of distinct vectors with cosine above ``threshold``, exactly.
 
     ``doc_a, doc_b, copies_a, copies_b, similarity`` with the smallest id standing for all copies
-    of a vector and ``doc_a < doc_b``. Copies are folded first, so a vector held by many documents
+    of a vector and ``doc_a < doc_b``; a vector with copies also has a row with itself. Copies are folded first, so a vector held by many documents
     costs one row. Vectors are then placed in cells of a grid over a few directions; only cells
     within reach meet, each cut into blocks of at most ``chunk_rows`` rows, and a block hands out
     nothing but its matches.
     """
-    return _match_cells(_placed(df, field, threshold, id_col, grid_axes), field, threshold, chunk_rows)
+    found = _match_cells(_placed(df, field, threshold, id_col, grid_axes), field, threshold, chunk_rows)
+    # Copies are similar as well: a row that pairs their vector with itself.
+    own = _copies(df, field, threshold, id_col).select(
+        F.col("group_id").alias("doc_a"), F.col("group_id").alias("doc_b"), F.col("copies").alias("copies_a"),
+        F.col("copies").alias("copies_b"), "similarity",
+    )
+    return found.unionByName(own)
 
 
 def _placed(df: DataFrame, field: str, threshold: float, id_col: str, grid_axes: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.functions.images import decode_base64_images
+from glyphlake.functions.images import Decoder, decode_base64_images
 from glyphlake.functions.text import format_hit, report_title, strip_data_uri
 from glyphlake.operators.encoders import embed_image, embed_svg, embed_text, text_postings
 from glyphlake.operators.joins import lookup_join
@@ -85,13 +85,22 @@ def hybrid_search(
     return ranked.join(totals.groupBy("query_id").agg(F.sum("total").alias("total")), "query_id")
 
 
-def encode_queries(queries: DataFrame, text_dims: int = TEXT_DIMS, visual_dims: int = VISUAL_DIMS) -> DataFrame:
-    """Adds ``vector`` and ``error`` to valid requests of any type with the default encoders."""
+def _no_decoder(data: bytes):
+    raise ValueError("image requests need a decoder")
+
+
+def encode_queries(
+    queries: DataFrame, text_dims: int = TEXT_DIMS, visual_dims: int = VISUAL_DIMS, decoder: Decoder | None = None
+) -> DataFrame:
+    """Adds ``vector`` and ``error`` to valid requests of any type with the default encoders.
+
+    ``decoder`` reads the image files of image requests; without one they have an error.
+    """
     good = validate_requests(queries)
     text = embed_text(good.where("valid AND type = 'text'"), "query", "vector", text_dims)
     svg = embed_svg(good.where("valid AND type = 'svg'"), "query", "vector", visual_dims)
     pictures = good.where("valid AND type = 'image'").withColumn("__payload", strip_data_uri("query"))
-    image = embed_image(decode_base64_images(pictures, "__payload", "__image"), "__image", "vector", visual_dims)
+    image = embed_image(decode_base64_images(pictures, "__payload", decoder or _no_decoder, "__image"), "__image", "vector", visual_dims)
     columns = [*queries.columns, "vector", "error"]
     parts = [
         text.withColumn("error", F.lit(None).cast("string")).select(*columns),

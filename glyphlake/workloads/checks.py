@@ -38,7 +38,8 @@ def groups(spark, sf):
 
 @register(
     "similar_pairs",
-    f"WITH {SQL_DOC_VECTORS}, {SQL_PAIRS} SELECT doc_a, doc_b, copies_a, copies_b, round(similarity, 6) AS similarity FROM sp",
+    f"WITH {SQL_DOC_VECTORS}, {SQL_PAIRS} SELECT doc_a, doc_b, copies_a, copies_b, round(similarity, 6) AS similarity FROM sp "
+    "UNION ALL SELECT rep, rep, copies, copies, 1.0 FROM cp WHERE copies > 1 AND list_sum(list_transform(v, lambda x: abs(x))) > 0",
 )
 def near(spark, sf):
     return similar_pairs(text_index(spark, sf), "text_embedding").withColumn("similarity", F.round("similarity", 6))

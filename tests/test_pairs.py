@@ -51,6 +51,7 @@ def test_pairs_of_distinct_vectors(df, threshold, options):
             first.setdefault(tuple(v), []).append(ident)
     heads = {min(ids): len(ids) for ids in first.values()}
     expected = {p: s for p, s in sorted_pairs(brute(threshold)).items() if p[0] in heads and p[1] in heads}
+    expected |= {(i, i): 1.0 for i, n in heads.items() if n > 1}
     found = similar_pairs(df, "v", threshold, **options).collect()
     assert len(found) == len(expected)
     for r in found:

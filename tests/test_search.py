@@ -2,7 +2,7 @@ import base64
 
 import numpy as np
 import pytest
-from conftest import png_bytes
+from conftest import png_bytes, read_png
 from pyspark.sql import functions as F
 
 from glyphlake.operators.encoders import embed_image, embed_sparse, embed_svg, embed_text
@@ -37,7 +37,7 @@ def index(spark):
     df = embed_sparse(embed_text(df, "text"), "text")
     df = embed_svg(embed_svg(df, "s", "icon_svg_embedding"), "ts", "token_svg_embedding")
     for source, out in (("p", "icon_image_embedding"), ("tp", "token_image_embedding")):
-        df = embed_image(decode_base64_images(df, source, f"{source}_i"), f"{source}_i", out)
+        df = embed_image(decode_base64_images(df, source, read_png, f"{source}_i"), f"{source}_i", out)
     names = [c for c in DOC_SCHEMA.fieldNames() if c in df.columns]
     return df.select(*names).cache()
 
@@ -57,7 +57,7 @@ def test_every_kind_of_request(spark, index):
         ("broken", "image", "@@", None, None),
         ("odd", "sound", "x", None, None),
     )
-    encoded = encode_queries(queries)
+    encoded = encode_queries(queries, decoder=read_png)
     errors = {r.query_id: r.error for r in encoded.collect()}
     assert errors["text"] is errors["image"] is errors["svg"] is None
     assert errors["blank"] and errors["broken"] and errors["odd"]
