@@ -276,7 +276,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     # Equal blocks settle each other. Of those, one stands for all in the comparison with different blocks.
     same = stored(blocks.groupBy("symbol", "one", "two").agg(F.count("*").alias("copies"), F.min("key").alias("key")))
     settled = same.where("copies > 1").select("one", "two")
-    whole = blocks.join(settled, ["one", "two"], "left_semi").select("key", "low", "high")
+    whole = blocks.select("key", "low", "high", "one", "two").join(settled, ["one", "two"], "left_semi").select("key", "low", "high")
     mixed = same.where("symbol IS NOT NULL").groupBy("symbol").count().where("count > 1").select("symbol")
     asked = same.where("symbol IS NULL").unionByName(same.join(mixed, "symbol", "left_semi"))
     # Equal blocks inside one text: any of them will do.
@@ -346,7 +346,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     known = docs.select(key.alias("key"), F.octet_length(column).alias("n"))
     copies = known.where(F.col("n") >= LENGTH).groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("n")).where("c > 1")
     copied = copies.select("key", F.lit(0).alias("low"), (F.col("n") - LENGTH).cast("int").alias("high"))
-    ranges = repeated_windows(texts).unionByName(copied)
+    # All rows of one text find the same ranges: without repeats a list is as long as its text at most.
+    ranges = repeated_windows(texts).unionByName(copied).distinct()
     lists = stored(ranges.groupBy("key").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")))
     rows = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(column, F.lit("")).cast("binary").alias("data"), key.alias("key")
