@@ -225,7 +225,11 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of the asked ranges (start, stop, copies) of a block: its hash, how often it is there, its start."""
+    """The windows of the asked ranges (start, stop, copies) of blocks: hash, how often it is there, start.
+
+    Windows that meet an equal one in the batch are settled here: one row with their number stands for all of them, and
+    their starts follow as runs, rows without a hash. Periodic passages shrink to a period this way.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
@@ -234,18 +238,32 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests = (
                 xxhash.xxh128_digest(bodies[i][x - lows[i] : x - lows[i] + LENGTH]) for i, a, b, _ in ranges for x in range(a, b + 1)
             )
-            pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            pairs = np.frombuffer(b"".join(digests), np.dtype([("one", np.int64), ("two", np.int64)]))
             counts = [b - a + 1 for _, a, b, _ in ranges]
             which = np.repeat(np.arange(len(ranges)), counts)
             inside = np.arange(len(which)) - np.repeat(np.cumsum(counts, dtype=np.int64) - counts, counts)
             block, first, copies = (np.array([r[k] for r in ranges], np.int64)[which] for k in (0, 1, 3))
+            start = first + inside
+            order = np.lexsort((pairs["two"], pairs["one"]))
+            sorted_pairs = pairs[order]
+            heads = np.flatnonzero(np.r_[True, sorted_pairs[1:] != sorted_pairs[:-1]]) if len(order) else order
+            chosen, total = order[heads], np.add.reduceat(copies[order], heads) if len(order) else copies
+            met = np.zeros(len(order), bool)
+            met[order] = np.repeat(np.diff(np.r_[heads, len(order)]) > 1, np.diff(np.r_[heads, len(order)]))
+            places = np.flatnonzero(met)
+            opens = np.r_[True, (np.diff(start[places]) != 1) | (np.diff(block[places]) != 0)] if len(places) else places
+            run_first = places[np.flatnonzero(opens)]
+            run_last = places[np.r_[np.flatnonzero(opens)[1:] - 1, len(places) - 1]] if len(places) else places
+            none = pa.nulls(len(run_first), pa.int64())
+            key = pa.array(keys, pa.binary())
             yield pa.record_batch(
                 {
-                    "one": np.ascontiguousarray(pairs[:, 0]),
-                    "two": np.ascontiguousarray(pairs[:, 1]),
-                    "copies": copies,
-                    "key": pa.array(keys, pa.binary()).take(pa.array(block)),
-                    "start": (first + inside).astype(np.int32),
+                    "one": pa.concat_arrays([pa.array(np.ascontiguousarray(pairs["one"][chosen])), none]),
+                    "two": pa.concat_arrays([pa.array(np.ascontiguousarray(pairs["two"][chosen])), none]),
+                    "copies": pa.concat_arrays([pa.array(total), none]),
+                    "key": key.take(pa.array(np.r_[block[chosen], block[run_first]])),
+                    "start": np.r_[start[chosen], start[run_first]].astype(np.int32),
+                    "stop": np.r_[start[chosen], start[run_last]].astype(np.int32),
                 }
             )
 
@@ -300,13 +318,14 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     windows = stored(
         chosen.select("key", "low", "body")
         .join(ranges, ["key", "low"])
-        .mapInArrow(_window_rows, "one bigint, two bigint, copies bigint, key binary, start int")
+        .mapInArrow(_window_rows, "one bigint, two bigint, copies bigint, key binary, start int, stop int")
     )
-    twice = windows.groupBy("one", "two").agg(F.sum("copies").alias("n")).where("n > 1").select("one", "two")
+    runs = windows.where("one IS NULL")
+    twice = windows.where("one IS NOT NULL").groupBy("one", "two").agg(F.sum("copies").alias("n")).where("n > 1").select("one", "two")
     single = windows.where("copies = 1").join(twice, ["one", "two"], "left_semi")
     return (
         whole.unionByName(part.select("key", F.col("start").alias("low"), F.col("stop").alias("high")))
-        .unionByName(single.select("key", F.col("start").alias("low"), F.col("start").alias("high")))
+        .unionByName(single.unionByName(runs).select("key", F.col("start").alias("low"), F.col("stop").alias("high")))
     )
 
 
