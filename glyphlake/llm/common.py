@@ -41,15 +41,36 @@ def stored(df: DataFrame) -> DataFrame:
 
     Survives lost executors, and is computed once however often it is read.
     """
-    place = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    return _written(df, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, place: str) -> DataFrame:
     df.write.parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Stored tables that go together, once all that was made of them is stored itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        return _written(df, f"{self.folder}/{uuid.uuid4().hex}")
+
+    def clear(self) -> None:
+        _delete(self.spark, self.folder)
+
+
 def clear_stored(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application, once their results have been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_folder(spark))
 
 
 def bound_arrow(spark: SparkSession) -> None:

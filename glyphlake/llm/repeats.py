@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import stored
+from glyphlake.llm.common import Scratch, stored
 
 LENGTH = 400
 GRAM = 16
@@ -150,22 +150,25 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def merged_intervals(phrases: DataFrame) -> DataFrame:
-    """``(key, at)`` of the suffixes whose interval still repeats after all phrases that fit in their shortest window."""
+def merged_intervals(phrases: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(key, at)`` of the suffixes whose interval still repeats after all phrases that fit in their shortest window.
+
+    Reads tables in ``scratch``.
+    """
     place = F.xxhash64("key", "at")
     suffixes = phrases.where("at >= 0")
     alphabet = suffixes.groupBy("symbol").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("symbol")
     live = suffixes.join(alphabet, "symbol", "left_semi").dropDuplicates(["key", "at"])
-    live = stored(live.withColumn("interval", F.col("symbol")))
+    live = scratch.stored(live.withColumn("interval", F.col("symbol")))
     repeated = [live.where("fewest = 1").select("key", "at")]
     most = live.agg(F.max("need")).first()[0] or 0
     for level in range(2, most + 1):
         order = Window.partitionBy("key").orderBy("at")
         step = live.withColumn("__at", F.lead("at").over(order)).withColumn("__interval", F.lead("interval").over(order))
         step = step.where((F.col("__at") == F.col("following")) & (F.col("need") >= level))
-        step = stored(step.withColumn("interval", F.xxhash64("symbol", "__interval")).drop("__at", "__interval"))
+        step = scratch.stored(step.withColumn("interval", F.xxhash64("symbol", "__interval")).drop("__at", "__interval"))
         shared = step.groupBy("interval").count().where("count > 1").select("interval")
-        live = stored(step.join(shared, "interval", "left_semi"))
+        live = scratch.stored(step.join(shared, "interval", "left_semi"))
         repeated.append(live.where(F.col("fewest") == level).select("key", "at"))
         if live.isEmpty():
             break
@@ -272,34 +275,36 @@ def _text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def repeated_windows(texts: DataFrame) -> DataFrame:
+def repeated_windows(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """``(key, low, high)``: ranges of window starts that occur elsewhere too, for a table of ``data`` (binary).
 
-    Windows whose whole text occurs more than once are left to ``repeated_texts``.
+    Windows whose whole text occurs more than once are left to ``without_repeats``. Reads tables in ``scratch``.
     """
-    phrases = stored(
+    search = Scratch(texts.sparkSession)
+    phrases = search.stored(
         texts.select("data").mapInArrow(
             _phrases, "key binary, at int, following int, symbol bigint, need smallint, fewest smallint"
         )
     )
-    chosen = merged_intervals(phrases).unionByName(phrases.where("at < 0").select("key", "at"))
-    lists = chosen.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    chosen = merged_intervals(phrases, search).unionByName(phrases.where("at < 0").select("key", "at"))
+    lists = scratch.stored(chosen.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("places")))
+    search.clear()
     keyed = texts.withColumn("key", F.unhex(F.md5("data")))
-    met = keyed.join(stored(lists), "key").select("key", "data", "places")
-    blocks = stored(
+    met = keyed.join(lists, "key").select("key", "data", "places")
+    blocks = scratch.stored(
         met.mapInArrow(
             _block_rows, "key binary, symbol bigint, anchor int, low int, high int, one bigint, two bigint, body binary"
         )
     )
     # Equal blocks settle each other. Of those, one stands for all in the comparison with different blocks.
-    same = stored(blocks.groupBy("symbol", "one", "two").agg(F.count("*").alias("copies"), F.min("key").alias("key")))
+    same = scratch.stored(blocks.groupBy("symbol", "one", "two").agg(F.count("*").alias("copies"), F.min("key").alias("key")))
     settled = same.where("copies > 1").select("one", "two")
     whole = blocks.select("key", "low", "high", "one", "two").join(settled, ["one", "two"], "left_semi").select("key", "low", "high")
     mixed = same.where("symbol IS NOT NULL").groupBy("symbol").count().where("count > 1").select("symbol")
     asked = same.where("symbol IS NULL").unionByName(same.join(mixed, "symbol", "left_semi"))
     # Equal blocks inside one text: any of them will do.
-    chosen = stored(blocks.join(asked.select("one", "two", "key", "copies"), ["one", "two", "key"]).dropDuplicates(["one", "two"]))
-    groups = stored(
+    chosen = scratch.stored(blocks.join(asked.select("one", "two", "key", "copies"), ["one", "two", "key"]).dropDuplicates(["one", "two"]))
+    groups = scratch.stored(
         chosen.where("symbol IS NOT NULL").mapInArrow(
             _group_rows,
             "key binary, low int, start int, stop int, core_one bigint, core_two bigint, hull_one bigint, hull_two bigint, copies bigint",
@@ -307,7 +312,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     )
     # The same once more for groups of windows, where blocks differ only in part: groups whose core is nowhere else are out.
     core, hull = ["core_one", "core_two"], ["hull_one", "hull_two"]
-    alike = stored(
+    alike = scratch.stored(
         groups.groupBy(*core, *hull).agg(F.sum("copies").alias("copies"), F.min(F.struct("key", "low", "start", "stop")).alias("at"))
     )
     part = groups.where("copies = 1").join(alike.where("copies > 1").select(*hull).distinct(), hull, "left_semi")
@@ -315,7 +320,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     open_groups = alike.join(differing, core, "left_semi").select("at.*", "copies")
     bare = chosen.where("symbol IS NULL").select("key", "low", F.col("low").alias("start"), F.col("high").alias("stop"), "copies")
     ranges = open_groups.unionByName(bare).groupBy("key", "low").agg(F.collect_list(F.struct("start", "stop", "copies")).alias("asked"))
-    windows = stored(
+    windows = scratch.stored(
         chosen.select("key", "low", "body")
         .join(ranges, ["key", "low"])
         .mapInArrow(_window_rows, "one bigint, two bigint, copies bigint, key binary, start int, stop int")
@@ -366,8 +371,10 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     copies = known.where(F.col("n") >= LENGTH).groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("n")).where("c > 1")
     copied = copies.select("key", F.lit(0).alias("low"), (F.col("n") - LENGTH).cast("int").alias("high"))
     # All rows of one text find the same ranges: without repeats a list is as long as its text at most.
-    ranges = repeated_windows(texts).unionByName(copied).distinct()
+    scratch = Scratch(docs.sparkSession)
+    ranges = repeated_windows(texts, scratch).unionByName(copied).distinct()
     lists = stored(ranges.groupBy("key").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")))
+    scratch.clear()
     rows = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(column, F.lit("")).cast("binary").alias("data"), key.alias("key")
     ).withColumn("n_bytes", F.octet_length("data").cast("long"))
