@@ -117,6 +117,8 @@ def format_hit(
     """The text block of one hit: title, then type, release and descriptions where present."""
     listed = _col(descriptions)
     more = F.size(listed) - 3
+    # Ties go to the even digit: 0.03125 is shown as 0.0312.
+    four_decimals = F.call_function("format_number", _col(score).cast("double"), F.lit("0.0000"))
     described = F.concat(
         F.lit("   Descriptions: "),
         F.array_join(F.slice(listed, 1, 3), ", "),
@@ -124,7 +126,7 @@ def format_hit(
     )
     return F.concat_ws(
         "\n",
-        F.format_string("%d. %s (score: %.4f)", _col(rank), _col(name), _col(score)),
+        F.format_string("%d. %s (score: %s)", _col(rank), _col(name), four_decimals),
         F.when(_col(icon_type) != "", F.concat(F.lit("   Type: "), _col(icon_type))),
         F.when(_col(release_tag) != "", F.concat(F.lit("   Release: "), _col(release_tag))),
         F.when(F.size(listed) > 0, described),

@@ -349,12 +349,17 @@ def similarity_distribution(
 
 
 def compare_pairs(index: DataFrame, pairs: DataFrame, field: str, id_col: str = "doc_id") -> DataFrame:
-    """Cosine, equality and differences of the named pairs; a pair missing a vector gives no row."""
+    """Cosine, equality and differences of the named pairs; a pair missing a vector gives no row.
+
+    A document of very many pairs is met by salted joins where the vectors are too many to broadcast.
+    """
     named = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias(id_col)).distinct()
-    rows = lookup_join(index.select(id_col, field).where(F.col(field).isNotNull()), named, id_col, "left_semi")
+    # Read once for either side of the pairs.
+    rows = cut_lineage(lookup_join(index.select(id_col, field).where(F.col(field).isNotNull()), named, id_col, "left_semi"))
     left = rows.select(F.col(id_col).alias("doc_a"), F.col(field).alias("__a"))
     right = rows.select(F.col(id_col).alias("doc_b"), F.col(field).alias("__b"))
-    both = pairs.select("doc_a", "doc_b").join(left, "doc_a").join(right, "doc_b")
+    half = lookup_join(pairs.select("doc_a", "doc_b"), left, "doc_a", spread="doc_b")
+    both = lookup_join(half, right, "doc_b", spread="doc_a")
     return both.select(
         "doc_a",
         "doc_b",

@@ -143,7 +143,8 @@ def search(
         index, text, sparse, k=k, num_candidates=num_candidates, size=size, group_col="icon_type", **limits
     )
     visual = asked.where("type IN ('image', 'svg')").withColumn("fields", resolve_fields())
-    pictured = knn_multi_field(index, visual, VISUAL_FIELDS, k, query_fields="fields", **limits)
+    # At most k rows per request and field; read twice, for the page and for the total.
+    pictured = cut_lineage(knn_multi_field(index, visual, VISUAL_FIELDS, k, query_fields="fields", **limits))
     pictured = rank_page(pictured, size).join(total_hits(pictured), "query_id")
     ranked = cut_lineage(hybrid.unionByName(pictured))
     return attach(ranked, index)
