@@ -203,6 +203,8 @@ def test_repeats_at_edges_runs_and_copies(spark):
         texts.append("".join(parts))
     texts += ["a" * 1000, "a" * 400, "a" * 399, "ab" * 300, "x" * 450 + "b" + "x" * 420, "é" * 300, "", None, "a" * 401]
     texts += [("q" * 50 + "r" * 50) * 8, ("q" * 50 + "r" * 50) * 5, base[0], base[0], base[1][:1200] + "!" + base[1][1200:]]
+    # Periodic passages longer than a piece of windows, the second one of its own, the last two shared in part.
+    texts += ["abcdefghij" * 900, "once 7 " * 58, base[2][:300] + "0123456 " * 60, "0123456 " * 55 + base[3][:300]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.lit(1))
     got = sorted(without_repeats(df).collect(), key=lambda r: r.doc_id)
     told = [(r.n_bytes, sum(s.end - s.start for s in r.removed), len(r.removed), hashlib.sha256(r.kept).hexdigest()) for r in got]
