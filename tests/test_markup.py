@@ -108,11 +108,15 @@ def test_attributes_and_display(spark):
 
 def test_hit_text(spark):
     rows = [(1, "user", 0.95, "icon", "v1", ["a", "b", "c", "d", "e"]), (2, "cut", 0.5, None, None, None), (3, "x", 0.1, "", "", [])]
+    rows += [(4, "even", 0.03125, None, None, None), (5, "up", 0.09375, None, None, None), (6, "large", 1234.5, None, None, None)]
     df = spark.createDataFrame(rows, "r int, n string, s double, t string, g string, d array<string>")
     found = [r[0] for r in df.select(X.format_hit("r", "n", "s", "t", "g", "d")).collect()]
     assert found == [
         "1. user (score: 0.9500)\n   Type: icon\n   Release: v1\n   Descriptions: a, b, c (+2 more)",
         "2. cut (score: 0.5000)",
         "3. x (score: 0.1000)",
+        "4. even (score: 0.0312)",
+        "5. up (score: 0.0938)",
+        "6. large (score: 1234.5000)",
     ]
     assert apply(spark, X.report_title(F.lit(0), F.lit(0)), ["x"]) == ["No results found (total: 0)"]
