@@ -24,6 +24,7 @@ CHUNK_ROWS = 4096
 CELLS_PER_TILE = 1_000_000
 GRID_AXES = 4
 SAMPLE_ROWS = 4096
+CELL_HASH = 0x9E3779B97F4A7C15  # odd, so that no coordinate is lost
 # Above this distance a grid cell covers most of the unit sphere and prunes nothing.
 USEFUL_DISTANCE = 0.5
 SLACK = 1e-6
@@ -58,21 +59,20 @@ def _cells(vectors: DataFrame, field: str, radius: float, axes: np.ndarray) -> D
             if batch.num_rows == 0:
                 continue
             place_on_axes = _matrix(batch.column(names.index(field))) @ axes + 2.0
-            at = np.floor(place_on_axes / width)
+            at = np.floor(place_on_axes / width).astype(np.int64)
             low = np.floor((place_on_axes - radius - SLACK) / width)
             high = np.floor((place_on_axes + radius + SLACK) / width)
-            base = int(4.0 / width) + 3
-            scale = base ** np.arange(at.shape[1])[::-1]
-            home = (at @ scale).astype(np.int64)
+            # Cells are named by a 64-bit hash of their coordinates, in wrapping integers, so any number of axes will do.
+            scale = np.array([pow(CELL_HASH, axis + 1, 1 << 64) for axis in range(at.shape[1])], np.uint64).view(np.int64)
+            home = (at * scale).sum(axis=1)
             # Every axis reaches its own cell and at most one more on either side.
-            rows, cells = np.arange(len(home)), np.zeros(len(home))
+            rows, cells = np.arange(len(home)), np.zeros(len(home), np.int64)
             for axis in range(at.shape[1]):
                 offset = np.array([[-1], [0], [1]]) + at[rows, axis]
                 step, take = np.nonzero((offset >= low[rows, axis]) & (offset <= high[rows, axis]))
                 steps = step - 1
                 cells = cells[take] + (at[rows[take], axis] + steps) * scale[axis]
                 rows = rows[take]
-            cells = cells.astype(np.int64)
             keep = cells <= home[rows]
             rows, cells = rows[keep], cells[keep]
             taken = batch.take(pa.array(rows))

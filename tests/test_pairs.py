@@ -109,3 +109,11 @@ def test_compare_and_lookup(spark, df):
     states = {r.doc_id: r for r in lookup_specific(df, ids, "v").collect()}
     assert (states["d000"].state, states["none"].state, states["absent"].state) == ("found", "no_vector", "missing")
     assert states["d000"].dims == 6 and len(states["d000"].first_values) == 5 and states["none"].dims is None
+
+
+def test_any_number_of_axes_finds_the_same_pairs(spark):
+    base = vectors(30, 12, 5)
+    near = [(f"n{i:03d}", [float(x) for x in base[i % 30] + vectors(240, 12, 6)[i] * 1e-4]) for i in range(240)]
+    df = spark.createDataFrame(near, "doc_id string, v array<float>")
+    found = {n: sorted((r.doc_a, r.doc_b) for r in similar_pairs(df, "v", 0.999999, grid_axes=n).collect()) for n in (2, 8)}
+    assert found[2] == found[8] and len(found[8]) == len(set(found[8])) > 100
