@@ -25,7 +25,7 @@ def _prepared(spark: SparkSession) -> None:
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules; all columns as they were."""
-    return kept_rows(docs)
+    return kept_rows(docs, lang="lang")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Everything is a built-in expression: no user function, no shuffle, one pass over
 
 Defined cases: a null text counts as empty; an empty or blank text has no words, its measures are 0 and the base
 rule rejects it (fewer than 20 words); texts of any length are measured whole; repeated rows are judged each on its
-own; an empty table gives an empty result; columns of the input that clash with an output column are replaced when
+own; an empty table gives an empty result; a text whose language
+has no stop words here, or is null, is not judged by them when a column of languages is named; columns of the input that clash with an output column are replaced when
 ``keep_columns`` is set, all other columns pass unchanged.
 """
 
@@ -43,9 +44,11 @@ class Rule(NamedTuple):
     low: float | None
     high: float | None
     least: int = 1  # judged only from so many units of ``per``
+    langs: tuple[str, ...] | None = None  # where languages are told, judged only in these
 
 
 # The table: limits are ratios; each leaves a wide margin to ordinary prose in any language with spaces.
+# OP10_SQL is made of this table: its stop-word rule counts different words, so it rejects prose for its length.
 RULES = (
     Rule("mean_word_length", "word_chars", "n_words", 2.0, 20.0),
     Rule("symbols_per_word", "n_symbols", "n_words", None, 0.5),
@@ -54,7 +57,16 @@ RULES = (
     Rule("text_length", "n_words", "one", 20, 10_000_000),
 )
 
+# Languages with stop words above.
+STOP_WORD_LANGS = ("en", "de", "fr", "es")
+
+# The table by default: as above, but every use of a stop word counts, so that length alone rejects no prose.
+PROSE_RULES = tuple(
+    r._replace(measure="n_stop_word_uses", langs=STOP_WORD_LANGS) if r.name == "stop_words" else r for r in RULES
+)
+
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+STOP_COLUMNS = ("n_stop_words", "n_stop_word_uses")
 
 
 def _covered(starts: Column) -> Column:
@@ -74,12 +86,13 @@ def _joined(hashes: Column, apart: int) -> Column:
 
 
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the measures of its text column: see ``BASE_COLUMNS``, also ``n_lines`` and ``n_stop_words``.
+    """``df`` with the measures of its text column: see ``BASE_COLUMNS``, also ``n_lines``, ``n_stop_words``
+    (different ones) and ``n_stop_word_uses``.
 
     Word windows are compared by 64-bit hashes. Only a text with two equal windows pays for finding them.
     """
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    taken = {"__text", "__words", "__lines", "__windows", "__pairs", "__starts", *BASE_COLUMNS, "n_lines", "n_stop_words"}
+    taken = {"__text", "__words", "__lines", "__windows", "__pairs", "__starts", *BASE_COLUMNS, "n_lines", *STOP_COLUMNS}
     df = df.drop(*(c for c in df.columns if c in taken and c != text))
     keep = [F.col(f"`{c}`") for c in df.columns]
 
@@ -99,9 +112,10 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
         F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_except(F.array(*map(F.lit, STOP_WORDS)), F.col("__words"))).alias("__unused_stop_words"),
+        F.size(F.filter("__words", lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop_word_uses"),
         F.when(n_words > WINDOW, F.transform("__words", lambda w: F.xxhash64(w))).alias("__windows"),
     )
-    measured = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "__unused_stop_words")
+    measured = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_word_uses", "__unused_stop_words")
     for apart in (1, 2, 4):  # windows of 2, 4 and 8 words
         step = step.select(*names(*measured), _joined(F.col("__windows"), apart).alias("__windows"))
     step = step.select(
@@ -132,39 +146,48 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def broken(rule: Rule) -> Column:
-    """True where a row breaks the rule."""
+def broken(rule: Rule, lang: str | None = None) -> Column:
+    """True where a row breaks the rule; ``lang`` names the column of languages, if there is one."""
     per = F.lit(1) if rule.per == "one" else F.col(rule.per)
     ratio = F.col(rule.measure) / F.greatest(per, F.lit(1))
     bounds = [ratio < rule.low] if rule.low is not None else []
     bounds += [ratio > rule.high] if rule.high is not None else []
-    return (per >= rule.least) & reduce(operator.or_, bounds)
+    found = (per >= rule.least) & reduce(operator.or_, bounds)
+    if lang is None or rule.langs is None:
+        return found
+    return found & F.coalesce(F.col(f"`{lang}`").isin(*rule.langs), F.lit(False))
 
 
 def quality_rules(
-    df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, keep_columns: bool = True
+    df: DataFrame,
+    text: str = "text",
+    rules: tuple[Rule, ...] = PROSE_RULES,
+    keep_columns: bool = True,
+    lang: str | None = None,
 ) -> DataFrame:
     """Every row of ``df`` with its measures, ``base_failed``, ``broken_rules`` and ``kept``."""
     found = measures(df, text)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    failed = F.array_compact(F.array(*(F.when(broken(r), F.lit(r.name)) for r in rules)))
-    made = [*BASE_COLUMNS, "n_lines", "n_stop_words"]
+    failed = F.array_compact(F.array(*(F.when(broken(r, lang), F.lit(r.name)) for r in rules)))
+    made = [*BASE_COLUMNS, "n_lines", *STOP_COLUMNS]
     own = [c for c in df.columns if c not in {*made, "base_failed", "broken_rules", "kept"} or c == text]
     judged = found.select(
         *(F.col(f"`{c}`") for c in own),
         *made,
         base.alias("base_failed"),
         failed.alias("broken_rules"),
-        (~base & ~reduce(operator.or_, map(broken, rules))).alias("kept"),
+        (~base & ~reduce(operator.or_, (broken(r, lang) for r in rules))).alias("kept"),
     )
     return judged if keep_columns else judged.drop(*own)
 
 
-def kept_rows(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def kept_rows(
+    df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = PROSE_RULES, lang: str | None = None
+) -> DataFrame:
     """The rows that pass, with the columns of ``df``.
 
     A plain filter would be moved below the projections and repeat their expressions many times over; a column that
     differs from row to row keeps it above them.
     """
-    judged = quality_rules(df, text, rules).withColumn("__place", F.monotonically_increasing_id())
+    judged = quality_rules(df, text, rules, lang=lang).withColumn("__place", F.monotonically_increasing_id())
     return judged.where(F.col("kept") & (F.col("__place") >= 0)).select(*(F.col(f"`{c}`") for c in df.columns))

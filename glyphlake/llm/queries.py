@@ -218,8 +218,8 @@ FROM b"""
 
 @register(OP10_SQL)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measures and verdict of every document."""
-    judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Measures and verdict of every document, by the table that its SQL is made of."""
+    judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=RULES)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

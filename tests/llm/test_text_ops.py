@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from check import _rows
 from glyphlake.llm import chat
 from glyphlake.llm.automaton import chars, compiled, either, many, maybe, seq, some, text
@@ -194,6 +195,25 @@ def test_kept_rows_are_the_kept_ones(spark, sf):
     assert {d for d in long_enough if labels.get(d) == 1} <= kept
 
 
+def test_length_alone_rejects_no_prose(spark):
+    rng = random.Random(5)
+    prose = " ".join("the" if i % 5 == 0 else "".join(rng.choices("abcdefgh", k=7)) for i in range(20000))
+    bare = " ".join("".join(rng.choices("abcdefgh", k=7)) for i in range(20000))
+    rows = [("prose", prose, "en"), ("bare", bare, "en"), ("unlisted", bare, "pl"), ("untold", bare, None)]
+    df = spark.createDataFrame(rows, "name string, text string, lang string")
+    judged = {r.name: r for r in quality_rules(df, lang="lang").drop("text").collect()}
+    assert (judged["prose"].n_stop_word_uses, judged["prose"].n_stop_words) == (4000, 1)
+    assert [r.broken_rules for r in judged.values()] == [[], ["stop_words"], [], []]
+    kept = {r.name for r in corpus_pipeline.reject_poor(spark, df, "").collect()}
+    assert kept == {"prose", "unlisted", "untold"}
+
+
+def test_pipeline_keeps_long_labelled_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = table(spark, sf, "documents").where("doc_id in (1386, 1166)")
+    assert {r.doc_id for r in corpus_pipeline.reject_poor(spark, docs, sf).collect()} == {1386, 1166}
+
+
 # ---- chat ----------------------------------------------------------------------------------
 
 
