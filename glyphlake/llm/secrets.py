@@ -6,12 +6,13 @@ own that find the first end, read back to the leftmost start, and read on to the
 
 Defined cases: a null text counts as empty; spans count code points, ends are exclusive; per kind, matches are leftmost,
 longest and do not overlap, and a match shorter than its rule asks is dropped but still consumed; different kinds may
-overlap; texts are read whole; repeated rows are scanned each on its own. Rows and all other columns stay untouched.
+overlap; a private key reaches to its END line, or without one to the end of its base64, where a first word that begins
+the next line is taken too, as it could be the key's; texts are read whole; repeated rows are scanned each on its own. Rows and all other columns stay untouched.
 """
 
 from __future__ import annotations
 
-from functools import cache, reduce
+from functools import cache, cached_property, reduce
 from operator import getitem
 from typing import NamedTuple
 
@@ -29,12 +30,34 @@ class Rule(NamedTuple):
     pattern: tuple
     least: int = 1  # characters of the match
     valued: bool = False  # count those of the value alone: after the separator, spaces and a quote
+    tails: tuple[tuple, ...] = (seq(),)  # a match runs on over the longest of these; one of them can be empty
 
 
 _VALUE = "A-Za-z0-9+/_.=-"
 _QUOTE = maybe(chars("\"'"))
 _GAP = many(chars(" "))
 
+# Private keys: all from the first line to the END line, if only what keys are written with lies between (base64, gaps,
+# quotes, escapes, header lines). Without END: header lines, then base64 in long runs or at the start of lines.
+_KEY = text("PRIVATE KEY-----")
+_NAMED = many(chars("A-Z "))
+_BASE64 = chars("A-Za-z0-9+/=")
+_LINE_END = either(text("\r\n"), chars("\r\n"), text("\\r\\n"), text("\\n"))
+_BLANK = either(*(("seq", tuple(chars(chr(b)) for b in c.encode())) for c in ("\u00a0", "\u200b", "\ufeff")))
+_BESIDE = either(chars(" \t\r\n\x0b\x0c\\\"',>|#*"), _BLANK)
+
+
+def _undashed(part: tuple) -> tuple:
+    """Repeats of ``part`` with at most four dashes before each."""
+    dash = text("-")
+    return many(seq(*[maybe(dash)] * 4, part))
+
+
+_HEADING = seq(_LINE_END, chars("A-Za-z"), many(chars("A-Za-z0-9-")), text(":"), _undashed(but("\r\n-")))
+_LONG = seq(many(either(_BESIDE, text("\\n"), text("\\r"), text("\\t"))), some(_BASE64, 32))
+_UNENDED = many(either(_LONG, seq(_LINE_END, many(chars(" \t")), some(_BASE64))))
+_ENDED = seq(_undashed(either(_BASE64, _BESIDE, chars(":;<"), _HEADING)), text("-----END "), _NAMED, _KEY)
+
 BASE = (
     Rule(
         "assign",
@@ -59,7 +82,7 @@ MORE = (
     Rule("cloud", seq(text("AIza"), some(chars("A-Za-z0-9_-"))), 35),
     Rule("pay", seq(text("sk_"), either(text("live"), text("test")), text("_"), some(chars("A-Za-z0-9"))), 16),
     Rule("jwt", seq(text("eyJ"), *[some(chars("A-Za-z0-9_-")), text(".")] * 2, some(chars("A-Za-z0-9_-"))), 32),
-    Rule("pem", seq(text("-----BEGIN "), many(chars("A-Z ")), text("PRIVATE KEY-----"))),
+    Rule("pem", seq(text("-----BEGIN "), _NAMED, _KEY), tails=(_ENDED, _UNENDED, seq(some(_HEADING), _LONG, _UNENDED))),
     Rule("login", seq(text("://"), some(but("\x00- /:@")), text(":"), some(but("\x00- /:@")), text("@"))),
 )
 RULES = BASE + MORE
@@ -81,7 +104,6 @@ class _Locator:
         self.rule = rule
         self.ends = _rows(compiled([rule.pattern], anywhere=True))[0]
         self.back, self.back_dead = self._anchored(mirrored(rule.pattern))
-        self.ahead, self.ahead_dead = self._anchored(rule.pattern)
 
     @staticmethod
     def _anchored(pattern: tuple) -> tuple[list, list | None]:
@@ -89,6 +111,11 @@ class _Locator:
         rows = _rows(dfa)
         return rows[0], None if dfa.dead is None else rows[dfa.dead]
 
+    @cached_property
+    def ahead(self) -> list[tuple[list, list | None]]:
+        """Made when a match is met: those of long tails take seconds."""
+        return [self._anchored(seq(self.rule.pattern, tail)) for tail in self.rule.tails]
+
     def all(self, data: bytes) -> list[tuple[int, int]]:
         found, at, n = [], 0, len(data)
         while at < n:
@@ -107,13 +134,14 @@ class _Locator:
                     break
                 if row[256]:
                     start = i
-            row, end = self.ahead, first
-            for i in range(start, n):
-                row = row[data[i]]
-                if row is self.ahead_dead:
-                    break
-                if row[256]:
-                    end = i + 1
+            end = first
+            for row, dead in self.ahead:
+                for i in range(start, n):
+                    row = row[data[i]]
+                    if row is dead:
+                        break
+                    if row[256]:
+                        end = max(end, i + 1)
             if self._long_enough(data, start, end):
                 found.append((start, end))
             at = end

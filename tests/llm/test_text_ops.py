@@ -155,6 +155,30 @@ def test_more_kinds_and_redaction(spark):
     assert (rows[1].clean, rows[2].clean) == (None, "plain")
 
 
+def test_whole_private_keys_are_removed(spark):
+    rng = random.Random(6)
+
+    def lines(n, width=64):
+        return ["".join(rng.choices("ABCXYZabcxyz0189+/", k=width)) for _ in range(n)]
+
+    body = [*lines(24), "Qx9Zz+Aw=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    sealed = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,3F17F5316E2BAC89", "Comment: a.key (old)", ""]
+    keys = [gap.join([begin, *inner, end]) for gap in ("\n", "\r\n", "\n    ", "\\n", " ", "\u00a0", '\\n" +\n  "', "\n> ") for inner in (body, lines(1, 5))]
+    keys += ["\n".join([begin, *sealed, *body, end]), "\n".join([begin, *lines(3), "", *lines(2), end]), begin + end]
+    unended = [gap.join([begin, *inner]) for gap in ("\n", "\r\n", "\\n") for inner in (body, lines(1, 5), [*lines(2), "Zq"])]
+    unended += ["\n".join([begin, *sealed, *body]), begin + " " + " ".join(lines(4)), begin]
+    texts = [(f"é before {k} (after) it", "é before [pem removed] (after) it") for k in [*keys, *unended]]
+    texts += [(k, "[pem removed]") for k in [*keys, *unended]]
+    two = f"{keys[0]}\n\nBetween, ünd.\n\n{unended[0]}\n\n(Some more prose.)\n{keys[2]}\nThe end"
+    texts.append((two, "[pem removed]\n\nBetween, ünd.\n\n[pem removed]\n\n(Some more prose.)\n[pem removed]\nThe end"))
+    told = f"The line {begin} starts a key. Its text is base64. The line {end} ends it."
+    texts.append((told, told.replace(begin, "[pem removed]")))
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(texts)], "id int, text string")
+    got = df.select("id", redact("text").alias("clean")).orderBy("id").collect()
+    assert [r.clean for r in got] == [b for _, b in texts]
+
+
 def test_automaton_is_minimal_and_equals_regex():
     pattern = seq(either(text("ab"), text("cb")), many(chars("x-z")), maybe(chars("0")), some(chars("q"), 2))
     dfa = compiled([pattern], anywhere=False)
