@@ -1,7 +1,9 @@
 """URL filters: longest rule, else naive Bayes over segmented host words and path tokens.
 
-Concatenated names in hosts are split by unigram Viterbi: the words and their counts come from the text of all pages, the
-``WORDS`` most frequent ones make the dictionary (its documented size). Token counts of both classes come from all pages that
+Concatenated names in hosts are split by unigram Viterbi: the dictionary are all words of the text of all pages with their
+exact counts. It stays on the cluster: the substrings of every distinct host meet it in a join, and a host is split with
+the words found in it. Words of more than ``LONGEST_WORD`` letters count in the total alone, since no label of a host name
+is longer. Token counts of both classes come from all pages that
 a rule decides; tokens are hashed to ``SLOTS`` numbers, so the model has a fixed size and drops no token.
 
 Defined cases: a null url or one without ``://`` has empty host and path, fits no rule and is judged by the class shares;
@@ -14,7 +16,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from functools import lru_cache
 from math import log
 from typing import NamedTuple
 
@@ -25,11 +26,10 @@ from pyspark.sql import functions as F
 
 from glyphlake.llm.common import stored
 
-WORDS = 50_000
-LONGEST_WORD = 24
+LONGEST_WORD = 63
 SLOTS = 1 << 16
+PARTS = r"[a-z]+|[0-9]+|[^\x00-\x7f]+"
 SMOOTHING = 1.0
-CACHED_NAMES = 1 << 16
 
 
 class Rule(NamedTuple):
@@ -65,25 +65,40 @@ def fitting_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 # ---- word segmentation ---------------------------------------------------------------------
 
 
-def word_counts(pages: DataFrame, html: str = "html") -> dict[str, int]:
-    """The dictionary: the most frequent words of all page texts, ties by spelling."""
+def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``(word, n)``: all words of all page texts."""
     shown = F.lower(F.regexp_replace(F.coalesce(F.col(f"`{html}`"), F.lit("")), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " "))
-    words = pages.select(F.explode(F.regexp_extract_all(shown, F.lit(rf"\b[a-z]{{1,{LONGEST_WORD}}}\b"), F.lit(0))).alias("word"))
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(WORDS)
-    return {r["word"]: r["count"] for r in top.collect()}
+    words = pages.select(F.explode(F.regexp_extract_all(shown, F.lit(r"\b[a-z]+\b"), F.lit(0))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(host, found)``: every distinct host with an array of the words it holds and their counts.
+
+    Substrings are made row by row, so that a long host needs no long array; a host without letters keeps a row.
+    """
+    part = hosts.select("host").distinct()
+    part = part.select("host", F.explode_outer(F.array_distinct(F.regexp_extract_all("host", F.lit("[a-z]+"), F.lit(0)))).alias("part"))
+    begun = part.select("host", "part", F.explode_outer(F.sequence(F.lit(1), F.length("part"))).alias("at"))
+    longest = F.least(F.lit(LONGEST_WORD), F.length("part") - F.col("at") + 1)
+    cut = begun.select("host", "part", "at", F.explode_outer(F.sequence(F.lit(1), longest)).alias("n"))
+    held = cut.select("host", F.col("part").substr(F.col("at"), F.col("n")).alias("word")).distinct()
+    # Merged by a shuffle: the dictionary is not gathered on the driver to be broadcast.
+    met = held.join(counts.hint("merge"), "word", "left")
+    known = F.when(F.col("n").isNotNull(), F.struct("word", "n"))
+    return met.groupBy("host").agg(F.collect_list(known).alias("found"))
 
 
 class Segmenter:
-    """Most likely split of a name into words."""
+    """Most likely split of a name into words; ``words`` is the number of all, where ``counts`` has only some of them."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], words: int | None = None):
+        total = (sum(counts.values()) if words is None else words) + 1
         self.cost = {w: log(total) - log(c) for w, c in counts.items()}
         # A word not in the dictionary is the less likely the longer it is.
         self.unknown = [log(total) + log(10) * n for n in range(LONGEST_WORD + 1)]
-        self.split = lru_cache(CACHED_NAMES)(self._split)
 
-    def _split(self, name: str) -> tuple[str, ...]:
+    def split(self, name: str) -> tuple[str, ...]:
         best, start = [0.0], [0]
         for end in range(1, len(name) + 1):
             options = (
@@ -101,17 +116,22 @@ class Segmenter:
 
     def tokens(self, host: str, path: str) -> list[str]:
         """Host words, then path tokens; digits are told by their number only."""
+        return self.host_tokens(host) + path_tokens(path)
+
+    def host_tokens(self, host: str) -> list[str]:
         found = []
-        for part in re.findall(r"[a-z]+|[0-9]+|[^\x00-\x7f]+", host):
+        for part in re.findall(PARTS, host):
             if part.isascii() and part.isalpha():
                 found += ["h:" + w for w in self.split(part)]
             else:
                 found.append(f"h:{len(part)}" if part.isdigit() else "h:" + part)
-        for part in re.findall(r"[a-z]+|[0-9]+|[^\x00-\x7f]+", path.lower()):
-            found.append(f"p:{len(part)}" if part.isdigit() else "p:" + part)
         return found
 
 
+def path_tokens(path: str) -> list[str]:
+    return [f"p:{len(part)}" if part.isdigit() else "p:" + part for part in re.findall(PARTS, path.lower())]
+
+
 # ---- naive Bayes ---------------------------------------------------------------------------
 
 
@@ -140,22 +160,28 @@ def bayes(pages: Counter, tokens: dict[tuple[str, int], int]) -> Bayes | None:
 def url_verdicts(pages: DataFrame, rules: tuple[Rule, ...], page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``(page_id, host, path, rule, verdict, score)``; score is the log odds of blocking, null for pages of a rule."""
     spark = pages.sparkSession
-    segmenter = spark.sparkContext.broadcast(word_counts(pages, html))
-    known: dict[int, Segmenter] = {}
-
-    def slots_of(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        if 0 not in known:
-            known[0] = Segmenter(segmenter.value)
-        rows = [[slot(t) for t in known[0].tokens(h, p)] for h, p in zip(hosts.to_pylist(), paths.to_pylist())]
+    counts = stored(word_counts(pages, html))
+    words = counts.agg(F.sum("n")).first()[0] or 0
+
+    def host_slots(hosts: pa.Array, found: pa.Array) -> pa.Array:
+        rows = []
+        for host, words_found in zip(hosts.to_pylist(), found.to_pylist()):
+            segmenter = Segmenter({w["word"]: w["n"] for w in words_found}, words)
+            rows.append([slot(t) for t in segmenter.host_tokens(host)])
         return pa.array(rows, pa.list_(pa.int32()))
 
+    def path_slots(paths: pa.Array) -> pa.Array:
+        return pa.array([[slot(t) for t in path_tokens(p)] for p in paths.to_pylist()], pa.list_(pa.int32()))
+
     link = F.col(f"`{url}`")
     parsed = pages.select(F.col(f"`{page_id}`").alias("page_id"), host_of(link).alias("host"), path_of(link).alias("path"))
     parsed = parsed.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
+    split = host_words(parsed, counts).select("host", F.arrow_udf(host_slots, "array<int>")("host", "found").alias("host_slots"))
+    # Spark broadcasts a small table of hosts; a larger one is shuffled, and adaptive execution splits a busy host's pages.
     read = stored(
-        parsed.select(
+        parsed.join(stored(split), "host").select(
             "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("given"),
-            F.arrow_udf(slots_of, "array<int>")("host", "path").alias("slots"),
+            F.concat("host_slots", F.arrow_udf(path_slots, "array<int>")("path")).alias("slots"),
         )
     )
     decided = read.where(F.col("given").isNotNull())

@@ -18,7 +18,7 @@ from glyphlake.llm.mixing import BLOCK, Mix, shard_counts, targets
 from glyphlake.llm.queries import QUERIES, URL_RULES
 from glyphlake.llm.repeats import LENGTH, without_repeats
 from glyphlake.llm.simhash import near_duplicates, one_of_each_group, trie_join
-from glyphlake.llm.url_filter import Segmenter, url_verdicts
+from glyphlake.llm.url_filter import Segmenter, bayes, host_of, host_words, slot, url_verdicts, word_counts
 
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -168,6 +168,52 @@ def test_segments_are_the_most_likely_words():
     assert segmenter.tokens("the-sea42.net", "/A/7")[:4] == ["h:the", "h:sea", "h:2", *["h:" + w for w in segmenter.split("net")]][:4]
 
 
+def test_hosts_are_split_with_all_words(spark):
+    def name(i):
+        return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+    rare, long = "zyxwvu", "longword" * 4
+    frequent = " ".join(name(i) for i in range(60_000))
+    pages = [(0, "http://zyxwvuaaaa.org/", f"{frequent} {frequent}"), (1, f"http://{long}aaaa.com/", f"{rare} {long}"), (2, "http://1.2/", None), (3, None, None)]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    counts = word_counts(df)
+    assert counts.count() == 60_002
+    hosts = df.select(host_of(F.col("url")).alias("host"))
+    hosts = hosts.where("host is not null").union(hosts.where("host is not null"))
+    found = {r.host: {w.word: w.n for w in r.found} for r in host_words(hosts, counts).collect()}
+    assert set(found) == {"zyxwvuaaaa.org", f"{long}aaaa.com", "1.2", ""} and found["1.2"] == found[""] == {}
+    assert (found["zyxwvuaaaa.org"][rare], found["zyxwvuaaaa.org"]["aaaa"], found[f"{long}aaaa.com"][long]) == (1, 2, 1)
+    segmenters = {h: Segmenter(w, 120_002) for h, w in found.items()}
+    whole = Segmenter({r.word: r.n for r in counts.collect()})
+    for host, own in segmenters.items():
+        assert own.host_tokens(host) == whole.host_tokens(host)
+    assert segmenters["zyxwvuaaaa.org"].host_tokens("zyxwvuaaaa.org")[:2] == ["h:zyxwvu", "h:aaaa"]
+    assert segmenters[f"{long}aaaa.com"].split(long + "aaaa") == (long, "aaaa")
+    assert len(url_verdicts(df, URL_RULES).collect()) == len(pages)
+
+
+def test_scores_use_the_words_beyond_a_frequent_vocabulary(spark):
+    """The whole query against the plain splitter with every word."""
+    rare = "zyxwvu"
+    frequent = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(60_000))
+    urls = [f"http://{rare}aaaa.net/", f"http://aaaa{rare}.org/fr/", f"http://{rare}.com/x", "http://baaa.net/", "http://q.org/fr/a"]
+    pages = [(i, u, f"{frequent} {frequent}" if i == 0 else rare) for i, u in enumerate(urls)]
+    got = {r.page_id: r for r in url_verdicts(spark.createDataFrame(pages, "page_id int, url string, html string"), URL_RULES).collect()}
+    counts = Counter(w for _, _, html in pages for w in html.split())
+    segmenter = Segmenter(counts)
+    of_class, tokens = Counter(), Counter()
+    for url in urls:
+        host, path, rule = plain_url(url)
+        if rule:
+            of_class[rule.verdict] += 1
+            tokens.update((rule.verdict, slot(t)) for t in segmenter.tokens(host, path))
+    model = bayes(of_class, tokens)
+    host, path, rule = plain_url(urls[2])
+    assert rule is None
+    expected = model.prior + float(sum(model.odds[slot(t)] for t in segmenter.tokens(host, path)))
+    assert got[2].score == pytest.approx(expected, abs=1e-12)
+
+
 # ---- repeats -------------------------------------------------------------------------------
 
 
