@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from glyphlake.llm import chat
 from glyphlake.llm.ann import build_index, search_index
 from glyphlake.llm.bpe import Bpe
+from glyphlake.llm.collocations import collocations
 from glyphlake.llm.common import bound_arrow, table
+from glyphlake.llm.importance import importance_sample
 from glyphlake.llm.mixing import Mix
+from glyphlake.llm.pieces import Pieces, packed
 from glyphlake.llm.quality_model import quality_scores
 from glyphlake.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from glyphlake.llm.repeats import without_repeats
@@ -223,3 +226,97 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+# A word's crc32 by the table of its 256 one-byte remainders, which the polynomial gives.
+OP11_SQL = """
+WITH crc_table AS (
+  SELECT list(list_reduce(list_concat([b::BIGINT], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+              ORDER BY b) AS t
+  FROM range(256) r(b)),
+seen AS (
+  SELECT 'd' AS side, row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+  UNION ALL
+  SELECT 'b', row_number() OVER (), item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT side, r, unnest(regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM seen),
+bytes AS (
+  SELECT word, list_transform(range(0, octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), (2 * i + 1)::INT, 2))::BIGINT) AS b
+  FROM (SELECT DISTINCT word FROM w)),
+bucket AS (
+  SELECT word, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM bytes, crc_table),
+f AS (SELECT side, r, bucket FROM w JOIN bucket USING (word)),
+n AS (
+  SELECT bucket, count(*) FILTER (side = 'd')::DOUBLE AS s, count(*) FILTER (side = 'b')::DOUBLE AS t FROM f GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM n),
+total AS (SELECT r, count(*) AS n_features, sum(gain)::HUGEINT AS g FROM f JOIN gain USING (bucket) WHERE side = 'd' GROUP BY r),
+scored AS (
+  SELECT r, doc_id, coalesce(n_features, 0)::BIGINT AS n_features,
+         coalesce((g - ((g % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+         floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise
+  FROM seen LEFT JOIN total USING (r) WHERE side = 'd'),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id) AS p,
+         count(*) FILTER (n_features >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN n_features >= 20 AND p <= 10 * n // 100 THEN p END AS rank
+FROM ranked"""
+
+
+@register(OP11_SQL)
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards the benchmark's texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance_sample(docs, table(spark, sf_dir, "benchmark").select("text"))
+
+
+@register()
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded into pieces and decoded again, as digests."""
+    import public_tokenizers
+
+    pieces = Pieces(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(packed("ids"), 256).alias("ids_sha256"),
+        F.sha2(pieces.decode("ids").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+OP13_SQL = """
+WITH t AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, words, phrase, count(*) AS f
+  FROM (SELECT lang, words, unnest(list_transform(range(1, len(w) - words + 2), lambda i: array_to_string(w[i:i + words - 1], ' '))) AS phrase
+        FROM w, (SELECT unnest([1, 2, 3, 4]) AS words) WHERE len(w) >= words)
+  GROUP BY ALL HAVING count(*) >= 30),
+cut AS (
+  SELECT c.lang, c.words, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.f) // (l.f + r.f) AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, words)) AS k FROM f WHERE words > 1) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')),
+lowest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_part AS (
+  SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(f) AS most
+  FROM (SELECT *, unnest(range(1, words - n + 2)) AS i
+        FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(2, words)) AS n FROM f WHERE words > 2))
+  GROUP BY ALL),
+kept AS (
+  SELECT lowest.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest LEFT JOIN inner_part USING (lang, phrase) WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM kept JOIN total USING (lang) WHERE rank <= 2000"""
+
+
+@register(OP13_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of every language."""
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
