@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import stored
+from glyphlake.llm.common import stored, united_bits
 
 # Least count, words of the longest phrase, rows a language has, share in percent that makes a longer phrase stand for its parts.
 SUPPORT = 30
@@ -39,6 +39,7 @@ SHARD_BYTES = 32 << 20
 #: Bits of the set of candidates, as a power of two: 8 MB.
 SET_BITS = 26
 SEED = 13
+_BLOCK = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 # Marks that end a piece become line feeds, tabs blanks; a lone line feed then stands between pieces.
@@ -77,52 +78,57 @@ class Shard:
         value ^= value >> np.uint64(29)
         return (value * _STEP >> np.uint64(64 - bits)).astype(np.int64)
 
-    def levels(self, longest: int, passed) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """``(length, first positions, counts)`` of the phrases of every length that ``passed`` lets through.
+    def levels(self, longest: int, least: int, passes=None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``(length, a position, count)`` of the phrases of every length that occur ``least`` times and that ``passes``, given
+        positions and a length, lets through.
 
-        Only phrases whose first and whose last words passed are looked at. ``passed(length, keys, positions)`` gets a
-        number for the phrase at every such position and returns, for the distinct ones that pass, their numbers in
-        order, a position and a count of each.
+        Only phrases whose first and whose last words passed are looked at.
         """
         ids = self.ids
-        code, at = ids.astype(np.int64), np.flatnonzero(ids)
+        at, code = np.flatnonzero(ids).astype(np.int32), ids
         for length in range(1, longest + 1):
             if length > 1:
-                at = at[:-1][(at[1:] == at[:-1] + 1)] if len(at) else at
+                at = at[:-1][at[1:] == at[:-1] + 1]
+            if passes is not None:
+                at = at[passes(at, length)]
             if not len(at):
                 return
-            keys = code[at] if length == 1 else code[at] << 32 | ids[at + length - 1]
-            held, first, counts = passed(length, keys, at)
-            yield length, first, counts
-            if not len(held):
-                return
-            place = np.searchsorted(held, keys)
+            keys = code[at].astype(np.int64)
+            if length > 1:
+                keys <<= 32
+                keys |= ids[at + (length - 1)]
+            held, counts = np.unique(keys, return_counts=True)
+            if least > 1:
+                often = counts >= least
+                held, counts = held[often], counts[often]
+                if not len(held):
+                    return
+            place = np.searchsorted(held, keys).astype(np.int32)
             place[place == len(held)] = 0
             hit = held[place] == keys
-            at = at[hit]
-            code = np.zeros(len(ids), np.int64)
-            code[at] = place[hit]
+            at, place = at[hit], place[hit]
+            del keys, hit
+            first = np.empty(len(held), np.int32)
+            first[place] = at
+            code = np.zeros(len(ids), np.int32)
+            code[at] = place
+            yield length, first, counts
 
     def frequent(self, least: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """All phrases that occur ``least`` times in the shard."""
-
-        def passed(length: int, keys: np.ndarray, at: np.ndarray):
-            held, first, counts = np.unique(keys, return_index=True, return_counts=True)
-            often = counts >= least
-            return held[often], at[first[often]], counts[often]
-
-        return self.levels(longest, passed)
+        return self.levels(longest, least)
 
     def counted(self, candidates: np.ndarray, bits: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """All phrases of the shard that are in the candidate set."""
 
-        def passed(length: int, keys: np.ndarray, at: np.ndarray):
-            slots = self.slots(at, length, bits)
-            known = np.flatnonzero(candidates[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1))
-            held, first, counts = np.unique(keys[known], return_index=True, return_counts=True)
-            return held, at[known[first]], counts
+        def passes(at: np.ndarray, length: int) -> np.ndarray:
+            known = np.empty(len(at), bool)
+            for i in range(0, len(at), _BLOCK):
+                slots = self.slots(at[i : i + _BLOCK], length, bits)
+                known[i : i + _BLOCK] = candidates[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)
+            return known
 
-        return self.levels(longest, passed)
+        return self.levels(longest, 1, passes)
 
     def phrase(self, position: int, length: int) -> bytes:
         return b" ".join([self.words[w] for w in self.ids[position : position + length].tolist()])
@@ -171,13 +177,7 @@ def candidate_set(rows: DataFrame, longest: int, bits: int) -> np.ndarray:
                 held = np.bitwise_or.reduceat(np.int64(1) << (slots & 63), starts)
                 yield pa.record_batch({"word": (slots >> 6)[starts], "held": held})
 
-    mined = rows.groupBy("lang", "least", "shard").applyInArrow(mine, "word bigint, held bigint")
-    united = mined.groupBy("word").agg(F.bit_or("held").alias("held"))
-    found = np.zeros(1 << max(bits - 6, 0), np.int64)
-    # At most as many rows as the set has words.
-    for batch in united.toArrow().to_batches():
-        found[batch.column("word").to_numpy()] = batch.column("held").to_numpy()
-    return found.view(np.uint64)
+    return united_bits(rows.groupBy("lang", "least", "shard").applyInArrow(mine, "word bigint, held bigint"), bits)
 
 
 def phrase_counts(

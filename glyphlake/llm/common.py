@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +87,12 @@ def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(GAP_CHARS))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP))
+
+
+def united_bits(words: DataFrame, bits: int) -> np.ndarray:
+    """The union of rows ``(word, held)`` as a set of ``2 ** bits`` bits in 64-bit words: at most as many rows reach the driver."""
+    united = words.groupBy("word").agg(F.bit_or("held").alias("held"))
+    found = np.zeros(1 << max(bits - 6, 0), np.int64)
+    for batch in united.toArrow().to_batches():
+        found[batch.column("word").to_numpy()] = batch.column("held").to_numpy()
+    return found.view(np.uint64)
