@@ -3,9 +3,10 @@
 A chunk is a run of blanks with the characters up to the next blank. Where no piece of the model has its marker after another
 character, no piece reaches over the start of a chunk, so chunks are segmented on their own. The distinct chunks of all documents
 are counted on Spark and each is segmented once, merging the best-scored pair first. Ids are joined back by position: the most
-frequent chunks, a table of bounded rows and bytes, are broadcast; every other occurrence is a row of document, position and chunk
-that meets the table in an equi-join, and the ids of a document's rows fill the positions left open. So no word that many documents
-share is ever a key of that join.
+frequent chunks, a table of bounded rows and bytes, are broadcast. Of the others, those that occur once in all documents are
+segmented at their place; a bit set of bounded size, broadcast too, tells them from repeated ones. Every other occurrence is a row of
+text digest, position and chunk that meets the table in an equi-join, and the ids of a text's rows fill the positions left open.
+So no word that many documents share is ever a key of that join. A set too full to tell sends more rows to it and loses none.
 
 Defined cases: a null text counts as empty and has the begin and end ids alone; a chunk of any length is segmented in n log n;
 repeated rows are encoded one by one; ties in scores are merged from the left; an empty table gives an empty result; all columns of
@@ -19,20 +20,27 @@ import codecs
 import heapq
 import re
 import struct
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import stored
+from glyphlake.llm.common import stored, united_bits
 
 MARK = "▁"
 #: Bounds of the broadcast table: rows, and bytes of a chunk in it.
-FREQUENT = 1 << 19
+FREQUENT = 1 << 20
 FREQUENT_BYTES = 64
-_HOLE = -1
+#: Bits of the set of repeated chunks beyond that table, as a power of two: 16 MB.
+SET_BITS = 27
+#: Frequencies are told apart by the logarithm, in so many steps for a doubling.
+LEVELS = 64
+#: Distinct chunks that a task counts before it hands them on.
+COUNTED = 1 << 18
 
 # The kinds of piece in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -102,6 +110,9 @@ class PieceModel:
         self.begin = self.pieces.index(trainer.get(46, b"<s>").decode())
         self.end = self.pieces.index(trainer.get(47, b"</s>").decode())
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
+        # Packed ids: as wide as needed; the number after the last piece is a hole.
+        self.hole = len(self.pieces)
+        self.width = np.dtype("<u2" if self.hole < 1 << 16 else "<u4")
         byte_of = {i: int(p[1:-1], 16) for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.byte_ids = [i for i, _ in sorted(byte_of.items(), key=lambda x: x[1])]
         self.bytes_of = [
@@ -149,6 +160,21 @@ class PieceModel:
             i = after[i]
         return found
 
+    def pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.width).tobytes()
+
+    def unpack(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(data, self.width)
+
+    def begin_to_end(self, ids: np.ndarray, fillings: list[list[int]] | None) -> np.ndarray:
+        """The ids of a text between begin and end, its holes filled in order."""
+        parts, low = [np.array([self.begin], np.int32)], 0
+        if fillings:
+            for at, filling in zip(np.flatnonzero(ids == self.hole).tolist(), fillings):
+                parts += [ids[low:at], np.array(filling, np.int32)]
+                low = at + 1
+        return np.concatenate([*parts, ids[low:], np.array([self.end], np.int32)]).astype(np.int32)
+
     def decode(self, ids: list[int]) -> str:
         """The text that ids stand for, without control pieces and the blank in front."""
         data = b"".join(map(self.bytes_of.__getitem__, ids))
@@ -163,84 +189,127 @@ def chunks_of(text: str | None) -> list[str]:
     return _CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
 
 
+def _slot(chunk: str, bits: int) -> int:
+    """The bit of a chunk in the set of repeated ones: of the hash that Spark's ``xxhash64`` gives."""
+    return xxhash.xxh64_intdigest(chunk.encode(), 42) >> (64 - bits)
+
+
+class _Known(dict):
+    """Packed ids of the frequent chunks in a Python worker. Of the others, one that occurs nowhere else is segmented where it
+    is met; one that may be repeated is a hole."""
+
+    def __init__(self, model: PieceModel, chunks: pa.Table, repeated: np.ndarray, bits: int):
+        super().__init__(zip(chunks.column("chunk").to_pylist(), map(model.pack, chunks.column("ids").to_pylist())))
+        self.model, self.repeated, self.bits = model, repeated, bits
+        self.hole = model.pack([model.hole])
+
+    def asked(self, chunk: str) -> bool:
+        slot = _slot(chunk, self.bits)
+        return bool(int(self.repeated[slot >> 6]) >> (slot & 63) & 1)
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.hole if self.asked(chunk) else self.model.pack(self.model.segment(chunk))
+
+
 class Pieces:
     """``Pieces(spark, path)`` encodes tables and decodes columns by a model file, which is read on the driver and broadcast."""
 
-    def __init__(self, spark: SparkSession, path: str, frequent: int = FREQUENT, frequent_bytes: int = FREQUENT_BYTES):
+    def __init__(self, spark: SparkSession, path: str, frequent: int = FREQUENT, frequent_bytes: int = FREQUENT_BYTES, bits: int = SET_BITS):
         with open(path, "rb") as file:
             self.model = PieceModel(file.read())
-        self.spark, self.frequent, self.frequent_bytes = spark, frequent, frequent_bytes
+        self.spark, self.frequent, self.frequent_bytes, self.bits = spark, frequent, frequent_bytes, bits
         self.shared = spark.sparkContext.broadcast(self.model)
 
-    def distinct_chunks(self, texts: DataFrame) -> DataFrame:
-        """``(chunk, n, ids)`` of all texts of the column ``text``: every distinct chunk, how often it occurs, and its ids."""
-        shared = self.shared
+    def chunk_counts(self, texts: DataFrame) -> DataFrame:
+        """``(chunk, n)``: every distinct chunk of the column ``text`` and how often it occurs."""
 
         def count(batches):
+            counts: Counter[str] = Counter()
+
+            def told():
+                return pa.record_batch({"chunk": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
+
             for batch in batches:
-                counts = Counter()
                 for text in batch.column(0).to_pylist():
                     counts.update(chunks_of(text))
-                yield pa.record_batch({"chunk": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
+                if len(counts) >= COUNTED:
+                    yield told()
+                    counts.clear()
+            yield told()
 
-        @F.arrow_udf("array<int>")
-        def segment(chunks: pa.Array) -> pa.Array:
+        return texts.select("text").mapInArrow(count, "chunk string, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
+
+    def _segmented(self, chunks: DataFrame, asked=None) -> DataFrame:
+        """``(chunk, ids)``, each chunk segmented once; chunks that ``asked`` does not want are left out."""
+        shared = self.shared
+
+        def segment(batches):
             model = shared.value
-            return pa.array([model.segment(c) for c in chunks.to_pylist()], pa.list_(pa.int32()))
+            wanted = asked() if asked else None
+            for batch in batches:
+                names = [c for c, n in zip(*(batch.column(i).to_pylist() for i in (0, 1))) if wanted is None or n > 1 or wanted(c)]
+                ids = pa.array([model.segment(c) for c in names], pa.list_(pa.int32()))
+                yield pa.record_batch({"chunk": pa.array(names, pa.string()), "ids": ids})
 
-        counted = texts.select("text").mapInArrow(count, "chunk string, n bigint")
-        return counted.groupBy("chunk").agg(F.sum("n").alias("n")).withColumn("ids", segment("chunk"))
+        return chunks.select("chunk", "n").mapInArrow(segment, "chunk string, ids array<int>")
 
     def encoded(self, docs: DataFrame, text: str = "text", out: str = "ids") -> DataFrame:
         """``docs`` with the ids of the whole text, begin and end ids included, in the column ``out``."""
-        table = stored(self.distinct_chunks(docs.select(F.col(f"`{text}`").alias("text"))))
-        short = table.where(F.octet_length("chunk") <= self.frequent_bytes)
-        most = short.orderBy(F.desc("n"), "chunk").limit(self.frequent).select("chunk", "ids", "n").toArrow()
-        known = self.spark.sparkContext.broadcast(most.select(["chunk", "ids"]))
-        begin, end = self.model.begin, self.model.end
-        made: list[dict[str, np.ndarray]] = []
-
-        def known_ids() -> dict[str, list[int]]:
+        spark, shared, bits = self.spark, self.shared, self.bits
+        counts = stored(self.chunk_counts(docs.select(F.col(f"`{text}`").alias("text"))))
+        level = F.floor(F.log2("n") * LEVELS)
+        short = F.octet_length("chunk") <= self.frequent_bytes
+        least, room = None, self.frequent
+        # At most 64 * LEVELS rows: from the most frequent on, as many levels as have room.
+        for row in sorted(counts.where(short).groupBy(level.alias("level")).count().collect(), reverse=True):
+            room -= row["count"]
+            if room < 0:
+                break
+            least = row["level"]
+        often = short & (level >= least) if least is not None else F.lit(False)
+        most = self._segmented(counts.where(often)).toArrow()
+        rare = counts.where(~often)
+        slot = F.shiftrightunsigned(F.xxhash64("chunk"), 64 - bits)
+        bit = F.expr("shiftleft(1L, cast(slot & 63 AS int))")
+        words = rare.where("n > 1").select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("word"), bit.alias("held"))
+        known = spark.sparkContext.broadcast((most, united_bits(words, bits)))
+        made: list[_Known] = []
+
+        def held() -> _Known:
             if not made:
-                made.append(dict(zip(known.value.column("chunk").to_pylist(), known.value.column("ids").to_pylist())))
+                made.append(_Known(shared.value, *known.value, bits))
             return made[0]
 
-        @F.arrow_udf("array<int>")
+        @F.arrow_udf("binary")
         def partly(texts: pa.Array) -> pa.Array:
-            find, hole = known_ids().get, [_HOLE]
-            flat, ends = [], [0]
-            for value in texts.to_pylist():
-                flat.append(begin)
-                for chunk in chunks_of(value):
-                    flat += find(chunk, hole)
-                flat.append(end)
-                ends.append(len(flat))
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            find = held().__getitem__
+            return pa.array([zlib.compress(b"".join(map(find, chunks_of(t))), 1) for t in texts.to_pylist()], pa.binary())
 
         @F.arrow_udf("array<string>")
         def left_open(texts: pa.Array) -> pa.Array:
-            held = known_ids()
-            return pa.array([[c for c in chunks_of(t) if c not in held] for t in texts.to_pylist()], pa.list_(pa.string()))
+            table = held()
+            rows = ([c for c in chunks_of(t) if c not in table and table.asked(c)] for t in texts.to_pylist())
+            return pa.array(rows, pa.list_(pa.string()))
 
         @F.arrow_udf("array<int>")
-        def filled(ids: pa.Array, fillings: pa.Array) -> pa.Array:
-            rows = []
-            for row, filling in zip(ids.to_pylist(), fillings.to_pylist()):
-                if filling:
-                    parts = iter(filling)
-                    row = [i for x in row for i in (next(parts) if x == _HOLE else (x,))]
-                rows.append(row)
-            return pa.array(rows, pa.list_(pa.int32()))
-
-        # Spark gives the same numbers to the rows of the same files, so both readings of the documents agree.
-        row, named = "__piece_row", [F.col(f"`{c}`") for c in docs.columns if c != out]
-        numbered = docs.withColumn(row, F.monotonically_increasing_id())
-        asked = numbered.select(row, F.posexplode(left_open.asNondeterministic()(F.col(f"`{text}`"))).alias("at", "chunk"))
+        def filled(packed_ids: pa.Array, fillings: pa.Array) -> pa.Array:
+            model = shared.value
+            rows = [model.begin_to_end(model.unpack(zlib.decompress(p)), f) for p, f in zip(packed_ids.to_pylist(), fillings.to_pylist())]
+            ends = np.cumsum([0, *map(len, rows)])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
+
+        # Documents are named by their texts, so copies ask once a task and the same ids fill all of them.
+        named = [F.col(f"`{c}`") for c in docs.columns if c != out]
+        said = F.col(f"`{text}`")
+        key = F.substring(F.unhex(F.sha2(F.coalesce(said, F.lit("")).cast("binary"), 256)), 1, 16)
+        asked = docs.select(key.alias("key"), F.posexplode(left_open.asNondeterministic()(said)).alias("at", "chunk"))
         # A chunk in the broadcast table is never asked for, so the keys of this join are rare ones.
-        answered = asked.join(table.select("chunk", "ids"), "chunk").groupBy(F.col(row).alias("__asked"))
-        fillings = answered.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "ids"))), lambda s: s["ids"]).alias("__filling"))
-        partial = numbered.select(*named, row, partly.asNondeterministic()(F.col(f"`{text}`")).alias("__ids"))
-        met = partial.join(fillings, F.col(row) == F.col("__asked"), "left")
+        answers = self._segmented(rare, lambda: held().asked)
+        answered = asked.join(answers, "chunk").groupBy("key")
+        fillings = answered.agg(F.collect_set(F.struct("at", "ids")).alias("set"))
+        fillings = fillings.select(F.col("key").alias("__asked"), F.transform(F.sort_array("set"), lambda s: s["ids"]).alias("__filling"))
+        partial = docs.select(*named, key.alias("__key"), partly.asNondeterministic()(said).alias("__ids"))
+        met = partial.join(fillings, F.col("__key") == F.col("__asked"), "left")
         return met.select(*named, filled.asNondeterministic()("__ids", "__filling").alias(out))
 
     def decode(self, ids: Column | str) -> Column:
