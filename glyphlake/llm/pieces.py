@@ -20,7 +20,9 @@ import codecs
 import heapq
 import re
 import struct
+import uuid
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -112,7 +114,7 @@ class PieceModel:
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
         # Packed ids: as wide as needed; the number after the last piece is a hole.
         self.hole = len(self.pieces)
-        self.width = np.dtype("<u2" if self.hole < 1 << 16 else "<u4")
+        self.code = "H" if self.hole < 1 << 16 else "I"
         byte_of = {i: int(p[1:-1], 16) for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.byte_ids = [i for i, _ in sorted(byte_of.items(), key=lambda x: x[1])]
         self.bytes_of = [
@@ -161,10 +163,10 @@ class PieceModel:
         return found
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.width).tobytes()
+        return array(self.code, ids).tobytes()
 
     def unpack(self, data: bytes) -> np.ndarray:
-        return np.frombuffer(data, self.width)
+        return np.frombuffer(data, self.code)
 
     def begin_to_end(self, ids: np.ndarray, fillings: list[list[int]] | None) -> np.ndarray:
         """The ids of a text between begin and end, its holes filled in order."""
@@ -200,17 +202,20 @@ class _Known(dict):
 
     def __init__(self, model: PieceModel, chunks: pa.Table, repeated: np.ndarray, bits: int):
         super().__init__(zip(chunks.column("chunk").to_pylist(), map(model.pack, chunks.column("ids").to_pylist())))
-        self.model, self.repeated, self.bits = model, repeated, bits
+        self.model, self.repeated, self.bits = model, repeated.tobytes(), bits
         self.hole = model.pack([model.hole])
 
     def asked(self, chunk: str) -> bool:
         slot = _slot(chunk, self.bits)
-        return bool(int(self.repeated[slot >> 6]) >> (slot & 63) & 1)
+        return bool(self.repeated[slot >> 3] >> (slot & 7) & 1)
 
     def __missing__(self, chunk: str) -> bytes:
         return self.hole if self.asked(chunk) else self.model.pack(self.model.segment(chunk))
 
 
+_known: dict[str, _Known] = {}
+
+
 class Pieces:
     """``Pieces(spark, path)`` encodes tables and decodes columns by a model file, which is read on the driver and broadcast."""
 
@@ -272,13 +277,13 @@ class Pieces:
         slot = F.shiftrightunsigned(F.xxhash64("chunk"), 64 - bits)
         bit = F.expr("shiftleft(1L, cast(slot & 63 AS int))")
         words = rare.where("n > 1").select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("word"), bit.alias("held"))
-        known = spark.sparkContext.broadcast((most, united_bits(words, bits)))
-        made: list[_Known] = []
+        known, name = spark.sparkContext.broadcast((most, united_bits(words, bits))), uuid.uuid4().hex
 
         def held() -> _Known:
-            if not made:
-                made.append(_Known(shared.value, *known.value, bits))
-            return made[0]
+            if name not in _known:  # one table in a worker, whatever runs there
+                _known.clear()
+                _known[name] = _Known(shared.value, *known.value, bits)
+            return _known[name]
 
         @F.arrow_udf("binary")
         def partly(texts: pa.Array) -> pa.Array:
