@@ -1,16 +1,17 @@
-"""Frequent phrases that hang together, by partitioned mining in two passes.
+"""Frequent phrases that hang together, by partitioned mining.
 
-The documents of each language are dealt into shards of about ``SHARD_BYTES``. A phrase with ``support`` occurrences in a language
-has at least its share of them in one of the language's shards, so every shard is mined completely, level by level, at the support
-lowered in proportion. The locally frequent phrases are united in a bit set of bounded size that is broadcast. A second pass
-counts every phrase in the set in every shard, and the sums over all shards are the exact counts: the bit set loses no candidate,
-and the phrases that share a bit with one have exact counts too, below the support.
+The documents are dealt into ``SHARDS`` shards. A phrase with ``support`` occurrences in a language has at least its share of them in
+one of the shards, so every shard is mined completely at the support lowered in proportion, level by level: first words, then
+phrases whose first and last words passed the level before. Tasks count their blocks of a shard, Spark adds the counts up. The
+locally frequent phrases of all shards are united in a bit set of bounded size that is broadcast. A last pass counts every phrase in
+the set everywhere, and the sums are the exact counts: the bit set loses no candidate, and phrases that share a bit with one have
+exact counts too, below the support.
 
-Words are numbered per shard and phrases by the pair of their first words' number and their last word, so that counts never
+Words are numbered per block and phrases by the pair of their first words' number and their last word, so that counts never
 depend on hashes. Cuts, contained phrases and ranks are joins of the table of frequent phrases.
 
 Defined cases: a null text is empty and a null language is ``und``; texts without a word, or with single words between marks, give
-no phrase but count; a very long text is mined whole and makes its shard larger; repeated rows count each time; equal scores rank
+no phrase but count; a very long text is mined whole and makes its block larger; repeated rows count each time; equal scores rank
 by count, then phrase in byte order; an empty table gives an empty result. Only the columns named are read.
 """
 
@@ -18,11 +19,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +36,14 @@ ROWS = 2000
 CONTAINED = 80
 SCALE = 2_000_000
 
-SHARD_BYTES = 32 << 20
+#: Shards, each of many blocks: a fixed number, so that the support in a shard does not fall while the input grows.
+SHARDS = 4
+#: Words after which a task hands out what it has counted.
+BLOCK_WORDS = 1 << 22
 #: Bits of the set of candidates, as a power of two: 8 MB.
 SET_BITS = 26
 SEED = 13
-_BLOCK = 1 << 18
+_AT_ONCE = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 # Marks that end a piece become line feeds, tabs blanks; a lone line feed then stands between pieces.
@@ -55,167 +59,165 @@ class _Numbered(dict):
         return number
 
 
-class Shard:
-    """The words of a shard as numbers."""
+class Block:
+    """Texts of one language with their words as numbers."""
 
-    def __init__(self, texts: Iterator[bytes | None], lang: str):
-        numbers = _Numbered({b"\n": 0})
-        parts = [np.zeros(1, np.int32)]
-        for text in texts:
-            tokens = _TOKEN.findall((text or b"").lower().translate(_PIECES))
-            tokens.append(b"\n")
-            parts.append(np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens)))
-        self.ids = np.concatenate(parts)
-        self.words = list(numbers)
-        seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), SEED)
+    def __init__(self, lang: str):
+        self.lang = lang
+        self.numbers = _Numbered({b"\n": 0})
+        self.parts = [np.zeros(1, np.int32)]
+
+    def add(self, text: bytes) -> int:
+        """Take in a text; returns how many words and ends of pieces it has."""
+        tokens = _TOKEN.findall(text.lower().translate(_PIECES))
+        tokens.append(b"\n")
+        self.parts.append(np.fromiter(map(self.numbers.__getitem__, tokens), np.int32, len(tokens)))
+        return len(tokens)
+
+    def close(self) -> Block:
+        """No more texts follow."""
+        self.ids, self.parts = np.concatenate(self.parts), []
+        self.words, self.numbers = list(self.numbers), _Numbered()
+        seed = xxhash.xxh64_intdigest(self.lang.encode(), SEED)
         self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
+        return self
 
-    def slots(self, at: np.ndarray, length: int, bits: int) -> np.ndarray:
-        """The bit of the candidate set that belongs to the phrase of ``length`` words at every position of ``at``."""
+    def names(self, at: np.ndarray, length: int) -> np.ndarray:
+        """A hash of the phrase of ``length`` words at every position of ``at``, its language included."""
         value = self.hashes[self.ids[at]]
         for k in range(1, length):
             value = value * _STEP + self.hashes[self.ids[at + k]]
         value ^= value >> np.uint64(29)
-        return (value * _STEP >> np.uint64(64 - bits)).astype(np.int64)
-
-    def levels(self, longest: int, least: int, passes=None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """``(length, a position, count)`` of the phrases of every length that occur ``least`` times and that ``passes``, given
-        positions and a length, lets through.
+        return value * _STEP
+
+    def among(self, candidates: np.ndarray, bits: int, at: np.ndarray, length: int) -> np.ndarray:
+        """Those positions of ``at`` whose phrase of ``length`` words is in the candidate set."""
+        known = np.empty(len(at), bool)
+        for i in range(0, len(at), _AT_ONCE):
+            slots = (self.names(at[i : i + _AT_ONCE], length) >> np.uint64(64 - bits)).astype(np.int64)
+            known[i : i + _AT_ONCE] = candidates[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)
+        return at[known]
+
+    def mined(self, candidates: np.ndarray, bits: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Names and counts of the phrases of ``length`` words whose first and last words are candidates of the level before."""
+        at = np.flatnonzero(self.ids).astype(np.int32)
+        for n in range(1, length):
+            at = _neighbours(self.among(candidates, bits, at, n))
+        return np.unique(self.names(at, length), return_counts=True)
 
-        Only phrases whose first and whose last words passed are looked at.
-        """
-        ids = self.ids
-        at, code = np.flatnonzero(ids).astype(np.int32), ids
+    def counted(self, candidates: np.ndarray, bits: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``(length, a position, count)`` of the candidates of every length."""
+        at, code = np.flatnonzero(self.ids).astype(np.int32), self.ids
         for length in range(1, longest + 1):
-            if length > 1:
-                at = at[:-1][at[1:] == at[:-1] + 1]
-            if passes is not None:
-                at = at[passes(at, length)]
+            at = self.among(candidates, bits, _neighbours(at) if length > 1 else at, length)
             if not len(at):
                 return
             keys = code[at].astype(np.int64)
             if length > 1:
                 keys <<= 32
-                keys |= ids[at + (length - 1)]
+                keys |= self.ids[at + (length - 1)]
             held, counts = np.unique(keys, return_counts=True)
-            if least > 1:
-                often = counts >= least
-                held, counts = held[often], counts[often]
-                if not len(held):
-                    return
             place = np.searchsorted(held, keys).astype(np.int32)
-            place[place == len(held)] = 0
-            hit = held[place] == keys
-            at, place = at[hit], place[hit]
-            del keys, hit
             first = np.empty(len(held), np.int32)
             first[place] = at
-            code = np.zeros(len(ids), np.int32)
-            code[at] = place
             yield length, first, counts
-
-    def frequent(self, least: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """All phrases that occur ``least`` times in the shard."""
-        return self.levels(longest, least)
-
-    def counted(self, candidates: np.ndarray, bits: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """All phrases of the shard that are in the candidate set."""
-
-        def passes(at: np.ndarray, length: int) -> np.ndarray:
-            known = np.empty(len(at), bool)
-            for i in range(0, len(at), _BLOCK):
-                slots = self.slots(at[i : i + _BLOCK], length, bits)
-                known[i : i + _BLOCK] = candidates[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)
-            return known
-
-        return self.levels(longest, 1, passes)
+            code = np.zeros(len(self.ids), np.int32)
+            code[at] = place
 
     def phrase(self, position: int, length: int) -> bytes:
         return b" ".join([self.words[w] for w in self.ids[position : position + length].tolist()])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes | None]:
-    for batch in batches:
-        yield from batch.column("text").to_pylist()
-
-
-def _columns(keys: tuple, batches: Iterator[pa.RecordBatch]) -> tuple[str, int, Shard]:
-    lang, least = keys[0].as_py(), keys[1].as_py()
-    return lang, least, Shard(_texts(batches), lang)
+def _neighbours(at: np.ndarray) -> np.ndarray:
+    """The positions whose next position is in ``at`` too."""
+    return at[:-1][at[1:] == at[:-1] + 1]
 
 
-def sharded(docs: DataFrame, lang: str, text: str, support: int, shard_bytes: int) -> DataFrame:
-    """``(lang, least, shard, text)``: every text with its shard and the support that holds in it."""
-    rows = docs.select(
+def _blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[Block]:
+    """The rows ``(lang, text)`` of a task as blocks of one language each, handed out before they hold many more words than
+    ``block_words`` together."""
+    open_blocks: dict[str, Block] = {}
+    words = 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if lang not in open_blocks:
+                open_blocks[lang] = Block(lang)
+            words += open_blocks[lang].add(text)
+            if words >= block_words:
+                while open_blocks:
+                    yield open_blocks.popitem()[1].close()
+                words = 0
+    while open_blocks:
+        yield open_blocks.popitem()[1].close()
+
+
+def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
+    return docs.select(
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"),
-        F.monotonically_increasing_id().alias("__row"),
-    )
-    # One row a language.
-    shards = rows.groupBy("lang").agg(F.ceil(F.sum(F.length("text")) / shard_bytes).alias("shards"))
-    shards = shards.select(F.col("lang").alias("__lang"), F.greatest("shards", F.lit(1)).alias("shards"))
-    met = rows.join(shards, F.col("lang") == F.col("__lang"))
-    return met.select(
-        "lang",
-        # The documents of a language are dealt evenly, so a shard's share of the support is one of as many as there are
-        # shards. That some shard reaches it holds for any dealing.
-        F.ceil(F.lit(support) / F.col("shards")).cast("int").alias("least"),
-        F.pmod(F.xxhash64(F.lit(SEED), "__row"), F.col("shards")).alias("shard"),
-        "text",
     )
 
 
-def candidate_set(rows: DataFrame, longest: int, bits: int) -> np.ndarray:
-    """The union of the locally frequent phrases as a bit set of ``2 ** bits`` bits."""
-
-    def mine(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, least, shard = _columns(keys, batches)
-        for length, first, _ in shard.frequent(least, longest):
-            slots = np.unique(shard.slots(first, length, bits))
-            if len(slots):
-                starts = np.flatnonzero(np.diff(slots >> 6, prepend=-1))
-                held = np.bitwise_or.reduceat(np.int64(1) << (slots & 63), starts)
-                yield pa.record_batch({"word": (slots >> 6)[starts], "held": held})
-
-    return united_bits(rows.groupBy("lang", "least", "shard").applyInArrow(mine, "word bigint, held bigint"), bits)
+def candidate_set(
+    texts: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS, block_words: int = BLOCK_WORDS, bits: int = SET_BITS
+) -> np.ndarray:
+    """The union of the phrases that are frequent in a shard as a bit set of ``2 ** bits`` bits."""
+    found = np.zeros(1 << max(bits - 6, 0), np.uint64)
+    least = -(-support // shards)
+    for length in range(1, longest + 1):
+        shared = texts.sparkSession.sparkContext.broadcast(found)
+
+        def mine(batches: Iterator[pa.RecordBatch], length=length, shared=shared) -> Iterator[pa.RecordBatch]:
+            # Any dealing will do: a frequent phrase and all its parts are frequent in some shard, whichever these are.
+            shard = TaskContext.get().partitionId() % shards
+            for block in _blocks(batches, block_words):
+                names, counts = block.mined(shared.value, bits, length)
+                yield pa.record_batch(
+                    {"shard": np.full(len(names), shard, np.int32), "name": names.view(np.int64), "n": counts.astype(np.int64)}
+                )
+
+        mined = texts.mapInArrow(mine, "shard int, name bigint, n bigint").groupBy("shard", "name").agg(F.sum("n").alias("n"))
+        slot = F.shiftrightunsigned("name", 64 - bits)
+        slots = mined.where(F.col("n") >= least).select(slot.alias("slot"))
+        bit = F.expr("shiftleft(1L, cast(slot & 63 AS int))")
+        level = united_bits(slots.select(F.shiftright("slot", 6).alias("word"), bit.alias("held")), bits)
+        if not level.any():
+            break
+        found = found | level
+    return found
 
 
 def phrase_counts(
-    docs: DataFrame,
-    lang: str = "lang",
-    text: str = "text",
-    support: int = SUPPORT,
-    longest: int = LONGEST,
-    shard_bytes: int = SHARD_BYTES,
-    bits: int = SET_BITS,
+    docs: DataFrame, lang: str = "lang", text: str = "text", support: int = SUPPORT, longest: int = LONGEST, bits: int = SET_BITS, **dealing
 ) -> DataFrame:
     """``(lang, words, phrase, f)``: the phrases of a language with ``support`` occurrences, exactly counted.
 
-    The row with 0 words and an empty phrase tells the number of all words of the language.
+    The row with 0 words and an empty phrase tells the number of all words of the language. ``dealing`` as for
+    ``candidate_set``.
     """
-    rows = stored(sharded(docs, lang, text, support, shard_bytes))
-    shared = rows.sparkSession.sparkContext.broadcast(candidate_set(rows, longest, bits))
-
-    def count(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, _, shard = _columns(keys, batches)
+    texts = _texts(docs, lang, text)
+    block_words = dealing.get("block_words", BLOCK_WORDS)
+    shared = docs.sparkSession.sparkContext.broadcast(candidate_set(texts, support, longest, bits=bits, **dealing))
 
-        def told(length: int, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(lang: str, length: int, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
             return pa.record_batch(
                 {
-                    "lang": pa.array([name] * len(phrases), pa.string()),
+                    "lang": pa.array([lang] * len(phrases), pa.string()),
                     "words": pa.array([length] * len(phrases), pa.int32()),
                     "phrase": pa.array(phrases, pa.binary()),
                     "f": pa.array(counts, pa.int64()),
                 }
             )
 
-        yield told(0, [b""], np.array([np.count_nonzero(shard.ids)]))
-        for length, first, counts in shard.counted(shared.value, bits, longest):
-            for i in range(0, len(first), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                yield told(length, [shard.phrase(p, length) for p in first[part].tolist()], counts[part])
+        for block in _blocks(batches, block_words):
+            yield told(block.lang, 0, [b""], np.array([np.count_nonzero(block.ids)]))
+            for length, first, counts in block.counted(shared.value, bits, longest):
+                for i in range(0, len(first), 1 << 16):
+                    part = slice(i, i + (1 << 16))
+                    yield told(block.lang, length, [block.phrase(p, length) for p in first[part].tolist()], counts[part])
 
-    found = rows.groupBy("lang", "least", "shard").applyInArrow(count, "lang string, words int, phrase binary, f bigint")
+    found = texts.mapInArrow(count, "lang string, words int, phrase binary, f bigint")
     summed = found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
     kept = summed.where((F.col("f") >= support) | (F.col("words") == 0))
     return kept.withColumn("phrase", F.col("phrase").cast("string"))

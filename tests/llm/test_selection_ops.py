@@ -194,9 +194,9 @@ def plain_collocations(docs, support, rows):
     return out
 
 
-# Small shards lower the local support to one; a set of 64 bits is full of candidates.
-@pytest.mark.parametrize("shard_bytes, bits", [(1 << 20, 20), (2000, 20), (20_000, 6)])
-def test_collocations_equal_plain_ones(spark, shard_bytes, bits):
+# Many shards lower the local support to one, small blocks are many; a set of 64 bits is full of candidates.
+@pytest.mark.parametrize("shards, block_words, bits", [(4, 1 << 20, 20), (100, 50, 20), (1, 500, 20), (3, 500, 6)])
+def test_collocations_equal_plain_ones(spark, shards, block_words, bits):
     rng = random.Random(11)
     words = ["New", "york", "city", "hall", "the", "of", "a", "é", "'s", "x\x00y"]
     langs = ["en", "en", "fr", None]
@@ -206,7 +206,7 @@ def test_collocations_equal_plain_ones(spark, shard_bytes, bits):
         docs.append((rng.choice(langs), text + rng.choice(["", " new york city hall", ".\nof the\ta  ", "!"])))
     docs += [("fr", None), ("de", ""), ("de", "..;"), (None, "of the a " * 2000)] + [("en", "the same line of the city")] * 60
     frame = spark.createDataFrame([(a, b, 1, "p") for a, b in docs], "lang string, text string, shard int, phrase string").repartition(4)
-    found = collocations(frame, rows=40, support=12, shard_bytes=shard_bytes, bits=bits).collect()
+    found = collocations(frame, rows=40, support=12, shards=shards, block_words=block_words, bits=bits).collect()
     assert {tuple(r) for r in found} == plain_collocations(docs, 12, 40)
     assert len(found) == len({(r.lang, r.rank) for r in found})
 
