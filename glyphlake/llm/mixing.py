@@ -10,8 +10,8 @@ Positions in a stream are sums over hashed buckets of about ``BUCKET`` rows, the
 a third of all rows is no larger task than others. Reruns agree: everything follows from hashes of the rows.
 
 Defined cases: a null text has size 0; documents of size 0 take nothing; a null source is a source of its own, the last;
-a source without words has target 0; rows without an id or repeated rows are placed one after the other; an empty table
-gives an empty result. No document is taken more than ``CAP`` times.
+a source without words has target 0; rows without an id or repeated rows are numbered and placed one after the other, so
+each has a row of its own in the result, of size 0 too; an empty table gives an empty result. No document is taken more than ``CAP`` times.
 """
 
 from __future__ import annotations
@@ -128,9 +128,9 @@ class Mix:
         ahead = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select("sid", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
         inside = Window.partitionBy("sid", "bucket").orderBy("__row", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn("start", F.sum("size").over(inside) - F.col("size"))
+        rows = rows.withColumn("start", F.sum("size").over(inside) - F.col("size")).withColumn("nth", F.row_number().over(inside))
         return rows.join(sums, ["sid", "bucket"]).select(
-            "doc_id", "__row", "size", "sid", "source_size", "target", (F.col("start") + F.col("ahead")).alias("start")
+            "doc_id", "__row", "nth", "size", "sid", "source_size", "target", (F.col("start") + F.col("ahead")).alias("start")
         )
 
     def _pieces(self) -> DataFrame:
@@ -146,7 +146,7 @@ class Mix:
 
     def documents(self) -> DataFrame:
         """doc_id, size, source_size, target (of the source) and taken words of every row."""
-        keys = ["doc_id", "__row", "size", "sid", "source_size", "target", "start"]
+        keys = ["doc_id", "__row", "nth", "size", "sid", "source_size", "target", "start"]
         taken = self._pieces().select(*keys, (F.col("high") - F.col("low")).alias("taken"))
         none = self.placed.select(*keys, F.lit(0).cast("long").alias("taken"))
         every = taken.unionByName(none).groupBy(*keys).agg(F.sum("taken").alias("taken"))

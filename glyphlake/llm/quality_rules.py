@@ -4,8 +4,8 @@ Everything is a built-in expression: no user function, no shuffle, one pass over
 
 Defined cases: a null text counts as empty; an empty or blank text has no words, its measures are 0 and the base
 rule rejects it (fewer than 20 words); texts of any length are measured whole; repeated rows are judged each on its
-own; an empty table gives an empty result; a text whose language
-has no stop words here, or is null, is not judged by them when a column of languages is named; columns of the input that clash with an output column are replaced when
+own; an empty table gives an empty result; a text is judged by stop words only where a
+column of languages is named and tells one that has a list here; columns of the input that clash with an output column are replaced when
 ``keep_columns`` is set, all other columns pass unchanged.
 """
 
@@ -44,25 +44,19 @@ class Rule(NamedTuple):
     low: float | None
     high: float | None
     least: int = 1  # judged only from so many units of ``per``
-    langs: tuple[str, ...] | None = None  # where languages are told, judged only in these
+    langs: tuple[str, ...] | None = None  # judged only where the language is told and one of these
 
 
-# The table: limits are ratios; each leaves a wide margin to ordinary prose in any language with spaces.
-# OP10_SQL is made of this table: its stop-word rule counts different words, so it rejects prose for its length.
+# Languages with stop words above.
+STOP_WORD_LANGS = ("en", "de", "fr", "es")
+
+# The table: limits are ratios; each leaves a wide margin to ordinary prose, whatever its length. Every use of a stop word
+# counts, and only texts told to be in a language with a list are judged by it.
 RULES = (
     Rule("mean_word_length", "word_chars", "n_words", 2.0, 20.0),
     Rule("symbols_per_word", "n_symbols", "n_words", None, 0.5),
     Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.5, 4),
-    Rule("stop_words", "n_stop_words", "n_words", 0.005, None, 200),
-    Rule("text_length", "n_words", "one", 20, 10_000_000),
-)
-
-# Languages with stop words above.
-STOP_WORD_LANGS = ("en", "de", "fr", "es")
-
-# The table by default: as above, but every use of a stop word counts, so that length alone rejects no prose.
-PROSE_RULES = tuple(
-    r._replace(measure="n_stop_word_uses", langs=STOP_WORD_LANGS) if r.name == "stop_words" else r for r in RULES
+    Rule("stop_words", "n_stop_word_uses", "n_words", 0.005, None, 200, STOP_WORD_LANGS),
 )
 
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -153,15 +147,17 @@ def broken(rule: Rule, lang: str | None = None) -> Column:
     bounds = [ratio < rule.low] if rule.low is not None else []
     bounds += [ratio > rule.high] if rule.high is not None else []
     found = (per >= rule.least) & reduce(operator.or_, bounds)
-    if lang is None or rule.langs is None:
+    if rule.langs is None:
         return found
+    if lang is None:
+        return F.lit(False)
     return found & F.coalesce(F.col(f"`{lang}`").isin(*rule.langs), F.lit(False))
 
 
 def quality_rules(
     df: DataFrame,
     text: str = "text",
-    rules: tuple[Rule, ...] = PROSE_RULES,
+    rules: tuple[Rule, ...] = RULES,
     keep_columns: bool = True,
     lang: str | None = None,
 ) -> DataFrame:
@@ -182,7 +178,7 @@ def quality_rules(
 
 
 def kept_rows(
-    df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = PROSE_RULES, lang: str | None = None
+    df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, lang: str | None = None
 ) -> DataFrame:
     """The rows that pass, with the columns of ``df``.
 

@@ -135,9 +135,10 @@ def _rules_sql() -> str:
     parts = []
     for r in RULES:
         per = "1" if r.per == "one" else r.per
+        told = f"lang IN {r.langs} AND " if r.langs else ""
         sides = [f"{r.measure}::DOUBLE / greatest({per}, 1) < {r.low}"] if r.low is not None else []
         sides += [f"{r.measure}::DOUBLE / greatest({per}, 1) > {r.high}"] if r.high is not None else []
-        parts.append(f"({per} >= {r.least} AND ({' OR '.join(sides)}))")
+        parts.append(f"coalesce({told}{per} >= {r.least} AND ({' OR '.join(sides)}), FALSE)")
     return " OR ".join(parts)
 
 
@@ -197,7 +198,7 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = f"""
 WITH t AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
   FROM documents),
@@ -207,11 +208,11 @@ win AS (
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n >= 2),
 rep AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, i + k AS p FROM twice, (SELECT unnest(range(8)) AS k)) GROUP BY r),
 m AS (
-  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
          len(l)::BIGINT AS n_lines,
-         len(list_intersect(list_distinct(w), {sorted(set(STOP_WORDS))}))::BIGINT AS n_stop_words
+         len(list_filter(w, lambda x: x IN {tuple(sorted(set(STOP_WORDS)))}))::BIGINT AS n_stop_word_uses
   FROM t LEFT JOIN rep USING (r)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -222,7 +223,7 @@ FROM b"""
 @register(OP10_SQL)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document, by the table that its SQL is made of."""
-    judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=RULES)
+    judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), lang="lang")
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

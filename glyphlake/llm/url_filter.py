@@ -56,7 +56,8 @@ def _rest(url: Column) -> Column:
 def fitting_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     """The longest rule as ``struct<rule, verdict>``, null where none fits."""
     found = F.lit(None)
-    for rule in sorted(rules, key=lambda r: len(r.host + r.path)):
+    # Later ones replace earlier ones: the shortest comes first, and of equally long ones the last listed.
+    for rule in sorted(reversed(rules), key=lambda r: len(r.host + r.path)):
         fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
         found = F.when(fits, F.struct(F.lit(rule.host + rule.path).alias("rule"), F.lit(rule.verdict).alias("verdict"))).otherwise(found)
     return found

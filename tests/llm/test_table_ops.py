@@ -18,7 +18,7 @@ from glyphlake.llm.mixing import BLOCK, Mix, shard_counts, targets
 from glyphlake.llm.queries import QUERIES, URL_RULES
 from glyphlake.llm.repeats import LENGTH, without_repeats
 from glyphlake.llm.simhash import near_duplicates, one_of_each_group, trie_join
-from glyphlake.llm.url_filter import Segmenter, bayes, host_of, host_words, slot, url_verdicts, word_counts
+from glyphlake.llm.url_filter import Rule, Segmenter, bayes, fitting_rule, host_of, host_words, slot, url_verdicts, word_counts
 
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -144,6 +144,13 @@ def test_url_query(spark, sf):
         assert row.verdict == (rule.verdict if rule else "block" if row.score > 0 else "allow")
 
 
+def test_first_of_equally_long_rules_wins(spark):
+    rules = (Rule("block", "a.org", "/x"), Rule("allow", "org", "/x/abc"), Rule("allow", "a.org", "/x"))
+    df = spark.createDataFrame([("a.org", "/x/1"), ("b.org", "/x/abc"), ("c.net", "/x")], "host string, path string")
+    found = [r.f for r in df.select(fitting_rule(F.col("host"), F.col("path"), rules).alias("f")).collect()]
+    assert found == [("a.org/x", "block"), ("org/x/abc", "allow"), None]
+
+
 def test_urls_scored_like_plain_naive_bayes(spark):
     urls = ["http://badword.net/x/1", "http://badgood.net/y", "http://goodword.example.net/en/2", "http://good.org/fr/", "http://badbad.org/",
             None, "no scheme", "http://", "HTTP://ÄB.ORG/fr/é", "http://a.b?x://c/", "http://goodgood.com/"]
@@ -305,7 +312,7 @@ def test_targets_of_uneven_sources(spark):
 def test_mixed_texts_hold_the_taken_words(spark):
     rng = random.Random(6)
     rows = [(i, "\n ".join(f"w{i}-{k}" for k in range(rng.choice([0, 1, 5, 63, 64, 65, 400]))), rng.choice(["a", "b", "c", None])) for i in range(90)]
-    rows += [(500, "same row here", "a"), (500, "same row here", "a"), (None, " lead  and tail ", "b"), (501, None, "a")]
+    rows += [(500, "same row here", "a"), (500, "same row here", "a"), (None, " lead  and tail ", "b"), (501, None, "a"), (501, None, "a"), (502, " ", None), (502, " ", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("row", F.lit("clash"))
     mix = Mix(df)
     texts = mix.texts()
@@ -315,7 +322,9 @@ def test_mixed_texts_hold_the_taken_words(spark):
         found[r.doc_id] += len(words(r.text))
         parts[r.doc_id].append(words(r.text))
     want = Counter()
-    for r in mix.documents().collect():
+    told = mix.documents().collect()
+    assert Counter(r.doc_id for r in told) == Counter(i for i, _, _ in rows)
+    for r in told:
         want[r.doc_id] += r.taken
     assert +found == +want
     original = {i: words(t) for i, t, _ in rows if i != 500}

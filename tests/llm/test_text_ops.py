@@ -228,6 +228,7 @@ def test_length_alone_rejects_no_prose(spark):
     judged = {r.name: r for r in quality_rules(df, lang="lang").drop("text").collect()}
     assert (judged["prose"].n_stop_word_uses, judged["prose"].n_stop_words) == (4000, 1)
     assert [r.broken_rules for r in judged.values()] == [[], ["stop_words"], [], []]
+    assert {r.name for r in quality_rules(df).collect() if r.kept} == {"prose", "bare", "unlisted", "untold"}
     kept = {r.name for r in corpus_pipeline.reject_poor(spark, df, "").collect()}
     assert kept == {"prose", "unlisted", "untold"}
 
