@@ -16,10 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphlake.functions.vectors import cosine, score_of
+from glyphlake.functions.vectors import score_of
 from glyphlake.operators.joins import lookup_join
 from glyphlake.schema import KNN_K, NUM_CANDIDATES
-from glyphlake.session import cut_lineage
 
 MAX_BROADCAST_QUERIES = 8192
 MAX_BROADCAST_CELLS = 8_000_000
@@ -49,15 +48,15 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _keep_best(row: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int):
-    """The k best entries per query row, score descending and id ascending."""
+def _keep_best(row: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int, *more: np.ndarray):
+    """The k best entries per query row, score descending and id ascending; ``more`` goes along."""
     order = np.lexsort((ident, -score, row))
-    row, score, ident = row[order], score[order], ident[order]
+    row, score, ident, *more = (values[order] for values in (row, score, ident, *more))
     first = np.r_[0, np.flatnonzero(row[1:] != row[:-1]) + 1] if len(row) else np.array([], int)
     lengths = np.diff(np.r_[first, len(row)])
     rank = np.arange(len(row)) - np.repeat(first, lengths)
     keep = rank < k
-    return row[keep], score[keep], ident[keep]
+    return row[keep], score[keep], ident[keep], *(values[keep] for values in more)
 
 
 class BestRows:
@@ -69,6 +68,7 @@ class BestRows:
         self.row = np.array([], dtype=np.int64)
         self.score = np.array([], dtype=np.float64)
         self.ident: np.ndarray | None = None
+        self.extra: np.ndarray | None = None
 
     def cut(self, scores: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions in a (query, row) block of scores that can still be among the best."""
@@ -77,14 +77,20 @@ class BestRows:
             floor = np.maximum(floor, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
         return np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
 
-    def offer(self, rows: list[np.ndarray], scores: list[np.ndarray], idents: list[np.ndarray]) -> None:
+    def offer(
+        self, rows: list[np.ndarray], scores: list[np.ndarray], idents: list[np.ndarray], extras: list[np.ndarray] | None = None
+    ) -> None:
+        """Take in entries; ``extras``, where given, holds a number that is kept with each."""
         old = [] if self.ident is None else [self.ident]
-        self.row, self.score, self.ident = _keep_best(
+        carried = [] if extras is None else [np.concatenate([*([] if self.extra is None else [self.extra]), *extras])]
+        self.row, self.score, self.ident, *kept = _keep_best(
             np.concatenate([self.row, *rows]),
             np.concatenate([self.score, *scores]),
             np.concatenate([*old, *idents]),
             self.k,
+            *carried,
         )
+        self.extra = kept[0] if kept else None
         count = np.bincount(self.row, minlength=self.queries)
         full = np.flatnonzero(count >= self.k)
         self.floor[full] = self.score[np.cumsum(count)[full] - 1]
@@ -97,9 +103,10 @@ class _Field(BestRows):
         super().__init__(len(queries), k)
         self.matrix, self.groups = queries, groups
 
-    def add(self, vectors: np.ndarray, ident: np.ndarray, groups: np.ndarray | None) -> None:
+    def add(self, vectors: np.ndarray, ident: np.ndarray, groups: np.ndarray | None, extra=None) -> None:
+        """Meet a batch of vectors; ``extra(rows of queries, rows of vectors)`` gives a number for each kept pair."""
         tile = max(1, CELLS_PER_TILE // max(1, len(vectors)))
-        rows, scores, idents = [], [], []
+        rows, scores, idents, extras = [], [], [], []
         for start in range(0, self.queries, tile):
             part = np.round(self.matrix[start : start + tile] @ vectors.T, SCORE_DECIMALS)
             if self.groups is not None:
@@ -108,7 +115,9 @@ class _Field(BestRows):
             rows.append(hit_row + start)
             scores.append(part[hit_row, hit_col])
             idents.append(ident[hit_col])
-        self.offer(rows, scores, idents)
+            if extra is not None:
+                extras.append(extra(hit_row + start, hit_col))
+        self.offer(rows, scores, idents, None if extra is None else extras)
 
 
 def same_group(wanted: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -305,39 +314,6 @@ def search_by_example(index: DataFrame, examples: DataFrame, field: str, k: int
     return knn(index, asked.withColumnRenamed("doc_id", "query_id"), field, k, **options)
 
 
-def ann_candidates(
-    index: DataFrame,
-    queries: DataFrame,
-    field: str,
-    k: int = KNN_K,
-    num_candidates: int = NUM_CANDIDATES,
-    sketch_dims: int = 16,
-    **limits: int,
-) -> DataFrame:
-    """Approximate kNN: the best ``num_candidates`` on the leading dimensions, rescored exactly.
-
-    Reads the whole field but multiplies only ``sketch_dims`` of it; ``recall_at_k`` against
-    ``knn`` tells what that costs in quality.
-    """
-    check_k(k, num_candidates)
-    short = index.select("doc_id", F.slice(field, 1, sketch_dims).alias(field))
-    asked = queries.withColumn("vector", F.slice("vector", 1, sketch_dims))
-    coarse = field_top_k(short, asked, [field], num_candidates, **limits).select("query_id", "doc_id")
-    # At most num_candidates rows per query: written once, then checked before it is broadcast.
-    coarse = cut_lineage(coarse)
-    rescored = (
-        lookup_join(index.select("doc_id", field), coarse, "doc_id", spread="doc_id")
-        .join(queries.select("query_id", F.col("vector").alias("__asked")), "query_id")
-        .select("query_id", "doc_id", F.round(cosine(field, "__asked"), SCORE_DECIMALS).alias("cos"))
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("cos"), "doc_id")
-    return (
-        rescored.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "doc_id", score_of("cos").alias("score"), "rank")
-    )
-
-
 def recall_at_k(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """Share of the exact hits that the approximate search found, per query."""
     seen = approximate.select("query_id", "doc_id", F.lit(1).alias("seen"))

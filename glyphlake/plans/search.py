@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glyphlake.functions.images import Decoder, decode_base64_images
 from glyphlake.functions.text import format_hit, report_title, strip_data_uri
 from glyphlake.operators.encoders import embed_image, embed_svg, embed_text, text_postings
+from glyphlake.operators.fused import fused_page, fused_scan
 from glyphlake.operators.joins import lookup_join
 from glyphlake.operators.knn import check_k, knn, knn_multi_field
 from glyphlake.operators.ranking import format_result, fuse, rank_page, total_hits
@@ -73,8 +74,23 @@ def hybrid_search(
     dense top k keeps its sparse score, and the documents before it in the sparse order can only
     gain from a dense part, which is never negative. Dense hits get their own sparse score.
     ``group_col``, a column of ``index``, ``queries`` and ``query_postings``, is respected by both
-    sides (null in a query: no filter).
+    sides (null in a query: no filter). Requests that fit a broadcast take one scan of the index.
     """
+    check_k(k, num_candidates)
+    found = fused_scan(index, queries, query_postings, field, sparse_field, k, size, group_col, **_bounds(limits))
+    if found is not None:
+        return fused_page(found, k, size)
+    return _hybrid_by_parts(index, queries, query_postings, field, sparse_field, k, num_candidates, size, group_col, **limits)
+
+
+def _bounds(limits: dict[str, int]) -> dict[str, int]:
+    return {name: limits[name] for name in ("max_queries",) if name in limits}
+
+
+def _hybrid_by_parts(
+    index, queries, query_postings, field, sparse_field, k, num_candidates, size, group_col, **limits
+) -> DataFrame:
+    """The same for any number of requests, branch by branch."""
     dense = cut_lineage(knn(index, queries, field, k, num_candidates, group_col=group_col, **limits).drop("rank"))
     matched = cut_lineage(sparse_page(index, query_postings, sparse_field, size, group_col))
     of_dense = cut_lineage(sparse_scores_of(index, dense, query_postings, sparse_field))
@@ -139,10 +155,13 @@ def search(
     if query_sparse is None:
         query_sparse = text_postings(text, "query", "query_id")
     sparse = query_sparse.join(text.select("query_id", "icon_type"), "query_id")
-    hybrid = hybrid_search(
-        index, text, sparse, k=k, num_candidates=num_candidates, size=size, group_col="icon_type", **limits
-    )
     visual = asked.where("type IN ('image', 'svg')").withColumn("fields", resolve_fields())
+    found = fused_scan(
+        index, text, sparse, TEXT_FIELD, SPARSE_FIELD, k, size, "icon_type", visual, VISUAL_FIELDS, **_bounds(limits)
+    )
+    if found is not None:
+        return attach(cut_lineage(fused_page(found, k, size)), index)
+    hybrid = _hybrid_by_parts(index, text, sparse, TEXT_FIELD, SPARSE_FIELD, k, num_candidates, size, "icon_type", **limits)
     # At most k rows per request and field; read twice, for the page and for the total.
     pictured = cut_lineage(knn_multi_field(index, visual, VISUAL_FIELDS, k, query_fields="fields", **limits))
     pictured = rank_page(pictured, size).join(total_hits(pictured), "query_id")

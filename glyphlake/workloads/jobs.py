@@ -33,7 +33,9 @@ def search_index(spark, sf):
         "text_embedding",
         "text_embedding_sparse",
     )
-    return cut_lineage(named.join(visual_index(spark, sf).drop("icon_type", "label"), "doc_id", "left"))
+    place = work_folder(spark)
+    named.join(visual_index(spark, sf).drop("icon_type", "label"), "doc_id", "left").write.parquet(place)
+    return spread_out(spark.read.parquet(place))
 
 
 def search_requests(spark, sf):

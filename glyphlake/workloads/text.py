@@ -7,7 +7,7 @@ from glyphlake.operators.knn import knn
 from glyphlake.operators.ranking import rank_page, total_hits
 from glyphlake.operators.sparse import sparse_page, sparse_search
 from glyphlake.plans.search import choose_branch, hybrid_search
-from glyphlake.session import cut_lineage
+from glyphlake.session import work_folder
 from glyphlake.workloads.base import (
     SQL_DOC_VECTORS, SQL_QUERY_VECTORS, documents, sql_cos, sql_tokens, table, text_index, text_queries,
 )
@@ -115,7 +115,9 @@ SELECT * FROM ({sql_page('fused')}) JOIN (SELECT query_id, count(*) AS total FRO
 )
 def hybrid(spark, sf):
     # Encoded and stored once, as an index would be, then searched by both halves.
-    index = cut_lineage(embed_sparse(embed_text(documents(spark, sf), "text"), "text").drop("text"))
+    place = work_folder(spark)
+    embed_sparse(embed_text(documents(spark, sf), "text"), "text").drop("text").write.parquet(place)
+    index = spark.read.parquet(place)
     return shown(hybrid_search(index, text_queries(spark, sf), query_postings(spark, sf)))
 
 

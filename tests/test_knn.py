@@ -4,7 +4,7 @@ from conftest import vectors
 from pyspark.sql import functions as F
 
 from glyphlake.operators.knn import (
-    ann_candidates, check_k, field_top_k, knn, knn_filtered, knn_multi_field, recall_at_k, search_by_example,
+    check_k, field_top_k, knn, knn_filtered, knn_multi_field, recall_at_k, search_by_example,
 )
 from glyphlake.operators.ranking import format_result, fuse, page, rank_page, top_results
 
@@ -122,14 +122,6 @@ def test_example_finds_itself_first(index):
     assert all(abs(r.score - 1) < 1e-9 for r in best)
 
 
-def test_ann_is_exact_when_all_rows_are_candidates(index, queries):
-    exact = knn(index, queries, "a", k=5)
-    full = recall_at_k(exact, ann_candidates(index, queries, "a", k=5, num_candidates=100, sketch_dims=2))
-    assert {r.recall for r in full.collect()} == {1.0}
-    few = recall_at_k(exact, ann_candidates(index, queries, "a", k=5, num_candidates=5, sketch_dims=2))
-    assert 0 <= few.agg(F.avg("recall")).first()[0] < 1
-
-
 def test_fuse_rank_page_and_format(spark):
     left = spark.createDataFrame([("q", "a", 1.0), ("q", "b", 0.5)], "query_id string, doc_id string, score double")
     right = spark.createDataFrame([("q", "b", 0.5), ("q", "c", 0.9)], "query_id string, doc_id string, score double")

@@ -86,20 +86,48 @@ def test_sparse_page_equals_brute_force(docs, queries, limits):
     assert {r.query_id for r in found} == {q for q, _ in scores}
 
 
-def test_scores_do_not_depend_on_the_cuts(monkeypatch):
+@pytest.mark.parametrize("block_rows, tile_rows", [(16, 2048), (3, 50), (1, 1)])
+def test_bounds_leave_out_most_cells_and_no_match(monkeypatch, block_rows, tile_rows):
+    """Zipf tokens over documents of uneven length, negative weights included."""
     import pandas as pd
+    import pyarrow as pa
 
     from glyphlake.operators import sparse
 
+    monkeypatch.setattr(sparse, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(sparse, "TILE_ROWS", tile_rows)
     rng = np.random.default_rng(2)
-    frame = pd.DataFrame({"query_id": np.repeat(np.arange(6), 4), "token": np.tile(WORDS[:4], 6), "weight": rng.random(24)})
-    block = sparse._SparseBlock(frame, 5)
-    rows, tokens, weights = np.sort(rng.integers(0, 9, 40)), rng.integers(0, 4, 40), rng.random(40)
-    whole = block._scores(rows, tokens, weights, 9)
-    for at_once in (1, 7, 50, 10_000):
-        monkeypatch.setattr(sparse, "MEETINGS_AT_ONCE", at_once)
-        cut = block._scores(rows, tokens, weights, 9)
-        assert np.allclose(whole[0], cut[0], atol=2e-9) and np.array_equal(whole[1], cut[1])
+    share = 1 / np.arange(1, 301)
+    share /= share.sum()
+
+    def entries(n):
+        tokens = np.unique(rng.choice(300, n, p=share))
+        return [(f"t{t}", float(w)) for t, w in zip(tokens, rng.lognormal(0, 1, len(tokens)) * (1 - 2 * (tokens % 50 == 7)))]
+
+    docs = [entries(int(n)) for n in rng.lognormal(2, 1, 1500)]
+    asked = [(q, t, w) for q in range(40) for t, w in entries(6)]
+    block = sparse.SparseBlock(pd.DataFrame(asked, columns=["query_id", "token", "weight"]), 5)
+    block.begin()
+    ident, half = np.arange(1500), 700
+    for low, high in ((0, half), (half, 1500)):
+        column = pa.array(docs[low:high], pa.map_(pa.string(), pa.float64()))
+        tiles = block.add(ident[low:high], column, None)
+    got = {}
+    for row, doc, score in zip(block.best.row, block.best.ident, block.best.score):
+        got.setdefault(int(block.query_id[row]), []).append((-score, int(doc)))
+    for q in range(40):
+        mine = {t: w for query, t, w in asked if query == q}
+        every = {d: sum(mine[t] * w for t, w in e if t in mine) for d, e in enumerate(docs) if any(t in mine for t, _ in e)}
+        at = block.query_id.tolist().index(q)
+        assert block.matches[at] == len(every)
+        want = sorted((-round(s, 9), d) for d, s in every.items())[:5]
+        assert [d for _, d in got[q]] == [d for _, d in want]
+        assert [s for s, _ in got[q]] == pytest.approx([s for s, _ in want], abs=1e-8)
+        pairs = block.pair_scores(tiles, np.full(800, at), np.arange(800))
+        assert {half + i for i in np.flatnonzero(~np.isnan(pairs))} == {d for d in every if d >= half}
+        assert all(pairs[d - half] == pytest.approx(s, abs=1e-8) for d, s in every.items() if d >= half)
+    if tile_rows > 50:
+        assert block.scored < 0.25 * 40 * 1500
 
 
 @pytest.mark.parametrize("rows", [100_000, 3])
@@ -109,17 +137,25 @@ def test_sparse_join_equals_brute_force(docs, queries, rows):
     assert {(r.query_id, r.doc_id): r.score for r in found.collect()} == pytest.approx(brute_sparse(queries), abs=1e-8)
 
 
-@pytest.mark.parametrize("size", [3, 50])
-def test_hybrid_equals_full_fusion(docs, queries, size):
+# The second bound is below the number of requests, so they are answered branch by branch.
+@pytest.mark.parametrize("size, bounds", [(3, {}), (50, {}), (3, {"max_queries": 2})])
+def test_hybrid_equals_full_fusion(docs, queries, size, bounds):
     from glyphlake.operators.knn import knn
 
     fused = brute_sparse(queries)
     for r in knn(docs, queries, "text_embedding", 4, group_col="icon_type").collect():
         fused[r.query_id, r.doc_id] = fused.get((r.query_id, r.doc_id), 0.0) + r.score
-    found = hybrid_search(docs, queries, asked(queries), k=4, size=size, group_col="icon_type").collect()
+    found = hybrid_search(docs, queries, asked(queries), k=4, size=size, group_col="icon_type", **bounds).collect()
     for q in {q for q, _ in fused}:
         best = sorted((-round(s, 9), d) for (qq, d), s in fused.items() if qq == q)
         mine = sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])
         assert {r.total for r in mine} == {len(best)}
         assert [r.score for r in mine] == pytest.approx([-s for s, _ in best[:size]], abs=1e-7)
         assert {r.doc_id for r in mine} == {d for _, d in best[:size]}
+
+
+def test_hybrid_reads_the_index_once(spark, docs, queries, tmp_path):
+    docs.drop("text").write.parquet(f"{tmp_path}/index")
+    found = hybrid_search(spark.read.parquet(f"{tmp_path}/index"), queries, asked(queries), k=4, group_col="icon_type")
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
