@@ -33,25 +33,39 @@ def write_version(df: DataFrame, root: str, version: int, partition_by: str | No
     return path
 
 
+def write_bookmarks(releases: DataFrame, path: str) -> None:
+    """Remember the processed release of every source in one write: ``source, release_tag, successes, indexing``, one row a source.
+
+    Only rows with a success and with indexing on count; the bookmarks of other sources stay.
+    """
+    done = releases.where((F.col("successes") >= 1) & F.col("indexing")).select("source", "release_tag")
+    rows = done.withColumn("processed_at", F.current_timestamp()).repartition("source")
+    rows.write.mode("overwrite").partitionBy("source").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def read_bookmarks(spark: SparkSession, path: str) -> DataFrame:
+    """``source, release_tag``: the last processed release of every source that has one."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "source string, release_tag string")
+    tag = F.trim("release_tag")
+    return spark.read.parquet(path).select(F.col("source").cast("string").alias("source"), tag.alias("release_tag")).where(tag != "")
+
+
 def write_bookmark(
     spark: SparkSession, path: str, source: str, release_tag: str, successes: int = 1, indexing: bool = True
 ) -> bool:
-    """Remember the processed release if anything succeeded and indexing was on."""
+    """Remember the processed release of one source if anything succeeded and indexing was on."""
     if successes < 1 or not indexing:
         return False
-    row = spark.createDataFrame([(source, release_tag)], "source string, release_tag string")
-    row.withColumn("processed_at", F.current_timestamp()).write.mode("overwrite").partitionBy("source").option(
-        "partitionOverwriteMode", "dynamic"
-    ).parquet(path)
+    row = [(source, release_tag, successes, indexing)]
+    write_bookmarks(spark.createDataFrame(row, "source string, release_tag string, successes int, indexing boolean"), path)
     return True
 
 
 def read_bookmark(spark: SparkSession, path: str, source: str) -> str | None:
     """The last processed release of a source; none or a blank one gives None."""
-    if not _exists(spark, path):
-        return None
-    row = spark.read.parquet(path).where(F.col("source") == source).select(F.trim("release_tag").alias("t")).first()
-    return (row["t"] or None) if row else None
+    row = read_bookmarks(spark, path).where(F.col("source") == source).first()
+    return row["release_tag"] if row else None
 
 
 def image_table(rendered: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ last written index state; ``compact`` merges what is new into the next version a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql.utils import AnalysisException
 
 from glyphlake.operators.runs import batch_status
 from glyphlake.operators.upsert import upsert, upsert_descriptions
+from glyphlake.sources.commits import CommitLog
 
 # Pause between batches, per kind of item.
 PAUSES = {"text": "100 milliseconds", "svg": "100 milliseconds", "image": "200 milliseconds"}
@@ -74,39 +76,36 @@ def merged_index(index: DataFrame, updates: DataFrame | None, arrival: str) -> D
 
 
 def compacted(spark: SparkSession, root: str) -> tuple[int, int]:
-    """The last complete version below ``root`` and the last batch merged into it; (0, -1) before the first."""
-    try:
-        row = spark.read.parquet(f"{root}/marks").agg(F.max(F.struct("version", "batch")).alias("last")).first()["last"]
-    except AnalysisException:
-        return 0, -1
-    return row["version"], row["batch"]
+    """The last version below ``root`` and the last batch merged into it; (0, -1) before the first."""
+    version, state = CommitLog(spark, f"{root}/log").latest()
+    return version, state.get("batch", -1)
 
 
 def read_compacted(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Documents and texts of the last complete version."""
-    version, _ = compacted(spark, root)
-    return tuple(spark.read.parquet(f"{root}/version={version}/{part}") for part in ("documents", "texts"))
+    """Documents and texts of the last version."""
+    place = CommitLog(spark, f"{root}/log").latest()[1]["place"]
+    return tuple(spark.read.parquet(f"{root}/{place}/{part}") for part in ("documents", "texts"))
 
 
 def compact(spark: SparkSession, root: str, log_path: str, arrival: str, documents: DataFrame, texts: DataFrame) -> int:
     """Merge the logged batches that are not merged yet into the next version; returns its number.
 
-    ``documents`` and ``texts`` are the state before the first version. A version counts once its
-    mark is written, after its tables; a run that failed before is repeated over the same batches, and a
-    run without new batches changes nothing. So every update is applied once.
+    ``documents`` and ``texts`` are the state before the first version. Each run writes to a folder of its own and then commits:
+    of two runs at a time one wins, and the other merges what is still new then, if anything. A run that failed before its
+    commit changes nothing, nor does one without new batches. So every update is applied once.
     """
-    version, batch = compacted(spark, root)
+    log = CommitLog(spark, f"{root}/log")
     updates = read_updates(spark, log_path)
-    fresh = None if updates is None else updates.where(F.col("batch_id") > batch)
-    last = None if fresh is None else fresh.agg(F.max("batch_id")).first()[0]
-    if last is None:
-        return version
-    if version:
-        documents, texts = read_compacted(spark, root)
-    documents, texts = upsert_descriptions(documents, texts, fresh, ["batch_id", arrival])
-    place = f"{root}/version={version + 1}"
-    documents.write.mode("overwrite").parquet(f"{place}/documents")
-    texts.write.mode("overwrite").parquet(f"{place}/texts")
-    mark = spark.range(1).select(F.lit(version + 1).alias("version"), F.lit(int(last)).cast("bigint").alias("batch"))
-    mark.coalesce(1).write.mode("append").parquet(f"{root}/marks")
-    return version + 1
+    while True:
+        version, state = log.latest()
+        fresh = None if updates is None else updates.where(F.col("batch_id") > state.get("batch", -1))
+        last = None if fresh is None else fresh.agg(F.max("batch_id")).first()[0]
+        if last is None:
+            return version
+        old = read_compacted(spark, root) if version else (documents, texts)
+        place = f"state/{uuid.uuid4().hex}"
+        # Batches logged while this run goes on are left for the next.
+        for part, rows in zip(("documents", "texts"), upsert_descriptions(*old, fresh.where(F.col("batch_id") <= last), ["batch_id", arrival])):
+            rows.write.parquet(f"{root}/{place}/{part}")
+        if log.commit(version + 1, {"batch": int(last), "place": place}):
+            return version + 1

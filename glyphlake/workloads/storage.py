@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from glyphlake.session import work_folder
 from glyphlake.sources import index_store
+from glyphlake.sources.bucketed import BucketedIndex
 from glyphlake.sources.corpus import read_svg_text, scan_svg_corpus
 from glyphlake.workloads.base import table, vector_index
 from glyphlake.workloads.registry import register
@@ -52,16 +53,14 @@ def written(spark, sf):
     """SELECT source, 'v' || max(doc_id) || '.0.0' AS release_tag FROM documents WHERE source IS NOT NULL GROUP BY source""",
 )
 def bookmarks(spark, sf):
-    """The last release of three sources: remembered, remembered again, then read."""
+    """The last release of every source: an older one remembered, then the last, then one that failed."""
     place = work_folder(spark)
-    tags = table(spark, sf, "documents").where("source IS NOT NULL").groupBy("source").agg(F.max("doc_id").alias("n")).orderBy("source")
-    named = [(r["source"], f"v{r['n']}.0.0") for r in tags.limit(3).collect()]
-    for source, tag in named:
-        index_store.write_bookmark(spark, place, source, "v0.0.1")
-        index_store.write_bookmark(spark, place, source, tag)
-        index_store.write_bookmark(spark, place, source, "v9.9.9", successes=0)
-    found = [(source, index_store.read_bookmark(spark, place, source)) for source, _ in named]
-    return spark.createDataFrame(found, "source string, release_tag string")
+    tags = table(spark, sf, "documents").where("source IS NOT NULL").groupBy("source").agg(F.max("doc_id").alias("n"))
+    last = F.concat(F.lit("v"), "n", F.lit(".0.0"))
+    for tag, successes in ((F.lit("v0.0.1"), 1), (last, 1), (F.lit("v9.9.9"), 0)):
+        run = tags.select("source", tag.alias("release_tag"), F.lit(successes).alias("successes"), F.lit(True).alias("indexing"))
+        index_store.write_bookmarks(run, place)
+    return index_store.read_bookmarks(spark, place)
 
 
 @register(
@@ -96,3 +95,29 @@ def projected(spark, sf):
     place = work_folder(spark)
     index_store.write_index(vector_index(spark, sf), place, partition_by=None)
     return spark.read.parquet(place).select("doc_id", "icon_type", F.round(F.col("vector")[0].cast("double"), 6).alias("head"))
+
+
+SQL_LABELLED = "SELECT d.doc_id, coalesce(l.quality, d.n_chars) AS n_chars, d.lang FROM documents d LEFT JOIN labels l USING (doc_id)"
+
+
+def bucketed(spark, sf):
+    """The documents in 16 buckets, with the labelled ones' quality merged in as a second version."""
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars", "lang")
+    store = BucketedIndex.create(docs, work_folder(spark), 16)
+    store.upsert(table(spark, sf, "labels").select("doc_id", F.col("quality").cast("bigint").alias("n_chars")))
+    return store
+
+
+@register(
+    "bucketed_upsert",
+    f"""SELECT doc_id, n_chars, lang, 2 AS version FROM ({SQL_LABELLED})
+UNION ALL SELECT doc_id, quality, NULL, 2 FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
+)
+def merged_buckets(spark, sf):
+    store = bucketed(spark, sf)
+    return store.read().withColumn("version", F.lit(store.version()))
+
+
+@register("bucketed_get", f"SELECT * FROM ({SQL_LABELLED}) WHERE doc_id IN (SELECT vec_id * 3 FROM embeddings)")
+def read_from_buckets(spark, sf):
+    return bucketed(spark, sf).get(table(spark, sf, "embeddings").select((F.col("vec_id") * 3).alias("doc_id")))
