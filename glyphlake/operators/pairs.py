@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -22,63 +23,57 @@ from glyphlake.session import cut_lineage
 
 CHUNK_ROWS = 4096
 CELLS_PER_TILE = 1_000_000
-GRID_AXES = 4
-SAMPLE_ROWS = 4096
-CELL_HASH = 0x9E3779B97F4A7C15  # odd, so that no coordinate is lost
-# Above this distance a grid cell covers most of the unit sphere and prunes nothing.
+#: Bounds of the pivots, which are broadcast, and of the sample they are fitted to, which the driver reads.
+MAX_PIVOTS = 1024
+SAMPLE_ROWS = 16_384
+SAMPLE_PER_PIVOT = 32
+ROUNDS = 6
+FEISTEL_ROUNDS = 4
+# Above this distance a vector reaches most cells, and cells prune nothing.
 USEFUL_DISTANCE = 0.5
 SLACK = 1e-6
 
 
-def _axes(vectors: DataFrame, field: str, n: int) -> np.ndarray:
-    """Orthonormal directions along which a bounded sample spreads most.
-
-    Any orthonormal directions give exact results, good ones only give smaller cells.
-    """
-    sample = vectors.orderBy(F.xxhash64("group_id")).limit(SAMPLE_ROWS).select(field).toArrow()
+def _pivots(vectors: DataFrame, field: str, n: int) -> np.ndarray:
+    """Unit vectors in the middle of groups of a bounded sample; any pivots give exact results, good ones smaller cells."""
+    sample = vectors.orderBy(F.xxhash64("group_id")).limit(min(SAMPLE_ROWS, SAMPLE_PER_PIVOT * n)).select(field).toArrow()
     if sample.num_rows == 0:
         return np.zeros((0, 1))
-    matrix = _matrix(sample.column(field))
-    centred = matrix - matrix.mean(axis=0)
-    _, directions = np.linalg.eigh(centred.T @ centred)
-    return directions[:, ::-1][:, : min(n, matrix.shape[1])]
-
-
-def _cells(vectors: DataFrame, field: str, radius: float, axes: np.ndarray) -> DataFrame:
-    """Rows in their home cell and in every lower cell their neighbourhood reaches.
-
-    Two vectors closer than ``radius`` differ by less than that along each axis, so one of them
-    always visits the home cell of the other.
+    rows = _matrix(sample.column(field))
+    pivots = rows[: min(n, len(rows))]
+    for _ in range(ROUNDS):
+        near = np.argmax(rows @ pivots.T, axis=1)
+        total = np.zeros_like(pivots)
+        np.add.at(total, near, rows)
+        length = np.linalg.norm(total, axis=1, keepdims=True)
+        pivots = np.where(length > 0, np.divide(total, length, out=np.zeros_like(total), where=length > 0), pivots)
+    return pivots
+
+
+def _cells(vectors: DataFrame, field: str, radius: float, pivots: np.ndarray) -> DataFrame:
+    """Rows in the cell of their nearest pivot and in every lower cell within reach.
+
+    The plane between two pivots parts their cells. A vector within ``radius`` of one in another cell is no further than
+    that from the plane, so of two close vectors the one in the higher cell always visits the cell of the other.
     """
-    width = max(2 * radius, 1e-3)
     schema = T.StructType([*vectors.schema.fields, T.StructField("cell", T.LongType()), T.StructField("home", T.BooleanType())])
-    names = vectors.columns
+    names, shared = vectors.columns, vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            place_on_axes = _matrix(batch.column(names.index(field))) @ axes + 2.0
-            at = np.floor(place_on_axes / width).astype(np.int64)
-            low = np.floor((place_on_axes - radius - SLACK) / width)
-            high = np.floor((place_on_axes + radius + SLACK) / width)
-            # Cells are named by a 64-bit hash of their coordinates, in wrapping integers, so any number of axes will do.
-            scale = np.array([pow(CELL_HASH, axis + 1, 1 << 64) for axis in range(at.shape[1])], np.uint64).view(np.int64)
-            home = (at * scale).sum(axis=1)
-            # Every axis reaches its own cell and at most one more on either side.
-            rows, cells = np.arange(len(home)), np.zeros(len(home), np.int64)
-            for axis in range(at.shape[1]):
-                offset = np.array([[-1], [0], [1]]) + at[rows, axis]
-                step, take = np.nonzero((offset >= low[rows, axis]) & (offset <= high[rows, axis]))
-                steps = step - 1
-                cells = cells[take] + (at[rows[take], axis] + steps) * scale[axis]
-                rows = rows[take]
-            keep = cells <= home[rows]
-            rows, cells = rows[keep], cells[keep]
-            taken = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array(cells), pa.array(cells == home[rows])], names=[*names, "cell", "home"]
-            )
+        pivots = shared.value
+        apart = np.sqrt(np.maximum(0.0, 2 - 2 * pivots @ pivots.T))
+        tile = max(1, CELLS_PER_TILE // len(pivots))
+        for whole in batches:
+            for start in range(0, whole.num_rows, tile):
+                batch = whole.slice(start, tile)
+                near = _matrix(batch.column(names.index(field))) @ pivots.T
+                home = near.argmax(axis=1)
+                reach = near.max(axis=1, keepdims=True) - near <= (radius + SLACK) * apart[home] + SLACK
+                rows, cells = np.nonzero(reach & (np.arange(len(pivots)) <= home[:, None]))
+                taken = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [*taken.columns, pa.array(cells.astype(np.int64)), pa.array(cells == home[rows])], names=[*names, "cell", "home"]
+                )
 
     return vectors.mapInArrow(place, schema)
 
@@ -89,34 +84,33 @@ def similar_pairs(
     threshold: float = SIMILAR_THRESHOLD,
     id_col: str = "doc_id",
     chunk_rows: int = CHUNK_ROWS,
-    grid_axes: int = GRID_AXES,
+    pivots: int | None = None,
 ) -> DataFrame:
     """All pairs of distinct vectors with cosine above ``threshold``, exactly.
 
     ``doc_a, doc_b, copies_a, copies_b, similarity`` with the smallest id standing for all copies
-    of a vector and ``doc_a < doc_b``; a vector with copies also has a row with itself. Copies are folded first, so a vector held by many documents
-    costs one row. Vectors are then placed in cells of a grid over a few directions; only cells
-    within reach meet, each cut into blocks of at most ``chunk_rows`` rows, and a block hands out
-    nothing but its matches.
+    of a vector and ``doc_a < doc_b``; a vector with copies also has a row with itself. Copies are folded first, so a vector
+    held by many documents costs one row. Vectors are then placed in the cells of ``pivots`` fitted vectors (about the
+    root of their number); a vector also visits the cells that its neighbourhood reaches into. Each cell is cut into blocks of
+    at most ``chunk_rows`` rows, and a block hands out nothing but its matches.
     """
-    found = _match_cells(_placed(df, field, threshold, id_col, grid_axes), field, threshold, chunk_rows)
+    groups = cut_lineage(copy_groups(df, field, id_col))
+    found = _match_cells(_placed(groups, field, threshold, pivots), field, threshold, chunk_rows)
     # Copies are similar as well: a row that pairs their vector with itself.
-    own = _copies(df, field, threshold, id_col).select(
+    own = _copies(groups, field, threshold).select(
         F.col("group_id").alias("doc_a"), F.col("group_id").alias("doc_b"), F.col("copies").alias("copies_a"),
         F.col("copies").alias("copies_b"), "similarity",
     )
     return found.unionByName(own)
 
 
-def _placed(df: DataFrame, field: str, threshold: float, id_col: str, grid_axes: int) -> DataFrame:
+def _placed(groups: DataFrame, field: str, threshold: float, pivots: int | None) -> DataFrame:
     """Distinct vectors in the cells they take part in."""
-    groups = cut_lineage(copy_groups(df, field, id_col))
     radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
-    axes = None
-    if threshold >= 0 and radius < USEFUL_DISTANCE and grid_axes > 0:
-        axes = _axes(groups, field, grid_axes)
-    if axes is not None and len(axes):
-        return _cells(groups, field, radius, axes)
+    if threshold >= 0 and radius < USEFUL_DISTANCE and pivots != 0:
+        fitted = _pivots(groups, field, min(MAX_PIVOTS, pivots or max(1, math.ceil(math.sqrt(groups.count())))))
+        if len(fitted):
+            return _cells(groups, field, radius, fitted)
     return groups.withColumn("cell", F.lit(0).cast("bigint")).withColumn("home", F.lit(True))
 
 
@@ -215,7 +209,7 @@ def _match_cells(
                 columns = both.all_pairs()
             else:
                 count, columns = both.summary(top)
-        arrays = [pa.array(np.asarray(c).tolist(), t) for c, t in zip(columns, types, strict=True)]
+        arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
         if count:
             extra = [None, None, count, None, None]
             arrays = [pa.concat_arrays([x, pa.array([e], t)]) for x, e, t in zip(arrays, extra, types, strict=True)]
@@ -226,25 +220,17 @@ def _match_cells(
 
 
 def similar_pairs_summary(
-    df: DataFrame,
-    field: str,
-    threshold: float = SIMILAR_THRESHOLD,
-    top: int = SIMILAR_SHOWN,
-    id_col: str = "doc_id",
-    chunk_rows: int = CHUNK_ROWS,
-    grid_axes: int = GRID_AXES,
+    groups: DataFrame, field: str, threshold: float, top: int, chunk_rows: int = CHUNK_ROWS, pivots: int | None = None
 ) -> DataFrame:
-    """The same pairs without listing them: per block its best ``top`` and, in rows without ids,
-    the number of document pairs as ``copies_a``. Written once, for it is small and read twice."""
-    placed = _placed(df, field, threshold, id_col, grid_axes)
-    return cut_lineage(_match_cells(placed, field, threshold, chunk_rows, top))
+    """The pairs among ``groups``, a result of ``copy_groups``, without listing them: per block its best ``top`` and, in rows
+    without ids, the number of document pairs as ``copies_a``. Written once, for it is small and read twice."""
+    return cut_lineage(_match_cells(_placed(groups, field, threshold, pivots), field, threshold, chunk_rows, top))
 
 
-def _copies(df: DataFrame, field: str, threshold: float, id_col: str) -> DataFrame:
+def _copies(groups: DataFrame, field: str, threshold: float) -> DataFrame:
     """Vectors held by several documents; they are similar to themselves if 1 passes the threshold."""
-    groups = copy_groups(df, field, id_col).where(F.col("copies") > 1)
     self_similarity = F.when(l2_norm(field) == 0, F.lit(0.0)).otherwise(F.lit(1.0))
-    return groups.select("group_id", "copies", self_similarity.alias("similarity")).where(
+    return groups.where(F.col("copies") > 1).select("group_id", "copies", self_similarity.alias("similarity")).where(
         F.col("similarity") > threshold
     )
 
@@ -253,9 +239,14 @@ def similar_pair_counts(
     df: DataFrame, field: str, threshold: float = SIMILAR_THRESHOLD, id_col: str = "doc_id", **options: int
 ) -> DataFrame:
     """One row ``pairs``: document pairs above the threshold, copies counted without listing them."""
-    counted = similar_pairs_summary(df, field, threshold, 1, id_col, **options)
+    return group_pair_counts(cut_lineage(copy_groups(df, field, id_col)), field, threshold, **options)
+
+
+def group_pair_counts(groups: DataFrame, field: str, threshold: float = SIMILAR_THRESHOLD, **options: int) -> DataFrame:
+    """The same from a written result of ``copy_groups``."""
+    counted = similar_pairs_summary(groups, field, threshold, 1, **options)
     across = counted.where(F.col("doc_a").isNull()).select(F.col("copies_a").alias("n"))
-    within = _copies(df, field, threshold, id_col).select((F.col("copies") * (F.col("copies") - 1) / 2).cast("bigint").alias("n"))
+    within = _copies(groups, field, threshold).select((F.col("copies") * (F.col("copies") - 1) / 2).cast("bigint").alias("n"))
     return across.unionByName(within).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
 
 
@@ -273,9 +264,10 @@ def top_similar_pairs(
     so no group of copies is ever listed whole.
     """
     order = [F.desc("similarity"), "doc_a", "doc_b"]
-    best = similar_pairs_summary(df, field, threshold, n, id_col, **options)
+    groups = cut_lineage(copy_groups(df, field, id_col))
+    best = similar_pairs_summary(groups, field, threshold, n, **options)
     across = best.where(F.col("doc_a").isNotNull()).orderBy(*order).limit(n)
-    within = _copies(df, field, threshold, id_col).orderBy(F.desc("similarity"), "group_id").limit(n)
+    within = _copies(groups, field, threshold).orderBy(F.desc("similarity"), "group_id").limit(n)
     chosen = cut_lineage(
         across.select("doc_a", "doc_b", "similarity").unionByName(
             within.select(F.col("group_id").alias("doc_a"), F.col("group_id").alias("doc_b"), "similarity")
@@ -305,28 +297,55 @@ def top_similar_pairs(
     )
 
 
+def pair_places(number: int, documents: int, seed: str) -> tuple[int, int]:
+    """The places ``a < b`` of sampled pair ``number`` among ``documents``; different numbers give different pairs.
+
+    A keyed Feistel network permutes the numbers of all N(N-1)/2 pairs: it permutes a power of four that is less than four times
+    as large, and is walked on until the result is the number of a pair.
+    """
+    total = documents * (documents - 1) // 2
+    half = max(1, -(-total.bit_length() // 2))
+    mask = (1 << half) - 1
+    low, high = number & mask, number >> half
+    while True:
+        for turn in range(FEISTEL_ROUNDS):
+            mixed = int(hashlib.md5(f"{seed}|{turn}|{low}".encode()).hexdigest()[:15], 16) & mask
+            low, high = high ^ mixed, low
+        pair = high << half | low
+        if pair < total:
+            b = (1 + math.isqrt(1 + 8 * pair)) // 2
+            return pair - b * (b - 1) // 2, b
+
+
 def sample_pairs(ids: DataFrame, n: int = SAMPLED_PAIRS, seed: str = "0", id_col: str = "doc_id") -> DataFrame:
-    """``min(n, N(N-1)/2)`` distinct ordered pairs of different documents: ``doc_a, doc_b``.
+    """``min(n, N(N-1)/2)`` distinct pairs of different documents, each pair as likely as any other: ``doc_a, doc_b``.
 
-    Documents are put in the order of a seeded hash, of which only the first n + 1 are needed;
-    pair p joins the document at place p with the one ``p div N + 1`` places further on.
+    Documents are numbered in the order of their ids, by the range of the sorted table they fall into and their place
+    there; the sampled pairs are numbers below N(N-1)/2 under a keyed permutation. Only ids are sorted, and only the rows of
+    the sampled places leave the ranges.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
-    first = ids.select(F.col(id_col).alias("doc_id"), key.alias("key")).orderBy("key", "doc_id").limit(n + 1)
-    # n + 1 rows at most from here on, n being the caller's sample size; used three times.
-    first = cut_lineage(first)
-    placed = first.withColumn("at", F.row_number().over(Window.orderBy("key", "doc_id")) - 1).select("doc_id", "at")
-    total = placed.agg(F.count("*").alias("found")).where("found > 1")
-    slots = total.select(
-        "found",
-        F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.col("found") * (F.col("found") - 1) / 2).cast("int") - 1)).alias("p"),
-    ).select(
-        F.pmod("p", "found").alias("at_a"),
-        F.pmod(F.col("p") + F.floor(F.col("p") / F.col("found")) + 1, F.col("found")).alias("at_b"),
-    )
-    a = placed.select(F.col("doc_id").alias("doc_a"), F.col("at").alias("at_a"))
-    b = placed.select(F.col("doc_id").alias("doc_b"), F.col("at").alias("at_b"))
-    return slots.join(a, "at_a").join(b, "at_b").select("doc_a", "doc_b")
+    ordered = ids.select(F.col(id_col).alias("doc_id")).orderBy("doc_id").withColumn("__at", F.monotonically_increasing_id())
+    ordered = cut_lineage(ordered)
+    # One row a range: as many as the sort has tasks.
+    parts = sorted((r["part"], r["n"]) for r in ordered.groupBy(F.shiftright("__at", 33).alias("part")).agg(F.count("*").alias("n")).collect())
+    starts = np.cumsum([0, *(n for _, n in parts)])
+    documents, ranges = int(starts[-1]), np.array([p for p, _ in parts], np.int64)
+    wanted = min(n, documents * (documents - 1) // 2)
+
+    @F.arrow_udf("array<bigint>")
+    def named(numbers: pa.Array) -> pa.Array:
+        places = np.array([pair_places(p, documents, seed) for p in numbers.to_pylist()], np.int64).reshape(-1, 2)
+        part = np.searchsorted(starts, places, side="right") - 1
+        return pa.array(list((ranges[part] << 33) + places - starts[part]), pa.list_(pa.int64()))
+
+    slots = ids.sparkSession.range(wanted).select(named("id").alias("at"))
+    slots = cut_lineage(slots.select(F.col("at")[0].alias("at_a"), F.col("at")[1].alias("at_b")))
+    met = slots
+    for side in ("a", "b"):
+        asked = met.select(F.col(f"at_{side}").alias("__at")).distinct()
+        held = lookup_join(ordered, asked, "__at", "left_semi").select(F.col("__at").alias(f"at_{side}"), F.col("doc_id").alias(f"doc_{side}"))
+        met = met.join(held, f"at_{side}")
+    return met.select("doc_a", "doc_b")
 
 
 def similarity_distribution(

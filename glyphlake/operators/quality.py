@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from glyphlake.functions.vectors import present
 from glyphlake.operators.duplicates import copy_groups
-from glyphlake.operators.pairs import similar_pair_counts, similarity_distribution
+from glyphlake.operators.pairs import group_pair_counts, similarity_distribution
 from glyphlake.schema import SAMPLED_PAIRS, SIMILAR_THRESHOLD, SPARSE_FIELD
+from glyphlake.session import cut_lineage
 
 
 def validate_schema(
@@ -97,12 +98,13 @@ def diagnose(
     docs = vectors.agg(
         F.count("*").cast("double").alias("documents"), F.count(field).cast("double").alias("with_vector")
     )
-    groups = copy_groups(vectors, field).where(F.col("copies") > 1)
-    copies = groups.agg(
+    # Vectors are grouped once, for copies and similar pairs.
+    groups = cut_lineage(copy_groups(vectors, field))
+    copies = groups.where(F.col("copies") > 1).agg(
         F.count("*").cast("double").alias("duplicate_groups"),
         F.coalesce(F.sum("copies"), F.lit(0)).cast("double").alias("duplicated_documents"),
     )
-    pairs = similar_pair_counts(vectors, field, threshold).select(F.col("pairs").cast("double").alias("similar_pairs"))
+    pairs = group_pair_counts(groups, field, threshold).select(F.col("pairs").cast("double").alias("similar_pairs"))
     spread = similarity_distribution(vectors, field, sampled)
     parts = []
     for part in (docs, copies, pairs, spread):

@@ -66,12 +66,20 @@ def nearest(spark, sf):
     return top_similar_pairs(text_index(spark, sf), "text_embedding").withColumn("similarity", F.round("similarity", 6))
 
 
-SQL_SAMPLE = f"""placed AS (
-  SELECT vec_id AS doc_id, embedding, row_number() OVER (ORDER BY md5('0|' || vec_id), vec_id) - 1 AS at FROM embeddings),
-size AS (SELECT least(count(*), 101) AS n FROM embeddings),
-slots AS (
-  SELECT p % n AS at_a, (p + p // n + 1) % n AS at_b
-  FROM size, unnest(range(least(100, n * (n - 1) // 2))) AS r(p)),
+# A network of four rounds on numbers of 2 * h bits, walked on until the number is that of a pair.
+SQL_SAMPLE = f"""RECURSIVE placed AS (
+  SELECT vec_id AS doc_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS at FROM embeddings),
+size AS (
+  SELECT total, ceil(length(ltrim(total::BIT::VARCHAR, '0')) / 2)::INT AS h, (1::BIGINT << ceil(length(ltrim(total::BIT::VARCHAR, '0')) / 2)::INT) - 1 AS mask
+  FROM (SELECT count(*) * (count(*) - 1) // 2 AS total FROM embeddings)),
+walk(p, turn, low, high) AS (
+  SELECT p, 0, p & mask, p >> h FROM size, unnest(range(least(100, total))) AS r(p)
+  UNION ALL
+  SELECT p, turn + 1, CASE WHEN turn = 4 THEN low ELSE xor(high, ('0x' || substr(md5('0|' || turn || '|' || low), 1, 15))::BIGINT & mask) END,
+         CASE WHEN turn = 4 THEN high ELSE low END
+  FROM (SELECT p, CASE WHEN turn = 4 THEN 0 ELSE turn END AS turn, low, high FROM walk, size WHERE turn < 4 OR (high << h) + low >= total), size),
+numbered AS (SELECT (high << h) + low AS x FROM walk, size WHERE turn = 4 AND (high << h) + low < total),
+slots AS (SELECT x - b * (b - 1) // 2 AS at_a, b AS at_b FROM (SELECT x, floor((1 + sqrt(1 + 8 * x)) / 2)::BIGINT AS b FROM numbered)),
 sampled AS (
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, {sql_cos('a.embedding', 'b.embedding')} AS similarity
   FROM slots JOIN placed a ON a.at = at_a JOIN placed b ON b.at = at_b)"""

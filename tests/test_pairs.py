@@ -3,11 +3,12 @@ import pytest
 from conftest import vectors
 from pyspark.sql import functions as F
 
-from glyphlake.operators.duplicates import exact_duplicates
+from glyphlake.operators.duplicates import copy_groups, exact_duplicates
 from glyphlake.operators.pairs import (
-    compare_pairs, lookup_specific, sample_pairs, similar_pair_counts, similar_pairs, similarity_distribution,
+    _placed, compare_pairs, lookup_specific, pair_places, sample_pairs, similar_pair_counts, similar_pairs, similarity_distribution,
     top_similar_pairs,
 )
+from glyphlake.session import cut_lineage
 
 
 def rows(n=90, dims=6):
@@ -43,7 +44,7 @@ def sorted_pairs(pairs):
 
 
 @pytest.mark.parametrize("threshold", [0.99, 0.95, 0.3])
-@pytest.mark.parametrize("options", [{}, {"grid_axes": 0, "chunk_rows": 5}, {"grid_axes": 3, "chunk_rows": 4}])
+@pytest.mark.parametrize("options", [{}, {"pivots": 0, "chunk_rows": 5}, {"pivots": 7, "chunk_rows": 4}, {"pivots": 60}])
 def test_pairs_of_distinct_vectors(df, threshold, options):
     first = {}
     for ident, v in rows():
@@ -111,9 +112,46 @@ def test_compare_and_lookup(spark, df):
     assert states["d000"].dims == 6 and len(states["d000"].first_values) == 5 and states["none"].dims is None
 
 
-def test_any_number_of_axes_finds_the_same_pairs(spark):
+def test_any_number_of_pivots_finds_the_same_pairs(spark):
     base = vectors(30, 12, 5)
     near = [(f"n{i:03d}", [float(x) for x in base[i % 30] + vectors(240, 12, 6)[i] * 1e-4]) for i in range(240)]
     df = spark.createDataFrame(near, "doc_id string, v array<float>")
-    found = {n: sorted((r.doc_a, r.doc_b) for r in similar_pairs(df, "v", 0.999999, grid_axes=n).collect()) for n in (2, 8)}
+    found = {n: sorted((r.doc_a, r.doc_b) for r in similar_pairs(df, "v", 0.999999, pivots=n).collect()) for n in (2, 8)}
     assert found[2] == found[8] and len(found[8]) == len(set(found[8])) > 100
+
+
+def test_sampled_pairs_use_many_documents_evenly(spark):
+    ids = spark.range(5000).select(F.col("id").alias("doc_id")).repartition(7)
+    pairs = sample_pairs(ids, 100).collect()
+    assert len({x for r in pairs for x in r}) >= 190
+    few = spark.range(12).select(F.col("id").alias("doc_id"))
+    assert {tuple(sorted(r)) for r in sample_pairs(few, 1000).collect()} == {(a, b) for b in range(12) for a in range(b)}
+    # Every pair of 40 documents about as often as any other, over many seeds.
+    seen = np.zeros(780)
+    for seed in range(400):
+        for number in range(20):
+            a, b = pair_places(number, 40, str(seed))
+            seen[b * (b - 1) // 2 + a] += 1
+    expected = 400 * 20 / 780
+    assert ((seen - expected) ** 2 / expected).sum() < 780 + 5 * np.sqrt(2 * 780)
+    # The permutation holds beyond 64 bits.
+    places = {pair_places(p, 1 << 40, "x") for p in range(200)}
+    assert len(places) == 200 and all(0 <= a < b < 1 << 40 for a, b in places)
+
+
+def test_visits_grow_with_the_vectors_on_clusters(spark):
+    """384 numbers a vector, clusters of eight: a vector visits few cells however many there are."""
+    rng = np.random.default_rng(4)
+    shares = []
+    for clusters in (100, 400):
+        centers = rng.normal(size=(clusters, 384))
+        data = np.repeat(centers, 8, axis=0) + 0.02 * rng.normal(size=(8 * clusters, 384))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "doc_id long, v array<float>")
+        placed = _placed(cut_lineage(copy_groups(df, "v")), "v", 0.99, None)
+        shares.append(placed.count() / len(data))
+        if clusters == 100:
+            found = similar_pairs(df, "v", 0.99).count()
+            unit = data.astype(np.float32).astype(float)
+            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            assert found == np.count_nonzero(np.triu(np.round(unit @ unit.T, 9) > 0.99, 1)) == 2800
+    assert shares[1] < 1.5 * shares[0] and shares[1] < 3
