@@ -190,7 +190,8 @@ def rate_limit(
     """Adds ``allowed, remaining, reset`` to every event of ``key, at, tie``.
 
     ``limit`` is a number or the name of a column that is the same for all events of a key. Events
-    without a key share one; an event without a time belongs to no window and passes. Only the
+    without a key share one; an event without a time belongs to no window and passes. ``tie`` tells events of one key and
+    time apart; where it may not, number them as ``multi_limit`` does. Only the
     events that pass are ranked (the rank is cut at ``limit`` before the shuffle); all later
     events of a window compare with its last passing one.
     """
@@ -256,19 +257,20 @@ def multi_limit(
     """``tie, allowed, limits_hit``: an event passes when every limit of its group allows it.
 
     All limits of one window length are judged in one pass, each event once per limit of its group.
-    Events of a group without limits, or without a group, pass.
+    Events of a group without limits, or without a group, pass. Events are numbered first, so each has a row of its own
+    whether its ``tie`` is null or repeated; equal ones are judged in any order.
     """
-    judged = events.select(tie, F.lit(True).alias("allowed"))
+    events = cut_lineage(events.select(group_col, key, at, F.struct(F.col(tie).alias("id"), F.monotonically_increasing_id().alias("n")).alias("__event")))
+    judged = events.select("__event", F.lit(True).alias("allowed"))
     for window_us in sorted({w for _, _, w in limits}):
         rows = [(g, n) for g, n, w in limits if w == window_us]
         mine = F.array_compact(F.array(*[F.when(F.col(group_col) == g, F.struct(F.lit(g).alias("g"), F.lit(n).alias("n"))) for g, n in rows]))
-        each = events.select(F.explode(mine).alias("__limit"), F.col(key).alias("__key"), at, tie)
-        each = each.select(F.struct("__limit", "__key").alias("key"), at, tie, F.col("__limit.n").alias("__most"))
-        one = rate_limit(each, "__most", window_us, "key", at, tie, fold_rows)
-        judged = judged.unionByName(one.select(tie, "allowed"))
-    return judged.groupBy(tie).agg(
-        F.bool_and("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("limits_hit")
-    )
+        each = events.select(F.explode(mine).alias("__limit"), F.col(key).alias("__key"), at, "__event")
+        each = each.select(F.struct("__limit", "__key").alias("key"), at, "__event", F.col("__limit.n").alias("__most"))
+        one = rate_limit(each, "__most", window_us, "key", at, "__event", fold_rows)
+        judged = judged.unionByName(one.select("__event", "allowed"))
+    found = judged.groupBy("__event").agg(F.bool_and("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("limits_hit"))
+    return found.select(F.col("__event.id").alias(tie), "allowed", "limits_hit")
 
 
 def expire_state(state: DataFrame, now_us: int) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphlake.functions.vectors import present
+from glyphlake.session import cut_lineage
 
 # The error texts and token type of an indexing run.
 RENDER_ICON_IMAGE = "Failed to render icon image - renderer service is required"
@@ -100,6 +101,12 @@ def list_indexed(index: DataFrame, key: str = "doc_id", cap: int | None = None)
     return counts if cap is None else counts.limit(cap)
 
 
+# The percentiles told.
+PERCENTILES = (0.5, 0.95, 0.99)
+#: Distinct latencies of a route in a window that one task reads at once.
+BUFFERED = 100_000
+
+
 def span_metrics(
     spans: DataFrame,
     window: str = "1 minute",
@@ -107,26 +114,69 @@ def span_metrics(
     by: str = "route",
     latency_col: str = "duration_ms",
     error_col: str = "failed",
+    buffered: int = BUFFERED,
 ) -> DataFrame:
-    """Requests, error rate and p50, p95, p99 latency per window and route.
+    """Requests, error rate and p50, p95, p99 latency per window and route; the percentiles are exact.
 
-    Rows of one route are first counted per distinct latency, so a busy route reaches its final
-    task as a histogram; the percentiles are exact over it.
+    Rows of one route are first counted per distinct latency. A route of up to ``buffered`` distinct latencies in a window
+    has them read by one task; the ranks of busier ones are found by counts of sorted ranges.
     """
     histogram = spans.groupBy(F.window(ts_col, window).alias("w"), by, F.col(latency_col).alias("latency")).agg(
         F.count("*").alias("n"), F.count_if(error_col).alias("errors")
     )
-    p = F.percentile("latency", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("n"))
-    return (
-        histogram.groupBy("w", by)
-        .agg(F.sum("n").alias("requests"), F.sum("errors").alias("errors"), p.alias("p"))
-        .select(
-            F.col("w.start").alias("window_start"),
-            by,
-            "requests",
-            (F.col("errors") / F.col("requests")).alias("error_rate"),
-            F.col("p")[0].alias("p50"),
-            F.col("p")[1].alias("p95"),
-            F.col("p")[2].alias("p99"),
-        )
+    histogram = cut_lineage(histogram)
+    busy = cut_lineage(histogram.groupBy("w", by).agg(F.count("*").alias("k")).where(F.col("k") > buffered).select("w", by))
+    p = F.percentile("latency", F.array(*map(F.lit, PERCENTILES)), F.col("n"))
+    sums = [F.sum("n").alias("requests"), F.sum("errors").alias("errors")]
+    if busy.isEmpty():
+        found = histogram.groupBy("w", by).agg(*sums, p.alias("p"))
+    else:
+        # A missing route is a route like any other.
+        same = F.col("w").eqNullSafe(F.col("__w")) & F.col(by).eqNullSafe(F.col("__by"))
+        named = busy.select(F.col("w").alias("__w"), F.col(by).alias("__by"))
+        marked = histogram.join(named, same, "left").withColumn("__busy", F.col("__w").isNotNull()).drop("__w", "__by")
+        usual = marked.where(~F.col("__busy")).groupBy("w", by).agg(*sums, p.alias("p"))
+        large = marked.where("__busy").drop("__busy")
+        counts = large.groupBy("w", by).agg(*sums)
+        at = _ranked_percentiles(large.where(F.col("latency").isNotNull()), ["w", by])
+        at = at.select(F.col("w").alias("__w"), F.col(by).alias("__by"), "p")
+        found = usual.unionByName(counts.join(at, same, "left").drop("__w", "__by"))
+    return found.select(
+        F.col("w.start").alias("window_start"),
+        by,
+        "requests",
+        (F.col("errors") / F.col("requests")).alias("error_rate"),
+        F.col("p")[0].alias("p50"),
+        F.col("p")[1].alias("p95"),
+        F.col("p")[2].alias("p99"),
+    )
+
+
+def _ranked_percentiles(histogram: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, p``: the percentiles of rows ``keys, latency, n`` by their ranks, whatever a group's size.
+
+    The rows are sorted in ranges over the cluster. A group's counts in each range tell which range holds a rank; inside a range
+    running sums tell the row. Only rows that hold an asked rank are gathered.
+    """
+    ordered = histogram.orderBy(*keys, "latency").withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33))
+    ordered = cut_lineage(ordered.select(F.struct(*keys).alias("group"), "part", F.col("latency").cast("double").alias("latency"), "n"))
+    ahead = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ordered.groupBy("group", "part").agg(F.sum("n").alias("n"))
+    ranges = ranges.select(
+        "group", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"), F.sum("n").over(Window.partitionBy("group")).alias("all")
     )
+    inside = Window.partitionBy("group", "part").orderBy("latency").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ordered.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    met = placed.join(ranges, ["group", "part"]).withColumn("first", F.col("ahead") + F.col("before"))
+    values = []
+    for share in PERCENTILES:
+        rank = (F.col("all") - 1) * share
+        low, high = F.floor(rank), F.ceil(rank)
+
+        def at(place):
+            return F.max(F.when((F.col("first") <= place) & (place < F.col("first") + F.col("n")), F.col("latency")))
+
+        part = F.max(rank - low)
+        values.append(at(low) * (1 - part) + at(high) * part)
+    found = met.groupBy("group").agg(F.array(*values).alias("p"))
+    return found.select(*[F.col(f"group.{k}").alias(k) for k in keys], "p")

@@ -19,65 +19,103 @@ from glyphlake.operators.ratelimit import EXPIRY_US
 register_pickle_by_value(sys.modules[__name__])
 
 
+#: A window is cut into so many buckets; a bucket is no shorter than LEAST_BUCKET_MS.
+BUCKETS_PER_WINDOW = 8
+LEAST_BUCKET_MS = 1000
+
+
 class _FixedWindow(StatefulProcessor):
-    """Holds a key's events until the watermark has passed them, then judges them in (at, event_id) order."""
+    """Holds a key's events until the watermark has passed them, then judges them in (at, event_id) order.
+
+    Events wait in buckets of time, each trigger's in entries of its own, so taking events in rewrites none and judging reads
+    only what is due. A key has one timer: the end of its first bucket, or the clean-up of its window.
+    """
 
     def __init__(self, limit: int, window_us: int, event: T.StructType, expiry_us: int):
         self.limit, self.window_us, self.event, self.expiry_us = limit, window_us, event, expiry_us
+        self.bucket_ms = max(LEAST_BUCKET_MS, window_us // 1000 // BUCKETS_PER_WINDOW)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        window = T.StructType([T.StructField("count", T.LongType()), T.StructField("reset", T.LongType())])
+        def longs(*names: str) -> T.StructType:
+            return T.StructType([T.StructField(n, T.LongType()) for n in names])
+
         self.handle = handle
-        self.window = handle.getValueState("window", window)
-        self.waiting = handle.getListState("waiting", self.event)
+        self.window = handle.getValueState("window", longs("count", "reset"))
+        self.timer = handle.getValueState("timer", longs("at", "entries"))
+        lists = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in self.event.fields])
+        self.waiting = handle.getMapState("waiting", longs("bucket", "entry"), lists)
+
+    def _wake(self, at: int | None, entries: int) -> None:
+        """Have the key's one timer at ``at``; ``entries`` is how many entries the key has had."""
+        known = self.timer.get()
+        if known and known[0] != -1 and known[0] != at:
+            self.handle.deleteTimer(known[0])
+        if at is not None and not (known and known[0] == at):
+            self.handle.registerTimer(at)
+        self.timer.update((-1 if at is None else at, entries))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            events = [(int(at), ident.item() if hasattr(ident, "item") else ident) for at, ident in zip(batch["at"], batch["event_id"])]
-            if events:
-                self.waiting.appendList(events)
-                # One timer per millisecond of an event: the watermark passes it when no earlier event can come.
-                for due in {at // 1000 + 1 for at, _ in events}:
-                    self.handle.registerTimer(due)
+        taken = pd.concat([batch[["at", "event_id"]] for batch in rows], ignore_index=True)
+        if len(taken):
+            known = self.timer.get()
+            entry = known[1] if known else 0
+            buckets = taken["at"] // 1000 // self.bucket_ms
+            for bucket, part in taken.groupby(buckets):
+                self.waiting.updateValue((int(bucket), entry), (part["at"].tolist(), part["event_id"].tolist()))
+            due = (int(buckets.min()) + 1) * self.bucket_ms
+            # A timer that waits for clean-up, or for a later bucket, gives way to the earlier one.
+            earlier = known and known[0] != -1 and known[0] <= due
+            self._wake(known[0] if earlier else due, entry + 1)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = expiredTimerInfo.getExpiryTimeInMs()
-        events = sorted(tuple(e) for e in self.waiting.get())
-        due = [e for e in events if e[0] // 1000 < passed]
-        known = self.window.get()
-        if not due:
-            # The clean-up timer of an earlier window finds a later one in place and leaves it alone.
-            if known and not events and (known[1] + self.expiry_us) // 1000 <= passed:
-                self.window.clear()
-            return
-        count, reset = known if known else (0, None)
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        known = self.timer.get()
+        entries = known[1] if known else 0
+        self.timer.update((-1, entries))
+        names = [tuple(name) for name in self.waiting.keys()]
+        due = sorted(name for name in names if (name[0] + 1) * self.bucket_ms <= passed)
+        left = [name for name in names if (name[0] + 1) * self.bucket_ms > passed]
+        events = []
+        for name in due:
+            at, ident = self.waiting.getValue(name)
+            events.extend(zip(at, ident))
+            self.waiting.removeKey(name)
+        window = self.window.get()
+        count, reset = window if window else (0, None)
         allowed, remaining, resets = [], [], []
-        for at, _ in due:
+        events.sort(key=lambda e: (e[0], e[1] is not None, e[1]))
+        for at, _ in events:
             if reset is None or reset < at:
                 count, reset = 0, at + self.window_us
-                self.handle.registerTimer((reset + self.expiry_us) // 1000 + 1)
             passes = count < self.limit
             count += passes
             allowed.append(passes)
             remaining.append(self.limit - count if passes else 0)
             resets.append(reset)
-        self.window.update((int(count), int(reset)))
-        rest = events[len(due) :]
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        yield pd.DataFrame(
-            {
-                "key": [key[0]] * len(due),
-                "at": [at for at, _ in due],
-                "event_id": [ident for _, ident in due],
-                "allowed": allowed,
-                "remaining": remaining,
-                "reset": resets,
-            }
-        )
+        if reset is not None:
+            gone = (reset + self.expiry_us) // 1000 + 1
+            if left:
+                self._wake((min(left)[0] + 1) * self.bucket_ms, entries)
+            elif gone > passed:
+                self._wake(gone, entries)
+            if left or gone > passed:
+                self.window.update((int(count), int(reset)))
+            else:
+                self.window.clear()
+                self.timer.clear()
+        for start in range(0, len(events), 10_000):
+            part = slice(start, start + 10_000)
+            yield pd.DataFrame(
+                {
+                    "key": [key[0]] * len(events[part]),
+                    "at": [at for at, _ in events[part]],
+                    "event_id": [ident for _, ident in events[part]],
+                    "allowed": allowed[part],
+                    "remaining": remaining[part],
+                    "reset": resets[part],
+                }
+            )
 
     def close(self) -> None:
         pass
@@ -88,8 +126,8 @@ def rate_limit_stream(events: DataFrame, limit: int, window_us: int, delay: str
 
     ``at`` is a BIGINT time in microseconds. A key's events wait until the watermark, ``delay`` behind
     the newest event, has passed them and are then judged in (at, event_id) order, whatever order,
-    triggers or batches they came in; rows later than the watermark are dropped. A key is one state,
-    so one key's events are judged one after another. Its state is dropped once the watermark has
+    triggers or batches they came in; they wait for the end of their bucket, an eighth of a window and a second at least.
+    Rows later than the watermark are dropped. A key is one state, so one key's events are judged one after another. Its state is dropped once the watermark has
     passed its window by the clean-up period.
     """
     event = T.StructType([T.StructField("at", T.LongType()), events.schema["event_id"]])

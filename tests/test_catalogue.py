@@ -11,6 +11,7 @@ from glyphlake.operators.catalog import (
 )
 from glyphlake.operators.joins import fits, lookup_join
 from glyphlake.operators.quality import check_dims, coverage, validate_schema
+from glyphlake.operators.runs import span_metrics
 from glyphlake.schema import DOC_SCHEMA, EXPECTED_DIMS
 from glyphlake.sources import corpus, index_store
 from glyphlake.sources.requests import read_icon_names, read_request_file, validate_requests
@@ -198,3 +199,34 @@ def test_requests(spark, tmp_path):
         "query_id string, type string, query string, icon_type string",
     )
     assert {r.query_id: r.valid for r in validate_requests(asked).collect()} == {"1": True, "2": False, "3": False, "4": False, "5": False, "6": False}
+
+
+@pytest.mark.parametrize("buffered", [100_000, 7, 0])
+def test_percentiles_by_rank_equal_buffered_ones(spark, buffered):
+    rng = np.random.default_rng(9)
+    rows = [(int(t), route, None if x < 0.02 else round(float(x * 50)) / 7, bool(x > 0.9)) for t, route, x in zip(
+        rng.integers(0, 180, 3000), rng.choice(["a", "b", None], 3000, p=[0.7, 0.2, 0.1]).tolist(), rng.random(3000))]
+    rows.append((500, "lone", 3.5, False))
+    rows.append((500, "none", None, True))
+    spans = spark.createDataFrame(rows, "t int, route string, duration_ms double, failed boolean").repartition(5)
+    spans = spans.withColumn("ts", F.timestamp_seconds("t"))
+    found = {(r.window_start.minute, r.route): r for r in span_metrics(spans, buffered=buffered).collect()}
+    groups = {}
+    for t, route, ms, failed in rows:
+        groups.setdefault((t // 60, route), []).append((ms, failed))
+    assert set(found) == set(groups)
+    for key, seen in groups.items():
+        values = [ms for ms, _ in seen if ms is not None]
+        assert found[key].requests == len(seen) and found[key].error_rate == pytest.approx(np.mean([f for _, f in seen]))
+        want = np.percentile(values, [50, 95, 99]).tolist() if values else [None] * 3
+        assert [found[key].p50, found[key].p95, found[key].p99] == (pytest.approx(want, abs=1e-9) if values else want)
+
+
+def test_percentiles_of_a_busy_route(spark):
+    spans = spark.range(1_000_000).select(
+        F.timestamp_seconds(F.lit(0)).alias("ts"), F.lit("hot").alias("route"), (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / 8).alias("duration_ms"),
+        F.lit(False).alias("failed"),
+    )
+    values = np.array([r[0] for r in spans.select("duration_ms").collect()])
+    found = span_metrics(spans).first()
+    assert [found.p50, found.p95, found.p99] == pytest.approx(np.percentile(values, [50, 95, 99]).tolist(), rel=1e-12)

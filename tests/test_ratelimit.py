@@ -108,3 +108,14 @@ def test_next_time_and_debounce(spark, slice_us):
     assert found == following
     quiet = {i for _, at, i in rows if following[i] is None or following[i] - at >= 50}
     assert {r.event_id for r in debounce(frame(spark, rows), "key", "at", 50, "event_id", slice_us).collect()} == quiet
+
+
+def test_multi_limit_keeps_repeated_and_null_ids_apart(spark):
+    rows = [("search", "a", 5, 1), ("search", "a", 5, 1), ("search", "a", 6, None), ("search", "b", 7, 1), ("search", "b", 7, None), (None, "c", 1, None)]
+    events = spark.createDataFrame(rows, "limit_group string, key string, at long, event_id long")
+    found = multi_limit(events, [("search", 2, 1000)]).collect()
+    assert len(found) == 6
+    assert sorted((str(r.event_id), r.allowed, r.limits_hit) for r in found) == [
+        ("1", True, 0), ("1", True, 0), ("1", True, 0), ("None", False, 1), ("None", True, 0), ("None", True, 0)
+    ]
+    assert sum(not r.allowed for r in multi_limit(events, [("search", 1, 1000)]).collect()) == 3

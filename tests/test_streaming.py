@@ -132,3 +132,20 @@ def test_micro_batches_and_replay(spark, tmp_path):
         ("a", 0, "zero"), ("a", 1, "one"), ("a", 2, "three"), ("a", 3, "five"), ("c", 0, "four")
     ]
     assert {r.doc_id: (r.tag, r.length) for r in documents.collect()} == {"a": ("keep", 4), "c": (None, 4)}
+
+
+def test_many_events_of_one_key_in_one_trigger(spark, tmp_path):
+    """A hundred thousand events of one key, all waiting at once, judged as in a batch and within seconds."""
+    minute = 60_000_000
+    frame = spark.range(100_000).select(F.lit("hot").alias("key"), (F.xxhash64("id") % 2_000_000_000 + 4_000_000_000).alias("at"), F.col("id").alias("event_id"))
+    frame.write.parquet(f"{tmp_path}/a")
+    late = frame.limit(1).withColumn("at", F.lit(10**15)).withColumn("event_id", F.lit(-1).cast("bigint")).withColumn("key", F.lit("end"))
+    late.write.parquet(f"{tmp_path}/b")
+    stream = spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/[ab]")
+    started = time.time()
+    found = drain(spark, rate_limit_stream(stream, 30, minute), "hot_key")
+    spent = time.time() - started
+    columns = ["event_id", "allowed", "remaining", "reset"]
+    want = {tuple(r) for r in rate_limit(frame, 30, minute).select(*columns).collect()}
+    assert {tuple(r) for r in found.where("key = 'hot'").select(*columns).collect()} == want
+    assert spent < 60
