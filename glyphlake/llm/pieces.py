@@ -35,7 +35,7 @@ from glyphlake.llm.common import stored, united_bits
 
 MARK = "▁"
 #: Bounds of the broadcast table: rows, and bytes of a chunk in it.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 19
 FREQUENT_BYTES = 64
 #: Bits of the set of repeated chunks beyond that table, as a power of two: 16 MB.
 SET_BITS = 27
