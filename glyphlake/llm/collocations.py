@@ -1,7 +1,7 @@
 """Frequent phrases that hang together, by partitioned mining.
 
 The documents are dealt into ``SHARDS`` shards. A phrase with ``support`` occurrences in a language has at least its share of them in
-one of the shards, so every shard is mined completely at the support lowered in proportion, level by level: first words, then
+one of the shards, so every shard is mined completely at the support lowered in proportion, level by level: first words and pairs, then
 phrases whose first and last words passed the level before. Tasks count their blocks of a shard, Spark adds the counts up. The
 locally frequent phrases of all shards are united in a bit set of bounded size that is broadcast. A last pass counts every phrase in
 the set everywhere, and the sums are the exact counts: the bit set loses no candidate, and phrases that share a bit with one have
@@ -37,11 +37,11 @@ CONTAINED = 80
 SCALE = 2_000_000
 
 #: Shards, each of many blocks: a fixed number, so that the support in a shard does not fall while the input grows.
-SHARDS = 4
+SHARDS = 2
 #: Words after which a task hands out what it has counted.
 BLOCK_WORDS = 1 << 22
-#: Bits of the set of candidates, as a power of two: 8 MB.
-SET_BITS = 26
+#: Bits of the set of candidates, as a power of two: 16 MB.
+SET_BITS = 27
 SEED = 13
 _AT_ONCE = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -98,11 +98,11 @@ class Block:
             known[i : i + _AT_ONCE] = candidates[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)
         return at[known]
 
-    def mined(self, candidates: np.ndarray, bits: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Names and counts of the phrases of ``length`` words whose first and last words are candidates of the level before."""
+    def mined(self, candidates: np.ndarray, bits: int, length: int, known: int) -> tuple[np.ndarray, np.ndarray]:
+        """Names and counts of the phrases of ``length`` words whose parts of up to ``known`` words are all candidates."""
         at = np.flatnonzero(self.ids).astype(np.int32)
         for n in range(1, length):
-            at = _neighbours(self.among(candidates, bits, at, n))
+            at = _neighbours(self.among(candidates, bits, at, n) if n <= known else at)
         return np.unique(self.names(at, length), return_counts=True)
 
     def counted(self, candidates: np.ndarray, bits: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -164,17 +164,19 @@ def candidate_set(
     """The union of the phrases that are frequent in a shard as a bit set of ``2 ** bits`` bits."""
     found = np.zeros(1 << max(bits - 6, 0), np.uint64)
     least = -(-support // shards)
-    for length in range(1, longest + 1):
+    # Words prune few pairs, so both are mined in one pass; then each level is pruned by the one before.
+    for lengths in [range(1, min(2, longest) + 1), *([n] for n in range(3, longest + 1))]:
         shared = texts.sparkSession.sparkContext.broadcast(found)
 
-        def mine(batches: Iterator[pa.RecordBatch], length=length, shared=shared) -> Iterator[pa.RecordBatch]:
+        def mine(batches: Iterator[pa.RecordBatch], lengths=lengths, shared=shared) -> Iterator[pa.RecordBatch]:
             # Any dealing will do: a frequent phrase and all its parts are frequent in some shard, whichever these are.
             shard = TaskContext.get().partitionId() % shards
             for block in _blocks(batches, block_words):
-                names, counts = block.mined(shared.value, bits, length)
-                yield pa.record_batch(
-                    {"shard": np.full(len(names), shard, np.int32), "name": names.view(np.int64), "n": counts.astype(np.int64)}
-                )
+                for length in lengths:
+                    names, counts = block.mined(shared.value, bits, length, lengths[0] - 1)
+                    yield pa.record_batch(
+                        {"shard": np.full(len(names), shard, np.int32), "name": names.view(np.int64), "n": counts.astype(np.int64)}
+                    )
 
         mined = texts.mapInArrow(mine, "shard int, name bigint, n bigint").groupBy("shard", "name").agg(F.sum("n").alias("n"))
         slot = F.shiftrightunsigned("name", 64 - bits)
