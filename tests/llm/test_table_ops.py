@@ -14,7 +14,7 @@ import corpus_pipeline
 from glyphlake.llm.ann import build_index, search_index
 from glyphlake.llm.common import bound_arrow, shared_folder, table
 from glyphlake.llm.components import connected
-from glyphlake.llm.mixing import BLOCK, Mix, shard_counts, targets
+from glyphlake.llm.mixing import BLOCK, Mix, permuted, targets
 from glyphlake.llm.queries import QUERIES, URL_RULES
 from glyphlake.llm.repeats import LENGTH, without_repeats
 from glyphlake.llm.simhash import near_duplicates, one_of_each_group, trie_join
@@ -331,8 +331,46 @@ def test_mixed_texts_hold_the_taken_words(spark):
     for doc, draws in parts.items():
         if doc in original:
             assert all(set(d) <= set(original[doc]) and len(set(d)) == len(d) for d in draws)
-    assert shard_counts(mix.sources).agg(F.sum("slots")).first()[0] > 0
-    assert Mix(df.limit(0)).documents().count() == 0
+    assert Mix(df.limit(0)).documents().count() == 0 and Mix(df.limit(0)).blocks().count() == 0
+
+
+def test_mixed_blocks_follow_the_drawn_counts(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    mix = Mix(docs, shard_slots=64)
+    sources, counts = mix.sources.collect(), mix.counts.collect()
+    taken, by_source, drawn = Counter(), defaultdict(Counter), Counter()
+    places = defaultdict(list)
+    for r in mix.blocks().collect():
+        assert r.n_words == len(words(r.text)) <= BLOCK
+        taken[r.source] += r.n_words
+        drawn[r.source, r.shard] += 1
+        places[r.shard].append(r.place)
+        by_source[r.source][r.slot] += 1
+    names = {r.sid: r.source for r in sources}
+    assert drawn == {(names[r.sid], r.shard): r.slots for r in counts}
+    assert all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values())
+    assert all(max(slots) + 1 == len(slots) and set(slots.values()) == {1} for slots in by_source.values())
+    told = Counter()
+    for r in mix.documents().join(docs.select("doc_id", "source"), "doc_id").collect():
+        told[r.source] += r.taken
+    assert +told == +taken
+    # Every shard holds about the mix of the whole.
+    every = sum(r.slots for r in counts)
+    assert len(places) > 10
+    for r in sources:
+        mine = [c.slots for c in counts if c.sid == r.sid]
+        share, per = sum(mine) / every, every / len(places)
+        assert all(abs(n - share * per) <= 6 * (share * per) ** 0.5 + 3 for n in mine)
+
+
+def test_permutations_are_one_to_one(spark):
+    for size in (1, 2, 3, 64, 1000, 4099):
+        df = spark.range(size).select("id", *(permuted(F.col("id"), F.lit(size), F.lit(key)).alias(f"p{key}") for key in (1, 2)))
+        rows = df.orderBy("id").collect()
+        one, two = [r.p1 for r in rows], [r.p2 for r in rows]
+        assert sorted(one) == sorted(two) == list(range(size))
+        if size >= 1000:
+            assert one != two and sum(b - a == one[1] - one[0] for a, b in zip(one, one[1:])) < size / 10
 
 
 def test_mixing_runs_no_python(spark, sf):
