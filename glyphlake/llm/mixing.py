@@ -33,6 +33,8 @@ BLOCK = 64
 BUCKET = 2_000
 SLOTS_AT_ONCE = 1 << 14
 SHARD_SLOTS = 1 << 14
+# Slots that one task lists: the table they are listed from is tiny, so its bytes say nothing about the work.
+TASK_SLOTS = 1 << 18
 # Rounds of the permutation, and buckets or shards summed up by one task.
 ROUNDS = 32
 GROUP = 4_096
@@ -106,27 +108,32 @@ def _filled(sources: DataFrame) -> DataFrame:
     )
 
 
+def _tasks(slots: int) -> int:
+    return max(1, ceil(slots / TASK_SLOTS))
+
+
 def shard_counts(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """``(sid, shard, slots)``: how many slots of each source every output shard draws, for a result of ``targets``.
 
     There are as many shards as give each about ``shard_slots`` slots; a count that comes out as 0 has no row.
     """
     filled = _filled(sources)
-    shards = max(1, ceil((filled.agg(F.sum("slots")).first()[0] or 0) / shard_slots))
+    number = filled.agg(F.sum("slots")).first()[0] or 0
+    shards = max(1, ceil(number / shard_slots))
     # A source of many slots is cut before its slots are listed.
     parts = filled.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOTS_AT_ONCE))))
     first = F.col("part") * SLOTS_AT_ONCE
-    slots = parts.repartition(F.col("sid"), F.col("part")).select(
+    slots = parts.repartition(_tasks(number), "sid", "part").select(
         "sid", F.explode(F.sequence(first, F.least(first + SLOTS_AT_ONCE, F.col("slots")) - 1)).alias("slot")
     )
     drawn = F.pmod(F.xxhash64(F.lit(SEED + 1), "sid", "slot"), F.lit(shards))
     return slots.groupBy("sid", drawn.alias("shard")).agg(F.count("*").alias("slots"))
 
 
-def _slots(sources: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(sid, shard, slot, draw, block, words)``: which block every slot takes, and how many of its words."""
+def _slots(sources: DataFrame, counts: DataFrame, number: int) -> DataFrame:
+    """All ``number`` slots as ``(sid, shard, slot, draw, block, words)``: which block every slot takes, and how many of its words."""
     numbered = _ahead(counts, "shard", "slots").join(_filled(sources).drop("slots"), "sid")
-    slots = numbered.repartition(F.col("sid"), F.col("shard")).withColumn(
+    slots = numbered.repartition(_tasks(number), "sid", "shard").withColumn(
         "slot", F.explode(F.sequence(F.col("ahead"), F.col("ahead") + F.col("slots") - 1))
     )
     slots = slots.withColumn("draw", F.floor(F.col("slot") / F.col("blocks"))).withColumn("n", F.pmod("slot", "blocks"))
@@ -155,6 +162,7 @@ class Mix:
         )
         self.sources = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
         self.counts = stored(shard_counts(self.sources, shard_slots))
+        self.slots = self.counts.agg(F.sum("slots")).first()[0] or 0
         self.placed = stored(self._placed(sized))
 
     def _placed(self, sized: DataFrame) -> DataFrame:
@@ -176,7 +184,7 @@ class Mix:
         first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
         parts = self.placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
         # The slots grow with the words, though their table starts from a few sources: never to be broadcast.
-        slots = _slots(self.sources, self.counts).hint("merge")
+        slots = _slots(self.sources, self.counts, self.slots).hint("merge")
         met = parts.join(slots, ["sid", "block"])
         low = F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0))
         high = F.least(F.col("block") * BLOCK + F.col("words") - F.col("start"), F.col("size"))
