@@ -1,15 +1,19 @@
 """Chat formatting with built-in functions: fingerprinted schemas, declarative mappings, one reversible template.
 
 A layout is named by its fingerprint: a hash of all nested field paths, sorted. Each known fingerprint selects a mapping
-that says where role and text of the turns stand. A table of one layout (``table_turns``) is recognised by its Spark
-schema; JSON records of mixed layouts (``record_turns``) are recognised row by row.
+that says where role and text of the turns stand; the first in ``MAPPINGS`` counts whose own paths, as far as they are
+there, have a known fingerprint, so further fields do no harm. A table of one layout (``table_turns``) is recognised by its
+Spark schema; JSON records of mixed layouts (``record_turns``) are recognised row by row, by the paths of all levels and of
+all items of their lists.
 
 Template of a turn: ``### role: text</turn>`` and a line end. Backslash, ``### `` and ``</turn>`` inside texts and roles are
 written as ``\\b``, ``\\h `` and ``\\t``, in roles also ``:`` as ``\\c``; nothing else changes, so the output can be read back.
 
 Defined cases: a null text or role counts as empty; a conversation's turns are ordered by turn number (null first), then
-role and text, repeated rows included; a null conv_id is a conversation of its own; records of no known layout have a
-null result (their fingerprint is given, so that a mapping can be added); an empty table gives an empty result. A
+role and text, repeated rows included; a null conv_id is a conversation of its own; an empty list of turns is a
+conversation without turns, a null item in it an empty turn; records of no known layout, and texts that are no JSON object or
+name a key twice, have a null result (their fingerprint is given, so that a mapping can be added); an empty table gives an
+empty result. A
 conversation is one output row and so has to fit in a task.
 """
 
@@ -94,18 +98,42 @@ def table_layout(df: DataFrame) -> Mapping:
     return found
 
 
+# A field's name, the begin or end of an object or a list, or a plain type.
+SCHEMA_TOKEN = r"(`(?:[^`]|``)*`: |[^`<>, :]+: |OBJECT<|ARRAY<|>|[A-Z_]+(?:\([0-9,]+\))?)"
+
+
 def record_paths(record: Column) -> Column:
-    """Nested field paths of a JSON text, sorted; arrays are told by their first item. Null where it is no object."""
-    keys = F.json_object_keys(record)
+    """Nested field paths of a JSON text, sorted: of all levels and all items, ``[]`` for those of a list.
 
-    def below(key: Column) -> Column:
-        item = F.call_function("get_json_object", record, F.concat(F.lit("$['"), key, F.lit("'][0]")))
-        inner = F.json_object_keys(item)
-        return F.when(
-            inner.isNotNull(), F.transform(inner, lambda k: F.concat(key, F.lit("[]."), k))
-        ).otherwise(F.array(key))
+    An empty list has the path of its items; an empty object has none. Null where the text is no JSON object.
+    """
+    schema = F.schema_of_variant(F.try_parse_json(record))
+    tokens = F.regexp_extract_all(schema, F.lit(SCHEMA_TOKEN), F.lit(1))
+    none = F.array().cast("array<string>")
+
+    def step(a: Column, token: Column) -> Column:
+        """``at`` is the path being read, ``open`` those of the objects and lists around it, innermost last."""
+        name = F.replace(F.regexp_replace(token, "^`|`?: $", ""), F.lit("``"), F.lit("`"))
+        around = F.element_at(a["open"], -1)
+        opened = lambda at: F.struct(at.alias("at"), F.concat(a["open"], F.array(at)).alias("open"), a["paths"].alias("paths"))
+        return (
+            F.when(token == "OBJECT<", opened(a["at"]))
+            .when(token == "ARRAY<", opened(F.concat(a["at"], F.lit("[]"))))
+            .when(token == ">", F.struct(a["at"].alias("at"), F.slice(a["open"], 1, F.size(a["open"]) - 1).alias("open"), a["paths"].alias("paths")))
+            .when(
+                token.endswith(": "),
+                F.struct(
+                    F.concat(around, F.when(around == "", "").otherwise("."), name).alias("at"),
+                    a["open"].alias("open"),
+                    a["paths"].alias("paths"),
+                ),
+            )
+            .otherwise(F.struct(a["at"].alias("at"), a["open"].alias("open"), F.concat(a["paths"], F.array(a["at"])).alias("paths")))
+        )
 
-    return F.array_sort(F.flatten(F.transform(keys, below)))
+    start = F.struct(F.lit("").alias("at"), none.alias("open"), none.alias("paths"))
+    paths = F.aggregate(tokens, start, step, lambda a: F.array_sort(F.array_distinct(a["paths"])))
+    return F.when(schema.startswith("OBJECT<"), paths)
 
 
 # ---- canonical turns -----------------------------------------------------------------------
@@ -136,9 +164,11 @@ def record_turns(df: DataFrame, record: str, out: str = "turns") -> DataFrame:
     Records in one column may have different layouts.
     """
     text = F.col(f"`{record}`")
-    marked = df.withColumn("fingerprint", fingerprint(record_paths(text)))
+    columns = [F.col(f"`{c}`") for c in df.columns if c not in ("fingerprint", out)]
+    there = F.col("__paths")
     turns = F.lit(None).cast(TURNS)
-    for mapping in MAPPINGS:
+    # The first mapping that fits is the outermost condition.
+    for mapping in reversed(MAPPINGS):
         if mapping.rows:
             continue
         if mapping.turns:
@@ -146,15 +176,18 @@ def record_turns(df: DataFrame, record: str, out: str = "turns") -> DataFrame:
             kind = f"array<struct<`{role}`:string,`{said}`:string>>"
             listed = F.from_json(F.get_json_object(text, f"$.{place}"), kind)
             found = F.transform(listed, lambda t: _turn(t[role], t[said]))
+            turns = F.when(F.array_contains(there, f"{place}[]"), F.coalesce(found, F.array().cast(TURNS))).otherwise(turns)
         else:
             parts = []
             for role, field in mapping.fields:
                 value = F.get_json_object(text, f"$.{field}")
                 parts.append(F.when(value.isNotNull() & ((value != "") | (F.lit(field) != "input")), _turn(F.lit(role), value)))
             found = F.array_compact(F.array(*parts))
-        for paths in mapping.paths:
-            turns = F.when(F.col("fingerprint") == layout_hash(paths), found).otherwise(turns)
-    return marked.withColumn(out, turns.cast(TURNS))
+        for paths in sorted(mapping.paths, key=len):
+            known = fingerprint(F.array_intersect(there, F.array(*map(F.lit, sorted(paths)))))
+            turns = F.when(known == layout_hash(paths), found).otherwise(turns)
+    marked = df.withColumn("__paths", record_paths(text))
+    return marked.select(*columns, fingerprint(there).alias("fingerprint"), turns.cast(TURNS).alias(out))
 
 
 # ---- template ------------------------------------------------------------------------------

@@ -190,6 +190,33 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    """
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), ''
+                         ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, ''))) AS turns_sha256
+FROM conversations GROUP BY conv_id"""
+)
+def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a JSON record, in one of four layouts with fields of their own, and back to turns."""
+    told = chat.table_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    turns, about = F.col("turns"), F.struct(F.lit("chat").alias("kind"), F.array(F.lit(1)).alias("versions"))
+    asked = (F.size("turns") == 2) & (turns[0]["role"] == "user") & (turns[1]["role"] == "assistant")
+    told_by = lambda role: F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    messages = F.transform(turns, lambda t, i: F.struct(t["text"].alias("content"), i.alias("n"), t["role"].alias("role")))
+    exchanged = F.transform(turns, lambda t: F.struct(told_by(t["role"]).alias("from"), t["text"].alias("value")))
+    kind = F.pmod(F.xxhash64("conv_id"), F.lit(4))
+    record = (
+        F.when(asked & (kind == 0), F.to_json(F.struct(turns[0]["text"].alias("prompt"), turns[1]["text"].alias("completion"), about.alias("about"))))
+        .when(asked & (kind == 1), F.to_json(F.struct(about.alias("about"), turns[0]["text"].alias("instruction"), turns[1]["text"].alias("output"))))
+        .when(kind == 2, F.to_json(F.struct("conv_id", exchanged.alias("conversations"))))
+        .otherwise(F.to_json(F.struct(about.alias("about"), messages.alias("messages"))))
+    )
+    back = chat.record_turns(told.select("conv_id", record.alias("record")), "record")
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"))
+
+
 @register()
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""

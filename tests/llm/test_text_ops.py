@@ -4,6 +4,8 @@ import base64
 import hashlib
 import random
 import re
+import zlib
+from collections import defaultdict
 
 import duckdb
 import numpy as np
@@ -18,7 +20,7 @@ from glyphlake.llm import chat
 from glyphlake.llm.automaton import chars, compiled, either, many, maybe, seq, some, text
 from glyphlake.llm.bpe import Bpe, Tokenizer, merge, parse_ranks
 from glyphlake.llm.common import bound_arrow, table
-from glyphlake.llm.quality_model import STATISTICS, isotonic, quality_scores, statistics
+from glyphlake.llm.quality_model import BINS, FEATURES, RIDGE, SEED, SIGMA, STATISTICS, isotonic, quality_scores, statistics
 from glyphlake.llm.quality_rules import kept_rows, quality_rules
 from glyphlake.llm.queries import CHECKS, QUERIES
 from glyphlake.llm.secrets import Scanner, redact, secret_spans
@@ -45,7 +47,7 @@ def theirs(content):
 
 def db(sf):
     connection = duckdb.connect()
-    for name in ("documents", "conversations"):
+    for name in ("documents", "conversations", "benchmark"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     return connection
 
@@ -272,12 +274,25 @@ def test_records_of_mixed_layouts(spark):
         ("nope", None),
         (None, None),
         ('{"odd":1}', None),
-    ]
+        ('{"id":7,"messages":[{"role":"user","content":"a"},{"content":"b","name":{"x":[1]}},{"role":"bot"},null]}',
+         [("user", "a"), ("", "b"), ("assistant", ""), ("", "")]),
+        ('{"messages":[],"source":"s"}', []),
+        ('{"messages":null}', None),
+        ('{"prompt":"p","completion":"c","meta":{"tags":[]},"odd key: `<":1.5}', [("user", "p"), ("assistant", "c")]),
+        ('{"messages":[{"role":"user","content":[{"text":"parts"}]}]}', None),
+        ("[1]", None),
+    ]
     df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(records)], "id int, record string")
     got = chat.record_turns(df, "record").orderBy("id").collect()
     assert [r.turns and [(t.role, t.text) for t in r.turns] for r in got] == [t for _, t in records]
     with pytest.raises(ValueError):
         chat.table_layout(df)
+    odd = '{"a":{"b":[{"c":1},{"d":[[true]],"e f":null}],"g":{}},"h":[],"i":"OBJECT<x: >"}'
+    paths = spark.createDataFrame([(odd,)], "record string").select(chat.record_paths(F.col("record"))).first()[0]
+    assert paths == ["a.b[].c", "a.b[].d[][]", "a.b[].e f", "h[]", "i"]
+    clash = chat.record_turns(df.withColumn("fingerprint", F.lit("x")).withColumn("turns", F.lit("y")), "record")
+    assert clash.columns == ["id", "record", "fingerprint", "turns"] and clash.count() == len(records)
+    assert chat.record_turns(df.limit(0), "record").count() == 0
 
 
 # ---- quality scores ------------------------------------------------------------------------
@@ -307,6 +322,48 @@ def test_scores_of_odd_rows_and_missing_labels(spark):
     assert len(statistics(b"")) == len(STATISTICS)
 
 
+def test_scores_equal_a_dense_solve(spark):
+    """The sums of partitions and the binned calibration against one matrix, least squares and a plain isotonic fit."""
+    rng = np.random.default_rng(3)
+    words_, labels_ = [], []
+    for i in range(600):
+        good = bool(rng.random() < 0.5)
+        n = int(rng.integers(5, 60))
+        words_.append(" ".join(("word" if rng.random() < (0.8 if good else 0.4) else "#9") + str(rng.integers(9)) for _ in range(n)))
+        labels_.append((i, int(good)))
+    docs = spark.createDataFrame(list(enumerate(words_)), "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame(labels_, "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality_scores(docs, labels).collect()}
+
+    x = np.array([statistics(t.encode()) for t in words_])
+    y = np.array([label for _, label in labels_], float)
+    fold = np.array([zlib.crc32(str(i).encode()) % 3 for i in range(600)])
+    fit, later = fold == 0, fold == 2
+    mean, spread = x[fit].mean(0), x[fit].std(0)
+    draw = np.random.default_rng(SEED)
+    turn, shift = draw.normal(size=(len(STATISTICS), FEATURES)) / SIGMA, draw.uniform(0, 2 * np.pi, FEATURES)
+    z = np.clip((x - mean) / np.where(spread > 1e-9, spread, 1), -8, 8)
+    features = np.c_[np.cos(z @ turn + shift) * np.sqrt(2 / FEATURES), np.ones(600)]
+    # Ridge as least squares with a row for each weight.
+    much = np.sqrt(RIDGE * fit.sum() / FEATURES)
+    weights = np.linalg.lstsq(np.r_[features[fit], much * np.eye(FEATURES + 1)], np.r_[y[fit], np.zeros(FEATURES + 1)], rcond=None)[0]
+    raw = features @ weights
+    bins = defaultdict(list)
+    for value, label in zip(raw[later], y[later]):
+        bins[np.floor(min(max(value, -1.0), 2.0) * BINS / 3)].append((value, label))
+    at = np.array([np.mean([v for v, _ in bins[b]]) for b in sorted(bins)])
+    mean_label = [np.mean([label for _, label in bins[b]]) for b in sorted(bins)]
+    size = [len(bins[b]) for b in sorted(bins)]
+    # The isotonic fit as the largest of all smallest averages.
+    n = len(at)
+    average = lambda i, j: np.average(mean_label[i : j + 1], weights=size[i : j + 1])
+    steps = np.array([max(min(average(i, j) for j in range(k, n)) for i in range(k + 1)) for k in range(n)])
+    # Bins of one step meet at their centre.
+    centres = [np.average(at[steps == s], weights=np.array(size)[steps == s]) for s in np.unique(steps)]
+    want = np.interp(raw, centres, np.unique(steps))
+    assert len(got) == 600 and max(abs(got[i] - want[i]) for i in range(600)) < 1e-5
+
+
 def test_isotonic_pools_neighbours():
     x, y = isotonic(np.array([0.0, 1, 2, 3]), np.array([0.2, 0.6, 0.4, 0.9]), np.ones(4))
     assert np.allclose(x, [0, 1.5, 3]) and np.allclose(y, [0.2, 0.5, 0.9])
