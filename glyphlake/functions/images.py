@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -188,6 +188,39 @@ IMAGE_STRUCT = "struct<origin: string, height: int, width: int, nChannels: int,
 Decoder = Callable[[bytes], np.ndarray]
 
 
+def _decoded(contents: Iterable[bytes | None], decoder: Decoder) -> pd.DataFrame:
+    """Image-source structs; null for null, height -1 and no data for what the decoder refuses."""
+    rows = []
+    for content in contents:
+        if content is None:
+            rows.append((None, None, None, None, None, None))
+            continue
+        try:
+            pixels = decoder(content)
+            planes = pixels[..., None] if pixels.ndim == 2 else pixels[..., ::-1]
+            h, w, n = planes.shape
+            rows.append(("", h, w, n, 0 if n == 1 else 16, np.ascontiguousarray(planes).tobytes()))
+        except Exception:
+            rows.append(("", -1, -1, -1, -1, b""))
+    names = ["origin", "height", "width", "nChannels", "mode", "data"]
+    frame = pd.DataFrame(rows, columns=names)
+    return frame.astype({n: "Int32" for n in names[1:5]})
+
+
+def decode_images(df: DataFrame, col: str, decoder: Decoder, out: str = "image") -> DataFrame:
+    """Adds the image-source struct of a column of file contents; undecodable ones get height -1, no data, and an error.
+
+    ``decoder`` turns the bytes of an image file into gray (rows, columns) or RGB (rows, columns, 3) pixels.
+    """
+
+    @F.pandas_udf(IMAGE_STRUCT)
+    def decode(contents: pd.Series) -> pd.DataFrame:
+        return _decoded(contents, decoder)
+
+    made = df.withColumn(out, decode(F.col(col)))
+    return made.withColumn(f"{out}_error", F.when(F.col(out)["height"] < 0, F.lit("Invalid image file")))
+
+
 def decode_base64_images(df: DataFrame, col: str, decoder: Decoder, out: str = "image") -> DataFrame:
     """Adds the image-source struct of base64 payloads; undecodable ones get height -1, no data.
 
@@ -196,21 +229,7 @@ def decode_base64_images(df: DataFrame, col: str, decoder: Decoder, out: str = "
 
     @F.pandas_udf(IMAGE_STRUCT)
     def decode(payloads: pd.Series) -> pd.DataFrame:
-        rows = []
-        for payload in payloads:
-            if payload is None:
-                rows.append((None, None, None, None, None, None))
-                continue
-            try:
-                pixels = decoder(base64.b64decode(payload, validate=False))
-                planes = pixels[..., None] if pixels.ndim == 2 else pixels[..., ::-1]
-                h, w, n = planes.shape
-                rows.append(("", h, w, n, 0 if n == 1 else 16, np.ascontiguousarray(planes).tobytes()))
-            except Exception:
-                rows.append(("", -1, -1, -1, -1, b""))
-        names = ["origin", "height", "width", "nChannels", "mode", "data"]
-        frame = pd.DataFrame(rows, columns=names)
-        return frame.astype({n: "Int32" for n in names[1:5]})
+        return _decoded(payloads, lambda payload: decoder(base64.b64decode(payload, validate=False)))
 
     return df.withColumn(out, decode(F.col(col)))
 

@@ -64,15 +64,32 @@ def _view_box(svg: Column, side, number) -> Column:
     return F.coalesce(_attribute(svg, VIEW_BOX), from_size, F.lit(DEFAULT_VIEW_BOX))
 
 
+def _digits(value: Column) -> Column:
+    return F.regexp_replace(value, r"[^\d.]", "")
+
+
 def normalize_svg(svg: Column | str, size: int = TARGET_SIZE) -> Column:
-    """Standard size and viewBox, colours kept; null for an empty document."""
+    """Standard size and viewBox, colours kept; null for an empty document and one of which ``svg_size_error`` tells."""
     text = _col(svg)
 
     def side(value: Column) -> Column:
-        kept = F.regexp_replace(value, r"[^\d.]", "")
-        return F.when(kept == "", F.lit(DEFAULT_SIDE)).otherwise(kept.try_cast("double"))
+        return F.when(_digits(value) == "", F.lit(DEFAULT_SIDE)).otherwise(_digits(value).try_cast("double"))
+
+    made = _resize(text, _view_box(text, side, plain_float), size)
+    return F.when((text != "") & svg_size_error(text).isNull(), made)
+
+
+def svg_size_error(svg: Column | str) -> Column:
+    """Error where the box has to be taken from a width and height of which one is no number, like ``1.5.2``; else null."""
+    text = _col(svg)
+    width, height = _attribute(text, WIDTH), _attribute(text, HEIGHT)
+    needed = _attribute(text, VIEW_BOX).isNull() & width.isNotNull() & height.isNotNull()
+
+    def odd(value: Column) -> Column:
+        return (_digits(value) != "") & _digits(value).try_cast("double").isNull()
 
-    return F.when(text != "", _resize(text, _view_box(text, side, plain_float), size))
+    told = F.concat(F.lit("could not convert string to float: '"), F.when(odd(width), _digits(width)).otherwise(_digits(height)), F.lit("'"))
+    return F.when(needed & (odd(width) | odd(height)), told)
 
 
 def normalize_svg_mono(svg: Column | str, size: int = TARGET_SIZE) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphlake.functions.images import Decoder, decode_images
 from glyphlake.functions.text import filename_stem
 
 # Directories that are never part of a corpus, and the name map's source patterns.
@@ -52,6 +53,15 @@ def scan_image_bytes(spark: SparkSession, root: str, glob: str = "*.png") -> Dat
     )
 
 
+def read_images(spark: SparkSession, root: str, decoder: Decoder, glob: str = "*.png") -> DataFrame:
+    """``path, length, image, image_error`` of picture files of any format that ``decoder`` reads.
+
+    Spark packs small files into tasks by their bytes; a broken file is a row with height -1 and an error.
+    """
+    files = scan_image_bytes(spark, root, glob).select("path", "length", "content")
+    return decode_images(files, "content", decoder).drop("content")
+
+
 def decode_base64(df: DataFrame, col: str, out: str) -> DataFrame:
     """Adds the bytes of a base64 column (data URI heads removed) and an error for bad input."""
     from glyphlake.functions.text import strip_data_uri

@@ -1,5 +1,6 @@
 """Whole jobs: answering a mixed table of requests, encoding a corpus, indexing a release."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from glyphlake.operators.encoders import embed_image, embed_sparse, embed_text, encode_column, encode_corpus
@@ -8,6 +9,7 @@ from glyphlake.plans.indexing import index_release
 from glyphlake.plans.search import search, search_report
 from glyphlake.schema import DOC_SCHEMA, VISUAL_FIELDS
 from glyphlake.session import cut_lineage, work_folder
+from glyphlake.sources.corpus import read_images
 from glyphlake.workloads.base import (
     SQL_CENTROIDS, SQL_DOC_VECTORS, SQL_QUERY_VECTORS, documents, label_centroids, spread_out, sql_cos, table, text_queries,
 )
@@ -159,14 +161,17 @@ def pictures(spark, sf):
     return spread_out(grids(spark, sf).join(labels, "vec_id").select("vec_id", image.alias("image")))
 
 
-# The pixel grids stretched as in ``stretch_pixels`` and resized to 16 by 16: columns, then rows.
 SQL_SIZE = 16
-SQL_RESIZED = f"""{SQL_GRIDS},
+
+
+def sql_resized_grids(value: str, rows: str) -> str:
+    """Pixel ``value`` of ``rows`` resized to 16 by 16: columns, then rows."""
+    return f"""{SQL_GRIDS},
 u AS (SELECT vec_id, list_transform(p, lambda x: (CASE WHEN bright < 128 THEN 255 - x ELSE x END)::FLOAT) AS p FROM e),
 m AS (SELECT vec_id, p, list_min(p) AS lo, list_max(p) AS hi FROM u),
 px AS (
-  SELECT vec_id, (k - 1) // 8 AS y, (k - 1) % 8 AS x, CASE WHEN hi > lo THEN trunc((p[k] - lo) / (hi - lo) * 255::FLOAT)::BIGINT ELSE 255 END AS v
-  FROM m, unnest(range(1, 65)) AS r(k)),
+  SELECT vec_id, (k - 1) // 8 AS y, (k - 1) % 8 AS x, {value} AS v
+  FROM {rows}, unnest(range(1, 65)) AS r(k)),
 taps AS (
   SELECT o, i, i - (o + 0.5::DOUBLE) * 8 / {SQL_SIZE} + 0.5::DOUBLE AS d FROM unnest(range({SQL_SIZE})) AS a(o), unnest(range(8)) AS b(i)
   WHERE i >= greatest(0, trunc((o + 0.5::DOUBLE) * 8 / {SQL_SIZE} - 2.5)) AND i < least(8, trunc((o + 0.5::DOUBLE) * 8 / {SQL_SIZE} + 3.5))),
@@ -179,6 +184,11 @@ vt AS (SELECT vec_id, o AS y, x, greatest(0, least(255, (sum(v * w)::BIGINT + 20
 lb AS (SELECT vec_id, label = 3 AS bad FROM embeddings)"""
 
 
+# As in ``stretch_pixels``, and as they are.
+SQL_RESIZED = sql_resized_grids("CASE WHEN hi > lo THEN trunc((p[k] - lo) / (hi - lo) * 255::FLOAT)::BIGINT ELSE 255 END", "m")
+SQL_RESIZED_PLAIN = sql_resized_grids("p[k]::BIGINT", "e")
+
+
 @register(
     "embed_image",
     f"""WITH {SQL_RESIZED}, pool AS (SELECT vec_id, avg(v) AS a FROM vt GROUP BY vec_id, y // 2, x // 2),
@@ -192,19 +202,55 @@ def embedded_images(spark, sf):
     return made.select("vec_id", F.size("v").alias("dims"), F.round(total, 4).alias("total"), F.col("v_error").alias("error"))
 
 
-@register(
-    "normalize_images",
-    f"""WITH {SQL_RESIZED}, h AS (SELECT vec_id, string_agg(printf('%02X', v) || printf('%02X', v) || printf('%02X', v), '' ORDER BY y, x) AS data,
+def sql_normalized(resized: str) -> str:
+    return f"""WITH {resized}, h AS (SELECT vec_id, string_agg(printf('%02X', v) || printf('%02X', v) || printf('%02X', v), '' ORDER BY y, x) AS data,
   count(DISTINCT v) AS colours FROM vt GROUP BY vec_id)
 SELECT vec_id, CASE WHEN bad THEN -1 ELSE 16 END AS width, CASE WHEN bad THEN -1 ELSE 16 END AS height, CASE WHEN bad THEN 0 ELSE 768 END AS size_bytes,
   CASE WHEN bad THEN 0 ELSE colours END AS colours, NOT bad AND colours = 1 AS single_colour, CASE WHEN bad THEN '' ELSE data END AS data
-FROM lb JOIN h USING (vec_id)""",
-)
-def normalized_images(spark, sf):
-    made = image_stats(normalize_images(pictures(spark, sf), "image", "made", SQL_SIZE), "made")
+FROM lb JOIN h USING (vec_id)"""
+
+
+def made_images(spark, sf, search):
+    made = image_stats(normalize_images(pictures(spark, sf), "image", "made", SQL_SIZE, search), "made")
     return made.select("vec_id", "width", "height", "size_bytes", "colours", "single_colour", F.hex("made.data").alias("data"))
 
 
+@register("normalize_images", sql_normalized(SQL_RESIZED))
+def normalized_images(spark, sf):
+    return made_images(spark, sf, search=True)
+
+
+@register("normalize_images_plain", sql_normalized(SQL_RESIZED_PLAIN))
+def resized_images(spark, sf):
+    """Neither inverted nor stretched."""
+    return made_images(spark, sf, search=False)
+
+
+def read_plain_gray(data: bytes) -> np.ndarray:
+    """Pixels of a portable graymap in plain text: a picture format that needs no image library."""
+    kind, width, height, _, *pixels = data.split()
+    if kind != b"P2":
+        raise ValueError("not a plain graymap")
+    return np.array(pixels, np.uint8).reshape(int(height), int(width))
+
+
+@register(
+    "image_files",
+    f"""WITH {SQL_GRIDS}, h AS (SELECT vec_id, vec_id % 7 = 0 AS bad, array_to_string(list_transform(p, lambda x: printf('%02X', x)), '') AS data FROM g)
+SELECT vec_id, CASE WHEN bad THEN -1 ELSE 8 END AS width, CASE WHEN bad THEN -1 ELSE 8 END AS height, CASE WHEN bad THEN '' ELSE data END AS data,
+  CASE WHEN bad THEN 'Invalid image file' END AS error FROM h""",
+)
+def intake(spark, sf):
+    """A picture file for every embedding, written and read back; every seventh is broken."""
+    kind = F.when(F.col("vec_id") % 7 == 0, "P9").otherwise("P2")
+    files = grids(spark, sf).select("vec_id", F.concat(kind, F.lit("\n8 8\n255\n"), F.array_join("pixels", " ")).alias("value"))
+    folder = work_folder(spark)
+    files.write.partitionBy("vec_id").text(folder)
+    read = read_images(spark, folder, read_plain_gray, "*.txt")
+    vec_id = F.regexp_extract("path", r"vec_id=(-?\d+)/", 1).cast("long")
+    return read.select(vec_id.alias("vec_id"), "image.width", "image.height", F.hex("image.data").alias("data"), F.col("image_error").alias("error"))
+
+
 SQL_RUN = f"""{SQL_SVGS}, run AS (
   SELECT c_name AS icon_name, 'p' || p_partkey AS filename, 'Failed to render icon image - renderer service is required, '
     || CASE WHEN kind IN (3, 4, 5) THEN 'Failed to generate icon SVG embedding, ' ELSE '' END

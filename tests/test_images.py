@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphlake.functions import images as I
 from glyphlake.operators.encoders import embed_image, embed_svg, encode_column, encode_corpus, model_udf
-from glyphlake.sources.corpus import decode_base64, scan_image_bytes, scan_images
+from glyphlake.sources.corpus import decode_base64, read_images, scan_image_bytes, scan_images
 
 BLACK_ON_WHITE = np.full((40, 40), 255, np.uint8)
 BLACK_ON_WHITE[10:30, 10:30] = 0
@@ -82,6 +82,9 @@ def test_png_files_and_payloads(spark, tmp_path):
     assert np.array_equal(I.pixels_of(9, 7, 3, bytes(found["good.png"]["data"])), rgb)
     assert scan_images(spark, str(tmp_path), drop_invalid=True).count() == 1
     assert scan_image_bytes(spark, str(tmp_path)).count() == 2
+    read = {r.path.rsplit("/")[-1]: r for r in read_images(spark, str(tmp_path), read_png).collect()}
+    assert read["bad.png"].image["height"] == -1 and read["bad.png"].image_error == "Invalid image file"
+    assert read["good.png"].image_error is None and read["good.png"].image["data"] == found["good.png"]["data"]
     text = base64.b64encode(png_bytes(rgb)).decode()
     df = spark.createDataFrame([(0, text), (1, "data:image/png;base64," + text), (2, "@@@"), (3, None)], "i int, p string")
     raw = {r.i: (r.b is not None, r.b_error) for r in decode_base64(df, "p", "b").collect()}

@@ -34,6 +34,12 @@ def test_normalize_keeps_content(spark, svg, box):
 def test_normalize_edge_cases(spark):
     assert apply(spark, S.normalize_svg("v"), ["", None, "<g/>"]) == [None, None, "<g/>"]
     both = "<svg><svg></svg></svg>"
+    odd = ['<svg width="1.5.2" height="4">x</svg>', '<svg width="3" height="...">x</svg>']
+    assert apply(spark, S.normalize_svg("v"), odd) == [None, None]
+    assert apply(spark, S.svg_size_error("v"), odd) == [f"could not convert string to float: '{n}'" for n in ("1.5.2", "...")]
+    fine = ['<svg width="1.5.2" height="4" viewBox="0 0 1 1">x</svg>', '<svg width="1.5.2">x</svg>', '<svg width="px" height="2">x</svg>', None, ""]
+    assert apply(spark, S.svg_size_error("v"), fine) == [None] * 5
+    assert all(apply(spark, S.normalize_svg("v"), fine[:3]))
     assert apply(spark, S.normalize_svg("v", 512), [both])[0].count('width="512"') == 1
     assert apply(spark, S.normalize_svg("v"), ['<svg viewBox="$1 \\">x'])[0].startswith('<svg viewBox="$1 \\" ')
 
