@@ -61,6 +61,24 @@ def mirrored(part: tuple) -> tuple:
     return (kind, turned[::-1] if kind == "seq" else turned)
 
 
+def _can_be_empty(part: tuple) -> bool:
+    kind, inner = part
+    return kind == "star" or (kind != "set" and (all if kind == "seq" else any)(map(_can_be_empty, inner)))
+
+
+def shortest(part: tuple) -> tuple:
+    """The expression without what may follow a match: it keeps every match that has no shorter one from the same start."""
+    kind, inner = part
+    if kind == "alt":
+        return (kind, tuple(map(shortest, inner)))
+    if kind != "seq":
+        return part
+    last = len(inner)
+    while last and _can_be_empty(inner[last - 1]):
+        last -= 1
+    return (kind, (*inner[: last - 1], shortest(inner[last - 1]))) if last else (kind, ())
+
+
 # ---- states --------------------------------------------------------------------------------
 
 
@@ -119,11 +137,8 @@ class Dfa:
         self.table, self.accepts, self.dead = table, accepts, dead
 
 
-def compiled(parts: list[tuple], anywhere: bool, final: bool = False) -> Dfa:
-    """The minimal automaton of several expressions at once.
-
-    ``anywhere``: matches may start at any byte; ``final``: an accepting state is never left.
-    """
+def compiled(parts: list[tuple], anywhere: bool) -> Dfa:
+    """The minimal automaton of several expressions at once; with ``anywhere``, matches may start at any byte."""
     nfa = _Nfa()
     start = nfa.state()
     ends = {nfa.add(part, start): number for number, part in enumerate(parts)}
@@ -141,9 +156,6 @@ def compiled(parts: list[tuple], anywhere: bool, final: bool = False) -> Dfa:
     for states in order:
         row = []
         for byte in sample:
-            if final and bits(states):
-                row.append(number[states])
-                continue
             moved = {nfa.steps[s][1] for s in states if nfa.steps[s] and byte in nfa.steps[s][0]}
             if anywhere:
                 moved.add(start)
@@ -153,10 +165,7 @@ def compiled(parts: list[tuple], anywhere: bool, final: bool = False) -> Dfa:
                 order.append(after)
             row.append(number[after])
         table.append(row)
-    marks = [bits(s) for s in order]
-    if final:
-        marks = [int(m > 0) for m in marks]
-    table, marks = _minimal(table, marks)
+    table, marks = _minimal(table, [bits(s) for s in order])
     dead = next((i for i, row in enumerate(table) if not marks[i] and all(x == i for x in row)), None)
     return Dfa([[row[klass[b]] for b in range(256)] for row in table], marks, dead)
 

@@ -1,8 +1,9 @@
 """Secret scans: all rules compiled into one automaton that reads each text's bytes once.
 
-The combined automaton starts a match at every byte and stays in its accepting state, so one pass over the UTF-8 bytes
-decides whether any rule matches. Only in the few texts with a match the spans are located: each rule has automata of its
-own that find the first end, read back to the leftmost start, and read on to the longest end.
+The combined automaton starts a match at every byte, and its states tell which rules' matches end there. One pass over the
+UTF-8 bytes so gives the ends of all rules' shortest matches; what may follow a shortest match is left out of the automaton,
+which keeps it at a few thousand states. From an end, the rule is read back to the leftmost start and on to the longest end,
+so only bytes in and around matches are read again.
 
 Defined cases: a null text counts as empty; spans count code points, ends are exclusive; per kind, matches are leftmost,
 longest and do not overlap, and a match shorter than its rule asks is dropped but still consumed; different kinds may
@@ -12,15 +13,16 @@ the next line is taken too, as it could be the key's; texts are read whole; repe
 
 from __future__ import annotations
 
-from functools import cache, cached_property, reduce
-from operator import getitem
+from functools import cache, cached_property
+from itertools import accumulate
+from operator import getitem, itemgetter
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphlake.llm.automaton import Dfa, but, chars, compiled, either, many, maybe, mirrored, seq, some, text
+from glyphlake.llm.automaton import Dfa, but, chars, compiled, either, many, maybe, mirrored, seq, shortest, some, text
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -98,11 +100,10 @@ def _rows(dfa: Dfa) -> list[list]:
 
 
 class _Locator:
-    """Where a single rule matches."""
+    """The matches of a single rule around the ends it is given."""
 
     def __init__(self, rule: Rule):
         self.rule = rule
-        self.ends = _rows(compiled([rule.pattern], anywhere=True))[0]
         self.back, self.back_dead = self._anchored(mirrored(rule.pattern))
 
     @staticmethod
@@ -116,36 +117,41 @@ class _Locator:
         """Made when a match is met: those of long tails take seconds."""
         return [self._anchored(seq(self.rule.pattern, tail)) for tail in self.rule.tails]
 
-    def all(self, data: bytes) -> list[tuple[int, int]]:
-        found, at, n = [], 0, len(data)
-        while at < n:
-            row, first = self.ends, -1
-            for i in range(at, n):
-                row = row[data[i]]
-                if row[256]:
-                    first = i + 1
-                    break
-            if first < 0:
+    def all(self, data: bytes, ends: list[list[int]]) -> list[tuple[int, int]]:
+        """Leftmost, longest matches that do not overlap; ``ends`` lists first and last of neighbouring ends of shortest matches."""
+        found, at = [], 0
+        for low, high in ends:
+            place = max(low, at + 1)
+            while place <= high:
+                start = self._leftmost(data, at, place)
+                if start < 0:  # the match begins inside the one before
+                    place += 1
+                    continue
+                at = self._longest(data, start, place)
+                if self._long_enough(data, start, at):
+                    found.append((start, at))
+                place = at + 1
+        return found
+
+    def _leftmost(self, data: bytes, least: int, end: int) -> int:
+        row, start = self.back, -1
+        for i in range(end - 1, least - 1, -1):
+            row = row[data[i]]
+            if row is self.back_dead:
                 break
-            row, start = self.back, first
-            for i in range(first - 1, at - 1, -1):
+            if row[256]:
+                start = i
+        return start
+
+    def _longest(self, data: bytes, start: int, end: int) -> int:
+        for row, dead in self.ahead:
+            for i in range(start, len(data)):
                 row = row[data[i]]
-                if row is self.back_dead:
+                if row is dead:
                     break
                 if row[256]:
-                    start = i
-            end = first
-            for row, dead in self.ahead:
-                for i in range(start, n):
-                    row = row[data[i]]
-                    if row is dead:
-                        break
-                    if row[256]:
-                        end = max(end, i + 1)
-            if self._long_enough(data, start, end):
-                found.append((start, end))
-            at = end
-        return found
+                    end = max(end, i + 1)
+        return end
 
     def _long_enough(self, data: bytes, start: int, end: int) -> bool:
         if self.rule.valued:
@@ -162,22 +168,28 @@ class Scanner:
     """The compiled rules in a Python worker."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
-        patterns = [r.pattern for r in rules]
         self.rules = rules
-        combined = _rows(compiled(patterns, anywhere=True, final=True))
-        self.start, self.hit = combined[0], next(r for r in combined if r[256])
+        self.start = _rows(compiled([shortest(r.pattern) for r in rules], anywhere=True))[0]
         self.locators = [_Locator(r) for r in rules]
 
+    def ends(self, data: bytes) -> dict[int, list[list[int]]]:
+        """Ends of shortest matches by number of the rule, neighbouring ones as one pair of first and last."""
+        marks = map(itemgetter(256), accumulate(data, getitem, initial=self.start))
+        found: dict[int, list[list[int]]] = {}
+        for place, bits in filter(itemgetter(1), enumerate(marks)):
+            while bits:
+                runs = found.setdefault((bits & -bits).bit_length() - 1, [])
+                bits &= bits - 1
+                if runs and runs[-1][1] == place - 1:
+                    runs[-1][1] = place
+                else:
+                    runs.append([place, place])
+        return found
+
     def spans(self, data: bytes) -> list[tuple[str, int, int]]:
         """Kind, start and end in bytes, ordered by start, then by the rules' order."""
-        if reduce(getitem, data, self.start) is not self.hit:
-            return []
-        found = [
-            (start, number, end)
-            for number, locator in enumerate(self.locators)
-            for start, end in locator.all(data)
-        ]
-        return [(self.rules[number].kind, start, end) for start, number, end in sorted(found)]
+        found = sorted((start, number, end) for number, ends in self.ends(data).items() for start, end in self.locators[number].all(data, ends))
+        return [(self.rules[number].kind, start, end) for start, number, end in found]
 
 
 @cache

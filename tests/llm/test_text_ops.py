@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from itertools import product
 
 import duckdb
 import numpy as np
@@ -17,13 +18,13 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from check import _rows
 from glyphlake.llm import chat
-from glyphlake.llm.automaton import chars, compiled, either, many, maybe, seq, some, text
+from glyphlake.llm.automaton import chars, compiled, either, many, maybe, seq, shortest, some, text
 from glyphlake.llm.bpe import Bpe, Tokenizer, merge, parse_ranks
 from glyphlake.llm.common import bound_arrow, table
 from glyphlake.llm.quality_model import BINS, FEATURES, RIDGE, SEED, SIGMA, STATISTICS, isotonic, quality_scores, statistics
 from glyphlake.llm.quality_rules import kept_rows, quality_rules
 from glyphlake.llm.queries import CHECKS, QUERIES
-from glyphlake.llm.secrets import Scanner, redact, secret_spans
+from glyphlake.llm.secrets import RULES, Scanner, redact, secret_spans
 
 ODD = [None, "", " ", "\n\n", "x", "Ünïcode ſ K", "a  b\t c", "word " * 5000, "\u2003em", "z" * 20000]
 
@@ -181,6 +182,27 @@ def test_whole_private_keys_are_removed(spark):
     assert [r.clean for r in got] == [b for _, b in texts]
 
 
+def test_one_pass_tells_the_ends_of_all_rules():
+    data = b"://a:token=" + b"0123456789abcdef" * 2 + b"0@ " + b"f" * 40
+    ends = {RULES[n].kind: places for n, places in Scanner().ends(data).items()}
+    assert ends == {"login": [[45, 45]], "assign": [[12, 12]], "hex": [[43, 44], [78, 86]]}
+    assert Scanner().spans(data) == [("login", 0, 45), ("assign", 5, 44), ("hex", 11, 44), ("hex", 46, 86)]
+
+
+def test_shortest_keeps_first_ends():
+    pattern = seq(text("a"), either(some(chars("bc"), 2), text("d")), many(chars("e")), maybe(text("f")))
+    whole, cut = compiled([pattern], anywhere=False), compiled([shortest(pattern)], anywhere=False)
+    for word in map("".join, product("abcdef", repeat=5)):
+        first = []
+        for dfa in (whole, cut):
+            state, met = 0, []
+            for i, c in enumerate(word.encode()):
+                state = dfa.table[state][c]
+                met += [i] if dfa.accepts[state] else []
+            first.append(met[:1])
+        assert first[0] == first[1]
+
+
 def test_automaton_is_minimal_and_equals_regex():
     pattern = seq(either(text("ab"), text("cb")), many(chars("x-z")), maybe(chars("0")), some(chars("q"), 2))
     dfa = compiled([pattern], anywhere=False)
