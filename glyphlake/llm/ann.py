@@ -1,9 +1,11 @@
 """Approximate nearest neighbours: robust-pruned directed graphs, one a shard, searched by beams.
 
-Equal vectors are one node with its smallest ids. Nodes are dealt to shards of about ``SHARD`` by a hash; every shard
-builds its graph in one task: greedy searches from the node nearest to the mean propose neighbours, and a proposal stays
-only if no kept neighbour is nearer to it by the factor ``ALPHA``, which keeps diverse edges. Graphs are written once. Queries
-come in blocks of bounded size, each broadcast to the shards; a shard hands out its best hits, one window merges them. Every
+Equal vectors are one node with its smallest ids. Nodes are dealt to shards by a hash; shards grow with the root of the
+table up to ``MOST``, so that a search of a larger table follows longer paths in fewer graphs. Every shard builds its graph in a
+task of its own: greedy searches from the node nearest to the mean propose neighbours, and a proposal stays only if no kept
+neighbour is nearer to it by the factor ``ALPHA``, which keeps diverse edges. Graphs are written once. Queries are a table too:
+each meets every shard of its dimension in tasks of one shard and about ``SLICE`` queries, which hold the graph and read the
+queries batch by batch; nothing of either reaches the driver. A task hands out its best hits, one window merges them. Every
 vector is indexed; distances are exact, in double precision, only the choice of candidates is approximate.
 
 Defined cases: vectors that are null, empty, all zero or hold null or non-finite components take no part, nor do rows
@@ -14,26 +16,30 @@ candidates than asked for give fewer rows; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from itertools import accumulate
+from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphlake.llm.common import stored
 
-SHARD = 4096
+LEAST = 4096  # vectors of a shard
+GROWTH = 32  # times the root of the vectors
+MOST = 65536
+NUMBERS = 1 << 22  # components of a shard
 DEGREE = 24
 BUILD_BEAM = 48
 SEARCH_BEAM = 96
 ALPHA = 1.2
 EXPANDED = 4  # nodes of a beam followed at once
 BATCH = 256  # searches in step
-QUERIES = 4096  # queries broadcast at once
+SLICE = 1 << 15  # queries of a search task
 SEED = 7
 
-INDEX = "dims int, vectors binary, edges binary, entry int, ids array<array<bigint>>"
+INDEX = "shard int, dims int, vectors binary, edges binary, entry int, ids array<array<bigint>>"
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -88,6 +94,8 @@ def pruned(data: np.ndarray, points: np.ndarray, nodes: np.ndarray, alpha: float
     far = np.where(nodes >= 0, distances(data[points][:, None], data[nodes]), np.inf)
     order = np.argsort(far, axis=1, kind="stable")
     nodes, far = nodes[rows[:, None], order], far[rows[:, None], order]
+    around = data[nodes]
+    squares = np.einsum("...i,...i->...", around, around)
     kept = np.full((len(points), DEGREE), -1)
     left = far.copy()
     for k in range(DEGREE):
@@ -97,7 +105,8 @@ def pruned(data: np.ndarray, points: np.ndarray, nodes: np.ndarray, alpha: float
             break
         chosen = nodes[rows, pick]
         kept[alive, k] = chosen[alive]
-        between = distances(data[chosen][:, None], data[nodes])
+        dots = (around @ around[rows, pick][:, :, None])[:, :, 0]
+        between = squares + squares[rows, pick][:, None] - 2 * dots
         left[alive[:, None] & (alpha * alpha * between <= far)] = np.inf
         left[rows, pick] = np.inf
     return kept
@@ -127,7 +136,10 @@ def build(data: np.ndarray) -> tuple[np.ndarray, int]:
 def _add_backward(data: np.ndarray, edges: np.ndarray, points: np.ndarray, alpha: float) -> None:
     """Edges back to ``points`` from their new neighbours, which are pruned where they have too many."""
     target, source = edges[points].reshape(-1), np.repeat(points, DEGREE)
-    target, source = target[target >= 0], source[target >= 0]
+    new = (target >= 0) & (edges[target] != source[:, None]).all(axis=1)
+    if not new.any():
+        return
+    target, source = target[new], source[new]
     order = np.argsort(target, kind="stable")
     target, source = target[order], source[order]
     places, first, count = np.unique(target, return_index=True, return_counts=True)
@@ -140,19 +152,23 @@ def _add_backward(data: np.ndarray, edges: np.ndarray, points: np.ndarray, alpha
         edges[part] = pruned(data, part, np.concatenate([edges[part], incoming[at : at + BATCH]], axis=1), alpha)
 
 
-def _shard(table: pa.Table) -> pa.Table:
-    table = table.sort_by([("first", "ascending")])
+def _graph(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The row of the shard that is all of a task's input."""
+    rows = list(batches)
+    if not sum(b.num_rows for b in rows):
+        return
+    table = pa.Table.from_batches(rows).sort_by([("first", "ascending")])
     dims = table.column("dims")[0].as_py()
     data = table.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, dims)
     edges, entry = build(data)
-    ids = pa.ListArray.from_arrays([0, len(table)], table.column("ids").combine_chunks())
-    return pa.table(
+    yield pa.record_batch(
         {
+            "shard": pa.array([table.column("shard")[0].as_py()], pa.int32()),
             "dims": pa.array([dims], pa.int32()),
             "vectors": pa.array([data.tobytes()]),
             "edges": pa.array([edges.astype(np.int32).tobytes()]),
             "entry": pa.array([entry], pa.int32()),
-            "ids": ids,
+            "ids": pa.ListArray.from_arrays([0, len(table)], table.column("ids").combine_chunks()),
         }
     )
 
@@ -177,29 +193,42 @@ def build_index(df: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str
         .agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
         .withColumn("first", F.col("ids")[0])
     )
-    shards = {r["dims"]: ceil(r["count"] / max(64, min(SHARD, (1 << 22) // r["dims"]))) for r in nodes.groupBy("dims").count().collect()}
-    number = F.lit(1)
-    for dims, count in shards.items():
-        number = F.when(F.col("dims") == dims, F.lit(count)).otherwise(number)
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), number))
-    return stored(dealt.groupBy("dims", "shard").applyInArrow(_shard, INDEX))
+    counts = {r["dims"]: shards_of(r["count"], r["dims"]) for r in nodes.groupBy("dims").count().collect()}
+    before = dict(zip(counts, accumulate(counts.values(), initial=0)))
+    number = _by_dims(before) + F.pmod(F.xxhash64("vector"), _by_dims(counts)).cast("int")
+    dealt = nodes.withColumn("shard", number).repartitionById(max(1, sum(counts.values())), F.col("shard"))
+    return stored(dealt.mapInArrow(_graph, INDEX))
 
 
-def _hits(batches: Iterator[pa.RecordBatch], asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+def shards_of(count: int, dims: int) -> int:
+    """How many shards ``count`` vectors make."""
+    most = max(64, min(MOST, NUMBERS // dims))
+    return ceil(count / min(most, max(LEAST, GROWTH * isqrt(count))))
+
+
+def _by_dims(values: dict[int, int]) -> Column:
+    """The value of a row's dimension, null if there is none."""
+    pairs = [F.array(*map(F.lit, part)).cast("array<int>") for part in (values.keys(), values.values())]
+    return F.element_at(F.map_from_arrays(*pairs), F.col("dims"))
+
+
+def _hits(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Best hits in one shard: its row comes first, then the queries."""
+    shard = None
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["dims"] not in asked:
-                continue
-            query_ids, queries = asked[row["dims"]]
-            data = np.frombuffer(row["vectors"]).reshape(-1, row["dims"])
-            edges = np.frombuffer(row["edges"], np.int32).reshape(-1, DEGREE).astype(np.int64)
+        if shard is None and batch.num_rows:
+            shard = batch.slice(0, 1).to_pylist()[0]
+            batch = batch.slice(1)
+            data = np.frombuffer(shard["vectors"]).reshape(-1, shard["dims"])
+            edges = np.frombuffer(shard["edges"], np.int32).reshape(-1, DEGREE).astype(np.int64)
+        for at in range(0, batch.num_rows, BATCH):
+            part = batch.slice(at, BATCH)
+            queries = part.column("vector").flatten().to_numpy().reshape(-1, shard["dims"])
+            nodes, far = beam_search(data, edges, shard["entry"], queries, max(SEARCH_BEAM, k + 1))
             out: list[tuple[int, int, float]] = []
-            for at in range(0, len(queries), BATCH):
-                part = queries[at : at + BATCH]
-                nodes, far = beam_search(data, edges, row["entry"], part, max(SEARCH_BEAM, k + 1))
-                for query, met, d in zip(query_ids[at : at + BATCH].tolist(), nodes[:, : 2 * k + 1].tolist(), np.sqrt(far[:, : 2 * k + 1]).tolist()):
-                    found = [(x, i) for node, x in zip(met, d) if node >= 0 for i in row["ids"][node] if i != query]
-                    out += [(query, i, x) for x, i in sorted(found)[:k]]
+            for query, met, d in zip(part.column("query_id").to_pylist(), nodes[:, : 2 * k + 1].tolist(), np.sqrt(far[:, : 2 * k + 1]).tolist()):
+                found = [(x, i) for node, x in zip(met, d) if node >= 0 for i in shard["ids"][node] if i != query]
+                out += [(query, i, x) for x, i in sorted(found)[:k]]
             columns = list(zip(*out)) or [(), (), ()]
             yield pa.record_batch(
                 {"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())}
@@ -208,21 +237,17 @@ def _hits(batches: Iterator[pa.RecordBatch], asked: dict[int, tuple[np.ndarray,
 
 def search_index(index: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found for every usable row of ``queries``, its own id left out."""
-    spark = index.sparkSession
-    asked = stored(usable(queries, vec_id, vector).dropDuplicates(["vec_id"]))
-    blocks = max(1, ceil(asked.count() / QUERIES))
-    parts = []
-    for number in range(blocks):
-        block: dict[int, list] = {}
-        for r in asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number).collect():
-            block.setdefault(r["dims"], []).append((r["vec_id"], r["vector"]))
-        ready = {d: (np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)) for d, rows in block.items()}
-        shared = spark.sparkContext.broadcast(ready)
-        parts.append(
-            index.mapInArrow(lambda batches, shared=shared: _hits(batches, shared.value, k), "query_id bigint, vec_id bigint, score double")
-        )
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
+    asked = stored(usable(queries, vec_id, vector).dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "query_id"))
+    shards = index.groupBy("dims").agg(F.min("shard").alias("low"), F.max("shard").alias("high")).collect()
+    low, high = ({r["dims"]: r[side] for r in shards} for side in ("low", "high"))
+    slices = max(1, ceil(asked.count() / SLICE))
+    # A task is one shard and one slice of the queries; its first row is the shard's.
+    graphs = index.withColumn("task", F.explode(F.sequence(F.col("shard") * slices, F.col("shard") * slices + (slices - 1))))
+    met = asked.withColumn("shard", F.explode(F.sequence(_by_dims(low), _by_dims(high))))
+    met = met.withColumn("task", F.col("shard") * slices + F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int")).drop("dims", "shard")
+    tasks = slices * (1 + max(high.values(), default=0))
+    rows = graphs.unionByName(met, allowMissingColumns=True).repartitionById(tasks, F.col("task"))
+    rows = rows.sortWithinPartitions(F.col("query_id").asc_nulls_first())
+    hits = rows.mapInArrow(lambda batches: _hits(batches, k), "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from glyphlake.llm.ann import build_index, search_index
+from glyphlake.llm import ann
+from glyphlake.llm.ann import build_index, search_index, shards_of
 from glyphlake.llm.common import bound_arrow, shared_folder, table
 from glyphlake.llm.components import connected
 from glyphlake.llm.mixing import BLOCK, Mix, permuted, targets
@@ -418,6 +419,31 @@ def test_neighbours_of_odd_vectors(spark):
     assert search_index(build_index(df.limit(0), 10), df.limit(0), 10).count() == 0
 
 
+def test_neighbours_in_many_shards_and_slices(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3 if i % 3 else 4).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "NUMBERS", 300)
+    index = build_index(df, 10)
+    shards = index.select("shard", "dims", F.size("ids").alias("held")).collect()
+    assert [sorted(r.dims for r in shards).count(d) for d in (3, 4)] == [4, 3] and sorted(r.shard for r in shards) == list(range(7))
+    assert sum(r.held for r in shards) == 600
+    asked = df.where("vec_id % 10 = 0")
+    whole = sorted(map(tuple, search_index(index, asked, 10).collect()))
+    monkeypatch.setattr(ann, "SLICE", 7)
+    assert sorted(map(tuple, search_index(index, asked, 10).collect())) == whole
+    for query in range(0, 600, 10):
+        group = [(i, v) for i, v in rows if len(v) == len(rows[query][1])]
+        ids = np.array([i for i, _ in group])
+        want = plain_neighbours(ids, np.array([v for _, v in group]), int(np.flatnonzero(ids == query)[0]))
+        assert [(v, pytest.approx(s)) for v, s in want] == [(v, s) for q, _, v, s in whole if q == query]
+
+
+def test_shards_grow_with_the_table():
+    assert [shards_of(n, 64) for n in (0, 1, 4096, 10_000, 1_000_000, 100_000_000)] == [0, 1, 1, 3, 32, 1526]
+    assert shards_of(1000, 1 << 20) == 16
+
+
 # ---- pipeline ------------------------------------------------------------------------------
 
 
