@@ -9,8 +9,8 @@ Labels are learned from a hashed sample of about ``MOST_ROWS`` labelled rows at
 
 Defined cases: a null text counts as empty, and empty texts get a score like any other; a null id is not held out and has no
 label; a document labelled or listed more than once counts as often; without labels of both classes every score is the
-share of label 1, or 0.5 without any label; an empty table gives an empty result. Labels, language, source and id are no
-inputs of a score.
+share of label 1, or 0.5 without any label; an empty table gives an empty result. Equal texts get equal scores, ties are left as they
+are; further columns of both tables are not read, whatever their names. Labels, language, source and id are no inputs of a score.
 """
 
 from __future__ import annotations

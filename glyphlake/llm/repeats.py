@@ -18,7 +18,7 @@ compared singly.
 
 Defined cases: a null text counts as empty; texts shorter than the length keep every byte; a text that occurs twice, or a row
 that is repeated, loses every byte once it has the length; an empty table gives an empty result; texts are taken as bytes,
-matches never cross documents.
+matches never cross documents; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations

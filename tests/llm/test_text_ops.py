@@ -344,6 +344,17 @@ def test_scores_of_odd_rows_and_missing_labels(spark):
     assert len(statistics(b"")) == len(STATISTICS)
 
 
+def test_scores_beside_clashing_columns(spark):
+    docs = [(i, f"{'word ' * (i % 9)}text {i}!" if i % 2 else "#" * (i % 7)) for i in range(60)]
+    plain = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    names = ["stats", "label", "part", "score", "quality", "held_out", "predicted"]
+    beside = plain.select("*", *(F.lit(9).alias(n) for n in names))
+    beside_labels = labels.select("*", *(F.lit(9).alias(n) for n in ("text", "stats", "label", "part")))
+    want = sorted((r.doc_id, r.held_out, r.predicted, round(r.score, 6)) for r in quality_scores(plain, labels).collect())
+    assert sorted((r.doc_id, r.held_out, r.predicted, round(r.score, 6)) for r in quality_scores(beside, beside_labels).collect()) == want
+
+
 def test_scores_equal_a_dense_solve(spark):
     """The sums of partitions and the binned calibration against one matrix, least squares and a plain isotonic fit."""
     rng = np.random.default_rng(3)
