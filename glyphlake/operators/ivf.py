@@ -3,7 +3,9 @@
 ``build_ivf`` fits centroids with Lloyd's rounds on Spark over a bounded sample, assigns every vector and writes the vectors
 partitioned by cell, full cells in several files. ``ann_candidates`` ranks the cells of each query, reads only the partitions
 that some query asks for, and inside a task multiplies the rows of a cell with the queries that ask for this cell alone. Cells
-number about the square root of the vectors, so the work of a query grows with that root, not with the table.
+number about the square root of the vectors, so the work of a query grows with that root, not with the table. Each cell keeps
+its radius, the largest angle between its centroid and one of its vectors: with ``exact`` a query goes on to every cell that the
+radius lets hold a row as near as its last hit, which gives the hits of exact search.
 
 Every vector of the usual length is stored; null vectors and odd lengths have no hits, as in exact search.
 """
@@ -35,6 +37,8 @@ ROUNDS = 6
 #: Parts that the sums of a round are added up in.
 SUM_PARTS = 16
 ROWS_PER_FILE = 1 << 17
+#: Slack of a cell's bound, for the rounding of scores and of angles near zero.
+BOUND_SLACK = 1e-7
 #: A query looks into so many cells at least, and so many rows for every candidate asked for.
 MIN_PROBES = 6
 ROWS_PER_CANDIDATE = 16
@@ -90,14 +94,19 @@ def fit_centroids(vectors: DataFrame, cells: int, rounds: int = ROUNDS) -> np.nd
 
 
 def assigned(rows: DataFrame, field: str, centroids: np.ndarray) -> DataFrame:
-    """``rows`` with the ``cell`` of each vector."""
+    """``rows`` with the ``cell`` of each vector and its ``__angle`` to the centroid; angles that are no number count as the widest."""
     shared = rows.sparkSession.sparkContext.broadcast(centroids)
 
-    @F.arrow_udf("int")
-    def cell(vectors: pa.Array) -> pa.Array:
-        return pa.array(_nearest(_matrix(vectors), shared.value), pa.int32())
+    @F.arrow_udf("struct<cell: int, angle: double>")
+    def place(vectors: pa.Array) -> pa.Array:
+        matrix = _matrix(vectors)
+        near = _nearest(matrix, shared.value)
+        cos = np.einsum("ij,ij->i", matrix, shared.value[near]) if len(near) else np.zeros(0)
+        angle = np.nan_to_num(np.arccos(np.clip(cos, -1, 1)), nan=np.pi)
+        return pa.StructArray.from_arrays([pa.array(near, pa.int32()), pa.array(angle, pa.float64())], names=["cell", "angle"])
 
-    return rows.withColumn("cell", cell(field))
+    placed = rows.withColumn("__place", place.asNondeterministic()(field))
+    return placed.select(*[F.col(c) for c in rows.columns], F.col("__place.cell").alias("cell"), F.col("__place.angle").alias("__angle"))
 
 
 def build_ivf(index: DataFrame, field: str, path: str, cells: int | None = None) -> IvfIndex:
@@ -122,15 +131,14 @@ def build_ivf(index: DataFrame, field: str, path: str, cells: int | None = None)
     assigned(rows, field, centroids).write.parquet(staged)
     placed = spark.read.parquet(staged)
     # One row a cell, at most MAX_CELLS.
-    counts = placed.groupBy("cell").agg(F.count("*").alias("n"))
+    counts = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("__angle").alias("radius"))
     told = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>")
-    told.join(counts, "cell", "left").select("cell", "centroid", F.coalesce("n", F.lit(0)).alias("n")).write.mode("overwrite").parquet(
-        f"{path}/cells"
-    )
+    kept = told.join(counts, "cell", "left").select("cell", "centroid", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
+    kept.write.mode("overwrite").parquet(f"{path}/cells")
     parts = counts.select(F.col("cell").alias("__cell"), F.ceil(F.col("n") / ROWS_PER_FILE).alias("__files"))
     spread = placed.join(F.broadcast(parts), F.col("cell") == F.col("__cell"))
     spread = spread.withColumn("__file", F.pmod(F.xxhash64("doc_id"), F.col("__files"))).repartition("cell", "__file")
-    spread.drop("__cell", "__files", "__file").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+    spread.drop("__cell", "__files", "__file", "__angle").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
     return IvfIndex(spark, path, field)
 
 
@@ -142,6 +150,7 @@ class IvfIndex:
         told = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()
         self.centroids = np.array([r["centroid"] for r in told]) if told else np.zeros((0, 0))
         self.sizes = np.array([r["n"] for r in told], np.int64)
+        self.radii = np.array([r["radius"] for r in told], np.float64)
         number = int(self.sizes.sum())
         self.rows = spark.read.parquet(f"{path}/rows") if number else None
 
@@ -152,6 +161,15 @@ class IvfIndex:
         needed = np.maximum((held < least_rows).sum(axis=1) + 1, least_cells)
         return [cells[:n] for cells, n in zip(near, needed)]
 
+    def reaching(self, matrix: np.ndarray, floor: np.ndarray, seen: list[np.ndarray]) -> list[np.ndarray]:
+        """The cells not ``seen`` that can hold a row of a cosine of at least ``floor``, for each query."""
+        angles = np.arccos(np.clip(matrix @ self.centroids.T, -1, 1))
+        most = np.cos(np.maximum(0, angles - self.radii)) + BOUND_SLACK
+        can = (most >= floor[:, None]) & (self.sizes > 0)
+        for held, cells in zip(can, seen):
+            held[cells] = False
+        return [np.flatnonzero(held) for held in can]
+
 
 class _Probes:
     """The query side of a task: unit vectors, and which queries ask for a cell."""
@@ -193,9 +211,11 @@ def ann_candidates(
     where: Column | None = None,
     least_cells: int = MIN_PROBES,
     max_queries: int = MAX_BROADCAST_QUERIES,
+    exact: bool = False,
 ) -> DataFrame:
     """Approximate kNN, ``query_id, doc_id, score, rank``: exact cosine over the cells nearest to each query.
 
+    With ``exact`` every query goes on to all cells that can still hold one of its k nearest, so the hits are those of ``knn``.
     More candidates make a query look into more cells; with as many as there are vectors the search is exact.
     ``recall_at_k`` against ``knn`` tells the quality. Queries come in blocks that fit a broadcast, one scan each.
     """
@@ -216,7 +236,7 @@ def ann_candidates(
     if ivf.rows is None or head.num_rows == 0:
         found = spark.createDataFrame([], schema)
     elif head.num_rows <= per_block:
-        found = _searched(ivf, head, k, num_candidates, where, least_cells, schema)
+        found = _searched(ivf, head, k, num_candidates, where, least_cells, schema, exact)
     else:
         blocks = -(-asked.count() // max(1, per_block // 2))
         # Hashed blocks of about half the bound; each one's hits are written before the next is read.
@@ -225,16 +245,32 @@ def ann_candidates(
         for block in range(blocks):
             part = cut.where(F.col("__block") == block).drop("__block").toArrow()
             if part.num_rows:
-                hits = _searched(ivf, part, k, num_candidates, where, least_cells, schema)
+                hits = _searched(ivf, part, k, num_candidates, where, least_cells, schema, exact)
                 _ranked(hits, k).write.parquet(f"{place}/block={block}")
         return spark.read.parquet(place).drop("block")
     return _ranked(found, k)
 
 
-def _searched(ivf, head: pa.Table, k, num_candidates, where, least_cells, schema) -> DataFrame:
+def _searched(ivf, head: pa.Table, k, num_candidates, where, least_cells, schema, exact) -> DataFrame:
     matrix = _matrix(head.column("vector"))
+    query_id = _ids(head.column("query_id").combine_chunks())
     cells = ivf.probes(matrix, max(k, ROWS_PER_CANDIDATE * num_candidates), least_cells)
-    probes = _Probes(_ids(head.column("query_id").combine_chunks()), matrix, cells)
+    found = _scanned(ivf, query_id, matrix, cells, k, where, schema)
+    if not exact:
+        return found
+    best = cut_lineage(_best(found, k))
+    # One row a query of the block: its last hit, if it has k.
+    last = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("cos").alias("floor")).where(F.col("n") == k).toArrow()
+    floors = dict(zip(_ids(last.column("query_id").combine_chunks()).tolist(), last.column("floor").to_pylist()))
+    floor = np.array([floors.get(q, -np.inf) for q in query_id.tolist()])
+    others = ivf.reaching(matrix, floor, cells)
+    if not any(len(c) for c in others):
+        return best.drop("rank")
+    return best.drop("rank").unionByName(_scanned(ivf, query_id, matrix, others, k, where, schema))
+
+
+def _scanned(ivf, query_id: np.ndarray, matrix: np.ndarray, cells: list[np.ndarray], k, where, schema) -> DataFrame:
+    probes = _Probes(query_id, matrix, cells)
     shared = ivf.rows.sparkSession.sparkContext.broadcast(probes)
     # Named cells are a filter on the partition column: other cells' files are not read.
     near = ivf.rows.where(F.col("cell").isin(sorted(probes.asking)))
@@ -242,7 +278,10 @@ def _searched(ivf, head: pa.Table, k, num_candidates, where, least_cells, schema
     return near.select("doc_id", ivf.field, "cell").mapInArrow(lambda batches: shared.value.scan(batches, k), schema)
 
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
+def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("cos"), "doc_id")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("query_id", "doc_id", score_of("cos").alias("score"), "rank")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    return _best(found, k).select("query_id", "doc_id", score_of("cos").alias("score"), "rank")

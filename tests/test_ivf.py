@@ -91,3 +91,22 @@ def test_an_empty_table_and_a_reopened_index(spark, index, ivf, queries, tmp_pat
     again = IvfIndex(spark, path, "vector")
     assert len(again.sizes) == 4 and again.rows.count() == 500
     assert ann_candidates(again, queries.limit(0)).count() == 0
+
+
+def test_exact_hits_beyond_the_probed_cells(index, ivf):
+    """Means of the table lie far from all centroids, so their neighbours are spread over many cells."""
+    means = [(i, [float(x) for x in index.where(f"doc_id % 5 = {i}").agg(*[F.avg(F.col("vector")[d]) for d in range(DIMS)]).first()]) for i in range(5)]
+    asked = index.sparkSession.createDataFrame([*means, (5, [0.0] * DIMS)], "query_id long, vector array<double>")
+    exact = {tuple(r) for r in knn(index, asked, "vector", 10).collect()}
+    assert {tuple(r) for r in ann_candidates(ivf, asked, 10, 10).collect()} != exact
+    assert {tuple(r) for r in ann_candidates(ivf, asked, 10, 10, exact=True).collect()} == exact
+    assert {tuple(r) for r in ann_candidates(ivf, asked, 10, 10, max_queries=4, exact=True).collect()} == exact
+    odd = F.col("icon_type") == "odd"
+    assert {tuple(r) for r in ann_candidates(ivf, asked, 10, 10, where=odd, exact=True).collect()} == {tuple(r) for r in knn(index, asked, "vector", 10, where=odd).collect()}
+
+
+def test_exact_search_leaves_out_cells_that_are_too_far(index, ivf, queries):
+    matrix = np.array([r["vector"] for r in queries.limit(20).collect()], float)
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    cells = ivf.reaching(matrix, np.full(20, 0.999), [np.array([], int)] * 20)
+    assert sum(len(c) for c in cells) < 20 * len(ivf.sizes)
