@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphlake.functions.vectors import score_of
+from glyphlake.functions.vectors import rounded, score_of
 from glyphlake.operators.joins import BROADCAST_ROWS
 from glyphlake.operators.knn import (
     MAX_BROADCAST_CELLS, MAX_BROADCAST_QUERIES, SCORE_DECIMALS, _Field, _ids, _matrix, _QueryBlock,
@@ -172,5 +172,5 @@ def fused_page(found: DataFrame, k: int, size: int) -> DataFrame:
     everything = Window.partitionBy("query_id")
     total = F.sum(F.col("__matches") + F.col("__more")).over(everything).cast("bigint")
     order = Window.partitionBy("query_id").orderBy(F.col("doc_id").isNull(), F.desc("score"), "doc_id")
-    ranked = fused.withColumn("score", F.round("score", SCORE_DECIMALS)).withColumn("total", total).withColumn("rank", F.row_number().over(order))
+    ranked = fused.withColumn("score", rounded("score", SCORE_DECIMALS)).withColumn("total", total).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("doc_id").isNotNull() & (F.col("rank") <= size)).select("query_id", "doc_id", "score", "rank", "total")

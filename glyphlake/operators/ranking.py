@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphlake.functions.vectors import rounded
 from glyphlake.operators.knn import SCORE_DECIMALS
 from glyphlake.schema import PAGE_SIZE
 
@@ -21,7 +22,7 @@ def rank_page(scored: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     """The best ``size`` rows per query with their rank, ties broken on the document id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return (
-        scored.withColumn("score", F.round("score", SCORE_DECIMALS))
+        scored.withColumn("score", rounded("score", SCORE_DECIMALS))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= size)
     )

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphlake.functions.vectors import rounded
 from glyphlake.operators.joins import BROADCAST_ROWS, lookup_join
 from glyphlake.operators.knn import SCORE_DECIMALS, BestRows, _ids, same_group
 from glyphlake.operators.ranking import rank_page, total_hits
@@ -54,7 +55,7 @@ def sparse_search(
     pairs = lookup_join(index_postings, asked, "token", spread="doc_id", max_rows=max_query_rows)
     if group_col:
         pairs = pairs.where(F.col("__wanted").isNull() | (F.col("__wanted") == F.col(group_col)))
-    score = F.round(F.sum(F.col("weight") * F.col("query_weight")), SCORE_DECIMALS)
+    score = rounded(F.sum(F.col("weight") * F.col("query_weight")), SCORE_DECIMALS)
     return pairs.groupBy("query_id", "doc_id").agg(score.alias("score"))
 
 
@@ -282,5 +283,5 @@ def sparse_scores_of(
     maps = lookup_join(index.select("doc_id", sparse_col), wanted, "doc_id", spread="doc_id", max_rows=max_rows)
     terms = maps.select("query_id", "doc_id", F.explode(sparse_col).alias("token", "weight"))
     asked = query_postings.select("query_id", "token", F.col("weight").alias("query_weight"))
-    score = F.round(F.sum(F.col("weight") * F.col("query_weight")), SCORE_DECIMALS)
+    score = rounded(F.sum(F.col("weight") * F.col("query_weight")), SCORE_DECIMALS)
     return terms.join(asked, ["query_id", "token"]).groupBy("query_id", "doc_id").agg(score.alias("score"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from glyphlake.operators.encoders import embed_image, embed_sparse, embed_svg, embed_text
 from glyphlake.functions.images import decode_base64_images
+from glyphlake.functions.vectors import rounded
+from glyphlake.operators.ranking import rank_page
 from glyphlake.plans.indexing import index_release
 from glyphlake.plans.search import (
     choose_branch, encode_queries, resolve_fields, resolve_fields_agent, search, search_report,
@@ -137,3 +139,14 @@ def test_indexing_run(spark, tmp_path):
     both = files.where("filename <> 'odd'").withColumn("path", F.when(F.col("filename") == "user", "/a/a.svg").otherwise("/a/b.svg"))
     limited = index_release(both, names, index, "v1.0.0", rendered, bookmark="v1.0.0", limit=1)
     assert not limited.up_to_date and [r.icon_name for r in limited.results.collect()] == ["cut"]
+
+
+def test_scores_next_to_a_tie_are_rounded_as_sql_does(spark):
+    """(1 + cos) / 2 of these cosines is written as ...4999999: half up in DOUBLE arithmetic gives the next digit."""
+    cosines = [0.353891713, 0.612421569, 0.468807541]
+    rows = [(1, i, (1 + c) / 2) for i, c in enumerate(cosines)]
+    page = rank_page(spark.createDataFrame(rows, "query_id long, doc_id long, score double"))
+    assert {r.doc_id: r.score for r in page.collect()} == {0: 0.676945857, 1: 0.806210785, 2: 0.734403771}
+    odd = spark.createDataFrame([(0, -0.5), (1, 0.25), (2, float("nan")), (3, float("inf")), (4, 1e300), (5, None)], "i int, x double")
+    found = {r.i: r.y for r in odd.select("i", rounded("x", 1).alias("y"), "x").collect()}
+    assert found[0] == -0.5 and found[1] == 0.3 and found[2] != found[2] and found[3] == float("inf") and found[4] == 1e300 and found[5] is None
