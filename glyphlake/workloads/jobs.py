@@ -11,7 +11,7 @@ from glyphlake.schema import DOC_SCHEMA, VISUAL_FIELDS
 from glyphlake.session import cut_lineage, work_folder
 from glyphlake.sources.corpus import read_images
 from glyphlake.workloads.base import (
-    SQL_CENTROIDS, SQL_DOC_VECTORS, SQL_QUERY_VECTORS, documents, label_centroids, spread_out, sql_cos, table, text_queries,
+    SQL_CENTROIDS, SQL_DOC_VECTORS, SQL_QUERY_VECTORS, documents, label_centroids, named_files, spread_out, sql_cos, table, text_queries, write_files,
 )
 from glyphlake.workloads.dense import SQL_VISUAL, shown, visual_index
 from glyphlake.workloads.markup import SQL_GRIDS, SQL_SVGS, grids, svgs
@@ -245,10 +245,9 @@ def intake(spark, sf):
     kind = F.when(F.col("vec_id") % 7 == 0, "P9").otherwise("P2")
     files = grids(spark, sf).select("vec_id", F.concat(kind, F.lit("\n8 8\n255\n"), F.array_join("pixels", " ")).alias("value"))
     folder = work_folder(spark)
-    files.write.partitionBy("vec_id").text(folder)
-    read = read_images(spark, folder, read_plain_gray, "*.txt")
-    vec_id = F.regexp_extract("path", r"vec_id=(-?\d+)/", 1).cast("long")
-    return read.select(vec_id.alias("vec_id"), "image.width", "image.height", F.hex("image.data").alias("data"), F.col("image_error").alias("error"))
+    names = write_files(files, "vec_id", folder)
+    read = named_files(read_images(spark, folder, read_plain_gray, "*.txt"), names)
+    return read.select("vec_id", "image.width", "image.height", F.hex("image.data").alias("data"), F.col("image_error").alias("error"))
 
 
 SQL_RUN = f"""{SQL_SVGS}, run AS (

@@ -6,34 +6,30 @@ from glyphlake.session import work_folder
 from glyphlake.sources import index_store
 from glyphlake.sources.bucketed import BucketedIndex
 from glyphlake.sources.corpus import read_svg_text, scan_svg_corpus
-from glyphlake.workloads.base import table, vector_index
+from glyphlake.workloads.base import named_files, table, vector_index, write_files
 from glyphlake.workloads.registry import register
 
 
 def svg_files(spark, sf):
-    """A corpus with a file for every supplier; those of every fifth lie below a skipped directory."""
+    """A corpus with a file for every supplier, those of every fifth below a skipped directory, and whose each file is."""
     root = work_folder(spark)
     rows = table(spark, sf, "supplier").select(
         "s_suppkey", F.concat(F.lit("<svg id=\""), "s_name", F.lit("\"/>")).alias("value"), (F.col("s_suppkey") % 5 == 0).alias("skip")
     )
-    for skip, place in ((False, "icons"), (True, "node_modules")):
-        part = rows.where(F.col("skip") == skip).drop("skip").repartition("s_suppkey")
-        part.write.partitionBy("s_suppkey").text(f"{root}/{place}")
-    return scan_svg_corpus(spark, root, "*.txt")
-
-
-def supplier_of(path):
-    return F.regexp_extract(path, r"s_suppkey=(\d+)", 1).cast("bigint").alias("s_suppkey")
+    named = [write_files(rows.where(F.col("skip") == skip), "s_suppkey", f"{root}/{place}") for skip, place in ((False, "icons"), (True, "node_modules"))]
+    return scan_svg_corpus(spark, root, "*.txt"), named[0].unionByName(named[1])
 
 
 @register("scan_svg_corpus", "SELECT s_suppkey, (length(s_name) + 13)::BIGINT AS length FROM supplier WHERE s_suppkey % 5 <> 0")
 def scanned(spark, sf):
-    return svg_files(spark, sf).select(supplier_of("path"), "length")
+    files, names = svg_files(spark, sf)
+    return named_files(files.select("path", "length"), names).select("s_suppkey", "length")
 
 
 @register("read_svg_text", "SELECT s_suppkey, '<svg id=\"' || s_name || '\"/>' || chr(10) AS svg_content FROM supplier WHERE s_suppkey % 5 <> 0")
 def svg_texts(spark, sf):
-    return read_svg_text(svg_files(spark, sf)).select(supplier_of("path"), "svg_content")
+    files, names = svg_files(spark, sf)
+    return named_files(read_svg_text(files), names).select("s_suppkey", "svg_content")
 
 
 SQL_KIND = "CASE WHEN label % 2 = 0 THEN 'icon' ELSE 'token' END AS icon_type"
