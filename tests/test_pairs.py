@@ -4,8 +4,9 @@ from conftest import vectors
 from pyspark.sql import functions as F
 
 from glyphlake.operators.duplicates import copy_groups, exact_duplicates
+from glyphlake.operators.knn import _unit
 from glyphlake.operators.pairs import (
-    _placed, compare_pairs, lookup_specific, pair_places, sample_pairs, similar_pair_counts, similar_pairs, similarity_distribution,
+    SKETCH_SLACK, _basis, _placed, _sketches, compare_pairs, lookup_specific, pair_places, sample_pairs, similar_pair_counts, similar_pairs, similarity_distribution,
     top_similar_pairs,
 )
 from glyphlake.session import cut_lineage
@@ -155,3 +156,17 @@ def test_visits_grow_with_the_vectors_on_clusters(spark):
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
             assert found == np.count_nonzero(np.triu(np.round(unit @ unit.T, 9) > 0.99, 1)) == 2800
     assert shares[1] < 1.5 * shares[0] and shares[1] < 3
+
+
+def test_only_vectors_with_a_near_one_meet_whole(spark):
+    """Sketches never tell less than the cosine, and leave out vectors that are alone."""
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(600, 384))
+    data[1], data[3], data[5] = data[0] + 0.01 * rng.normal(size=384), 2 * data[2], 0
+    unit = _unit(data)
+    told = _sketches(unit, _basis(unit[100:300]))
+    assert (told @ told.T >= unit @ unit.T - SKETCH_SLACK).all()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "doc_id long, v array<double>")
+    placed = _placed(cut_lineage(copy_groups(df, "v")), "v", 0.99, None)
+    assert {r.group_id for r in placed.select("group_id").collect()} == {0, 1, 2, 3}
+    assert sorted((r.doc_a, r.doc_b) for r in similar_pairs(df, "v", 0.99).collect()) == [(0, 1), (2, 3)]
