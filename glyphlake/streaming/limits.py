@@ -22,13 +22,16 @@ register_pickle_by_value(sys.modules[__name__])
 #: A window is cut into so many buckets; a bucket is no shorter than LEAST_BUCKET_MS.
 BUCKETS_PER_WINDOW = 8
 LEAST_BUCKET_MS = 1000
+#: Events of a trigger that share an entry, if they are no more or of one bucket: every entry is three calls to the state store.
+ENTRY_EVENTS = 1000
 
 
 class _FixedWindow(StatefulProcessor):
     """Holds a key's events until the watermark has passed them, then judges them in (at, event_id) order.
 
-    Events wait in buckets of time, each trigger's in entries of its own, so taking events in rewrites none and judging reads
-    only what is due. A key has one timer: the end of its first bucket, or the clean-up of its window.
+    Events wait in entries named by their first bucket of time, each trigger's in entries of its own, so taking events in
+    rewrites none. An entry is one bucket or ``ENTRY_EVENTS`` events of several; judging reads the entries whose first bucket is due and
+    puts back what is not. A key has one timer: the end of its first bucket, or the clean-up of its window.
     """
 
     def __init__(self, limit: int, window_us: int, event: T.StructType, expiry_us: int):
@@ -45,42 +48,56 @@ class _FixedWindow(StatefulProcessor):
         lists = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in self.event.fields])
         self.waiting = handle.getMapState("waiting", longs("bucket", "entry"), lists)
 
-    def _wake(self, at: int | None, entries: int) -> None:
-        """Have the key's one timer at ``at``; ``entries`` is how many entries the key has had."""
-        known = self.timer.get()
-        if known and known[0] != -1 and known[0] != at:
-            self.handle.deleteTimer(known[0])
-        if at is not None and not (known and known[0] == at):
-            self.handle.registerTimer(at)
-        self.timer.update((-1 if at is None else at, entries))
+    def _bucket(self, at: int) -> int:
+        return at // 1000 // self.bucket_ms
+
+    def _entries(self, at: list[int]) -> Iterator[slice]:
+        """``at``, in order, cut between buckets."""
+        start = 0
+        for i in range(1, len(at)):
+            if i - start >= ENTRY_EVENTS and self._bucket(at[i - 1]) < self._bucket(at[i]):
+                yield slice(start, i)
+                start = i
+        yield slice(start, len(at))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        taken = pd.concat([batch[["at", "event_id"]] for batch in rows], ignore_index=True)
-        if len(taken):
+        at, ident = [], []
+        for batch in rows:
+            at.extend(batch["at"].tolist())
+            ident.extend(batch["event_id"].tolist())
+        if at:
             known = self.timer.get()
-            entry = known[1] if known else 0
-            buckets = taken["at"] // 1000 // self.bucket_ms
-            for bucket, part in taken.groupby(buckets):
-                self.waiting.updateValue((int(bucket), entry), (part["at"].tolist(), part["event_id"].tolist()))
-            due = (int(buckets.min()) + 1) * self.bucket_ms
+            wakes, entry = known if known else (-1, 0)
+            order = sorted(range(len(at)), key=at.__getitem__)
+            at, ident = [at[i] for i in order], [ident[i] for i in order]
+            for part in self._entries(at):
+                self.waiting.updateValue((self._bucket(at[part.start]), entry), (at[part], ident[part]))
+            due = (self._bucket(at[0]) + 1) * self.bucket_ms
             # A timer that waits for clean-up, or for a later bucket, gives way to the earlier one.
-            earlier = known and known[0] != -1 and known[0] <= due
-            self._wake(known[0] if earlier else due, entry + 1)
+            if wakes == -1 or wakes > due:
+                if wakes != -1:
+                    self.handle.deleteTimer(wakes)
+                self.handle.registerTimer(due)
+                wakes = due
+            self.timer.update((wakes, entry + 1))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         known = self.timer.get()
         entries = known[1] if known else 0
-        self.timer.update((-1, entries))
         names = [tuple(name) for name in self.waiting.keys()]
-        due = sorted(name for name in names if (name[0] + 1) * self.bucket_ms <= passed)
-        left = [name for name in names if (name[0] + 1) * self.bucket_ms > passed]
+        left = [bucket for bucket, _ in names if (bucket + 1) * self.bucket_ms > passed]
         events = []
-        for name in due:
+        for name in sorted(name for name in names if (name[0] + 1) * self.bucket_ms <= passed):
             at, ident = self.waiting.getValue(name)
-            events.extend(zip(at, ident))
+            due = sum((self._bucket(a) + 1) * self.bucket_ms <= passed for a in at)
+            events.extend(zip(at[:due], ident[:due]))
             self.waiting.removeKey(name)
+            if due < len(at):
+                # Later entries of the trigger begin after all of this one, so the name is free.
+                left.append(self._bucket(at[due]))
+                self.waiting.updateValue((left[-1], name[1]), (at[due:], ident[due:]))
         window = self.window.get()
         count, reset = window if window else (0, None)
         allowed, remaining, resets = [], [], []
@@ -93,17 +110,15 @@ class _FixedWindow(StatefulProcessor):
             allowed.append(passes)
             remaining.append(self.limit - count if passes else 0)
             resets.append(reset)
-        if reset is not None:
-            gone = (reset + self.expiry_us) // 1000 + 1
-            if left:
-                self._wake((min(left)[0] + 1) * self.bucket_ms, entries)
-            elif gone > passed:
-                self._wake(gone, entries)
-            if left or gone > passed:
+        wakes = (min(left) + 1) * self.bucket_ms if left else -1 if reset is None else (reset + self.expiry_us) // 1000 + 1
+        if wakes > passed:
+            self.handle.registerTimer(wakes)
+            self.timer.update((wakes, entries))
+            if events:
                 self.window.update((int(count), int(reset)))
-            else:
-                self.window.clear()
-                self.timer.clear()
+        else:
+            self.window.clear()
+            self.timer.clear()
         for start in range(0, len(events), 10_000):
             part = slice(start, start + 10_000)
             yield pd.DataFrame(

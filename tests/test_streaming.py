@@ -1,12 +1,15 @@
+import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphlake.operators.ratelimit import rate_limit
 from glyphlake.operators.runs import span_metrics
 from glyphlake.streaming.indexing import compact, merged_index, micro_batch_index, read_compacted, read_status, read_updates
-from glyphlake.streaming.limits import rate_limit_stream
+from glyphlake.streaming.limits import ENTRY_EVENTS, _FixedWindow, rate_limit_stream
 from glyphlake.streaming.windows import debounce_stream, span_metrics_stream
 from glyphlake.workloads.base import requests_by_user, table
 
@@ -149,3 +152,119 @@ def test_many_events_of_one_key_in_one_trigger(spark, tmp_path):
     want = {tuple(r) for r in rate_limit(frame, 30, minute).select(*columns).collect()}
     assert {tuple(r) for r in found.where("key = 'hot'").select(*columns).collect()} == want
     assert spent < 60
+
+
+class _States:
+    """State variables of one key in memory; counts the calls to them."""
+
+    def __init__(self, window_us: int):
+        self.calls, self.timers, self.passed = 0, set(), 0
+        event = T.StructType([T.StructField("at", T.LongType()), T.StructField("event_id", T.LongType())])
+        self.job = _FixedWindow(2, window_us, event, 0)
+        self.job.init(self)
+
+    def getValueState(self, name, schema):
+        return _Value(self)
+
+    def getMapState(self, name, key, value):
+        return _Value(self)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    def take(self, rows):
+        list(self.job.handleInputRows(("a",), iter([pd.DataFrame(rows, columns=["at", "event_id"])]), self))
+
+    def getCurrentWatermarkInMs(self):
+        return self.passed
+
+    def getExpiryTimeInMs(self):
+        return self.expired
+
+    def pass_to(self, ms):
+        """The rows handed out when the watermark comes to ``ms``."""
+        self.passed, out = ms, []
+        while due := [t for t in self.timers if t <= ms]:
+            self.expired = min(due)
+            self.timers.remove(self.expired)
+            for frame in self.job.handleExpiredTimer(("a",), self, self):
+                out += frame.drop(columns="key").itertuples(index=False, name=None)
+        return out
+
+
+class _Value:
+    def __init__(self, states):
+        self.states, self.held, self.value = states, {}, None
+
+    def _called(self, result=None):
+        self.states.calls += 1
+        return result
+
+    def get(self):
+        return self._called(self.value)
+
+    def update(self, value):
+        self.value = self._called(value)
+
+    def clear(self):
+        self.value = self._called()
+
+    def keys(self):
+        return self._called(list(self.held))
+
+    def getValue(self, name):
+        return self._called(self.held[name])
+
+    def updateValue(self, name, value):
+        assert name not in self.held
+        self.held[self._called(name)] = value
+
+    def removeKey(self, name):
+        del self.held[self._called(name)]
+
+
+def plain_limit(rows, limit, window_us):
+    out, count, reset = [], 0, -1
+    for at, ident in sorted(rows):
+        if reset < at:
+            count, reset = 0, at + window_us
+        count += count < limit or 0
+        out.append((at, ident, reset))
+    return out
+
+
+def test_a_key_with_few_events_takes_few_calls_to_the_state_store():
+    """Sixty events of sixty buckets, taken in one trigger: one entry."""
+    hour = 3_600_000_000
+    states = _States(24 * hour)
+    rows = [(n * 12 * hour, n) for n in range(60)]
+    states.take(rows[::-1])
+    assert [r[:2] for r in states.pass_to(10**12)] == rows and states.calls < 20
+
+
+def test_entries_of_many_buckets_are_judged_bucket_by_bucket():
+    """Triggers of many entries in any order, a watermark that stops within them: every event once, in order, none early."""
+    second = 1_000_000
+    rng = random.Random(3)
+    states, sent, found = _States(8 * second), [], []
+    low = 0
+    for trigger in range(6):
+        rows = [(rng.randrange(low * second, (low + 400) * second), trigger * 10_000 + n) for n in range(2 * ENTRY_EVENTS + 300)]
+        rows += [((low + 70) * second + n % 7, trigger * 10_000 + 9_000 - n) for n in range(ENTRY_EVENTS // 2)]
+        states.take(rows)
+        sent += rows
+        for step in range(5):
+            low += rng.randrange(1, 60)
+            part = states.pass_to(low * 1000)
+            assert all(at < low * second for at, *_ in part)
+            found += part
+            low_us = low * second
+            assert len(found) == sum(at < low_us for at, _ in sent)
+        low += 1
+    found += states.pass_to(10**9)
+    assert [(r[0], r[1], r[4]) for r in found] == plain_limit(sent, 2, 8 * second)
