@@ -24,6 +24,7 @@ import uuid
 import zlib
 from array import array
 from collections import Counter
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ SET_BITS = 27
 LEVELS = 64
 #: Distinct chunks that a task counts before it hands them on.
 COUNTED = 1 << 18
+#: Characters up to which a chunk is segmented by a list of its pairs; longer ones take a heap.
+SHORT = 24
 
 # The kinds of piece in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -112,6 +115,7 @@ class PieceModel:
         self.begin = self.pieces.index(trainer.get(46, b"<s>").decode())
         self.end = self.pieces.index(trainer.get(47, b"</s>").decode())
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
+        self.costs = {p: -self.scores[i] for p, i in self.ids.items()}
         # Packed ids: as wide as needed; the number after the last piece is a hole.
         self.hole = len(self.pieces)
         self.code = "H" if self.hole < 1 << 16 else "I"
@@ -125,9 +129,29 @@ class PieceModel:
     def segment(self, chunk: str) -> list[int]:
         """Ids of one chunk, blanks in it written as they are: the pair of the best score is merged first, the left one of equals."""
         text = chunk.replace(" ", MARK)
-        whole = self.ids.get(text)
-        if whole is not None and len(text) == 1:
-            return [whole]
+        return self._ids_of(self._merged(text) if len(text) <= SHORT else self._merged_by_heap(text))
+
+    def _ids_of(self, parts: list[str]) -> list[int]:
+        found: list[int] = []
+        for part in parts:
+            piece = self.ids.get(part)
+            found.extend([piece] if piece is not None else [self.byte_ids[b] for b in part.encode()])
+        return found
+
+    def _merged(self, text: str) -> list[str]:
+        parts, cost, none = list(text), self.costs.get, float("inf")
+        offers = [cost(a + b, none) for a, b in zip(parts, parts[1:])]
+        while offers and (best := min(offers)) < none:
+            i = offers.index(best)
+            parts[i] += parts.pop(i + 1)
+            del offers[i]
+            if i:
+                offers[i - 1] = cost(parts[i - 1] + parts[i], none)
+            if i < len(offers):
+                offers[i] = cost(parts[i] + parts[i + 1], none)
+        return parts
+
+    def _merged_by_heap(self, text: str) -> list[str]:
         n = len(text)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         end = list(range(1, n + 1))  # where the symbol that starts here ends; 0 once it is part of another
@@ -154,11 +178,10 @@ class PieceModel:
                 offer(left, following)
             if before[left] >= 0:
                 offer(before[left], left)
-        found: list[int] = []
+        found: list[str] = []
         i = 0
         while i < n:
-            piece = ids.get(text[i : end[i]])
-            found.extend([piece] if piece is not None else [self.byte_ids[b] for b in text[i : end[i]].encode()])
+            found.append(text[i : end[i]])
             i = after[i]
         return found
 
@@ -168,12 +191,12 @@ class PieceModel:
     def unpack(self, data: bytes) -> np.ndarray:
         return np.frombuffer(data, self.code)
 
-    def begin_to_end(self, ids: np.ndarray, fillings: list[list[int]] | None) -> np.ndarray:
-        """The ids of a text between begin and end, its holes filled in order."""
+    def begin_to_end(self, ids: np.ndarray, fillings: list[bytes] | None) -> np.ndarray:
+        """The ids of a text between begin and end, its holes filled in order with packed ids."""
         parts, low = [np.array([self.begin], np.int32)], 0
         if fillings:
             for at, filling in zip(np.flatnonzero(ids == self.hole).tolist(), fillings):
-                parts += [ids[low:at], np.array(filling, np.int32)]
+                parts += [ids[low:at], self.unpack(filling)]
                 low = at + 1
         return np.concatenate([*parts, ids[low:], np.array([self.end], np.int32)]).astype(np.int32)
 
@@ -201,7 +224,7 @@ class _Known(dict):
     is met; one that may be repeated is a hole."""
 
     def __init__(self, model: PieceModel, chunks: pa.Table, repeated: np.ndarray, bits: int):
-        super().__init__(zip(chunks.column("chunk").to_pylist(), map(model.pack, chunks.column("ids").to_pylist())))
+        super().__init__(zip(chunks.column("chunk").to_pylist(), chunks.column("ids").to_pylist()))
         self.model, self.repeated, self.bits = model, repeated.tobytes(), bits
         self.hole = model.pack([model.hole])
 
@@ -245,7 +268,7 @@ class Pieces:
         return texts.select("text").mapInArrow(count, "chunk string, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
 
     def _segmented(self, chunks: DataFrame, asked=None) -> DataFrame:
-        """``(chunk, ids)``, each chunk segmented once; chunks that ``asked`` does not want are left out."""
+        """``(chunk, packed ids)``, each chunk segmented once; chunks that ``asked`` does not want are left out."""
         shared = self.shared
 
         def segment(batches):
@@ -253,10 +276,10 @@ class Pieces:
             wanted = asked() if asked else None
             for batch in batches:
                 names = [c for c, n in zip(*(batch.column(i).to_pylist() for i in (0, 1))) if wanted is None or n > 1 or wanted(c)]
-                ids = pa.array([model.segment(c) for c in names], pa.list_(pa.int32()))
+                ids = pa.array([model.pack(model.segment(c)) for c in names], pa.binary())
                 yield pa.record_batch({"chunk": pa.array(names, pa.string()), "ids": ids})
 
-        return chunks.select("chunk", "n").mapInArrow(segment, "chunk string, ids array<int>")
+        return chunks.select("chunk", "n").mapInArrow(segment, "chunk string, ids binary")
 
     def encoded(self, docs: DataFrame, text: str = "text", out: str = "ids") -> DataFrame:
         """``docs`` with the ids of the whole text, begin and end ids included, in the column ``out``."""
@@ -293,7 +316,7 @@ class Pieces:
         @F.arrow_udf("array<string>")
         def left_open(texts: pa.Array) -> pa.Array:
             table = held()
-            rows = ([c for c in chunks_of(t) if c not in table and table.asked(c)] for t in texts.to_pylist())
+            rows = (list(filter(table.asked, filterfalse(table.__contains__, chunks_of(t)))) for t in texts.to_pylist())
             return pa.array(rows, pa.list_(pa.string()))
 
         @F.arrow_udf("array<int>")
@@ -307,7 +330,9 @@ class Pieces:
         named = [F.col(f"`{c}`") for c in docs.columns if c != out]
         said = F.col(f"`{text}`")
         key = F.substring(F.unhex(F.sha2(F.coalesce(said, F.lit("")).cast("binary"), 256)), 1, 16)
-        asked = docs.select(key.alias("key"), F.posexplode(left_open.asNondeterministic()(said)).alias("at", "chunk"))
+        # The key is made before a text is taken apart: beside the generator it would be made for every chunk again.
+        opened = docs.select(key.alias("key"), left_open.asNondeterministic()(said).alias("open"))
+        asked = opened.select("key", F.posexplode("open").alias("at", "chunk"))
         # A chunk in the broadcast table is never asked for, so the keys of this join are rare ones.
         answers = self._segmented(rare, lambda: held().asked)
         answered = asked.join(answers, "chunk").groupBy("key")
@@ -323,7 +348,8 @@ class Pieces:
 
         @F.arrow_udf("string")
         def decoded(rows: pa.Array) -> pa.Array:
-            return pa.array([shared.value.decode(r or []) for r in rows.to_pylist()], pa.string())
+            model, flat, ends = shared.value, rows.values.to_numpy(), rows.offsets.to_numpy()
+            return pa.array([model.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string())
 
         return decoded.asNondeterministic()(ids)
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from glyphlake.llm.collocations import collocations, phrase_counts
-from glyphlake.llm.common import bound_arrow, table
+from glyphlake.llm.common import bound_arrow, stored, table
 from glyphlake.llm.importance import BUCKETS, GainPlanes, bit_planes, bucket_counts, importance_sample
 from glyphlake.llm.pieces import PieceModel, Pieces, chunks_of
 from glyphlake.llm.queries import QUERIES
@@ -161,6 +162,35 @@ def test_pieces_query(spark, sf, theirs):
         assert r.decoded_sha256 == hashlib.sha256(theirs.decode(ids).encode()).hexdigest()
 
 
+def test_short_and_long_chunks_merge_alike(model):
+    rng = random.Random(7)
+    for _ in range(3000):
+        text = "▁" * rng.randint(0, 2) + "".join(rng.choices("aeinorst1é中", k=rng.randint(1, 30)))
+        assert model._merged(text) == model._merged_by_heap(text)
+
+
+def test_texts_are_not_carried_along_with_their_chunks(spark, theirs):
+    """Keys are made once a text, not once a chunk: beside the generator the rows hold keys."""
+    docs = spark.createDataFrame([(1, "zq zq xw xw"), (2, "zq xw")], "doc_id long, text string")
+    out = Pieces(spark, MODEL, 0, 0).encoded(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Generate posexplode\(open#\d+\), \[(\w+)#\d+\]", plan) == ["key"]
+    assert {r.doc_id: r.ids for r in out.collect()} == {1: plain_pieces(theirs, "zq zq xw xw"), 2: plain_pieces(theirs, "zq xw")}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+        return {f for f in files if "shuffle_" in f}
+
+    before = shuffles()
+    kept = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    deadline = time.time() + 20
+    while shuffles() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffles() - before and kept.count() == 7
+
+
 def test_pieces_of_an_empty_table(spark):
     assert Pieces(spark, MODEL).encoded(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
