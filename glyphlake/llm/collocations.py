@@ -2,13 +2,13 @@
 
 The documents are dealt into ``SHARDS`` shards. A phrase with ``support`` occurrences in a language has at least its share of them in
 one of the shards, so every shard is mined completely at the support lowered in proportion, level by level: first words and pairs, then
-phrases whose first and last words passed the level before. Tasks count their blocks of a shard, Spark adds the counts up. The
-locally frequent phrases of all shards are united in a bit set of bounded size that is broadcast. A last pass counts every phrase in
-the set everywhere, and the sums are the exact counts: the bit set loses no candidate, and phrases that share a bit with one have
-exact counts too, below the support.
+phrases whose first and last words passed the level before. Tasks count their blocks of a shard, Spark adds the counts up by phrase,
+for every shard and for all. The locally frequent phrases of all shards are united; as a bit set of bounded size, which is broadcast,
+they prune the next level. Whether a level counts a phrase depends on its words alone, never on the block, so the sums of a united
+phrase over all shards are its exact counts, and no further pass has to find every phrase in every block again.
 
-Words are numbered per block and phrases by the pair of their first words' number and their last word, so that counts never
-depend on hashes. Cuts, contained phrases and ranks are joins of the table of frequent phrases.
+Words are numbered per block and phrases by the numbers of their words; between tasks the words themselves are the key, so that
+counts never depend on hashes. Cuts, contained phrases and ranks are joins of the table of frequent phrases.
 
 Defined cases: a null text is empty and a null language is ``und``; texts without a word, or with single words between marks, give
 no phrase but count; a very long text is mined whole and makes its block larger; repeated rows count each time; equal scores rank
@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -44,6 +46,8 @@ BLOCK_WORDS = 1 << 22
 SET_BITS = 27
 SEED = 13
 _AT_ONCE = 1 << 18
+#: Rows of phrases that a task hands out at once.
+_ROWS_AT_ONCE = 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 # Marks that end a piece become line feeds, tabs blanks; a lone line feed then stands between pieces.
@@ -77,18 +81,20 @@ class Block:
     def close(self) -> Block:
         """No more texts follow."""
         self.ids, self.parts = np.concatenate(self.parts), []
-        self.words, self.numbers = list(self.numbers), _Numbered()
-        seed = xxhash.xxh64_intdigest(self.lang.encode(), SEED)
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
+        self.words, self.numbers = pa.array(list(self.numbers), pa.binary()), _Numbered()
         return self
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        seed = _seed(self.lang)
+        return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.words.to_pylist()), np.uint64, len(self.words))
+
     def names(self, at: np.ndarray, length: int) -> np.ndarray:
         """A hash of the phrase of ``length`` words at every position of ``at``, its language included."""
         value = self.hashes[self.ids[at]]
         for k in range(1, length):
             value = value * _STEP + self.hashes[self.ids[at + k]]
-        value ^= value >> np.uint64(29)
-        return value * _STEP
+        return _mixed(value)
 
     def among(self, candidates: np.ndarray, bits: int, at: np.ndarray, length: int) -> np.ndarray:
         """Those positions of ``at`` whose phrase of ``length`` words is in the candidate set."""
@@ -98,34 +104,55 @@ class Block:
             known[i : i + _AT_ONCE] = candidates[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)
         return at[known]
 
-    def mined(self, candidates: np.ndarray, bits: int, length: int, known: int) -> tuple[np.ndarray, np.ndarray]:
-        """Names and counts of the phrases of ``length`` words whose parts of up to ``known`` words are all candidates."""
+    def mined(self, candidates: np.ndarray, bits: int, length: int, known: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """Parts of the phrases of ``length`` words whose parts of up to ``known`` words are all candidates, with their counts."""
         at = np.flatnonzero(self.ids).astype(np.int32)
         for n in range(1, length):
             at = _neighbours(self.among(candidates, bits, at, n) if n <= known else at)
-        return np.unique(self.names(at, length), return_counts=True)
-
-    def counted(self, candidates: np.ndarray, bits: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """``(length, a position, count)`` of the candidates of every length."""
-        at, code = np.flatnonzero(self.ids).astype(np.int32), self.ids
-        for length in range(1, longest + 1):
-            at = self.among(candidates, bits, _neighbours(at) if length > 1 else at, length)
-            if not len(at):
-                return
-            keys = code[at].astype(np.int64)
-            if length > 1:
-                keys <<= 32
-                keys |= self.ids[at + (length - 1)]
-            held, counts = np.unique(keys, return_counts=True)
-            place = np.searchsorted(held, keys).astype(np.int32)
-            first = np.empty(len(held), np.int32)
-            first[place] = at
-            yield length, first, counts
-            code = np.zeros(len(self.ids), np.int32)
-            code[at] = place
-
-    def phrase(self, position: int, length: int) -> bytes:
-        return b" ".join([self.words[w] for w in self.ids[position : position + length].tolist()])
+        # Words are joined to numbered pairs, and a number with the word or pair that follows it makes a key of 64 bits.
+        keys, columns = self.ids[at].astype(np.int64), []
+        for k in range(1, length):
+            if k > 1:
+                held, keys = np.unique(keys, return_inverse=True)
+                columns.append(held)
+            keys = keys << 32 | self.ids[at + k]
+        held, counts = np.unique(keys, return_counts=True)
+        for i in range(0, len(held), _ROWS_AT_ONCE):
+            yield self._phrases(held[i : i + _ROWS_AT_ONCE], columns, length), counts[i : i + _ROWS_AT_ONCE]
+
+    def _phrases(self, keys: np.ndarray, columns: list[np.ndarray], length: int) -> pa.Array:
+        words: list[pa.Array] = []
+        for column in [*reversed(columns), None][: length - 1]:
+            words.append(self.words.take(pa.array(keys & 0xFFFFFFFF)))
+            keys = keys >> 32
+            if column is not None:
+                keys = column[keys]
+        return pc.binary_join_element_wise(self.words.take(pa.array(keys)), *reversed(words), b" ")
+
+
+def _seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode(), SEED)
+
+
+def _mixed(value: np.ndarray) -> np.ndarray:
+    value = value ^ value >> np.uint64(29)
+    return value * _STEP
+
+
+def _name(lang: Column | str, phrase: Column | str) -> Column:
+    """The name of a phrase as ``Block.names`` gives it."""
+
+    @F.arrow_udf("bigint")
+    def name(langs: pa.Array, phrases: pa.Array) -> pa.Array:
+        step, values = int(_STEP), []
+        for lang, phrase in zip(langs.to_pylist(), phrases.to_pylist()):
+            value, seed = 0, _seed(lang)
+            for word in phrase.split(b" "):
+                value = (value * step + xxhash.xxh64_intdigest(word, seed)) & 0xFFFFFFFFFFFFFFFF
+            values.append(value)
+        return pa.array(_mixed(np.array(values, np.uint64)).view(np.int64))
+
+    return name(lang, phrase)
 
 
 def _neighbours(at: np.ndarray) -> np.ndarray:
@@ -158,71 +185,63 @@ def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
     )
 
 
-def candidate_set(
-    texts: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS, block_words: int = BLOCK_WORDS, bits: int = SET_BITS
-) -> np.ndarray:
-    """The union of the phrases that are frequent in a shard as a bit set of ``2 ** bits`` bits."""
-    found = np.zeros(1 << max(bits - 6, 0), np.uint64)
+def phrase_counts(
+    docs: DataFrame,
+    lang: str = "lang",
+    text: str = "text",
+    support: int = SUPPORT,
+    longest: int = LONGEST,
+    shards: int = SHARDS,
+    block_words: int = BLOCK_WORDS,
+    bits: int = SET_BITS,
+) -> DataFrame:
+    """``(lang, words, phrase, f)``: the phrases of a language with ``support`` occurrences, exactly counted, as a stored table.
+
+    The row with 0 words and an empty phrase tells the number of all words of the language.
+    """
+    texts = _texts(docs, lang, text)
+    candidates = np.zeros(1 << max(bits - 6, 0), np.uint64)
     least = -(-support // shards)
-    # Words prune few pairs, so both are mined in one pass; then each level is pruned by the one before.
+    found: list[DataFrame] = []
+    # Words prune few pairs, so both are mined in one pass; then each level is pruned by the ones before.
     for lengths in [range(1, min(2, longest) + 1), *([n] for n in range(3, longest + 1))]:
-        shared = texts.sparkSession.sparkContext.broadcast(found)
+        shared = texts.sparkSession.sparkContext.broadcast(candidates)
 
         def mine(batches: Iterator[pa.RecordBatch], lengths=lengths, shared=shared) -> Iterator[pa.RecordBatch]:
             # Any dealing will do: a frequent phrase and all its parts are frequent in some shard, whichever these are.
             shard = TaskContext.get().partitionId() % shards
+
+            def told(block: Block, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+                langs, shard_of = pa.array([block.lang] * len(phrases), pa.string()), np.full(len(phrases), shard, np.int32)
+                return pa.record_batch({"lang": langs, "phrase": phrases, "shard": shard_of, "n": counts.astype(np.int64)})
+
             for block in _blocks(batches, block_words):
+                if lengths[0] == 1:
+                    yield told(block, pa.array([b""], pa.binary()), np.array([np.count_nonzero(block.ids)]))
                 for length in lengths:
-                    names, counts = block.mined(shared.value, bits, length, lengths[0] - 1)
-                    yield pa.record_batch(
-                        {"shard": np.full(len(names), shard, np.int32), "name": names.view(np.int64), "n": counts.astype(np.int64)}
-                    )
-
-        mined = texts.mapInArrow(mine, "shard int, name bigint, n bigint").groupBy("shard", "name").agg(F.sum("n").alias("n"))
-        slot = F.shiftrightunsigned("name", 64 - bits)
-        slots = mined.where(F.col("n") >= least).select(slot.alias("slot"))
+                    for phrases, counts in block.mined(shared.value, bits, length, lengths[0] - 1):
+                        yield told(block, phrases, counts)
+
+        # One sum for every shard, all in one shuffle: the sum of them is the count, the greatest tells candidates.
+        sums = [F.sum(F.when(F.col("shard") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(shards)]
+        mined = texts.mapInArrow(mine, "lang string, phrase binary, shard int, n bigint").groupBy("lang", "phrase").agg(*sums)
+        often = F.expr(" OR ".join(f"n{i} >= {least}" for i in range(shards)))
+        f = F.expr(" + ".join(f"n{i}" for i in range(shards)))
+        level = stored(mined.where(often | (F.octet_length("phrase") == 0)).select("lang", "phrase", f.alias("f")))
+        found.append(level)
+        if lengths[-1] == longest:
+            break
+        slot = F.shiftrightunsigned(_name("lang", "phrase"), 64 - bits)
+        slots = level.where(F.octet_length("phrase") > 0).select(slot.alias("slot"))
         bit = F.expr("shiftleft(1L, cast(slot & 63 AS int))")
-        level = united_bits(slots.select(F.shiftright("slot", 6).alias("word"), bit.alias("held")), bits)
-        if not level.any():
+        passed = united_bits(slots.select(F.shiftright("slot", 6).alias("word"), bit.alias("held")), bits)
+        if not passed.any():
             break
-        found = found | level
-    return found
-
-
-def phrase_counts(
-    docs: DataFrame, lang: str = "lang", text: str = "text", support: int = SUPPORT, longest: int = LONGEST, bits: int = SET_BITS, **dealing
-) -> DataFrame:
-    """``(lang, words, phrase, f)``: the phrases of a language with ``support`` occurrences, exactly counted.
-
-    The row with 0 words and an empty phrase tells the number of all words of the language. ``dealing`` as for
-    ``candidate_set``.
-    """
-    texts = _texts(docs, lang, text)
-    block_words = dealing.get("block_words", BLOCK_WORDS)
-    shared = docs.sparkSession.sparkContext.broadcast(candidate_set(texts, support, longest, bits=bits, **dealing))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(lang: str, length: int, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch(
-                {
-                    "lang": pa.array([lang] * len(phrases), pa.string()),
-                    "words": pa.array([length] * len(phrases), pa.int32()),
-                    "phrase": pa.array(phrases, pa.binary()),
-                    "f": pa.array(counts, pa.int64()),
-                }
-            )
-
-        for block in _blocks(batches, block_words):
-            yield told(block.lang, 0, [b""], np.array([np.count_nonzero(block.ids)]))
-            for length, first, counts in block.counted(shared.value, bits, longest):
-                for i in range(0, len(first), 1 << 16):
-                    part = slice(i, i + (1 << 16))
-                    yield told(block.lang, length, [block.phrase(p, length) for p in first[part].tolist()], counts[part])
-
-    found = texts.mapInArrow(count, "lang string, words int, phrase binary, f bigint")
-    summed = found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
-    kept = summed.where((F.col("f") >= support) | (F.col("words") == 0))
-    return kept.withColumn("phrase", F.col("phrase").cast("string"))
+        candidates = candidates | passed
+    phrase = F.col("phrase").cast("string")
+    words = F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ")))
+    united = reduce(DataFrame.union, found)
+    return united.where((F.col("f") >= support) | (phrase == "")).select("lang", words.alias("words"), phrase.alias("phrase"), "f")
 
 
 def _first(words: Column, k: Column) -> Column:
@@ -269,7 +288,7 @@ def not_contained(phrases: DataFrame, contained: int = CONTAINED) -> DataFrame:
 
 def collocations(docs: DataFrame, rows: int = ROWS, contained: int = CONTAINED, **mining) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: the first ``rows`` phrases of every language; ``mining`` as for ``phrase_counts``."""
-    counts = stored(phrase_counts(docs, **mining))
+    counts = phrase_counts(docs, **mining)
     kept = not_contained(stored(scored(counts)), contained)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)

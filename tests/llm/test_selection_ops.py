@@ -241,6 +241,15 @@ def test_collocations_equal_plain_ones(spark, shards, block_words, bits):
     assert len(found) == len({(r.lang, r.rank) for r in found})
 
 
+def test_phrases_are_counted_where_they_are_mined(spark):
+    """No further pass hands out every frequent phrase of every block: its rows grew with the phrases times the blocks."""
+    docs = spark.createDataFrame([("en", "new york city")] * 60, "lang string, text string").repartition(12)
+    counts = phrase_counts(docs, block_words=6)
+    assert "MapInArrow" not in counts._jdf.queryExecution().executedPlan().toString()
+    phrases = {"new": 60, "york": 60, "city": 60, "new york": 60, "york city": 60, "new york city": 60, "": 180}
+    assert {r.phrase: r.f for r in counts.collect()} == phrases
+
+
 def test_phrases_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "lang string, text string")
     assert phrase_counts(empty).count() == 0
