@@ -3,9 +3,10 @@
 A chunk is a run of blanks with the characters up to the next blank. Where no piece of the model has its marker after another
 character, no piece reaches over the start of a chunk, so chunks are segmented on their own. The distinct chunks of all documents
 are counted on Spark and each is segmented once, merging the best-scored pair first. Ids are joined back by position: the most
-frequent chunks, a table of bounded rows and bytes, are broadcast. Of the others, those that occur once in all documents are
-segmented at their place; a bit set of bounded size, broadcast too, tells them from repeated ones. Every other occurrence is a row of
-text digest, position and chunk that meets the table in an equi-join, and the ids of a text's rows fill the positions left open.
+frequent chunks, a table of bounded rows and bytes, are broadcast by their hashes; a hash that any two chunks share is taken out of
+the table, so it tells them apart exactly. Of the others, those that occur once in all documents are segmented at their place; a bit
+set of bounded size, broadcast too, tells them from repeated ones. Every other occurrence is a row of text digest, position and chunk
+that meets the table in an equi-join, and the ids of a text's rows fill the positions left open.
 So no word that many documents share is ever a key of that join. A set too full to tell sends more rows to it and loses none.
 
 Defined cases: a null text counts as empty and has the begin and end ids alone; a chunk of any length is segmented in n log n;
@@ -20,14 +21,16 @@ import codecs
 import heapq
 import re
 import struct
-import uuid
 import zlib
 from array import array
 from collections import Counter
-from itertools import filterfalse
+from collections.abc import Iterator
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +39,7 @@ from glyphlake.llm.common import stored, united_bits
 
 MARK = "▁"
 #: Bounds of the broadcast table: rows, and bytes of a chunk in it.
-FREQUENT = 1 << 19
+FREQUENT = 1 << 20
 FREQUENT_BYTES = 64
 #: Bits of the set of repeated chunks beyond that table, as a power of two: 16 MB.
 SET_BITS = 27
@@ -46,6 +49,9 @@ LEVELS = 64
 COUNTED = 1 << 18
 #: Characters up to which a chunk is segmented by a list of its pairs; longer ones take a heap.
 SHORT = 24
+#: Short chunks that are segmented together, and chunks of texts that are looked up together.
+TOGETHER = 1 << 12
+LOOKED_UP = 1 << 17
 
 # The kinds of piece in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -138,6 +144,86 @@ class PieceModel:
             found.extend([piece] if piece is not None else [self.byte_ids[b] for b in part.encode()])
         return found
 
+    def segment_all(self, chunks: list[str]) -> list[bytes]:
+        """The packed ids of every chunk, as ``segment`` gives them; short chunks are merged many at a time."""
+        packed: list[bytes | None] = [None] * len(chunks)
+        texts = [c.replace(" ", MARK) for c in chunks]
+        short = [i for i, t in enumerate(texts) if len(t) <= SHORT]
+        for low in range(0, len(short), TOGETHER):
+            places = short[low : low + TOGETHER]
+            for place, ids in zip(places, self._merged_together([texts[i] for i in places])):
+                packed[place] = ids
+        return [self.pack(self.segment(c)) if ids is None else ids for c, ids in zip(chunks, packed)]
+
+    @cached_property
+    def _characters(self) -> np.ndarray:
+        """The piece of every character; those without one have the number after the last piece, which is in no pair."""
+        pieces = np.full(0x110000, self.hole, np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                pieces[ord(piece)] = i
+        return pieces
+
+    @cached_property
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted pairs of pieces that make a piece, the rank of its score from the best on, and the piece; the last one is none."""
+        found = {}
+        for piece, made in self.ids.items():
+            for k in range(1, len(piece)):
+                left, right = self.ids.get(piece[:k]), self.ids.get(piece[k:])
+                if left is not None and right is not None:
+                    found[left * (self.hole + 1) + right] = made
+        keys = np.array([*sorted(found), np.iinfo(np.int64).max])
+        made = np.array([*(found[k] for k in keys[:-1].tolist()), self.hole])
+        ranks = np.unique([-s for s in self.scores] + [np.inf], return_inverse=True)[1]
+        return keys, ranks[made], made
+
+    def _merged_together(self, texts: list[str]) -> list[bytes | None]:
+        """The packed ids of every text, all merging their best pair at once; None for one with a character that is no piece."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes + 1)  # where a text ends a symbol stands that is in no pair; one stands before the first text too
+        starts = ends - sizes
+        symbols = np.full(ends[-1] + 1, self.hole)
+        held = np.ones(len(symbols), bool)
+        held[0] = held[ends] = False
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        symbols[held] = self._characters[codes]
+        whole = np.logical_and.reduceat(~held | (symbols != self.hole), starts)
+        pairs, ranks, pieces = self._pairs
+        none = ranks[-1] << 32
+        after, before = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols) - 1)
+        offers, made = np.full(len(symbols), none), np.full(len(symbols), self.hole)
+
+        def offer(left: np.ndarray, right: np.ndarray) -> None:
+            keys = symbols[left] * (self.hole + 1) + symbols[right]
+            at = np.searchsorted(pairs, keys)
+            at[pairs[at] != keys] = len(pairs) - 1
+            # The rank comes first and then the place, so that the left one of equals is the least.
+            offers[left], made[left] = ranks[at] << 32 | left, pieces[at]
+
+        first = np.flatnonzero(held)
+        offer(first, first + 1)
+        while True:
+            best = np.minimum.reduceat(offers, starts)
+            best = best[best < none]
+            if not len(best):
+                break
+            left = best & 0xFFFFFFFF
+            right = after[left]
+            symbols[left], offers[right], held[right] = made[left], np.iinfo(np.int64).max, False
+            after[left] = following = after[right]
+            before[following] = left
+            offer(left, following)
+            offer(before[left], left)
+        ids = symbols[held].astype(self.code)
+        stops = np.cumsum(np.add.reduceat(held, starts, dtype=np.int64)) * ids.itemsize
+        data, low = ids.tobytes(), 0
+        packed: list[bytes | None] = []
+        for good, stop in zip(whole.tolist(), stops.tolist()):
+            packed.append(data[low:stop] if good else None)
+            low = stop
+        return packed
+
     def _merged(self, text: str) -> list[str]:
         parts, cost, none = list(text), self.costs.get, float("inf")
         offers = [cost(a + b, none) for a, b in zip(parts, parts[1:])]
@@ -214,38 +300,68 @@ def chunks_of(text: str | None) -> list[str]:
     return _CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
 
 
-def _slot(chunk: str, bits: int) -> int:
-    """The bit of a chunk in the set of repeated ones: of the hash that Spark's ``xxhash64`` gives."""
-    return xxhash.xxh64_intdigest(chunk.encode(), 42) >> (64 - bits)
-
-
-class _Known(dict):
-    """Packed ids of the frequent chunks in a Python worker. Of the others, one that occurs nowhere else is segmented where it
-    is met; one that may be repeated is a hole."""
-
-    def __init__(self, model: PieceModel, chunks: pa.Table, repeated: np.ndarray, bits: int):
-        super().__init__(zip(chunks.column("chunk").to_pylist(), chunks.column("ids").to_pylist()))
-        self.model, self.repeated, self.bits = model, repeated.tobytes(), bits
-        self.hole = model.pack([model.hole])
-
-    def asked(self, chunk: str) -> bool:
-        slot = _slot(chunk, self.bits)
-        return bool(self.repeated[slot >> 3] >> (slot & 7) & 1)
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.hole if self.asked(chunk) else self.model.pack(self.model.segment(chunk))
-
-
-_known: dict[str, _Known] = {}
+def _grouped(texts: list[str | None]) -> Iterator[list[list[str]]]:
+    """The chunks of every text, as many texts together as have about ``LOOKED_UP`` chunks."""
+    rows, held = [], 0
+    for text in texts:
+        rows.append(chunks_of(text))
+        held += len(rows[-1])
+        if held >= LOOKED_UP:
+            yield rows
+            rows, held = [], 0
+    yield rows
+
+
+def _hashes(chunks: list[str], shift: int) -> np.ndarray:
+    """The hashes of chunks as Spark's ``xxhash64`` gives them, unsigned."""
+    return np.fromiter((xxhash.xxh64_intdigest(c.encode(), 42) for c in chunks), np.uint64, len(chunks)) >> np.uint64(shift)
+
+
+class _Known:
+    """Packed ids of the frequent chunks by their hashes, and the set of repeated ones beyond them."""
+
+    def __init__(self, hashes: np.ndarray, ids: pa.Array, repeated: np.ndarray, bits: int, hash_bits: int):
+        order = np.argsort(hashes)
+        # One more than there are: a hash after the last one finds it and is no match.
+        self.hashes = np.append(hashes[order], np.uint64(0))
+        ids = ids.take(pa.array(order))
+        self.ends = np.append(0, np.cumsum(pc.binary_length(ids).to_numpy(zero_copy_only=False))).astype(np.int32)
+        self.data = b"".join(ids.to_pylist())
+        self.repeated, self.bits, self.hash_bits = repeated, bits, hash_bits
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where hashes are in the table, -1 for those that are not."""
+        at = np.searchsorted(self.hashes[:-1], hashes)
+        return np.where((at < len(self.hashes) - 1) & (self.hashes[at] == hashes), at, -1)
+
+    def found(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The place of every chunk in the table, -1 for others, and which of the others may be repeated."""
+        at = self.places(_hashes(chunks, 64 - self.hash_bits))
+        others = np.flatnonzero(at < 0)
+        slots = _hashes([chunks[i] for i in others.tolist()], 64 - self.bits).astype(np.int64)
+        asked = np.zeros(len(chunks), bool)
+        asked[others] = self.repeated[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)
+        return at, asked
+
+    def packed(self, chunks: list[str], model: PieceModel) -> dict[str, bytes]:
+        """Packed ids of chunks: from the table, or segmented here if they occur nowhere else; a hole for one that may be repeated."""
+        at, asked = self.found(chunks)
+        known = dict.fromkeys(chunks, model.pack([model.hole]))
+        often = np.flatnonzero(at >= 0)
+        for i, low, stop in zip(often.tolist(), self.ends[at[often]].tolist(), self.ends[at[often] + 1].tolist()):
+            known[chunks[i]] = self.data[low:stop]
+        single = [chunks[i] for i in np.flatnonzero((at < 0) & ~asked).tolist()]
+        known.update(zip(single, model.segment_all(single)))
+        return known
 
 
 class Pieces:
     """``Pieces(spark, path)`` encodes tables and decodes columns by a model file, which is read on the driver and broadcast."""
 
-    def __init__(self, spark: SparkSession, path: str, frequent: int = FREQUENT, frequent_bytes: int = FREQUENT_BYTES, bits: int = SET_BITS):
+    def __init__(self, spark: SparkSession, path: str, frequent: int = FREQUENT, frequent_bytes: int = FREQUENT_BYTES, bits: int = SET_BITS, hash_bits: int = 64):
         with open(path, "rb") as file:
             self.model = PieceModel(file.read())
-        self.spark, self.frequent, self.frequent_bytes, self.bits = spark, frequent, frequent_bytes, bits
+        self.spark, self.frequent, self.frequent_bytes, self.bits, self.hash_bits = spark, frequent, frequent_bytes, bits, hash_bits
         self.shared = spark.sparkContext.broadcast(self.model)
 
     def chunk_counts(self, texts: DataFrame) -> DataFrame:
@@ -267,17 +383,18 @@ class Pieces:
 
         return texts.select("text").mapInArrow(count, "chunk string, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
 
-    def _segmented(self, chunks: DataFrame, asked=None) -> DataFrame:
-        """``(chunk, packed ids)``, each chunk segmented once; chunks that ``asked`` does not want are left out."""
+    def _segmented(self, chunks: DataFrame, known=None) -> DataFrame:
+        """``(chunk, packed ids)``, each chunk segmented once; single chunks that the table ``known`` does not ask for are left out."""
         shared = self.shared
 
         def segment(batches):
             model = shared.value
-            wanted = asked() if asked else None
             for batch in batches:
-                names = [c for c, n in zip(*(batch.column(i).to_pylist() for i in (0, 1))) if wanted is None or n > 1 or wanted(c)]
-                ids = pa.array([model.pack(model.segment(c)) for c in names], pa.binary())
-                yield pa.record_batch({"chunk": pa.array(names, pa.string()), "ids": ids})
+                names = batch.column(0).to_pylist()
+                if known is not None:
+                    wanted = (batch.column(1).to_numpy() > 1) | known.value.found(names)[1]
+                    names = [names[i] for i in np.flatnonzero(wanted).tolist()]
+                yield pa.record_batch({"chunk": pa.array(names, pa.string()), "ids": pa.array(model.segment_all(names), pa.binary())})
 
         return chunks.select("chunk", "n").mapInArrow(segment, "chunk string, ids binary")
 
@@ -295,29 +412,37 @@ class Pieces:
                 break
             least = row["level"]
         often = short & (level >= least) if least is not None else F.lit(False)
-        most = self._segmented(counts.where(often)).toArrow()
-        rare = counts.where(~often)
+        hashed = F.shiftrightunsigned(F.xxhash64("chunk"), 64 - self.hash_bits)
+        most = self._segmented(counts.where(often)).select(hashed.alias("hash"), "ids").toArrow()
+        hashes = most.column("hash").to_numpy().view(np.uint64)
+        clashes = self._clashes(hashes, counts.where(~often).select(hashed.alias("hash")))
+        shares = hashed.isin(clashes.view(np.int64).tolist()) if len(clashes) else F.lit(False)
+        rare = counts.where(~often | shares)
         slot = F.shiftrightunsigned(F.xxhash64("chunk"), 64 - bits)
         bit = F.expr("shiftleft(1L, cast(slot & 63 AS int))")
-        words = rare.where("n > 1").select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("word"), bit.alias("held"))
-        known, name = spark.sparkContext.broadcast((most, united_bits(words, bits))), uuid.uuid4().hex
-
-        def held() -> _Known:
-            if name not in _known:  # one table in a worker, whatever runs there
-                _known.clear()
-                _known[name] = _Known(shared.value, *known.value, bits)
-            return _known[name]
+        words = rare.where((F.col("n") > 1) | shares).select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("word"), bit.alias("held"))
+        kept = ~np.isin(hashes, clashes)
+        ids = most.column("ids").combine_chunks().filter(pa.array(kept))
+        known = spark.sparkContext.broadcast(_Known(hashes[kept], ids, united_bits(words, bits), bits, self.hash_bits))
 
         @F.arrow_udf("binary")
         def partly(texts: pa.Array) -> pa.Array:
-            find = held().__getitem__
-            return pa.array([zlib.compress(b"".join(map(find, chunks_of(t))), 1) for t in texts.to_pylist()], pa.binary())
+            packed_ids = []
+            for rows in _grouped(texts.to_pylist()):
+                find = known.value.packed(list(set(chain.from_iterable(rows))), shared.value).__getitem__
+                packed_ids.extend(zlib.compress(b"".join(map(find, row)), 1) for row in rows)
+            return pa.array(packed_ids, pa.binary())
 
         @F.arrow_udf("array<string>")
         def left_open(texts: pa.Array) -> pa.Array:
-            table = held()
-            rows = (list(filter(table.asked, filterfalse(table.__contains__, chunks_of(t)))) for t in texts.to_pylist())
-            return pa.array(rows, pa.list_(pa.string()))
+            found: list[list[str]] = []
+            # Of the copies in a batch one asks.
+            first = {t: i for i, t in reversed(list(enumerate(texts.to_pylist())))}
+            for rows in _grouped([t if first[t] == i else None for i, t in enumerate(texts.to_pylist())]):
+                names = list(set(chain.from_iterable(rows)))
+                wanted = {names[i] for i in np.flatnonzero(known.value.found(names)[1]).tolist()}
+                found.extend(list(filter(wanted.__contains__, row)) for row in rows)
+            return pa.array(found, pa.list_(pa.string()))
 
         @F.arrow_udf("array<int>")
         def filled(packed_ids: pa.Array, fillings: pa.Array) -> pa.Array:
@@ -326,7 +451,7 @@ class Pieces:
             ends = np.cumsum([0, *map(len, rows)])
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
 
-        # Documents are named by their texts, so copies ask once a task and the same ids fill all of them.
+        # Documents are named by their texts, so copies ask once a batch and the same ids fill all of them.
         named = [F.col(f"`{c}`") for c in docs.columns if c != out]
         said = F.col(f"`{text}`")
         key = F.substring(F.unhex(F.sha2(F.coalesce(said, F.lit("")).cast("binary"), 256)), 1, 16)
@@ -334,14 +459,32 @@ class Pieces:
         opened = docs.select(key.alias("key"), left_open.asNondeterministic()(said).alias("open"))
         asked = opened.select("key", F.posexplode("open").alias("at", "chunk"))
         # A chunk in the broadcast table is never asked for, so the keys of this join are rare ones.
-        answers = self._segmented(rare, lambda: held().asked)
-        answered = asked.join(answers, "chunk").groupBy("key")
+        answers = self._segmented(rare, known)
+        # Few rows of a text are in one task, so they are sent as they are and gathered where they meet.
+        answered = asked.join(answers, "chunk").select("key", "at", "ids").repartition("key").groupBy("key")
         fillings = answered.agg(F.collect_set(F.struct("at", "ids")).alias("set"))
         fillings = fillings.select(F.col("key").alias("__asked"), F.transform(F.sort_array("set"), lambda s: s["ids"]).alias("__filling"))
         partial = docs.select(*named, key.alias("__key"), partly.asNondeterministic()(said).alias("__ids"))
         met = partial.join(fillings, F.col("__key") == F.col("__asked"), "left")
         return met.select(*named, filled.asNondeterministic()("__ids", "__filling").alias(out))
 
+    def _clashes(self, hashes: np.ndarray, others: DataFrame) -> np.ndarray:
+        """Those of the table's ``hashes`` that two chunks have: both in the table, or one of them among ``others``."""
+        held, times = np.unique(hashes, return_counts=True)
+        table = self.spark.sparkContext.broadcast(held)
+
+        @F.arrow_udf("boolean")
+        def taken(found: pa.Array) -> pa.Array:
+            asked = found.to_numpy().view(np.uint64)
+            at = np.searchsorted(table.value[:-1], asked)
+            return pa.array(table.value[at] == asked)
+
+        if not len(held):
+            return held
+        shared = others.where(taken("hash")).distinct().toArrow().column("hash").to_numpy().view(np.uint64)
+        table.unpersist()
+        return np.union1d(held[times > 1], shared)
+
     def decode(self, ids: Column | str) -> Column:
         """The text of a column of ids."""
         shared = self.shared

@@ -2,14 +2,17 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 from glyphlake.llm.collocations import collocations, phrase_counts
 from glyphlake.llm.common import bound_arrow, stored, table
 from glyphlake.llm.importance import BUCKETS, GainPlanes, bit_planes, bucket_counts, importance_sample
-from glyphlake.llm.pieces import PieceModel, Pieces, chunks_of
+from glyphlake.llm.pieces import PieceModel, Pieces, _Known, chunks_of
 from glyphlake.llm.queries import QUERIES
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -169,6 +172,31 @@ def test_short_and_long_chunks_merge_alike(model):
         assert model._merged(text) == model._merged_by_heap(text)
 
 
+def test_chunks_segmented_together_equal_single_ones(model):
+    rng = random.Random(8)
+    letters = "aeinorst1é中Ω\U0001f600\x00 "
+    chunks = ["".join(rng.choices(letters, k=rng.randint(1, 40))) for _ in range(9000)] + ["a", " ", "  the", "\U0001f600", "x" * 500]
+    assert model.segment_all(chunks) == [model.pack(model.segment(c)) for c in chunks]
+    assert model.segment_all([]) == []
+
+
+# With hashes of a few bits almost all chunks share theirs with another one.
+@pytest.mark.parametrize("hash_bits", [3, 9, 14, 64])
+def test_chunks_of_equal_hashes_are_told_apart(spark, sf, theirs, hash_bits):
+    texts = ODD + [r[0] for r in table(spark, sf, "documents").select("text").limit(60).collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = Pieces(spark, MODEL, 1 << 12, 64, 20, hash_bits=hash_bits).encoded(docs)
+    assert {r.doc_id: r.ids for r in out.collect()} == {i: plain_pieces(theirs, t) for i, t in enumerate(texts)}
+
+
+def test_the_broadcast_table_is_small():
+    """A chunk in it takes its hash, the end of its ids and the ids themselves, no Python objects."""
+    n = 100_000
+    known = _Known(np.arange(n, dtype=np.uint64) << np.uint64(40), pa.array([b"abcd"] * n), np.zeros(16, np.uint64), 10, 64)
+    assert len(pickle.dumps(known)) < 20 * n
+    assert sys.getsizeof(known.data) + known.hashes.nbytes + known.ends.nbytes < 20 * n
+
+
 def test_texts_are_not_carried_along_with_their_chunks(spark, theirs):
     """Keys are made once a text, not once a chunk: beside the generator the rows hold keys."""
     docs = spark.createDataFrame([(1, "zq zq xw xw"), (2, "zq xw")], "doc_id long, text string")
