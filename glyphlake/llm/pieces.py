@@ -51,7 +51,9 @@ COUNTED = 1 << 18
 SHORT = 24
 #: Short chunks that are segmented together, and chunks of texts that are looked up together.
 TOGETHER = 1 << 12
-LOOKED_UP = 1 << 17
+LOOKED_UP = 1 << 16
+#: Rows of an Arrow batch that are Python strings at once.
+ROWS_AT_ONCE = 512
 
 # The kinds of piece in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -155,6 +157,10 @@ class PieceModel:
                 packed[place] = ids
         return [self.pack(self.segment(c)) if ids is None else ids for c, ids in zip(chunks, packed)]
 
+    def prepare(self) -> None:
+        """Make the arrays that ``segment_all`` needs, before the model is sent to the workers."""
+        _ = self._characters, self._pairs
+
     @cached_property
     def _characters(self) -> np.ndarray:
         """The piece of every character; those without one have the number after the last piece, which is in no pair."""
@@ -304,15 +310,19 @@ def chunks_of(text: str | None) -> list[str]:
     return _CHUNK.findall(text) if "  " in text or "\0" in text else text.replace(" ", "\0 ").split("\0")[1:]
 
 
-def _grouped(texts: list[str | None]) -> Iterator[list[list[str]]]:
-    """The chunks of every text, as many texts together as have about ``LOOKED_UP`` chunks."""
+def _grouped(texts: pa.Array, copies: bool = True) -> Iterator[list[list[str]]]:
+    """The chunks of every text, as many texts together as have about ``LOOKED_UP`` chunks; without ``copies`` a text near an equal
+    one has none."""
     rows, held = [], 0
-    for text in texts:
-        rows.append(chunks_of(text))
-        held += len(rows[-1])
-        if held >= LOOKED_UP:
-            yield rows
-            rows, held = [], 0
+    for low in range(0, len(texts), ROWS_AT_ONCE):
+        seen = {None}
+        for text in texts.slice(low, ROWS_AT_ONCE).to_pylist():
+            rows.append(chunks_of(text) if copies or text not in seen else [])
+            seen.add(text)
+            held += len(rows[-1])
+            if held >= LOOKED_UP:
+                yield rows
+                rows, held = [], 0
     yield rows
 
 
@@ -366,6 +376,7 @@ class Pieces:
         with open(path, "rb") as file:
             self.model = PieceModel(file.read())
         self.spark, self.frequent, self.frequent_bytes, self.bits, self.hash_bits = spark, frequent, frequent_bytes, bits, hash_bits
+        self.model.prepare()
         self.shared = spark.sparkContext.broadcast(self.model)
 
     def chunk_counts(self, texts: DataFrame) -> DataFrame:
@@ -378,11 +389,11 @@ class Pieces:
                 return pa.record_batch({"chunk": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
 
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    counts.update(chunks_of(text))
-                if len(counts) >= COUNTED:
-                    yield told()
-                    counts.clear()
+                for rows in _grouped(batch.column(0)):
+                    counts.update(chain.from_iterable(rows))
+                    if len(counts) >= COUNTED:
+                        yield told()
+                        counts.clear()
             yield told()
 
         return texts.select("text").mapInArrow(count, "chunk string, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
@@ -436,7 +447,7 @@ class Pieces:
         @F.arrow_udf("binary")
         def partly(texts: pa.Array) -> pa.Array:
             packed_ids = []
-            for rows in _grouped(texts.to_pylist()):
+            for rows in _grouped(texts):
                 find = known.value.packed(list(set(chain.from_iterable(rows))), shared.value).__getitem__
                 packed_ids.extend(zlib.compress(b"".join(map(find, row)), 1) for row in rows)
             return pa.array(packed_ids, pa.binary())
@@ -444,9 +455,7 @@ class Pieces:
         @F.arrow_udf("array<string>")
         def left_open(texts: pa.Array) -> pa.Array:
             found: list[list[str]] = []
-            # Of the copies in a batch one asks.
-            first = {t: i for i, t in reversed(list(enumerate(texts.to_pylist())))}
-            for rows in _grouped([t if first[t] == i else None for i, t in enumerate(texts.to_pylist())]):
+            for rows in _grouped(texts, copies=False):
                 names = list(set(chain.from_iterable(rows)))
                 wanted = {names[i] for i in np.flatnonzero(known.value.found(names)[1]).tolist()}
                 found.extend(list(filter(wanted.__contains__, row)) for row in rows)
@@ -459,7 +468,7 @@ class Pieces:
             ends = np.cumsum([0, *map(len, rows)])
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
 
-        # Documents are named by their texts, so copies ask once a batch and the same ids fill all of them.
+        # Documents are named by their texts, so copies close by ask once and the same ids fill all of them.
         named = [F.col(f"`{c}`") for c in docs.columns if c != out]
         said = F.col(f"`{text}`")
         key = F.substring(F.unhex(F.sha2(F.coalesce(said, F.lit("")).cast("binary"), 256)), 1, 16)
