@@ -1,7 +1,9 @@
 """SentencePiece BPE encoding and decoding by a table of distinct chunks.
 
 A chunk is a run of blanks with the characters up to the next blank. Where no piece of the model has its marker after another
-character, no piece reaches over the start of a chunk, so chunks are segmented on their own. The distinct chunks of all documents
+character, no piece reaches over the start of a chunk, so chunks are segmented on their own. For the same reason line ends are chunks
+of their own where no piece joins them to anything, and the last character is one where no piece has it after the one before, as
+a comma after a letter: a word is one chunk whatever follows it. The distinct chunks of all documents
 are counted on Spark and each is segmented once, merging the best-scored pair first. Ids are joined back by position: the most
 frequent chunks, a table of bounded rows and bytes, are broadcast by their hashes; a hash that any two chunks share is taken out of
 the table, so it tells them apart exactly. Of the others, those that occur once in all documents are segmented at their place; a bit
@@ -24,9 +26,9 @@ import struct
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
-from itertools import chain
+from itertools import accumulate, chain, filterfalse, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,8 @@ SHORT = 24
 #: Short chunks that are segmented together, and chunks of texts that are looked up together.
 TOGETHER = 1 << 12
 LOOKED_UP = 1 << 16
+#: Chunks found in the broadcast table that a worker keeps, with their ids and without, so that it looks them up once.
+KEPT = 1 << 17
 #: Rows of an Arrow batch that are Python strings at once.
 ROWS_AT_ONCE = 512
 
@@ -60,6 +64,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 
 _CHUNK = re.compile(r" *[^ ]+| +")
+_CHUNK_OF_LINES = re.compile(r"\n| *[^ \n]+| +")
 
 
 # Every byte that is no part of a character becomes a character of its own.
@@ -124,6 +129,9 @@ class PieceModel:
         self.end = self.pieces.index(trainer.get(47, b"</s>").decode())
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
         self.costs = {p: -self.scores[i] for p, i in self.ids.items()}
+        # What two pieces never share is segmented apart: neighbours that are in no piece together, the marker written as a blank.
+        self.joined = {pair for p in self.ids for pair in map("".join, pairwise(p.replace(MARK, " ")))}
+        self.cuts_lines = not any("\n" in pair for pair in self.joined)
         # Packed ids: as wide as needed; the number after the last piece is a hole.
         self.hole = len(self.pieces)
         self.code = "H" if self.hole < 1 << 16 else "I"
@@ -146,6 +154,16 @@ class PieceModel:
             found.extend([piece] if piece is not None else [self.byte_ids[b] for b in part.encode()])
         return found
 
+    def cut_ends(self, chunks: Iterable[str]) -> dict[str, tuple[str, str]]:
+        """Those chunks whose last character is in no piece with the one before, each with what stands before it and the character."""
+        joined = self.joined
+        return {c: (c[:-1], c[-1]) for c in chunks if c[-2:] not in joined and len(c) > 1}
+
+    def cut_apart(self, texts: set[str]) -> tuple[list[str], dict[str, tuple[str, str]]]:
+        """The distinct chunks that ``texts`` consist of when their ends are cut, and those that are cut."""
+        ends = self.cut_ends(texts)
+        return list((texts - ends.keys()).union(chain.from_iterable(ends.values()))), ends
+
     def segment_all(self, chunks: list[str]) -> list[bytes]:
         """The packed ids of every chunk, as ``segment`` gives them; short chunks are merged many at a time."""
         packed: list[bytes | None] = [None] * len(chunks)
@@ -301,23 +319,27 @@ class PieceModel:
         return text[1:] if added else text
 
 
-def chunks_of(text: str | None) -> list[str]:
-    """The chunks of a text; all together are the text with a blank in front. An empty text has none."""
+def chunks_of(text: str | None, lines: bool = False) -> list[str]:
+    """The chunks of a text, with ``lines`` cut around line ends too; all together are the text with a blank in front. An empty text has
+    none."""
     if not text:
         return []
     text = " " + text.replace(MARK, " ")
     # Where no blanks follow each other every blank starts a chunk, which is quicker to split than to match.
-    return _CHUNK.findall(text) if "  " in text or "\0" in text else text.replace(" ", "\0 ").split("\0")[1:]
+    if "  " in text or "\0" in text:
+        return (_CHUNK_OF_LINES if lines else _CHUNK).findall(text)
+    text = text.replace(" ", "\0 ")
+    return list(filter(None, text.replace("\n", "\0\n\0").split("\0"))) if lines else text.split("\0")[1:]
 
 
-def _grouped(texts: pa.Array, copies: bool = True) -> Iterator[list[list[str]]]:
+def _grouped(texts: pa.Array, lines: bool, copies: bool = True) -> Iterator[list[list[str]]]:
     """The chunks of every text, as many texts together as have about ``LOOKED_UP`` chunks; without ``copies`` a text near an equal
     one has none."""
     rows, held = [], 0
     for low in range(0, len(texts), ROWS_AT_ONCE):
         seen = {None}
         for text in texts.slice(low, ROWS_AT_ONCE).to_pylist():
-            rows.append(chunks_of(text) if copies or text not in seen else [])
+            rows.append(chunks_of(text, lines) if copies or text not in seen else [])
             seen.add(text)
             held += len(rows[-1])
             if held >= LOOKED_UP:
@@ -326,9 +348,9 @@ def _grouped(texts: pa.Array, copies: bool = True) -> Iterator[list[list[str]]]:
     yield rows
 
 
-def _hashes(chunks: list[str], shift: int) -> np.ndarray:
+def _hashes(chunks: list[str]) -> np.ndarray:
     """The hashes of chunks as Spark's ``xxhash64`` gives them, unsigned."""
-    return np.fromiter((xxhash.xxh64_intdigest(c.encode(), 42) for c in chunks), np.uint64, len(chunks)) >> np.uint64(shift)
+    return np.fromiter((xxhash.xxh64_intdigest(c.encode(), 42) for c in chunks), np.uint64, len(chunks))
 
 
 class _Known:
@@ -342,6 +364,9 @@ class _Known:
         self.ends = np.append(0, np.cumsum(pc.binary_length(ids).to_numpy(zero_copy_only=False))).astype(np.int32)
         self.data = b"".join(ids.to_pylist())
         self.repeated, self.bits, self.hash_bits = repeated, bits, hash_bits
+        # Of a worker: packed ids of chunks whose ends are not cut yet, and such chunks that are not left open; ``KEPT`` at most from the table.
+        self.kept: dict[str, bytes] = {}
+        self.closed: set[str] = set()
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Where hashes are in the table, -1 for those that are not."""
@@ -350,15 +375,21 @@ class _Known:
 
     def found(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The place of every chunk in the table, -1 for others, and which of the others may be repeated."""
-        at = self.places(_hashes(chunks, 64 - self.hash_bits))
-        others = np.flatnonzero(at < 0)
-        slots = _hashes([chunks[i] for i in others.tolist()], 64 - self.bits).astype(np.int64)
-        asked = np.zeros(len(chunks), bool)
-        asked[others] = self.repeated[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)
-        return at, asked
-
-    def packed(self, chunks: list[str], model: PieceModel) -> dict[str, bytes]:
-        """Packed ids of chunks: from the table, or segmented here if they occur nowhere else; a hole for one that may be repeated."""
+        hashes = _hashes(chunks)
+        at = self.places(hashes >> np.uint64(64 - self.hash_bits))
+        slots = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        held = self.repeated[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)
+        return at, (at < 0) & held.astype(bool)
+
+    def packed(self, rows: list[list[str]], model: PieceModel) -> list[bytes]:
+        """Packed ids of rows of chunks whose ends are not cut yet: from the table, or segmented here if they occur nowhere else; a hole
+        for one that may be repeated."""
+        # One look for every chunk; what a worker has not kept is looked up together.
+        flat = list(chain.from_iterable(rows))
+        ids = list(map(self.kept.get, flat))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        texts = {flat[i] for i in missing}
+        chunks, ends = model.cut_apart(texts)
         at, asked = self.found(chunks)
         known = dict.fromkeys(chunks, model.pack([model.hole]))
         often = np.flatnonzero(at >= 0)
@@ -366,7 +397,32 @@ class _Known:
             known[chunks[i]] = self.data[low:stop]
         single = [chunks[i] for i in np.flatnonzero((at < 0) & ~asked).tolist()]
         known.update(zip(single, model.segment_all(single)))
-        return known
+        # What stands before an end may be a text that is cut itself, so all are put together before any takes its place.
+        known.update([(text, known[stem] + known[last]) for text, (stem, last) in ends.items()])
+        for i in missing:
+            ids[i] = known[flat[i]]
+        if len(self.kept) + len(texts) <= KEPT:
+            self.kept.update((text, known[text]) for text in texts - self._passing(texts, chunks, ends, at))
+        stops = list(accumulate(map(len, rows)))
+        return [b"".join(ids[low:stop]) for low, stop in zip([0, *stops], stops)]
+
+    def left_open(self, rows: list[list[str]], model: PieceModel) -> list[list[str]]:
+        """The chunks of rows for which ``packed`` leaves holes, in order."""
+        rows = [list(filterfalse(self.closed.__contains__, row)) for row in rows]
+        texts = set(chain.from_iterable(rows))
+        chunks, ends = model.cut_apart(texts)
+        at, asked = self.found(chunks)
+        wanted = {chunks[i] for i in np.flatnonzero(asked).tolist()}
+        opened = {text: [text] for text in wanted & texts if text not in ends}
+        opened.update([(text, [c for c in parts if c in wanted]) for text, parts in ends.items() if not wanted.isdisjoint(parts)])
+        if len(self.closed) + len(texts) <= KEPT:
+            self.closed |= texts - self._passing(texts, chunks, ends, at)
+        return [list(chain.from_iterable(map(opened.__getitem__, filter(opened.__contains__, row)))) for row in rows]
+
+    def _passing(self, texts: set[str], chunks: list[str], ends: dict[str, tuple[str, str]], at: np.ndarray) -> set[str]:
+        """Those of ``texts`` that are not all from the table and so hardly met again."""
+        others = {chunks[i] for i in np.flatnonzero(at < 0).tolist()}
+        return (others & texts).union(text for text, parts in ends.items() if not others.isdisjoint(parts))
 
 
 class Pieces:
@@ -382,14 +438,20 @@ class Pieces:
     def chunk_counts(self, texts: DataFrame) -> DataFrame:
         """``(chunk, n)``: every distinct chunk of the column ``text`` and how often it occurs."""
 
+        shared = self.shared
+
         def count(batches):
-            counts: Counter[str] = Counter()
+            model, counts = shared.value, Counter()
 
             def told():
+                # All are taken out before any is added: what stands before an end may be a text that is cut itself.
+                for n, parts in [(counts.pop(text), parts) for text, parts in model.cut_ends(counts).items()]:
+                    for chunk in parts:
+                        counts[chunk] += n
                 return pa.record_batch({"chunk": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
 
             for batch in batches:
-                for rows in _grouped(batch.column(0)):
+                for rows in _grouped(batch.column(0), model.cuts_lines):
                     counts.update(chain.from_iterable(rows))
                     if len(counts) >= COUNTED:
                         yield told()
@@ -446,19 +508,16 @@ class Pieces:
 
         @F.arrow_udf("binary")
         def partly(texts: pa.Array) -> pa.Array:
-            packed_ids = []
-            for rows in _grouped(texts):
-                find = known.value.packed(list(set(chain.from_iterable(rows))), shared.value).__getitem__
-                packed_ids.extend(zlib.compress(b"".join(map(find, row)), 1) for row in rows)
+            packed_ids, model = [], shared.value
+            for rows in _grouped(texts, model.cuts_lines):
+                packed_ids.extend(zlib.compress(ids, 1) for ids in known.value.packed(rows, model))
             return pa.array(packed_ids, pa.binary())
 
         @F.arrow_udf("array<string>")
         def left_open(texts: pa.Array) -> pa.Array:
-            found: list[list[str]] = []
-            for rows in _grouped(texts, copies=False):
-                names = list(set(chain.from_iterable(rows)))
-                wanted = {names[i] for i in np.flatnonzero(known.value.found(names)[1]).tolist()}
-                found.extend(list(filter(wanted.__contains__, row)) for row in rows)
+            found, model = [], shared.value
+            for rows in _grouped(texts, model.cuts_lines, copies=False):
+                found.extend(known.value.left_open(rows, model))
             return pa.array(found, pa.list_(pa.string()))
 
         @F.arrow_udf("array<int>")

@@ -165,6 +165,23 @@ def test_pieces_query(spark, sf, theirs):
         assert r.decoded_sha256 == hashlib.sha256(theirs.decode(ids).encode()).hexdigest()
 
 
+def test_what_no_piece_joins_is_counted_apart(spark, theirs):
+    """A word is one chunk whatever follows it, in the counts and in what is asked for."""
+    rng = random.Random(9)
+    words = ["zqa", "xwé", "the", "a,!", "b,", "c..", "(d)", "中文", "1.5", "€", "e\t"]
+    ends = ["", ",", ".", "\n", ".\n", ",\n\n", "?", ",!", "\r\n", "  "]
+    texts = [f"zqa{e} zqa{e}zqa" for e in ends] + [" ".join(rng.choice(words) + rng.choice(ends) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    pieces = Pieces(spark, MODEL, 0, 0)
+    counts = {r.chunk: r.n for r in pieces.chunk_counts(docs.where(f"doc_id < {len(ends)}").select("text")).collect()}
+    # Only the last character is cut off, so what stands before "!" is counted with its comma once.
+    assert (counts[" zqa"], counts["\n"], counts["."], counts[","], counts[" zqa,"]) == (13, 10, 3, 3, 1)
+    assert not {" zqa.", " zqa?", " zqa.\n", " zqa.\n\nzqa", " zqa\nzqa"} & counts.keys()
+    for frequent, bits in ((0, 20), (5, 6), (1 << 12, 20)):
+        out = Pieces(spark, MODEL, frequent, 64, bits).encoded(docs)
+        assert {r.doc_id: r.ids for r in out.collect()} == {i: plain_pieces(theirs, t) for i, t in enumerate(texts)}
+
+
 def test_short_and_long_chunks_merge_alike(model):
     rng = random.Random(7)
     for _ in range(3000):
